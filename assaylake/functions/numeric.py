@@ -61,7 +61,7 @@ def fmt2(c) -> Column:
             .when(F.isnan(c), F.lit("nan"))
             .when(c == F.lit(float("inf")), F.lit("inf"))
             .when(c == F.lit(NEG_INF), F.lit("-inf"))
-            .otherwise(F.format_number(c, "0.00")))
+            .otherwise(F.call_function("format_number", c, F.lit("0.00"))))
 
 
 def trunc_int(c) -> Column:

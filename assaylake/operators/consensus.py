@@ -70,13 +70,12 @@ def disagreement_flags(df: DataFrame, key: Sequence[str], endpoints: Sequence[En
 
 
 def consensus(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
-              order: Sequence[str], keep: Sequence[str] = (), log: bool = True,
-              log_prefix: str = "Log") -> DataFrame:
+              order: Sequence[str], keep: Sequence[str] = (), log: bool = True) -> DataFrame:
     """One row per key: first-row columns, consensus means, log10(x+1) columns.
 
     Output: key columns, ``keep`` columns of the first row, ``n_rows``, one
     column per endpoint (mean or NULL when flagged) and, with ``log``, a
-    ``{log_prefix}{name}`` column for every log-encoded endpoint, computed
+    ``Endpoint.log_name`` column for every log-encoded endpoint, computed
     after averaging.
     """
     key = _names(key)
@@ -88,6 +87,6 @@ def consensus(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
         out.append(F.when(~_flag(df, e), F.col(f"__avg_{e.name}")).alias(e.name))
     res = stats.select(*out)
     if log:
-        res = res.select("*", *[log10p1(qcol(e.name)).alias(f"{log_prefix}{e.name}")
+        res = res.select("*", *[log10p1(qcol(e.name)).alias(e.log_name)
                                 for e in endpoints if e.log_encoded])
     return res

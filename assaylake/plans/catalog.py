@@ -41,8 +41,7 @@ def _round_doubles(df: DataFrame) -> DataFrame:
 def q_consensus(spark, sf_dir):
     m = measurements(spark, sf_dir)
     out = cons.consensus(m, LINEITEM_KEY, LINEITEM_ENDPOINTS, LINEITEM_ORDER,
-                         keep=["l_orderkey", "l_linenumber", "l_returnflag"],
-                         log_prefix="log_")
+                         keep=["l_orderkey", "l_linenumber", "l_returnflag"])
     return _round_doubles(out)
 
 
@@ -71,3 +70,198 @@ def q_log_transform(spark, sf_dir):
     return _round_doubles(m.select(
         *LINEITEM_ORDER,
         *[num.log10p1(F.col(c)).alias(f"log_{c}") for c in LINEITEM_VALUES]))
+
+
+# --- step 2: functions, keys, splits, unions --------------------------------
+
+from assaylake import sources  # noqa: E402
+from assaylake.functions import text as txt  # noqa: E402
+from assaylake.operators import metrics, splits  # noqa: E402
+from assaylake.plans.proxies import table  # noqa: E402
+
+MEASUREMENT_SCHEMA = (
+    "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, "
+    "l_returnflag STRING, l_linestatus STRING, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+    "l_discount DOUBLE, l_tax DOUBLE")
+
+# Key normalisation rules for document texts: fold case, one blank between
+# words, no outer blanks; reject keys under 10 characters or holding a run of
+# six or more digits (numbers that identify people or accounts).
+WHITESPACE_RUN = r"[\t\n\x0B\f\r ]+"
+TEXT_KEY_RULES = (F.lower, lambda c: F.regexp_replace(c, WHITESPACE_RUN, " "), F.trim)
+TEXT_KEY_REJECT = (lambda c: F.length(c) < 10, lambda c: c.rlike("[0-9]{6,}"))
+
+
+def text_keys(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return keys.normalise_keys(docs, "text", TEXT_KEY_RULES, TEXT_KEY_REJECT, out="key")
+
+
+def _digest(c, name):
+    return [F.md5(c).alias(f"{name}_md5"), F.length(c).cast("bigint").alias(f"{name}_len")]
+
+
+@query("scan_roundtrip")
+def q_scan_roundtrip(spark, sf_dir):
+    path = sources.scratch_path(spark, "scan_roundtrip")
+    sources.write_assay(measurements(spark, sf_dir), path)
+    return sources.read_assay(spark, path, MEASUREMENT_SCHEMA, fmt="tsv")
+
+
+@query("log_floor")
+def q_log_floor(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    return _round_doubles(m.select(
+        *LINEITEM_ORDER,
+        *[num.log10_floor(F.col(e.name), e.floor).alias(f"lf_{e.name}")
+          for e in LINEITEM_ENDPOINTS]))
+
+
+@query("log_edges")
+def q_log_edges(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return _round_doubles(c.select(
+        "c_custkey", num.log10_ieee(F.col("c_acctbal")).alias("log_acctbal"),
+        num.log10p1(F.col("c_acctbal")).alias("log1p_acctbal")))
+
+
+@query("back_transform")
+def q_back_transform(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    preds = m.select(*LINEITEM_ORDER, *[num.log10p1(F.col(e.name)).alias(f"pred_{e.log_name}")
+                                        for e in LINEITEM_ENDPOINTS])
+    return _round_doubles(metrics.extract_predictions(preds, LINEITEM_ENDPOINTS, LINEITEM_ORDER[:4]))
+
+
+@query("format_two_decimals")
+def q_format_two_decimals(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*LINEITEM_ORDER,
+                     num.fmt2(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_txt"),
+                     num.fmt2(F.col("l_quantity") / 7).alias("qty7_txt"),
+                     num.trunc_int(F.col("l_extendedprice") / 7).alias("price7_int"))
+
+
+@query("jitter")
+def q_jitter(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    key = F.concat_ws(":", F.lit("42"), *[F.col(c).cast("string") for c in
+                                          ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return _round_doubles(m.select(*LINEITEM_ORDER, num.hashed_gauss(key, 0.02).alias("jitter")))
+
+
+@query("extension_suffix")
+def q_extension_suffix(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = txt.extension_suffix(F.col("text"))
+    return d.select("doc_id", *_digest(s, "suffix"))
+
+
+@query("normalise_keys")
+def q_normalise_keys(spark, sf_dir):
+    return text_keys(spark, sf_dir).select("doc_id", *_digest(F.col("key"), "key"))
+
+
+@query("reject_count")
+def q_reject_count(spark, sf_dir):
+    return keys.reject_count(text_keys(spark, sf_dir), "key")
+
+
+@query("largest_component")
+def q_largest_component(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *_digest(txt.largest_component(F.col("text")), "component"))
+
+
+@query("duplicate_members")
+def q_duplicate_members(spark, sf_dir):
+    m = measurements(spark, sf_dir).select(*LINEITEM_ORDER)
+    return keys.duplicate_members(m, LINEITEM_KEY)
+
+
+@query("duplicate_extras")
+def q_duplicate_extras(spark, sf_dir):
+    m = measurements(spark, sf_dir).select(*LINEITEM_ORDER)
+    return keys.duplicate_extras(m, LINEITEM_KEY, LINEITEM_ORDER)
+
+
+@query("duplicate_key_count")
+def q_duplicate_key_count(spark, sf_dir):
+    return keys.duplicate_key_count(measurements(spark, sf_dir), LINEITEM_KEY)
+
+
+@query("group_range")
+def q_group_range(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    return _round_doubles(keys.group_range(m, LINEITEM_KEY, LINEITEM_VALUES, LINEITEM_ORDER,
+                                           members="extras"))
+
+
+@query("group_number")
+def q_group_number(spark, sf_dir):
+    m = measurements(spark, sf_dir).select(*LINEITEM_ORDER)
+    return keys.group_number(m, LINEITEM_KEY, "group_no")
+
+
+def _clean_keys(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    return cons.consensus(m, LINEITEM_KEY, LINEITEM_ENDPOINTS, LINEITEM_ORDER, log=False)
+
+
+@query("kfold")
+def q_kfold(spark, sf_dir):
+    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
+    return folds.select(*LINEITEM_KEY, "fold", "split")
+
+
+@query("kfold_sizes")
+def q_kfold_sizes(spark, sf_dir):
+    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
+    return splits.kfold_sizes(folds)
+
+
+def labelled_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "inner")
+
+
+def unlabelled_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_anti")
+
+
+def external_items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", "text")
+
+
+@query("tagged_union")
+def q_tagged_union(spark, sf_dir):
+    u = sources.union_assays(labelled_documents(spark, sf_dir),
+                             unlabelled_documents(spark, sf_dir),
+                             external_items(spark, sf_dir),
+                             tags=["train", "test", "external"])
+    return u.select("split", "doc_id", "item_id", "quality", "toxic", *_digest(F.col("text"), "text"))
+
+
+def reference_set(spark, sf_dir):
+    """Training documents then external items, with positions ``ref_id``."""
+    u = sources.union_assays(labelled_documents(spark, sf_dir), external_items(spark, sf_dir),
+                             tags=["train", "external"])
+    u = u.withColumn("__origin", F.when(F.col("split") == "train", 0).otherwise(1))
+    u = u.withColumn("__id", F.coalesce("doc_id", "item_id"))
+    return keys.with_row_id(u, ["__origin", "__id"], "ref_id").drop("__origin", "__id")
+
+
+@query("reference_union")
+def q_reference_union(spark, sf_dir):
+    r = reference_set(spark, sf_dir)
+    return r.select("ref_id", "split", "doc_id", "item_id", "quality", "toxic",
+                    *_digest(F.col("text"), "text"))
+
+
+@query("flatten_records")
+def q_flatten_records(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return sources.flatten_records(ev, "event_id", "props", ["k"])

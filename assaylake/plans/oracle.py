@@ -61,3 +61,145 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_
 SQL["log_transform"] = f"""
 WITH {_M}
 SELECT {_ORDER}, {", ".join(f"round({_log10p1(v)}, 6) AS log_{v}" for v in _VALS)} FROM m"""
+
+
+# --- step 2 -----------------------------------------------------------------
+
+def _log10(x: str) -> str:
+    return (f"CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) = 0 THEN '-inf'::DOUBLE "
+            f"WHEN ({x}) < 0 THEN 'nan'::DOUBLE ELSE log10({x}) END")
+
+
+_FLOOR = {"l_quantity": 0.5, "l_extendedprice": 0.5, "l_discount": 0.001, "l_tax": None}
+
+
+def _log_floor(v: str) -> str:
+    f = _FLOOR[v]
+    return _log10(v) if f is None else _log10(f"CASE WHEN {v} IS NOT NULL THEN greatest({v}, {f}) END")
+
+
+def _digest(x: str, name: str) -> str:
+    return f"md5({x}) AS {name}_md5, length({x})::BIGINT AS {name}_len"
+
+
+def _fmt2(x: str) -> str:
+    return (f"CASE WHEN ({x}) IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' "
+            f"WHEN ({x}) = 'inf'::DOUBLE THEN 'inf' WHEN ({x}) = '-inf'::DOUBLE THEN '-inf' "
+            f"ELSE printf('%.2f', {x}) END")
+
+
+def _unit(key: str, part: int) -> str:
+    return f"((('0x' || substr(md5({key}), {1 + 8 * part}, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+def _gauss(key: str, sd: float) -> str:
+    return f"(sqrt(-2.0 * ln({_unit(key, 0)})) * cos(2.0 * pi() * {_unit(key, 1)}) * {sd})"
+
+
+SQL["scan_roundtrip"] = f"WITH {_M} SELECT * FROM m"
+
+SQL["log_floor"] = f"""
+WITH {_M}
+SELECT {_ORDER}, {", ".join(f"round({_log_floor(v)}, 6) AS lf_{v}" for v in _VALS)} FROM m"""
+
+SQL["log_edges"] = f"""
+SELECT c_custkey, round({_log10('c_acctbal')}, 6) AS log_acctbal,
+       round({_log10p1('c_acctbal')}, 6) AS log1p_acctbal
+FROM customer"""
+
+SQL["back_transform"] = f"""
+WITH {_M}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {", ".join(f"round(pow(10.0, {_log10p1(v)}) - 1.0, 6) AS {v}" for v in _VALS)}
+FROM m"""
+
+SQL["format_two_decimals"] = f"""
+SELECT {_ORDER}, {_fmt2('l_extendedprice * (1 - l_discount)')} AS net_txt,
+       {_fmt2('l_quantity / 7')} AS qty7_txt,
+       trunc(l_extendedprice / 7)::BIGINT AS price7_int
+FROM lineitem"""
+
+SQL["jitter"] = f"""
+WITH {_M}
+SELECT {_ORDER},
+       round({_gauss("concat_ws(':', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)", 0.02)}, 6)
+         AS jitter
+FROM m"""
+
+_SUFFIX = "CASE WHEN text IS NULL THEN NULL WHEN instr(text, '|') > 0 THEN substr(text, instr(text, '|')) ELSE '' END"
+SQL["extension_suffix"] = f"SELECT doc_id, {_digest(_SUFFIX, 'suffix')} FROM documents"
+
+_NORM = r"trim(regexp_replace(lower(text), '[\t\n\x0B\f\r ]+', ' ', 'g'))"
+_KEYS = f"""k AS (
+  SELECT doc_id, CASE WHEN length(n) < 10 OR regexp_matches(n, '[0-9]{{6,}}') THEN NULL ELSE n END AS key
+  FROM (SELECT doc_id, {_NORM} AS n FROM documents))"""
+SQL["normalise_keys"] = f"WITH {_KEYS} SELECT doc_id, {_digest('key', 'key')} FROM k"
+SQL["reject_count"] = f"WITH {_KEYS} SELECT count(*) FILTER (WHERE key IS NULL)::BIGINT AS n_rejected FROM k"
+
+_LARGEST = ("list_reduce(list_prepend('', string_split(text, '.')), "
+            "lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END)")
+SQL["largest_component"] = f"SELECT doc_id, {_digest(_LARGEST, 'component')} FROM documents"
+
+SQL["duplicate_members"] = f"""
+WITH {_M}
+SELECT * FROM (SELECT {_ORDER}, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS group_size FROM m)
+WHERE group_size > 1"""
+
+SQL["duplicate_extras"] = f"""
+WITH {_M}
+SELECT {_ORDER}, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_ORDER}) > 1 AS is_extra
+FROM m"""
+
+SQL["duplicate_key_count"] = f"""
+WITH {_M}
+SELECT count(*)::BIGINT AS n_duplicated_keys FROM (
+  SELECT l_partkey, l_suppkey FROM m WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL
+  GROUP BY ALL HAVING count(*) > 1)"""
+
+SQL["group_range"] = f"""
+WITH {_M}, x AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_ORDER}) AS rn
+                 FROM m) WHERE rn > 1)
+SELECT l_partkey, l_suppkey, {", ".join(f"round(max({v}) - min({v}), 6) AS range_{v}" for v in _VALS)}
+FROM x WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY l_partkey, l_suppkey"""
+
+SQL["group_number"] = f"""
+WITH {_M}
+SELECT {_ORDER}, (dense_rank() OVER (ORDER BY l_partkey, l_suppkey) - 1)::BIGINT AS group_no FROM m"""
+
+_FOLDS = """f AS (
+  SELECT l_partkey, l_suppkey,
+         ntile(5) OVER (ORDER BY md5(concat_ws(':', '42', l_partkey, l_suppkey)), l_partkey, l_suppkey) - 1
+           AS val_fold
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)),
+kf AS (
+  SELECT l_partkey, l_suppkey, r.fold::INTEGER AS fold,
+         CASE WHEN r.fold = val_fold THEN 'val' ELSE 'train' END AS split
+  FROM f CROSS JOIN range(5) r(fold))"""
+SQL["kfold"] = f"WITH {_FOLDS} SELECT * FROM kf"
+SQL["kfold_sizes"] = f"""
+WITH {_FOLDS}
+SELECT fold, count(*) FILTER (WHERE split = 'train')::BIGINT AS n_train,
+       count(*) FILTER (WHERE split = 'val')::BIGINT AS n_val
+FROM kf GROUP BY fold"""
+
+_TRAIN = "SELECT d.doc_id, d.text, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)"
+_TEST = "SELECT d.doc_id, d.text FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)"
+_EXT = "SELECT item_id, text FROM benchmark"
+SQL["tagged_union"] = f"""
+SELECT split, doc_id, item_id, quality, toxic, {_digest('text', 'text')} FROM (
+  SELECT 'train' AS split, doc_id, NULL::BIGINT AS item_id, quality, toxic, text FROM ({_TRAIN})
+  UNION ALL SELECT 'test', doc_id, NULL, NULL, NULL, text FROM ({_TEST})
+  UNION ALL SELECT 'external', NULL, item_id, NULL, NULL, text FROM ({_EXT}))"""
+
+_REFS = f"""refs AS (
+  SELECT (row_number() OVER (ORDER BY origin, coalesce(doc_id, item_id)) - 1)::BIGINT AS ref_id, *
+  FROM (
+    SELECT 0 AS origin, 'train' AS split, doc_id, NULL::BIGINT AS item_id, quality, toxic, text
+    FROM ({_TRAIN})
+    UNION ALL SELECT 1, 'external', NULL, item_id, NULL, NULL, text FROM ({_EXT})))"""
+SQL["reference_union"] = f"""
+WITH {_REFS}
+SELECT ref_id, split, doc_id, item_id, quality, toxic, {_digest('text', 'text')} FROM refs"""
+
+SQL["flatten_records"] = """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events"""

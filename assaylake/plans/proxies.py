@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LINEITEM_KEY = ["l_partkey", "l_suppkey"]
 LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LINEITEM_ENDPOINTS = (
-    Endpoint("l_quantity", True, "rel", 0.3),
-    Endpoint("l_extendedprice", True, "rel", 0.3),
-    Endpoint("l_discount", True, "rel", 0.2),
-    Endpoint("l_tax", True, "rel", 0.2),
+    Endpoint("l_quantity", True, "rel", 0.3, 0.5, "log_"),
+    Endpoint("l_extendedprice", True, "rel", 0.3, 0.5, "log_"),
+    Endpoint("l_discount", True, "rel", 0.2, 0.001, "log_"),
+    Endpoint("l_tax", True, "rel", 0.2, None, "log_"),
 )
 LINEITEM_VALUES = [e.name for e in LINEITEM_ENDPOINTS]
 

@@ -21,10 +21,11 @@ class Endpoint:
     tol_kind: str = "rel"
     tol: float = 0.3
     floor: float | None = None
+    log_prefix: str = "Log"
 
     @property
     def log_name(self) -> str:
-        return f"Log{self.name}" if self.log_encoded else self.name
+        return f"{self.log_prefix}{self.name}" if self.log_encoded else self.name
 
 
 # ---------------------------------------------------------------------------
