@@ -265,3 +265,58 @@ def q_reference_union(spark, sf_dir):
 def q_flatten_records(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return sources.flatten_records(ev, "event_id", "props", ["k"])
+
+
+# --- step 3: profiles ---------------------------------------------------------
+
+from assaylake.operators import profile  # noqa: E402
+
+DOC_PROFILE_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+PART_COLS = ["p_size", "p_retailprice"]
+
+
+def documents_with_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query("null_profile")
+def q_null_profile(spark, sf_dir):
+    return _round_doubles(profile.null_profile(documents_with_labels(spark, sf_dir),
+                                               DOC_PROFILE_COLS))
+
+
+@query("all_null_pct")
+def q_all_null_pct(spark, sf_dir):
+    return _round_doubles(profile.all_null_pct(documents_with_labels(spark, sf_dir),
+                                               ["quality", "toxic"]))
+
+
+@query("describe_columns")
+def q_describe_columns(spark, sf_dir):
+    return _round_doubles(profile.describe_columns(table(spark, sf_dir, "part"), PART_COLS))
+
+
+@query("histogram_auto")
+def q_histogram_auto(spark, sf_dir):
+    return _round_doubles(profile.histogram(measurements(spark, sf_dir), LINEITEM_VALUES, "auto"))
+
+
+@query("histogram_fixed")
+def q_histogram_fixed(spark, sf_dir):
+    return _round_doubles(profile.histogram(measurements(spark, sf_dir), LINEITEM_VALUES, 30))
+
+
+@query("corr_matrix")
+def q_corr_matrix(spark, sf_dir):
+    return _round_doubles(profile.corr_matrix(measurements(spark, sf_dir), LINEITEM_VALUES))
+
+
+@query("linear_fit_matrix")
+def q_linear_fit_matrix(spark, sf_dir):
+    return _round_doubles(profile.linear_fit_matrix(measurements(spark, sf_dir), LINEITEM_VALUES))
+
+
+@query("smallest_values")
+def q_smallest_values(spark, sf_dir):
+    return profile.smallest_values(measurements(spark, sf_dir), LINEITEM_VALUES, 10)

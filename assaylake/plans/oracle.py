@@ -203,3 +203,117 @@ SELECT ref_id, split, doc_id, item_id, quality, toxic, {_digest('text', 'text')}
 
 SQL["flatten_records"] = """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events"""
+
+
+# --- step 3 -----------------------------------------------------------------
+
+_DL = """d AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
+      FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+SQL["null_profile"] = f"WITH {_DL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(avg(({c} IS NULL)::DOUBLE) * 100, 6) AS null_pct FROM d"
+    for c in _DOC_COLS)
+SQL["all_null_pct"] = f"""WITH {_DL}
+SELECT round(avg((coalesce(quality, toxic) IS NULL)::DOUBLE) * 100, 6) AS all_null_pct FROM d"""
+
+
+def _long(src: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS value FROM {src} WHERE {c} IS NOT NULL"
+        for c in cols)
+
+
+SQL["describe_columns"] = f"""
+WITH long AS ({_long('part', ['p_size', 'p_retailprice'])})
+SELECT "column", count(*)::BIGINT AS count, round(avg(value), 6) AS mean,
+       round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
+       round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+       round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max
+FROM long GROUP BY "column" """
+
+
+def _hist(nbins_sql: str) -> str:
+    return f"""
+WITH {_M}, long AS ({_long('m', _VALS)}),
+st AS (SELECT "column", count(*) AS n, min(value) AS mn, max(value) AS mx,
+              quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr
+       FROM long GROUP BY "column"),
+w AS (SELECT *, CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS lo,
+                CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi,
+                (mx - mn) / (log2(n) + 1.0) AS sturges,
+                2.0 * iqr * pow(n::DOUBLE, -1.0 / 3.0) AS fd
+      FROM st),
+e AS (SELECT "column", lo, hi, ({nbins_sql})::BIGINT AS nbins,
+      FROM (SELECT *, CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END AS width FROM w)),
+c AS (SELECT l."column", least(floor((value - lo) / (hi - lo) * nbins), nbins - 1)::BIGINT AS bin,
+             count(*) AS cnt
+      FROM long l JOIN e USING ("column") GROUP BY ALL),
+b AS (SELECT "column", lo, hi, nbins, unnest(range(nbins)) AS bin FROM e)
+SELECT b."column", b.bin, round(lo + bin * ((hi - lo) / nbins), 6) AS bin_lo,
+       round(lo + (bin + 1) * ((hi - lo) / nbins), 6) AS bin_hi, coalesce(cnt, 0)::BIGINT AS count
+FROM b LEFT JOIN c USING ("column", bin)"""
+
+
+SQL["histogram_auto"] = _hist("CASE WHEN width > 0 THEN ceil((hi - lo) / width) ELSE 1 END")
+SQL["histogram_fixed"] = _hist("30")
+
+_corr_parts = []
+for _i, _a in enumerate(_VALS):
+    for _b in _VALS[_i:]:
+        _sub = (f"SELECT covar_samp({_a}, {_b}) AS cv, "
+                f"stddev_samp(CASE WHEN {_b} IS NOT NULL THEN {_a} END) AS sx, "
+                f"stddev_samp(CASE WHEN {_a} IS NOT NULL THEN {_b} END) AS sy FROM m")
+        _r = "round(CASE WHEN sx * sy > 0 THEN cv / (sx * sy) END, 6)"
+        _corr_parts.append(f"SELECT '{_a}' AS col_x, '{_b}' AS col_y, {_r} AS r FROM ({_sub})")
+        if _a != _b:
+            _corr_parts.append(f"SELECT '{_b}' AS col_x, '{_a}' AS col_y, {_r} AS r FROM ({_sub})")
+SQL["corr_matrix"] = f"WITH {_M} " + " UNION ALL ".join(_corr_parts)
+
+SQL["linear_fit_matrix"] = f"WITH {_M} " + " UNION ALL ".join(
+    f"SELECT '{x}' AS col_x, '{y}' AS col_y, round(regr_slope({y}, {x}), 6) AS slope, "
+    f"round(regr_intercept({y}, {x}), 6) AS intercept FROM m"
+    for x in _VALS for y in _VALS if x != y)
+
+SQL["smallest_values"] = f"""
+WITH {_M}, long AS ({_long('m', _VALS)}),
+r AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS rank FROM long)
+SELECT rank::INTEGER AS rank, {", ".join(f"max(value) FILTER (WHERE \"column\" = '{v}') AS {v}" for v in _VALS)}
+FROM r WHERE rank <= 10 GROUP BY rank"""
+
+
+def _positive_zero(sql: str) -> str:
+    """Rewrite every ``round(expr, 6)`` to ``(round(expr, 6) + 0.0)``.
+
+    Spark's rounding never yields -0.0; DuckDB's does. Adding +0.0 turns
+    -0.0 into 0.0 and changes nothing else.
+    """
+    out, i, token = [], 0, "round("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 0, j + len(token) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero(sql[j + len(token):k])
+        out.append(f"(round({inner}) + 0.0)")
+        i = k + 1
+
+
+_FINAL: dict[str, str] = {}
+
+
+def finalize() -> dict[str, str]:
+    """The oracle statements, signed zeros normalised (idempotent)."""
+    for key, sql in SQL.items():
+        if key not in _FINAL:
+            _FINAL[key] = _positive_zero(sql)
+    return dict(_FINAL)
