@@ -320,3 +320,73 @@ def q_linear_fit_matrix(spark, sf_dir):
 @query("smallest_values")
 def q_smallest_values(spark, sf_dir):
     return profile.smallest_values(measurements(spark, sf_dir), LINEITEM_VALUES, 10)
+
+
+# --- step 4: answers and metrics --------------------------------------------
+
+from assaylake.operators import answers  # noqa: E402
+from assaylake.schema import ENDPOINTS, PROPERTIES, Endpoint  # noqa: E402
+
+# events in the role of model answers: each event of a user is one candidate
+# answer to that user's query.
+EVENT_PROPERTY = {"click": "LogHLM", "error": "LogMLM", "purchase": "LogD",
+                  "signup": "LogKSOL", "view": "LogMDR1-MDCKII"}
+
+
+def candidates(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    prop = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(p)) for t, p in EVENT_PROPERTY.items()])
+    v = num.fmt2(F.col("value") / 100)
+    kv = num.fmt2(k.cast("int") / 10)
+    text = (F.when((F.col("event_type") == "error") & (F.col("value") > 300), F.lit("no answer"))
+            .when(F.col("event_type") == "purchase",
+                  F.concat(F.lit("LogD="), v, F.lit(", LogD="), kv, F.lit(", k="), k))
+            .when(F.col("event_type") == "view",
+                  F.concat(F.lit("LogMDR1-MDCKII="), v, F.lit("; Other-Name="), kv))
+            .otherwise(F.concat(prop, F.lit("="), v, F.lit(", k="), k)))
+    return ev.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("candidate_no"),
+                     text.alias("text"))
+
+
+@query("parse_answers")
+def q_parse_answers(spark, sf_dir):
+    return answers.parse_answers(candidates(spark, sf_dir))
+
+
+@query("average_answers")
+def q_average_answers(spark, sf_dir):
+    return _round_doubles(answers.average_answers(candidates(spark, sf_dir), PROPERTIES))
+
+
+@query("attach_predictions")
+def q_attach_predictions(spark, sf_dir):
+    preds = answers.prefix_columns(answers.average_answers(candidates(spark, sf_dir), PROPERTIES),
+                                   PROPERTIES)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id")).distinct()
+    out = answers.attach_predictions(rows, preds, "query_id")
+    return _round_doubles(answers.back_transform_predictions(out, ENDPOINTS))
+
+
+# lineitem as predictions vs truth, endpoint = return flag; 'N' plays the
+# endpoint that is already on a log scale.
+EVAL_ENDPOINTS = (Endpoint("A"), Endpoint("N", log_encoded=False), Endpoint("R"))
+
+
+def evaluation_input(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*LINEITEM_ORDER, F.col("l_returnflag").alias("endpoint"),
+                     F.when(F.col("l_discount") != 0, F.col("l_extendedprice")).alias("ref"),
+                     (F.col("l_quantity") * 1500).alias("pred"))
+
+
+@query("evaluate")
+def q_evaluate(spark, sf_dir):
+    res = metrics.evaluate(evaluation_input(spark, sf_dir), EVAL_ENDPOINTS, macro=False)
+    return _round_doubles(res)
+
+
+@query("evaluate_macro")
+def q_evaluate_macro(spark, sf_dir):
+    res = metrics.evaluate(evaluation_input(spark, sf_dir), EVAL_ENDPOINTS, macro=True)
+    return _round_doubles(res.where(F.col("endpoint") == "aggregated"))

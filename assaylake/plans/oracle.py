@@ -282,10 +282,10 @@ FROM r WHERE rank <= 10 GROUP BY rank"""
 
 
 def _positive_zero(sql: str) -> str:
-    """Rewrite every ``round(expr, 6)`` to ``(round(expr, 6) + 0.0)``.
+    """Rewrite every ``round(expr, 6)`` to ``round(expr * 1e6) / 1e6 + 0.0``.
 
-    Spark's rounding never yields -0.0; DuckDB's does. Adding +0.0 turns
-    -0.0 into 0.0 and changes nothing else.
+    The Spark side rounds with the same steps; Spark's rounding never yields
+    -0.0 while DuckDB's does, and adding +0.0 turns -0.0 into 0.0.
     """
     out, i, token = [], 0, "round("
     while True:
@@ -304,7 +304,10 @@ def _positive_zero(sql: str) -> str:
                     break
             k += 1
         inner = _positive_zero(sql[j + len(token):k])
-        out.append(f"(round({inner}) + 0.0)")
+        expr, _, places = inner.rpartition(",")
+        if places.strip() != "6":
+            raise ValueError(f"round to 6 places expected: {inner}")
+        out.append(f"(round(({expr}) * 1000000.0) / 1000000.0 + 0.0)")
         i = k + 1
 
 
@@ -317,3 +320,64 @@ def finalize() -> dict[str, str]:
         if key not in _FINAL:
             _FINAL[key] = _positive_zero(sql)
     return dict(_FINAL)
+
+
+# --- step 4 -----------------------------------------------------------------
+
+_ANS_RE = r"(\w+(?:-\w+)*?)=(-?\d+\.\d+)"
+_K = "json_extract_string(props, '$.k')"
+_CAND = f"""cand AS (
+  SELECT user_id AS query_id, event_id AS candidate_no,
+    CASE WHEN event_type = 'error' AND value > 300 THEN 'no answer'
+         WHEN event_type = 'purchase' THEN 'LogD=' || {_fmt2('value / 100')} || ', LogD=' ||
+              {_fmt2(f'CAST({_K} AS INTEGER) / 10')} || ', k=' || {_K}
+         WHEN event_type = 'view' THEN 'LogMDR1-MDCKII=' || {_fmt2('value / 100')} || '; Other-Name=' ||
+              {_fmt2(f'CAST({_K} AS INTEGER) / 10')}
+         ELSE (CASE event_type WHEN 'click' THEN 'LogHLM' WHEN 'error' THEN 'LogMLM'
+               WHEN 'signup' THEN 'LogKSOL' END) || '=' || {_fmt2('value / 100')} || ', k=' || {_K}
+    END AS text
+  FROM events)"""
+_PARSED = f"""parsed AS (
+  SELECT query_id, candidate_no, pair_no::INTEGER AS pair_no, names[pair_no] AS name,
+         vals[pair_no]::DOUBLE AS value, TRY_CAST(vals[pair_no] AS DECIMAL(38, 9)) AS dvalue
+  FROM (SELECT query_id, candidate_no, names, vals, unnest(generate_series(1, len(names))) AS pair_no
+        FROM (SELECT query_id, candidate_no,
+                     regexp_extract_all(trim(text), '{_ANS_RE}', 1) AS names,
+                     regexp_extract_all(trim(text), '{_ANS_RE}', 2) AS vals FROM cand)))"""
+_PROPS = ["LogHLM", "LogMLM", "LogD", "LogKSOL", "LogMDR1-MDCKII"]
+_AVG = f"""avgd AS (
+  SELECT c.query_id,
+         {", ".join(f'CASE WHEN NOT bool_or(p.pair_no IS NULL) THEN sum(p.dvalue) FILTER (WHERE p.name = \'{p}\')::DOUBLE / count(p.dvalue) FILTER (WHERE p.name = \'{p}\') END AS "{p}"' for p in _PROPS)}
+  FROM cand c LEFT JOIN parsed p USING (query_id, candidate_no)
+  GROUP BY c.query_id)"""
+
+SQL["parse_answers"] = f"""WITH {_CAND}, {_PARSED}
+SELECT query_id, candidate_no, pair_no, name, value FROM parsed"""
+SQL["average_answers"] = f"""WITH {_CAND}, {_PARSED}, {_AVG}
+SELECT query_id, {", ".join(f'round("{p}", 6) AS "{p}"' for p in _PROPS)} FROM avgd"""
+_LOGGED = ["HLM", "MLM", "KSOL", "MDR1-MDCKII"]
+SQL["attach_predictions"] = f"""WITH {_CAND}, {_PARSED}, {_AVG},
+rows AS (SELECT DISTINCT user_id AS query_id FROM events)
+SELECT r.query_id, {", ".join(f'round(a."{p}", 6) AS "pred_{p}"' for p in _PROPS)},
+       {", ".join(f'round(pow(10.0, a."Log{e}") - 1.0, 6) AS "pred_{e}"' for e in _LOGGED)}
+FROM rows r LEFT JOIN avgd a USING (query_id)"""
+
+_EVAL = f"""ev AS (
+  SELECT endpoint, y, p FROM (
+    SELECT l_returnflag AS endpoint,
+           CASE WHEN l_returnflag = 'N' THEN ref ELSE {_log10p1('ref')} END AS y,
+           CASE WHEN l_returnflag = 'N' THEN pred ELSE {_log10p1('pred')} END AS p
+    FROM (SELECT l_returnflag, CASE WHEN l_discount <> 0 THEN l_extendedprice END AS ref,
+                 l_quantity * 1500 AS pred FROM lineitem))
+  WHERE y IS NOT NULL),
+per AS (
+  SELECT endpoint, count(*)::BIGINT AS n, avg(abs(y - p)) AS mean_absolute_error,
+         CASE WHEN count(*) < 2 THEN NULL
+              WHEN var_pop(y) * count(*) = 0 THEN CASE WHEN sum((y - p) ^ 2) = 0 THEN 1.0 ELSE 0.0 END
+              ELSE 1.0 - sum((y - p) ^ 2) / (var_pop(y) * count(*)) END AS r2
+  FROM ev GROUP BY endpoint)"""
+SQL["evaluate"] = f"""WITH {_EVAL}
+SELECT endpoint, n, round(mean_absolute_error, 6) AS mean_absolute_error, round(r2, 6) AS r2 FROM per"""
+SQL["evaluate_macro"] = f"""WITH {_EVAL}
+SELECT 'aggregated' AS endpoint, sum(n)::BIGINT AS n, round(avg(mean_absolute_error), 6) AS mean_absolute_error,
+       round(avg(r2), 6) AS r2 FROM per"""

@@ -41,4 +41,5 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Round to 6 places as ``round(x * 1e6) / 1e6`` (same steps as the oracle)."""
+    return F.round(c * F.lit(1e6)) / F.lit(1e6)
