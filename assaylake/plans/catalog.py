@@ -390,3 +390,150 @@ def q_evaluate(spark, sf_dir):
 def q_evaluate_macro(spark, sf_dir):
     res = metrics.evaluate(evaluation_input(spark, sf_dir), EVAL_ENDPOINTS, macro=True)
     return _round_doubles(res.where(F.col("endpoint") == "aggregated"))
+
+
+# --- step 5: fingerprints and similarity -------------------------------------
+
+from assaylake.operators import fingerprint as fpr  # noqa: E402
+from assaylake.operators import similarity as sim  # noqa: E402
+from assaylake.schema import FP_BITS, FP_RADIUS, HIST_BINS  # noqa: E402
+
+FP_WORDS = FP_BITS // 64
+
+# Substructure-key dictionary for texts, built from rules: a doubled letter
+# (either case), each digit, punctuation marks, and layout features.
+TEXT_PATTERNS = (
+    [f"[{c.upper()}{c}]{{2}}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    + [str(d) for d in range(10)]
+    + [",", ";", ":", "!", r"\?", r"\(", '"', "'", "-", r"\|"]
+    + [r"\n\n", "[A-Z]{3}", "[0-9]{4}", "https?://", "@", r"[^\x00-\x7F]", "  ", r"\.\.\."]
+)
+PATTERN_WORDS = (len(TEXT_PATTERNS) + 63) // 64
+
+# Feature profile of a text: counts shown as integers, mean word length with
+# two decimals.
+TEXT_FEATURES = (
+    ("chars", lambda t: F.length(t), "int"),
+    ("words", lambda t: F.size(txt.word_tokens(t)), "int"),
+    ("lines", lambda t: F.size(F.split(t, "\n")), "int"),
+    ("digits", lambda t: F.length(F.regexp_replace(t, "[^0-9]", "")), "int"),
+    ("upper", lambda t: F.length(F.regexp_replace(t, "[^A-Z]", "")), "int"),
+    ("avgword", lambda t: F.try_divide(F.length(t), F.size(txt.word_tokens(t))), "2f"),
+)
+
+
+def document_fps(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fpr.hashed_fingerprint(docs, "doc_id", "text", FP_RADIUS, FP_BITS)
+
+
+def _labelled_ids(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id")
+
+
+def train_fps(spark, sf_dir):
+    """Fingerprints of labelled (measured) documents: the training set."""
+    return document_fps(spark, sf_dir).join(_labelled_ids(spark, sf_dir), "doc_id", "left_semi")
+
+
+def test_fps(spark, sf_dir):
+    """Fingerprints of unlabelled documents: the test set."""
+    return document_fps(spark, sf_dir).join(_labelled_ids(spark, sf_dir), "doc_id", "left_anti")
+
+
+@query("hashed_fingerprint")
+def q_hashed_fingerprint(spark, sf_dir):
+    f = document_fps(spark, sf_dir)
+    return f.select("doc_id", *[F.col("fp")[j].alias(f"w{j:02d}") for j in range(FP_WORDS)],
+                    "n_bits_set")
+
+
+@query("pattern_fingerprint")
+def q_pattern_fingerprint(spark, sf_dir):
+    f = fpr.pattern_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", TEXT_PATTERNS)
+    return f.select("doc_id", *[F.col("fp")[j].alias(f"w{j:02d}") for j in range(PATTERN_WORDS)],
+                    "n_bits_set")
+
+
+@query("profile_text")
+def q_profile_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", fpr.profile_text("text", TEXT_FEATURES))
+
+
+@query("tanimoto_pairs")
+def q_tanimoto_pairs(spark, sf_dir):
+    dist = sim.similarity_distribution(train_fps(spark, sf_dir), test_fps(spark, sf_dir),
+                                       FP_WORDS, "doc_id")
+    return _round_doubles(sim.similarity_histogram(dist, HIST_BINS))
+
+
+def _train_test_nearest(spark, sf_dir):
+    return sim.nearest(train_fps(spark, sf_dir), test_fps(spark, sf_dir), FP_WORDS, "doc_id")
+
+
+@query("nearest_left")
+def q_nearest_left(spark, sf_dir):
+    n = _train_test_nearest(spark, sf_dir)
+    return _round_doubles(n.where(F.col("side") == "left").select("doc_id", "best_sim"))
+
+
+@query("nearest_right")
+def q_nearest_right(spark, sf_dir):
+    n = _train_test_nearest(spark, sf_dir)
+    return _round_doubles(n.where(F.col("side") == "right").select("doc_id", "best_sim"))
+
+
+@query("nearest_other")
+def q_nearest_other(spark, sf_dir):
+    return _round_doubles(sim.nearest(train_fps(spark, sf_dir), None, FP_WORDS, "doc_id"))
+
+
+@query("pair_histogram")
+def q_pair_histogram(spark, sf_dir):
+    dist = sim.similarity_distribution(train_fps(spark, sf_dir), None, FP_WORDS, "doc_id",
+                                       exclude="lower")
+    return _round_doubles(sim.similarity_histogram(dist, HIST_BINS))
+
+
+@query("identical_pairs")
+def q_identical_pairs(spark, sf_dir):
+    return sim.identical_groups(train_fps(spark, sf_dir), "doc_id")
+
+
+@query("identical_pairs_head")
+def q_identical_pairs_head(spark, sf_dir):
+    groups = sim.identical_groups(train_fps(spark, sf_dir), "doc_id")
+    return sim.identical_pairs_head(train_fps(spark, sf_dir), groups, "doc_id", 10)
+
+
+@query("near_identical_count")
+def q_near_identical_count(spark, sf_dir):
+    return sim.identical_pair_counts(sim.identical_groups(train_fps(spark, sf_dir), "doc_id"))
+
+
+def embedding_fps(spark, sf_dir):
+    """Sign bits of the 64-dimensional embeddings, one word per vector."""
+    e = table(spark, sf_dir, "embeddings")
+    bits = F.aggregate(
+        F.transform(F.col("embedding"), lambda x, i: F.when(x > 0, F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
+        F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+    return e.select("vec_id", F.when(F.size("embedding") > 0, F.array(bits)).alias("fp"),
+                    F.bit_count(bits).cast("int").alias("n_bits_set"))
+
+
+@query("embedding_nearest")
+def q_embedding_nearest(spark, sf_dir):
+    return _round_doubles(sim.nearest(embedding_fps(spark, sf_dir), None, 1, "vec_id"))
+
+
+@query("query_reference_sim")
+def q_query_reference_sim(spark, sf_dir):
+    docs = fpr.pattern_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text",
+                                   TEXT_PATTERNS).withColumnRenamed("doc_id", "id")
+    refs = fpr.pattern_fingerprint(table(spark, sf_dir, "benchmark"), "item_id", "text",
+                                   TEXT_PATTERNS).withColumnRenamed("item_id", "id")
+    top = sim.topk_matches(docs, refs, PATTERN_WORDS, [3], "id")
+    return _round_doubles(top.select(F.col("query_id").alias("doc_id"), "rank",
+                                     F.col("ref_id").alias("item_id"), "sim"))

@@ -381,3 +381,138 @@ SELECT endpoint, n, round(mean_absolute_error, 6) AS mean_absolute_error, round(
 SQL["evaluate_macro"] = f"""WITH {_EVAL}
 SELECT 'aggregated' AS endpoint, sum(n)::BIGINT AS n, round(avg(mean_absolute_error), 6) AS mean_absolute_error,
        round(avg(r2), 6) AS r2 FROM per"""
+
+
+# --- step 5 -----------------------------------------------------------------
+
+_NW = 16
+
+
+def _signed(u: str) -> str:
+    return (f"CASE WHEN {u} >= 9223372036854775808 THEN "
+            f"({u} - 9223372036854775808::UBIGINT)::BIGINT + (-9223372036854775807 - 1) "
+            f"ELSE {u}::BIGINT END")
+
+
+def _hashed_fp(src: str, id_col: str) -> str:
+    """Per-row words u0..u15 (UBIGINT) and pc, NULL when the text has no token."""
+    words = ", ".join(
+        f"coalesce(bit_or(CASE WHEN b // 64 = {j} THEN (1::UBIGINT << (b % 64)::INTEGER) END), 0::UBIGINT) AS u{j}"
+        for j in range(_NW))
+    pc = " + ".join(f"bit_count(w.u{j})::INTEGER" for j in range(_NW))
+    return f"""(
+  WITH tok AS (
+    SELECT {id_col}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t
+    FROM {src}),
+  grams AS (
+    SELECT {id_col}, unnest(list_concat(
+      t,
+      CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END,
+      CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1),
+           lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) ELSE [] END)) AS g
+    FROM tok),
+  bits AS (SELECT {id_col}, ('0x' || substr(md5(g), 1, 8))::BIGINT % 1024 AS b FROM grams),
+  w AS (SELECT {id_col}, {words} FROM bits GROUP BY {id_col})
+  SELECT s.{id_col}, {", ".join(f"w.u{j}" for j in range(_NW))}, ({pc})::INTEGER AS pc
+  FROM {src} s LEFT JOIN w USING ({id_col}))"""
+
+
+SQL["hashed_fingerprint"] = f"""
+SELECT doc_id, {", ".join(f"{_signed(f'u{j}')} AS w{j:02d}" for j in range(_NW))}, pc AS n_bits_set
+FROM {_hashed_fp('documents', 'doc_id')}"""
+
+_PATTERNS = (
+    [f"[{c.upper()}{c}]{{2}}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    + [str(d) for d in range(10)]
+    + [",", ";", ":", "!", r"\?", r"\(", '"', "'", "-", r"\|"]
+    + [r"\n\n", "[A-Z]{3}", "[0-9]{4}", "https?://", "@", r"[^\x00-\x7F]", "  ", r"\.\.\."]
+)
+
+
+def _pattern_fp(src: str, id_col: str) -> str:
+    terms = " | ".join(
+        f"(CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') "
+        f"THEN (1::UBIGINT << {i}) ELSE 0::UBIGINT END)"
+        for i, p in enumerate(_PATTERNS))
+    return f"(SELECT {id_col}, {terms} AS u0, bit_count({terms})::INTEGER AS pc FROM {src})"
+
+
+SQL["pattern_fingerprint"] = f"""
+SELECT doc_id, {_signed('u0')} AS w00, pc AS n_bits_set FROM {_pattern_fp('documents', 'doc_id')}"""
+
+_TOKS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_FEATS = [
+    ("chars", "length(text)", "int"),
+    ("words", f"len({_TOKS})", "int"),
+    ("lines", "len(string_split(text, chr(10)))", "int"),
+    ("digits", "length(regexp_replace(text, '[^0-9]', '', 'g'))", "int"),
+    ("upper", "length(regexp_replace(text, '[^A-Z]', '', 'g'))", "int"),
+    ("avgword", f"length(text) / nullif(len({_TOKS}), 0)", "2f"),
+]
+SQL["profile_text"] = "SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE concat_ws(', ', " + ", ".join(
+    f"'{n}=' || " + (f"trunc({e})::BIGINT::VARCHAR" if k == "int" else _fmt2(e))
+    for n, e, k in _FEATS) + ") END AS profile FROM documents"
+
+_FPW = f"fpw AS {_hashed_fp('documents', 'doc_id')}"
+_TT = """train AS (SELECT * FROM fpw WHERE pc IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)),
+test AS (SELECT * FROM fpw WHERE pc IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels))"""
+_INTER = " + ".join(f"bit_count(a.u{j} & b.u{j})::INTEGER" for j in range(_NW))
+
+
+def _pairs(a: str, b: str, cond: str = "true") -> str:
+    return f"""pairs AS (
+  SELECT i, j, inter, pa + pb - inter AS uni FROM (
+    SELECT a.doc_id AS i, b.doc_id AS j, a.pc AS pa, b.pc AS pb, ({_INTER}) AS inter
+    FROM {a} a, {b} b WHERE {cond}))"""
+
+
+def _sim_hist(bins: int = 30) -> str:
+    return f"""s AS (SELECT inter / uni AS sim FROM pairs WHERE uni > 0),
+e AS (SELECT CASE WHEN max(sim) = min(sim) THEN min(sim) - 0.5 ELSE min(sim) END AS lo,
+             CASE WHEN max(sim) = min(sim) THEN max(sim) + 0.5 ELSE max(sim) END AS hi FROM s),
+c AS (SELECT least(floor((sim - lo) / (hi - lo) * {bins}), {bins - 1})::BIGINT AS bin, count(*) AS cnt
+      FROM s, e GROUP BY ALL)
+SELECT r.bin, round(lo + r.bin * ((hi - lo) / {bins}), 6) AS bin_lo,
+       round(lo + (r.bin + 1) * ((hi - lo) / {bins}), 6) AS bin_hi, coalesce(cnt, 0)::BIGINT AS count
+FROM (SELECT range AS bin FROM range({bins})) r CROSS JOIN e LEFT JOIN c USING (bin)"""
+
+
+SQL["tanimoto_pairs"] = f"WITH {_FPW}, {_TT}, {_pairs('train', 'test')}, {_sim_hist()}"
+SQL["nearest_left"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'test')}
+SELECT i AS doc_id, round(max(inter / uni), 6) AS best_sim FROM pairs WHERE uni > 0 GROUP BY i"""
+SQL["nearest_right"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'test')}
+SELECT j AS doc_id, round(max(inter / uni), 6) AS best_sim FROM pairs WHERE uni > 0 GROUP BY j"""
+SQL["nearest_other"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id <> b.doc_id')}
+SELECT i AS doc_id, round(max(inter / uni), 6) AS best_sim FROM pairs WHERE uni > 0 GROUP BY i"""
+SQL["pair_histogram"] = f"WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id < b.doc_id')}, {_sim_hist()}"
+
+_IDENT = f"""ident AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM train a JOIN train b ON a.doc_id <> b.doc_id AND a.pc > 0
+   AND {" AND ".join(f"a.u{j} = b.u{j}" for j in range(_NW))})"""
+SQL["identical_pairs"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
+SELECT i AS doc_id, least(i, min(j))::BIGINT AS twin_group, count(*)::BIGINT AS n_partners FROM ident GROUP BY i"""
+SQL["identical_pairs_head"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
+SELECT i, j FROM ident ORDER BY i, j LIMIT 10"""
+SQL["near_identical_count"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
+SELECT count(DISTINCT i)::BIGINT AS n_rows_identical, count(*)::BIGINT AS n_identical_pairs FROM ident"""
+
+_EMB = """emb AS (
+  SELECT vec_id AS doc_id,
+         list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, len(embedding) + 1),
+           lambda i: CASE WHEN embedding[i] > 0 THEN (1::UBIGINT << (i - 1)::INTEGER) ELSE 0::UBIGINT END)),
+           lambda a, b: a | b) AS u0
+  FROM embeddings),
+ew AS (SELECT doc_id, u0, bit_count(u0)::INTEGER AS pc FROM emb)"""
+SQL["embedding_nearest"] = f"""WITH {_EMB},
+pairs AS (SELECT a.doc_id AS i, bit_count(a.u0 & b.u0)::INTEGER AS inter,
+                 a.pc + b.pc - bit_count(a.u0 & b.u0)::INTEGER AS uni
+          FROM ew a, ew b WHERE a.doc_id <> b.doc_id)
+SELECT i AS vec_id, round(max(inter / uni), 6) AS best_sim FROM pairs WHERE uni > 0 GROUP BY i"""
+
+SQL["query_reference_sim"] = f"""WITH q AS {_pattern_fp('documents', 'doc_id')}, r AS {_pattern_fp('benchmark', 'item_id')},
+pairs AS (SELECT q.doc_id, r.item_id, bit_count(q.u0 & r.u0)::INTEGER AS inter,
+                 q.pc + r.pc - bit_count(q.u0 & r.u0)::INTEGER AS uni FROM q, r),
+ranked AS (SELECT doc_id, item_id, inter / uni AS sim,
+                  row_number() OVER (PARTITION BY doc_id ORDER BY inter / uni DESC, item_id) AS rank
+           FROM pairs WHERE uni > 0)
+SELECT doc_id, rank::INTEGER AS rank, item_id, round(sim, 6) AS sim FROM ranked WHERE rank <= 3"""

@@ -63,3 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-repartition ``df`` only when it has fewer partitions than cores.
+
+    For CPU-heavy per-row work (tokenising whole texts, regex dictionaries)
+    on an input that arrives in a few large splits. The check reads plan
+    metadata only; a well-split input is returned unchanged, so no shuffle
+    is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *cols) if cols else df.repartition(target)
