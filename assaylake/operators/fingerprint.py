@@ -90,8 +90,8 @@ def hashed_fingerprint(df: DataFrame, id_col: str, text_col: str, radius: int =
 
 
 def pattern_fingerprint(df: DataFrame, id_col: str, text_col: str, patterns: Sequence[str],
-                        out: str = "fp") -> DataFrame:
-    """``(id, fp, n_bits_set)``: bit i set when ``patterns[i]`` is found in the text."""
+                        out: str = "fp", keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, fp, n_bits_set, keep...)``: bit i set when ``patterns[i]`` is found."""
     n_words = max(1, (len(patterns) + 63) // 64)
     df = spread(df, id_col)
     text = qcol(text_col)
@@ -104,7 +104,8 @@ def pattern_fingerprint(df: DataFrame, id_col: str, text_col: str, patterns: Seq
         words.append(w)
     fp = F.when(text.isNotNull(), F.array(*words))
     count = sum((F.bit_count(w) for w in words), F.lit(0)).cast("int")
-    return df.select(qcol(id_col), fp.alias(out), F.when(text.isNotNull(), count).alias("n_bits_set"))
+    return df.select(qcol(id_col), fp.alias(out), F.when(text.isNotNull(), count).alias("n_bits_set"),
+                     *[qcol(c) for c in keep])
 
 
 def profile_text(text_col: str, features: Sequence[tuple[str, object, str]],

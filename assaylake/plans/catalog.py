@@ -537,3 +537,126 @@ def q_query_reference_sim(spark, sf_dir):
     top = sim.topk_matches(docs, refs, PATTERN_WORDS, [3], "id")
     return _round_doubles(top.select(F.col("query_id").alias("doc_id"), "rank",
                                      F.col("ref_id").alias("item_id"), "sim"))
+
+
+# --- step 6: retrieval, records, JSON lines -----------------------------------
+
+from assaylake.operators import prompts, retrieval  # noqa: E402
+from assaylake.schema import JITTER_SD, N_REPLICAS, RANDOM_SEED, TOPK_EXTERNAL, TOPK_TARGET  # noqa: E402
+
+# Properties of the proxy: three measured on training documents, two on the
+# external items; k per property as in the workflow (target 5, external 3).
+INTERNAL_PROPS = ["quality", "toxic", "log_chars"]
+EXTERNAL_PROPS = ["ext_log_len", "ext_log_words"]
+RETRIEVAL_PROPS = ([(p, TOPK_TARGET) for p in INTERNAL_PROPS]
+                   + [(p, TOPK_EXTERNAL) for p in EXTERNAL_PROPS])
+KEY_LABEL = "KEY"
+
+
+def retrieval_refs(spark, sf_dir):
+    """Reference rows: fingerprint, canonical key, profile and property values."""
+    r = reference_set(spark, sf_dir)
+    train, ext = F.col("split") == "train", F.col("split") == "external"
+    r = r.select(
+        "ref_id", "text",
+        F.col("quality").cast("double").alias("quality"),
+        F.col("toxic").cast("double").alias("toxic"),
+        F.when(train, num.log10p1(F.length("text"))).alias("log_chars"),
+        F.when(ext, num.log10p1(F.length("text"))).alias("ext_log_len"),
+        F.when(ext, num.log10p1(F.size(txt.word_tokens(F.col("text"))))).alias("ext_log_words"),
+        F.md5("text").alias("key"), fpr.profile_text("text", TEXT_FEATURES))
+    return fpr.pattern_fingerprint(r, "ref_id", "text", TEXT_PATTERNS,
+                                   keep=["key", "profile", *INTERNAL_PROPS, *EXTERNAL_PROPS])
+
+
+def retrieval_queries(spark, sf_dir):
+    """Every document is a query; unlabelled ones are test queries."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    q = docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("query_id"), "text", F.col("quality").isNull().alias("is_test"),
+        F.col("quality").cast("double").alias("quality"),
+        F.col("toxic").cast("double").alias("toxic"),
+        F.when(F.col("quality").isNotNull(), num.log10p1(F.length("text"))).alias("log_chars"),
+        F.md5("text").alias("key"), fpr.profile_text("text", TEXT_FEATURES))
+    return fpr.pattern_fingerprint(q, "query_id", "text", TEXT_PATTERNS,
+                                   keep=["is_test", "key", "profile", *INTERNAL_PROPS])
+
+
+def _neighbours(spark, sf_dir):
+    return retrieval.topk_neighbours(retrieval_queries(spark, sf_dir), retrieval_refs(spark, sf_dir),
+                                     RETRIEVAL_PROPS, PATTERN_WORDS)
+
+
+def _merged(spark, sf_dir, nb, replicas=None):
+    keys_ = retrieval_refs(spark, sf_dir).select("ref_id", "key", "profile")
+    return retrieval.merge_neighbours(nb, keys_, replicas, RANDOM_SEED, JITTER_SD)
+
+
+@query("topk_neighbours")
+def q_topk_neighbours(spark, sf_dir):
+    return _round_doubles(_neighbours(spark, sf_dir))
+
+
+@query("merge_neighbours")
+def q_merge_neighbours(spark, sf_dir):
+    m = _merged(spark, sf_dir, _neighbours(spark, sf_dir))
+    return _round_doubles(m.select("query_id", "key", "pos_prop", "pos_rank", "sim", "props_text"))
+
+
+def _train_queries(spark, sf_dir):
+    return retrieval_queries(spark, sf_dir).where(~F.col("is_test"))
+
+
+@query("training_targets")
+def q_training_targets(spark, sf_dir):
+    t = retrieval.query_targets(_train_queries(spark, sf_dir), INTERNAL_PROPS)
+    return _round_doubles(t.select("query_id", "property", "value"))
+
+
+@query("replicated_targets")
+def q_replicated_targets(spark, sf_dir):
+    t = retrieval.query_targets(_train_queries(spark, sf_dir), INTERNAL_PROPS,
+                                replicas=N_REPLICAS, seed=RANDOM_SEED, jitter_sd=JITTER_SD)
+    return _round_doubles(t.select("replica", "query_id", "property", "value"))
+
+
+def train_prompts(spark, sf_dir):
+    nb = _neighbours(spark, sf_dir)
+    train_q = _train_queries(spark, sf_dir)
+    nb = nb.join(train_q.select("query_id"), "query_id", "left_semi")
+    merged = _merged(spark, sf_dir, nb, N_REPLICAS)
+    targets = retrieval.query_targets(train_q, INTERNAL_PROPS, replicas=N_REPLICAS,
+                                      seed=RANDOM_SEED, jitter_sd=JITTER_SD)
+    return prompts.render_prompts(train_q, merged, targets, INTERNAL_PROPS, KEY_LABEL, N_REPLICAS)
+
+
+@query("render_prompts")
+def q_render_prompts(spark, sf_dir):
+    return train_prompts(spark, sf_dir)
+
+
+@query("test_prompts")
+def q_test_prompts(spark, sf_dir):
+    nb = _neighbours(spark, sf_dir)
+    test_q = retrieval_queries(spark, sf_dir).where(F.col("is_test"))
+    nb = nb.join(test_q.select("query_id"), "query_id", "left_semi")
+    out = prompts.render_prompts(test_q, _merged(spark, sf_dir, nb), None, INTERNAL_PROPS, KEY_LABEL)
+    return out.select("query_id", "context", "question")
+
+
+CHAT_SCHEMA = ("systemInstruction struct<parts: array<struct<text: string>>>, "
+               "contents array<struct<role: string, parts: array<struct<text: string>>>>")
+
+
+@query("chat_jsonl")
+def q_chat_jsonl(spark, sf_dir):
+    path = sources.scratch_path(spark, "chat_jsonl")
+    sources.write_chat_jsonl(prompts.chat_records(train_prompts(spark, sf_dir)), path)
+    back = spark.read.schema(CHAT_SCHEMA).json(path)
+    return back.select(
+        F.col("contents")[0]["parts"][0]["text"].alias("context"),
+        F.col("contents")[0]["parts"][1]["text"].alias("question"),
+        F.col("contents")[1]["parts"][0]["text"].alias("answer"),
+        F.size("contents").alias("n_turns"),
+        F.col("systemInstruction").isNull().alias("no_system"))

@@ -429,11 +429,15 @@ _PATTERNS = (
 )
 
 
-def _pattern_fp(src: str, id_col: str) -> str:
-    terms = " | ".join(
+def _pattern_terms() -> str:
+    return " | ".join(
         f"(CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') "
         f"THEN (1::UBIGINT << {i}) ELSE 0::UBIGINT END)"
         for i, p in enumerate(_PATTERNS))
+
+
+def _pattern_fp(src: str, id_col: str) -> str:
+    terms = _pattern_terms()
     return f"(SELECT {id_col}, {terms} AS u0, bit_count({terms})::INTEGER AS pc FROM {src})"
 
 
@@ -516,3 +520,124 @@ ranked AS (SELECT doc_id, item_id, inter / uni AS sim,
                   row_number() OVER (PARTITION BY doc_id ORDER BY inter / uni DESC, item_id) AS rank
            FROM pairs WHERE uni > 0)
 SELECT doc_id, rank::INTEGER AS rank, item_id, round(sim, 6) AS sim FROM ranked WHERE rank <= 3"""
+
+
+# --- step 6 -----------------------------------------------------------------
+
+_PROFILE = "CASE WHEN text IS NULL THEN '' ELSE concat_ws(', ', " + ", ".join(
+    f"'{n}=' || " + (f"trunc({e})::BIGINT::VARCHAR" if k == "int" else _fmt2(e))
+    for n, e, k in _FEATS) + ") END"
+
+_RQ = f"""
+rsrc AS (
+  SELECT ref_id, text, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic,
+         CASE WHEN split = 'train' THEN {_log10p1('length(text)')} END AS log_chars,
+         CASE WHEN split = 'external' THEN {_log10p1('length(text)')} END AS ext_log_len,
+         CASE WHEN split = 'external' THEN {_log10p1(f'len({_TOKS})')} END AS ext_log_words,
+         md5(text) AS key, {_PROFILE} AS profile
+  FROM refs),
+rfp0 AS (SELECT ref_id, key, profile, quality, toxic, log_chars, ext_log_len, ext_log_words,
+                {_pattern_terms()} AS u0 FROM rsrc),
+rfp AS (SELECT *, bit_count(u0)::INTEGER AS pc FROM rfp0),
+qsrc AS (
+  SELECT d.doc_id AS query_id, d.text, l.quality IS NULL AS is_test, l.quality::DOUBLE AS quality,
+         l.toxic::DOUBLE AS toxic,
+         CASE WHEN l.quality IS NOT NULL THEN {_log10p1('length(d.text)')} END AS log_chars,
+         md5(d.text) AS key, {_PROFILE.replace('text', 'd.text')} AS profile
+  FROM documents d LEFT JOIN labels l USING (doc_id)),
+qfp0 AS (SELECT query_id, is_test, key, profile, quality, toxic, log_chars,
+                {_pattern_terms()} AS u0 FROM qsrc),
+qfp AS (SELECT *, bit_count(u0)::INTEGER AS pc FROM qfp0),
+rlong AS (
+  SELECT ref_id, 0 AS prop_ord, 'quality' AS property, quality AS value FROM rfp WHERE quality IS NOT NULL
+  UNION ALL SELECT ref_id, 1, 'toxic', toxic FROM rfp WHERE toxic IS NOT NULL
+  UNION ALL SELECT ref_id, 2, 'log_chars', log_chars FROM rfp WHERE log_chars IS NOT NULL
+  UNION ALL SELECT ref_id, 3, 'ext_log_len', ext_log_len FROM rfp WHERE ext_log_len IS NOT NULL
+  UNION ALL SELECT ref_id, 4, 'ext_log_words', ext_log_words FROM rfp WHERE ext_log_words IS NOT NULL),
+qpairs AS (
+  SELECT query_id, is_test, ref_id, inter, qpc + rpc - inter AS uni,
+         (inter = qpc AND inter = rpc AND rpc > 0) AS ident
+  FROM (SELECT q.query_id, q.is_test, r.ref_id, q.pc AS qpc, r.pc AS rpc,
+               bit_count(q.u0 & r.u0)::INTEGER AS inter FROM qfp q, rfp r)),
+topk AS (
+  SELECT * FROM (
+    SELECT p.query_id, l.prop_ord::INTEGER AS prop_ord, l.property, p.ref_id, p.inter / p.uni AS sim, l.value,
+           row_number() OVER (PARTITION BY p.query_id, l.prop_ord ORDER BY p.inter / p.uni DESC, p.ref_id)
+             AS rank
+    FROM qpairs p JOIN rlong l USING (ref_id)
+    WHERE p.uni > 0 AND (p.is_test OR NOT p.ident))
+  WHERE rank <= CASE WHEN prop_ord < 3 THEN 5 ELSE 3 END)"""
+
+_MERGE_BASE = """
+nbk AS (SELECT t.*, r.key, r.profile FROM nb t JOIN rfp r USING (ref_id)),
+perprop AS (
+  SELECT query_id, key, prop_ord, property, profile, min(rank) AS first_rank,
+         arg_max(ref_id, rank) AS last_ref, arg_max(value, rank) AS last_value, arg_max(sim, rank) AS last_sim
+  FROM nbk GROUP BY query_id, key, prop_ord, property, profile)"""
+
+
+def _merged_sql(jitter: bool) -> str:
+    reps = "CROSS JOIN (SELECT range AS replica FROM range(10)) r" if jitter else \
+        "CROSS JOIN (SELECT 0 AS replica) r"
+    val = (f"last_value + {_gauss(chr(39) + '42' + chr(39) + ' || chr(58) || replica || chr(58) || query_id || chr(58) || property || chr(58) || last_ref', 0.02)}"
+           if jitter else "last_value")
+    return f"""{_MERGE_BASE},
+pv AS (SELECT p.*, r.replica, {val} AS v FROM perprop p {reps}),
+merged AS (
+  SELECT replica, query_id, key, any_value(profile) AS profile, min(prop_ord) AS pos_prop,
+         arg_min(first_rank, prop_ord) AS pos_rank, arg_max(last_sim, prop_ord) AS sim,
+         string_agg(property || '=' || {_fmt2('v')}, ', ' ORDER BY prop_ord) AS props_text
+  FROM pv GROUP BY replica, query_id, key)"""
+
+
+SQL["topk_neighbours"] = f"""WITH {_REFS}, {_RQ}
+SELECT query_id, prop_ord, property, rank::INTEGER AS rank, ref_id, round(sim, 6) AS sim,
+       round(value, 6) AS value FROM topk"""
+
+SQL["merge_neighbours"] = f"""WITH {_REFS}, {_RQ}, nb AS (SELECT * FROM topk), {_merged_sql(False)}
+SELECT query_id, key, pos_prop, pos_rank::INTEGER AS pos_rank, round(sim, 6) AS sim, props_text FROM merged"""
+
+_TARGETS = """tl AS (
+  SELECT query_id, 0 AS prop_ord, 'quality' AS property, quality AS value FROM qfp WHERE NOT is_test AND quality IS NOT NULL
+  UNION ALL SELECT query_id, 1, 'toxic', toxic FROM qfp WHERE NOT is_test AND toxic IS NOT NULL
+  UNION ALL SELECT query_id, 2, 'log_chars', log_chars FROM qfp WHERE NOT is_test AND log_chars IS NOT NULL)"""
+_JT = _gauss("'42' || chr(58) || replica || chr(58) || query_id || chr(58) || property || chr(58) || 'q'", 0.02)
+
+SQL["training_targets"] = f"""WITH {_REFS}, {_RQ}, {_TARGETS}
+SELECT query_id, property, round(value, 6) AS value FROM tl"""
+SQL["replicated_targets"] = f"""WITH {_REFS}, {_RQ}, {_TARGETS}
+SELECT replica::INTEGER AS replica, query_id, property, round(value + {_JT}, 6) AS value
+FROM tl CROSS JOIN (SELECT range AS replica FROM range(10)) r"""
+
+
+def _render_sql(train: bool) -> str:
+    reps = "(SELECT range AS replica FROM range(10))" if train else "(SELECT 0 AS replica)"
+    nb = ("nb AS (SELECT t.* FROM topk t JOIN qfp q USING (query_id) WHERE "
+          + ("NOT q.is_test)" if train else "q.is_test)"))
+    ctx = """ctx AS (
+  SELECT replica, query_id,
+         string_agg('KEY: ' || key || ', ' || profile || ', Similarity: ' || """ + _fmt2("sim") + \
+        """ || ', ' || props_text, '; ' ORDER BY pos_prop, pos_rank) AS context
+  FROM merged GROUP BY replica, query_id)"""
+    qs = f"qs AS (SELECT q.*, r.replica FROM qfp q CROSS JOIN {reps} r WHERE " + \
+         ("NOT q.is_test)" if train else "q.is_test)")
+    if train:
+        tgt = f""", tj AS (SELECT tl.*, r.replica, value + {_JT} AS v FROM tl CROSS JOIN {reps} r),
+tg AS (SELECT replica, query_id, string_agg(property, ', ' ORDER BY prop_ord) AS names,
+              string_agg(property || '=' || {_fmt2('v')}, ', ' ORDER BY prop_ord) AS answer
+       FROM tj GROUP BY replica, query_id)"""
+        sel = """SELECT qs.replica::INTEGER AS replica, qs.query_id, coalesce(c.context, '') AS context,
+       'KEY: ' || qs.key || ', ' || qs.profile || '; Determine ' || coalesce(tg.names, '') AS question,
+       coalesce(tg.answer, '') AS answer
+FROM qs LEFT JOIN ctx c USING (replica, query_id) LEFT JOIN tg USING (replica, query_id)"""
+        return f"WITH {_REFS}, {_RQ}, {_TARGETS}, {nb}, {_merged_sql(True)}, {ctx}, {qs}{tgt} {sel}"
+    sel = """SELECT qs.query_id, coalesce(c.context, '') AS context,
+       'KEY: ' || qs.key || ', ' || qs.profile || '; Determine quality, toxic, log_chars' AS question
+FROM qs LEFT JOIN ctx c USING (replica, query_id)"""
+    return f"WITH {_REFS}, {_RQ}, {nb}, {_merged_sql(False)}, {ctx}, {qs} {sel}"
+
+
+SQL["render_prompts"] = _render_sql(True)
+SQL["test_prompts"] = _render_sql(False)
+SQL["chat_jsonl"] = ("SELECT context, question, answer, 2 AS n_turns, true AS no_system FROM ("
+                     + _render_sql(True) + ")")
