@@ -334,7 +334,11 @@ EVENT_PROPERTY = {"click": "LogHLM", "error": "LogMLM", "purchase": "LogD",
 
 
 def candidates(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    return event_candidates(table(spark, sf_dir, "events"))
+
+
+def event_candidates(ev):
+    """``(query_id, candidate_no, text)`` answer texts built from event rows."""
     k = F.get_json_object("props", "$.k")
     prop = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(p)) for t, p in EVENT_PROPERTY.items()])
     v = num.fmt2(F.col("value") / 100)
@@ -660,3 +664,45 @@ def q_chat_jsonl(spark, sf_dir):
         F.col("contents")[1]["parts"][0]["text"].alias("answer"),
         F.size("contents").alias("n_turns"),
         F.col("systemInstruction").isNull().alias("no_system"))
+
+
+# --- hooks and streaming ---------------------------------------------------------
+
+from assaylake.operators import udf  # noqa: E402
+from assaylake.streaming import parse_answer_stream  # noqa: E402
+
+
+def _count_vowels(text):
+    return text.str.count("[aeiou]").astype("int64")
+
+
+@query("udf_batch_hook")
+def q_udf_batch_hook(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return udf.with_column_batch(d, "n_vowels", _count_vowels, "text",
+                                 return_type="bigint").select("doc_id", "n_vowels")
+
+
+def _line_stats(batch):
+    import pandas as pd
+    return pd.DataFrame({"doc_id": batch["doc_id"],
+                         "n_lines": batch["text"].str.count("\n").astype("int64") + 1})
+
+
+@query("map_batches_hook")
+def q_map_batches_hook(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return udf.map_batches(d, _line_stats, "doc_id bigint, n_lines bigint")
+
+
+EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, "
+                 "value DOUBLE, props STRING")
+
+
+@query("stream_parse_answers")
+def q_stream_parse_answers(spark, sf_dir):
+    base = sources.scratch_path(spark, "answer_stream")
+
+    parse_answer_stream(spark, sf_dir, EVENTS_SCHEMA, f"{base}/out", f"{base}/checkpoint",
+                        event_candidates, file_glob="events.parquet")
+    return spark.read.parquet(f"{base}/out")

@@ -641,3 +641,11 @@ SQL["render_prompts"] = _render_sql(True)
 SQL["test_prompts"] = _render_sql(False)
 SQL["chat_jsonl"] = ("SELECT context, question, answer, 2 AS n_turns, true AS no_system FROM ("
                      + _render_sql(True) + ")")
+
+
+# --- hooks and streaming ---------------------------------------------------------
+
+SQL["udf_batch_hook"] = """SELECT doc_id,
+  (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')))::BIGINT AS n_vowels FROM documents"""
+SQL["map_batches_hook"] = """SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents"""
+SQL["stream_parse_answers"] = SQL["parse_answers"]
