@@ -266,7 +266,10 @@ def similarity_distribution(left: DataFrame, right: DataFrame | None, n_words: i
     schema = "inter bigint, uni bigint, n_pairs bigint"
     part = _cogrouped(lp, rp, bl, br).applyInPandas(
         distribution_kernel(n_words, exclude if right is None else None), schema)
-    return part.groupBy("inter", "uni").agg(F.sum("n_pairs").cast("bigint").alias("n_pairs"))
+    dist = part.groupBy("inter", "uni").agg(F.sum("n_pairs").cast("bigint").alias("n_pairs"))
+    # Small (bounded by the distinct ratios) and read several times by the
+    # statistics built on it: materialise once instead of re-running the join.
+    return cut_lineage(dist)
 
 
 def similarity_histogram(dist: DataFrame, bins: int = 30) -> DataFrame:
@@ -353,14 +356,14 @@ def identical_pair_counts(groups: DataFrame) -> DataFrame:
                       F.sum("n_partners").cast("bigint").alias("n_identical_pairs"))
 
 
-def identical_pairs_head(df: DataFrame, groups: DataFrame, id_col: str, n: int = 10,
-                         fp_col: str = "fp") -> DataFrame:
+def identical_pairs_head(groups: DataFrame, id_col: str, n: int = 10) -> DataFrame:
     """The first ``n`` identical pairs ``(i, j)`` in (i, j) order (a report).
 
     Only the ``n`` smallest rows with a partner can start one of the first
     ``n`` pairs, and each needs at most ``n`` partners, so at most n*n
     candidate pairs are formed.
     """
+    groups = cut_lineage(groups)  # read twice below
     first = groups.orderBy(qcol(id_col)).limit(n).select(
         F.col(id_col).alias("i"), "twin_group")
     members = groups.select(F.col(id_col).alias("j"), F.col("twin_group"))

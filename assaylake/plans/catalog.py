@@ -19,6 +19,7 @@ from assaylake.plans.proxies import (
     LINEITEM_ENDPOINTS, LINEITEM_KEY, LINEITEM_ORDER, LINEITEM_VALUES,
     measurements, r6,
 )
+from assaylake.session import cut_lineage, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -92,8 +93,13 @@ TEXT_KEY_RULES = (F.lower, lambda c: F.regexp_replace(c, WHITESPACE_RUN, " "), F
 TEXT_KEY_REJECT = (lambda c: F.length(c) < 10, lambda c: c.rlike("[0-9]{6,}"))
 
 
+def documents(spark, sf_dir):
+    """documents (doc_id, text), spread over the cores when few input splits."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def text_keys(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return keys.normalise_keys(docs, "text", TEXT_KEY_RULES, TEXT_KEY_REJECT, out="key")
 
 
@@ -152,7 +158,7 @@ def q_jitter(spark, sf_dir):
 
 @query("extension_suffix")
 def q_extension_suffix(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     s = txt.extension_suffix(F.col("text"))
     return d.select("doc_id", *_digest(s, "suffix"))
 
@@ -169,7 +175,7 @@ def q_reject_count(spark, sf_dir):
 
 @query("largest_component")
 def q_largest_component(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", *_digest(txt.largest_component(F.col("text")), "component"))
 
 
@@ -435,14 +441,23 @@ def _labelled_ids(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id")
 
 
+def split_fps(spark, sf_dir):
+    """(train, test) fingerprints from one materialised fingerprint table.
+
+    Labelled (measured) documents are the training set, the others the test
+    set; every text is tokenised once.
+    """
+    fps = cut_lineage(document_fps(spark, sf_dir))
+    ids = _labelled_ids(spark, sf_dir)
+    return fps.join(ids, "doc_id", "left_semi"), fps.join(ids, "doc_id", "left_anti")
+
+
 def train_fps(spark, sf_dir):
-    """Fingerprints of labelled (measured) documents: the training set."""
-    return document_fps(spark, sf_dir).join(_labelled_ids(spark, sf_dir), "doc_id", "left_semi")
+    return split_fps(spark, sf_dir)[0]
 
 
 def test_fps(spark, sf_dir):
-    """Fingerprints of unlabelled documents: the test set."""
-    return document_fps(spark, sf_dir).join(_labelled_ids(spark, sf_dir), "doc_id", "left_anti")
+    return split_fps(spark, sf_dir)[1]
 
 
 @query("hashed_fingerprint")
@@ -461,19 +476,20 @@ def q_pattern_fingerprint(spark, sf_dir):
 
 @query("profile_text")
 def q_profile_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", fpr.profile_text("text", TEXT_FEATURES))
 
 
 @query("tanimoto_pairs")
 def q_tanimoto_pairs(spark, sf_dir):
-    dist = sim.similarity_distribution(train_fps(spark, sf_dir), test_fps(spark, sf_dir),
-                                       FP_WORDS, "doc_id")
+    train, test = split_fps(spark, sf_dir)
+    dist = sim.similarity_distribution(train, test, FP_WORDS, "doc_id")
     return _round_doubles(sim.similarity_histogram(dist, HIST_BINS))
 
 
 def _train_test_nearest(spark, sf_dir):
-    return sim.nearest(train_fps(spark, sf_dir), test_fps(spark, sf_dir), FP_WORDS, "doc_id")
+    train, test = split_fps(spark, sf_dir)
+    return sim.nearest(train, test, FP_WORDS, "doc_id")
 
 
 @query("nearest_left")
@@ -508,7 +524,7 @@ def q_identical_pairs(spark, sf_dir):
 @query("identical_pairs_head")
 def q_identical_pairs_head(spark, sf_dir):
     groups = sim.identical_groups(train_fps(spark, sf_dir), "doc_id")
-    return sim.identical_pairs_head(train_fps(spark, sf_dir), groups, "doc_id", 10)
+    return sim.identical_pairs_head(groups, "doc_id", 10)
 
 
 @query("near_identical_count")
@@ -559,7 +575,7 @@ KEY_LABEL = "KEY"
 
 def retrieval_refs(spark, sf_dir):
     """Reference rows: fingerprint, canonical key, profile and property values."""
-    r = reference_set(spark, sf_dir)
+    r = spread(reference_set(spark, sf_dir), "ref_id")
     train, ext = F.col("split") == "train", F.col("split") == "external"
     r = r.select(
         "ref_id", "text",
@@ -575,7 +591,7 @@ def retrieval_refs(spark, sf_dir):
 
 def retrieval_queries(spark, sf_dir):
     """Every document is a query; unlabelled ones are test queries."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
     q = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("query_id"), "text", F.col("quality").isNull().alias("is_test"),
@@ -587,14 +603,24 @@ def retrieval_queries(spark, sf_dir):
                                    keep=["is_test", "key", "profile", *INTERNAL_PROPS])
 
 
-def _neighbours(spark, sf_dir):
-    return retrieval.topk_neighbours(retrieval_queries(spark, sf_dir), retrieval_refs(spark, sf_dir),
-                                     RETRIEVAL_PROPS, PATTERN_WORDS)
+class _Retrieval:
+    """Reference and query tables of one query run, each materialised once."""
+
+    def __init__(self, spark, sf_dir):
+        self.refs = cut_lineage(retrieval_refs(spark, sf_dir))
+        self.queries = cut_lineage(retrieval_queries(spark, sf_dir))
 
+    def neighbours(self, queries=None):
+        q = self.queries if queries is None else queries
+        return retrieval.topk_neighbours(q, self.refs, RETRIEVAL_PROPS, PATTERN_WORDS)
 
-def _merged(spark, sf_dir, nb, replicas=None):
-    keys_ = retrieval_refs(spark, sf_dir).select("ref_id", "key", "profile")
-    return retrieval.merge_neighbours(nb, keys_, replicas, RANDOM_SEED, JITTER_SD)
+    def merged(self, nb, replicas=None):
+        keys_ = self.refs.select("ref_id", "key", "profile")
+        return retrieval.merge_neighbours(nb, keys_, replicas, RANDOM_SEED, JITTER_SD)
+
+
+def _neighbours(spark, sf_dir):
+    return _Retrieval(spark, sf_dir).neighbours()
 
 
 @query("topk_neighbours")
@@ -604,7 +630,8 @@ def q_topk_neighbours(spark, sf_dir):
 
 @query("merge_neighbours")
 def q_merge_neighbours(spark, sf_dir):
-    m = _merged(spark, sf_dir, _neighbours(spark, sf_dir))
+    r = _Retrieval(spark, sf_dir)
+    m = r.merged(r.neighbours())
     return _round_doubles(m.select("query_id", "key", "pos_prop", "pos_rank", "sim", "props_text"))
 
 
@@ -626,10 +653,10 @@ def q_replicated_targets(spark, sf_dir):
 
 
 def train_prompts(spark, sf_dir):
-    nb = _neighbours(spark, sf_dir)
-    train_q = _train_queries(spark, sf_dir)
-    nb = nb.join(train_q.select("query_id"), "query_id", "left_semi")
-    merged = _merged(spark, sf_dir, nb, N_REPLICAS)
+    r = _Retrieval(spark, sf_dir)
+    train_q = r.queries.where(~F.col("is_test"))
+    nb = r.neighbours(train_q)
+    merged = r.merged(nb, N_REPLICAS)
     targets = retrieval.query_targets(train_q, INTERNAL_PROPS, replicas=N_REPLICAS,
                                       seed=RANDOM_SEED, jitter_sd=JITTER_SD)
     return prompts.render_prompts(train_q, merged, targets, INTERNAL_PROPS, KEY_LABEL, N_REPLICAS)
@@ -642,10 +669,10 @@ def q_render_prompts(spark, sf_dir):
 
 @query("test_prompts")
 def q_test_prompts(spark, sf_dir):
-    nb = _neighbours(spark, sf_dir)
-    test_q = retrieval_queries(spark, sf_dir).where(F.col("is_test"))
-    nb = nb.join(test_q.select("query_id"), "query_id", "left_semi")
-    out = prompts.render_prompts(test_q, _merged(spark, sf_dir, nb), None, INTERNAL_PROPS, KEY_LABEL)
+    r = _Retrieval(spark, sf_dir)
+    test_q = r.queries.where(F.col("is_test"))
+    out = prompts.render_prompts(test_q, r.merged(r.neighbours(test_q)), None, INTERNAL_PROPS,
+                                 KEY_LABEL)
     return out.select("query_id", "context", "question")
 
 

@@ -60,9 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder.
+
+    Computed once (an eager ``DataFrame.checkpoint()`` runs its input twice:
+    once to count, once to write), stored on the reliable storage the
+    cluster names, and read back with a plan that starts at the files, so a
+    lost executor re-reads instead of recomputing the lineage.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
