@@ -89,18 +89,69 @@ def hashed_fingerprint(df: DataFrame, id_col: str, text_col: str, radius: int =
     return _finish(packed, id_col, n_words, out)
 
 
+_META = set(".^$*+?{}[]\\|()")
+_ESCAPES = {"n": "\n", "t": "\t"}
+
+
+def _as_literal(pattern: str) -> str | None:
+    """The plain text a pattern matches when it has no regex operator, else None."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if nxt in _ESCAPES:
+                out.append(_ESCAPES[nxt])
+            elif nxt in _META:
+                out.append(nxt)
+            else:
+                return None
+            i += 2
+            continue
+        if ch in _META:
+            return None
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def _doubled_letter(pattern: str) -> str | None:
+    """``[Xx]{2}`` -> 'xx' (a match lower-cases to it; the converse needs the regex)."""
+    import re
+    m = re.fullmatch(r"\[([A-Z])([a-z])\]\{2\}", pattern)
+    if m and m.group(1).lower() == m.group(2):
+        return m.group(2) * 2
+    return None
+
+
+def pattern_test(text: Column, lowered: Column, pattern: str) -> Column:
+    """Boolean "pattern occurs in text", exact, with cheap paths.
+
+    A pattern without regex operators is a substring test; a doubled-letter
+    class runs its regex only where the lower-cased text holds the pair.
+    """
+    lit = _as_literal(pattern)
+    if lit is not None:
+        return text.contains(lit)
+    pair = _doubled_letter(pattern)
+    if pair is not None:
+        return lowered.contains(pair) & text.rlike(pattern)
+    return text.rlike(pattern)
+
+
 def pattern_fingerprint(df: DataFrame, id_col: str, text_col: str, patterns: Sequence[str],
                         out: str = "fp", keep: Sequence[str] = ()) -> DataFrame:
     """``(id, fp, n_bits_set, keep...)``: bit i set when ``patterns[i]`` is found."""
     n_words = max(1, (len(patterns) + 63) // 64)
-    df = spread(df, id_col)
-    text = qcol(text_col)
+    df = spread(df, id_col).withColumn("__lower", F.lower(qcol(text_col)))
+    text, lowered = qcol(text_col), F.col("__lower")
     words = []
     for j in range(n_words):
         w = F.lit(0).cast("bigint")
         for i in range(64 * j, min(64 * (j + 1), len(patterns))):
             bit = F.lit(1 << (i % 64) if i % 64 < 63 else -(1 << 63)).cast("bigint")
-            w = w.bitwiseOR(F.when(text.rlike(patterns[i]), bit).otherwise(F.lit(0).cast("bigint")))
+            hit = pattern_test(text, lowered, patterns[i])
+            w = w.bitwiseOR(F.when(hit, bit).otherwise(F.lit(0).cast("bigint")))
         words.append(w)
     fp = F.when(text.isNotNull(), F.array(*words))
     count = sum((F.bit_count(w) for w in words), F.lit(0)).cast("int")

@@ -573,42 +573,60 @@ RETRIEVAL_PROPS = ([(p, TOPK_TARGET) for p in INTERNAL_PROPS]
 KEY_LABEL = "KEY"
 
 
-def retrieval_refs(spark, sf_dir):
-    """Reference rows: fingerprint, canonical key, profile and property values."""
-    r = spread(reference_set(spark, sf_dir), "ref_id")
-    train, ext = F.col("split") == "train", F.col("split") == "external"
-    r = r.select(
-        "ref_id", "text",
+def text_features(df, id_col):
+    """Per text: pattern fingerprint, canonical key, profile and size measures."""
+    feats = df.select(id_col, "text", F.md5("text").alias("key"),
+                      fpr.profile_text("text", TEXT_FEATURES),
+                      F.length("text").alias("n_chars"),
+                      F.size(txt.word_tokens(F.col("text"))).alias("n_words"))
+    return fpr.pattern_fingerprint(feats, id_col, "text", TEXT_PATTERNS,
+                                   keep=["key", "profile", "n_chars", "n_words"])
+
+
+def _retrieval_tables(spark, sf_dir):
+    """(queries, refs) built from one pass of text features over the documents."""
+    doc_feats = cut_lineage(text_features(documents(spark, sf_dir), "doc_id"))
+    labels = table(spark, sf_dir, "labels")
+    q = doc_feats.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("query_id"), "fp", "n_bits_set", "key", "profile",
+        F.col("quality").isNull().alias("is_test"),
         F.col("quality").cast("double").alias("quality"),
         F.col("toxic").cast("double").alias("toxic"),
-        F.when(train, num.log10p1(F.length("text"))).alias("log_chars"),
-        F.when(ext, num.log10p1(F.length("text"))).alias("ext_log_len"),
-        F.when(ext, num.log10p1(F.size(txt.word_tokens(F.col("text"))))).alias("ext_log_words"),
-        F.md5("text").alias("key"), fpr.profile_text("text", TEXT_FEATURES))
-    return fpr.pattern_fingerprint(r, "ref_id", "text", TEXT_PATTERNS,
-                                   keep=["key", "profile", *INTERNAL_PROPS, *EXTERNAL_PROPS])
+        F.when(F.col("quality").isNotNull(), num.log10p1(F.col("n_chars"))).alias("log_chars"))
+    train = doc_feats.join(labels, "doc_id", "inner")
+    ext = text_features(external_items(spark, sf_dir), "item_id")
+    u = sources.union_assays(train, ext, tags=["train", "external"])
+    u = u.withColumn("__origin", F.when(F.col("split") == "train", 0).otherwise(1)) \
+         .withColumn("__id", F.coalesce("doc_id", "item_id"))
+    u = keys.with_row_id(u, ["__origin", "__id"], "ref_id")
+    is_train, is_ext = F.col("split") == "train", F.col("split") == "external"
+    refs = u.select(
+        "ref_id", "fp", "n_bits_set", "key", "profile",
+        F.col("quality").cast("double").alias("quality"),
+        F.col("toxic").cast("double").alias("toxic"),
+        F.when(is_train, num.log10p1(F.col("n_chars"))).alias("log_chars"),
+        F.when(is_ext, num.log10p1(F.col("n_chars"))).alias("ext_log_len"),
+        F.when(is_ext, num.log10p1(F.col("n_words"))).alias("ext_log_words"))
+    return q, refs
+
+
+def retrieval_refs(spark, sf_dir):
+    """Reference rows: fingerprint, canonical key, profile and property values."""
+    return _retrieval_tables(spark, sf_dir)[1]
 
 
 def retrieval_queries(spark, sf_dir):
     """Every document is a query; unlabelled ones are test queries."""
-    docs = documents(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels")
-    q = docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("query_id"), "text", F.col("quality").isNull().alias("is_test"),
-        F.col("quality").cast("double").alias("quality"),
-        F.col("toxic").cast("double").alias("toxic"),
-        F.when(F.col("quality").isNotNull(), num.log10p1(F.length("text"))).alias("log_chars"),
-        F.md5("text").alias("key"), fpr.profile_text("text", TEXT_FEATURES))
-    return fpr.pattern_fingerprint(q, "query_id", "text", TEXT_PATTERNS,
-                                   keep=["is_test", "key", "profile", *INTERNAL_PROPS])
+    return _retrieval_tables(spark, sf_dir)[0]
 
 
 class _Retrieval:
     """Reference and query tables of one query run, each materialised once."""
 
     def __init__(self, spark, sf_dir):
-        self.refs = cut_lineage(retrieval_refs(spark, sf_dir))
-        self.queries = cut_lineage(retrieval_queries(spark, sf_dir))
+        q, refs = _retrieval_tables(spark, sf_dir)
+        self.refs = cut_lineage(refs)
+        self.queries = q
 
     def neighbours(self, queries=None):
         q = self.queries if queries is None else queries
