@@ -181,3 +181,23 @@ def reject_count(df: DataFrame, key: str, name: str = "n_rejected") -> DataFrame
 
 def drop_rejected(df: DataFrame, key: str) -> DataFrame:
     return df.where(qcol(key).isNotNull())
+
+
+def endpoint_columns(df: DataFrame, exclude: Sequence[str] = (), start: int = 0) -> list[str]:
+    """Column names from position ``start`` on, minus ``exclude`` (positional picks by name)."""
+    return [c for c in df.columns[start:] if c not in set(exclude)]
+
+
+def head_ordered(df: DataFrame, order: Sequence[str], n: int = 10, desc: bool = False) -> DataFrame:
+    """First (or, with ``desc``, last) ``n`` rows in an explicit total order (a report).
+
+    Planned as a per-partition top-n followed by one merge of n rows per task.
+    """
+    cols = [qcol(c).desc() if desc else qcol(c).asc() for c in _names(order)]
+    return df.orderBy(*cols).limit(n)
+
+
+def shape(df: DataFrame, stage: str) -> DataFrame:
+    """``(stage, n_rows, n_cols)`` of a table."""
+    return df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n_rows"),
+                  F.lit(len(df.columns)).cast("bigint").alias("n_cols"))

@@ -751,3 +751,35 @@ def q_stream_parse_answers(spark, sf_dir):
     parse_answer_stream(spark, sf_dir, EVENTS_SCHEMA, f"{base}/out", f"{base}/checkpoint",
                         event_candidates, file_glob="events.parquet")
     return spark.read.parquet(f"{base}/out")
+
+
+# --- reports ------------------------------------------------------------------
+
+@query("head_ordered")
+def q_head_ordered(spark, sf_dir):
+    """The first 10 rows of duplicate groups in key order (the display of groups)."""
+    m = measurements(spark, sf_dir)
+    dup = keys.duplicate_members(m.select(*LINEITEM_ORDER, "l_quantity"), LINEITEM_KEY)
+    return keys.head_ordered(dup, LINEITEM_KEY + LINEITEM_ORDER, 10)
+
+
+@query("last_identical_pair")
+def q_last_identical_pair(spark, sf_dir):
+    """The last identical pair (i, j) in pair order (the workflow shows index -1)."""
+    groups = cut_lineage(sim.identical_groups(train_fps(spark, sf_dir), "doc_id"))
+    last_i = keys.head_ordered(groups, ["doc_id"], 1, desc=True).select(
+        F.col("doc_id").alias("i"), "twin_group")
+    members = groups.select(F.col("doc_id").alias("j"), "twin_group")
+    pairs = last_i.join(members, "twin_group").where(F.col("i") != F.col("j"))
+    return keys.head_ordered(pairs.select("i", "j"), ["i", "j"], 1, desc=True)
+
+
+@query("stage_shapes")
+def q_stage_shapes(spark, sf_dir):
+    """Rows and columns through the consensus stages."""
+    m = measurements(spark, sf_dir)
+    clean = cons.consensus(m, LINEITEM_KEY, LINEITEM_ENDPOINTS, LINEITEM_ORDER,
+                           keep=["l_orderkey", "l_linenumber", "l_returnflag"])
+    dup = keys.duplicate_members(m, LINEITEM_KEY)
+    return (keys.shape(m, "measurements").unionByName(keys.shape(dup, "duplicate_members"))
+            .unionByName(keys.shape(clean, "consensus")))

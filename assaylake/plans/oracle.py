@@ -649,3 +649,23 @@ SQL["udf_batch_hook"] = """SELECT doc_id,
   (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')))::BIGINT AS n_vowels FROM documents"""
 SQL["map_batches_hook"] = """SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents"""
 SQL["stream_parse_answers"] = SQL["parse_answers"]
+
+
+# --- reports ------------------------------------------------------------------
+
+SQL["head_ordered"] = f"""
+WITH {_M}
+SELECT {_ORDER}, l_quantity, group_size FROM (
+  SELECT {_ORDER}, l_quantity, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS group_size FROM m)
+WHERE group_size > 1
+ORDER BY l_partkey, l_suppkey, {_ORDER} LIMIT 10"""
+SQL["last_identical_pair"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
+SELECT i, j FROM ident ORDER BY i DESC, j DESC LIMIT 1"""
+SQL["stage_shapes"] = f"""
+WITH {_M}
+SELECT 'measurements' AS stage, count(*)::BIGINT AS n_rows, 10::BIGINT AS n_cols FROM m
+UNION ALL
+SELECT 'duplicate_members', count(*)::BIGINT, 11::BIGINT FROM (
+  SELECT count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS g FROM m) WHERE g > 1
+UNION ALL
+SELECT 'consensus', count(*)::BIGINT, 14::BIGINT FROM (SELECT DISTINCT l_partkey, l_suppkey FROM m)"""
