@@ -373,40 +373,96 @@ def identical_pairs_head(groups: DataFrame, id_col: str, n: int = 10) -> DataFra
     return cand.orderBy("i", "j").limit(n).select("i", "j")
 
 
+def _bucket(threshold: float):
+    """Popcount bucket on a geometric scale of ratio 1/threshold (pc >= 1)."""
+    ratio = math.log(1.0 / threshold)
+    return F.floor(F.log(F.col("__pc").cast("double")) / F.lit(ratio)).cast("int")
+
+
+def _sub_blocks(df: DataFrame, block_size: int) -> dict[int, int]:
+    """Sub-blocks per popcount bucket (one small row per bucket to the driver)."""
+    counts = df.groupBy("__bk").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["__bk"]: max(1, math.ceil(r["n"] / block_size)) for r in counts}
+
+
+def _targets(buckets: dict[int, int], own: str, self_join: bool, side: str):
+    """For each row, the (bucket, sub) blocks of the other side it must meet."""
+    pairs = []
+    for b, nsub in sorted(buckets.items()):
+        pairs.append((b, nsub))
+    own_b, own_s = F.col(own + "_b"), F.col(own + "_s")
+    arr = []
+    for b, nsub in pairs:
+        for sblk in range(nsub):
+            near = F.abs(own_b - F.lit(b)) <= 1
+            if self_join:
+                # Visit each unordered block pair once: (own) <= (target).
+                later = (own_b < b) | ((own_b == b) & (own_s <= sblk))
+                near = near & (later if side == "left" else
+                               ((own_b > b) | ((own_b == b) & (own_s >= sblk))))
+            arr.append(F.when(near, F.struct(F.lit(b).alias("b"), F.lit(sblk).alias("s"))))
+    return F.filter(F.array(*arr), lambda x: x.isNotNull())
+
+
 def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, threshold: float,
                   id_col: str = "id", fp_col: str = "fp",
                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Pairs with similarity >= ``threshold`` (> 0): ``(left_id, right_id, sim)``.
 
-    The output is the result the caller asks for; pairs below the threshold
-    are dropped inside the kernel. A self join reports i < j.
+    Exact pruning by the popcount bound: Tanimoto(a, b) <= min(|a|, |b|) /
+    max(|a|, |b|). Rows are bucketed by popcount on a geometric scale of
+    ratio 1/threshold, so only rows in the same or adjacent buckets can
+    reach the threshold; other block pairs are never formed. Inside a bucket
+    rows are hashed into sub-blocks of at most ``block_size`` rows. A self
+    join reports each pair once with left_id < right_id.
     """
-    if not threshold > 0:
-        raise ValueError("threshold must be > 0; use similarity_distribution for all pairs")
-    lp = prepare(left, id_col, fp_col, n_words)
-    rp = None if right is None else prepare(right, id_col, fp_col, n_words)
-    bl, br = _plan(lp, rp, block_size, _min_tasks(left))
-    self_join = rp is None
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]; use similarity_distribution for all pairs")
+    self_join = right is None
+    lp = prepare(left, id_col, fp_col, n_words).where(F.col("__pc") > 0)
+    rp = lp if self_join else prepare(right, id_col, fp_col, n_words).where(F.col("__pc") > 0)
+    lp = lp.withColumn("__bk", _bucket(threshold))
+    rp = rp.withColumn("__bk", _bucket(threshold))
+    lsub = _sub_blocks(lp, block_size)
+    rsub = lsub if self_join else _sub_blocks(rp, block_size)
+
+    def with_block(df, subs, own):
+        nsub = F.element_at(F.create_map(*[x for b, n in subs.items()
+                                             for x in (F.lit(b), F.lit(n))]), F.col("__bk")) \
+            if subs else F.lit(1)
+        return (df.withColumn(own + "_b", F.col("__bk"))
+                .withColumn(own + "_s", F.pmod(F.xxhash64("__id"), nsub).cast("int")))
+
+    lt = with_block(lp, lsub, "__l")
+    rt = with_block(rp, rsub, "__r")
+    if self_join:
+        rt = rt.select(*[F.col(c).alias(c) for c in rt.columns])
+    lside = (lt.withColumn("__t", F.explode(_targets(rsub, "__l", self_join, "left")))
+             .select("*", F.col("__t.b").alias("__r_b"), F.col("__t.s").alias("__r_s")).drop("__t"))
+    rside = (rt.withColumn("__t", F.explode(_targets(lsub, "__r", self_join, "right")))
+             .select("*", F.col("__t.b").alias("__l_b"), F.col("__t.s").alias("__l_s")).drop("__t"))
+    keys_ = ["__l_b", "__l_s", "__r_b", "__r_s"]
 
     def fn(key, l_pdf, r_pdf):
+        empty = pd.DataFrame({"left_id": np.array([], np.int64), "right_id": np.array([], np.int64),
+                              "sim": np.array([], float)})
         if l_pdf.empty or r_pdf.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "sim": []})
+            return empty
         _, idl, pcl, wl = _arrays(l_pdf, n_words)
         _, idr, pcr, wr = _arrays(r_pdf, n_words)
+        diagonal = self_join and key[0] == key[2] and key[1] == key[3]
         out = []
         for s, e, inter in _chunks(wl, wr):
             _, sim = _sims(inter, pcl[s:e], pcr)
             ok = np.nan_to_num(sim, nan=-1.0) >= threshold
-            if self_join and key[0] == key[1]:
-                ok &= idl[s:e, None] < idr[None, :]  # each pair once on a diagonal block
+            if self_join:
+                ok &= (idl[s:e, None] < idr[None, :]) if diagonal else (idl[s:e, None] != idr[None, :])
             r, c = np.nonzero(ok)
             a, b = idl[s + r], idr[c]
             if self_join:
                 a, b = np.minimum(a, b), np.maximum(a, b)
             out.append(pd.DataFrame({"left_id": a, "right_id": b, "sim": sim[r, c]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"left_id": [], "right_id": [], "sim": []})
+        return pd.concat(out, ignore_index=True) if out else empty
 
-    pairs = _cogrouped(lp, rp, bl, br).applyInPandas(
+    return lside.groupBy(*keys_).cogroup(rside.groupBy(*keys_)).applyInPandas(
         fn, "left_id bigint, right_id bigint, sim double")
-    return pairs

@@ -192,3 +192,21 @@ def test_union_keeps_case_clashing_columns(spark):
     b = spark.createDataFrame([("C2",)], "SMILES string")
     u = union_assays(a, b, tags=["train", "external"])
     assert set(u.columns) == {"smiles", "smiles_external", "split"}
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.5, 0.8])
+def test_threshold_join_with_popcount_pruning(spark, threshold):
+    rng = np.random.default_rng(7)
+    dens_l = rng.uniform(0.02, 0.6, 220)[:, None]
+    dens_r = rng.uniform(0.02, 0.6, 130)[:, None]
+    bits_l = rng.random((220, 128)) < dens_l
+    bits_r = rng.random((130, 128)) < dens_r
+    bits_r[:5] = bits_l[:5]
+    pack = lambda b: np.packbits(b.reshape(len(b), 2, 64)[:, :, ::-1], axis=2).view(">u8")[:, :, 0] \
+        .astype(np.uint64).view(np.int64)
+    left = _df(spark, np.arange(220), pack(bits_l), bits_l)
+    right = _df(spark, np.arange(130) + 1000, pack(bits_r), bits_r)
+    s, _, _ = _brute(bits_l, bits_r)
+    want = {(int(a), int(b) + 1000) for a, b in zip(*np.nonzero(np.nan_to_num(s, nan=-1) >= threshold))}
+    got = sim.tanimoto_join(left, right, 2, threshold, block_size=30).collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == want
