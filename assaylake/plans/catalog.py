@@ -654,7 +654,14 @@ def q_merge_neighbours(spark, sf_dir):
 
 
 def _train_queries(spark, sf_dir):
-    return retrieval_queries(spark, sf_dir).where(~F.col("is_test"))
+    """Training queries with their own property values (no text features needed)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_chars"))
+    labels = table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "inner").select(
+        F.col("doc_id").alias("query_id"),
+        F.col("quality").cast("double").alias("quality"),
+        F.col("toxic").cast("double").alias("toxic"),
+        num.log10p1(F.col("n_chars")).alias("log_chars"))
 
 
 @query("training_targets")
