@@ -624,9 +624,9 @@ class _Retrieval:
     """Reference and query tables of one query run, each materialised once."""
 
     def __init__(self, spark, sf_dir):
-        q, refs = _retrieval_tables(spark, sf_dir)
-        self.refs = cut_lineage(refs)
-        self.queries = q
+        # Both tables start at materialised files (text features, the
+        # positioned reference rows); re-reading them is cheap.
+        self.queries, self.refs = _retrieval_tables(spark, sf_dir)
 
     def neighbours(self, queries=None):
         q = self.queries if queries is None else queries

@@ -47,3 +47,13 @@ def test_group_number_without_global_window(spark):
     # The range sort ran before the checkpoint; the rows are never ordered in
     # one partition (only the per-partition count table is).
     assert "rangepartitioning" not in plan.lower()
+
+
+def test_smallest_values_limits_before_shuffle(spark):
+    plan = _main_plan(C.QUERIES["smallest_values"](spark, SF))
+    assert "WindowGroupLimit" in plan
+
+
+def test_quantiles_do_not_use_percentile_aggregate(spark):
+    plan = _main_plan(C.QUERIES["describe_columns"](spark, SF))
+    assert "percentile(" not in plan.lower()
