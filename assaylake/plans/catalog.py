@@ -790,3 +790,16 @@ def q_stage_shapes(spark, sf_dir):
     dup = keys.duplicate_members(m, LINEITEM_KEY)
     return (keys.shape(m, "measurements").unionByName(keys.shape(dup, "duplicate_members"))
             .unionByName(keys.shape(clean, "consensus")))
+
+
+@query("fold_files")
+def q_fold_files(spark, sf_dir):
+    """All folds written in one pass (one folder per fold), fold 2 read back.
+
+    The read prunes to the ``fold=2`` folder (partition pruning).
+    """
+    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
+    path = sources.scratch_path(spark, "folds")
+    sources.write_folds(folds, path, fmt="parquet")
+    back = spark.read.parquet(path).where(F.col("fold") == 2)
+    return back.select(*LINEITEM_KEY, F.col("fold").cast("int").alias("fold"), "split")

@@ -669,3 +669,4 @@ SELECT 'duplicate_members', count(*)::BIGINT, 11::BIGINT FROM (
   SELECT count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS g FROM m) WHERE g > 1
 UNION ALL
 SELECT 'consensus', count(*)::BIGINT, 14::BIGINT FROM (SELECT DISTINCT l_partkey, l_suppkey FROM m)"""
+SQL["fold_files"] = f"WITH {_FOLDS} SELECT * FROM kf WHERE fold = 2"
