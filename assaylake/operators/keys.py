@@ -48,10 +48,12 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx",
     and the positions come from the same materialisation.
     """
     order = _names(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    tagged = (df.repartitionByRange(n, *[qcol(c) for c in order])
+    # Without an explicit count AQE may merge adjacent range partitions
+    # (order is kept), so small inputs do not fan out into empty tasks.
+    ranged = (df.repartitionByRange(num_partitions, *[qcol(c) for c in order]) if num_partitions
+              else df.repartitionByRange(*[qcol(c) for c in order]))
+    tagged = (ranged
               .sortWithinPartitions(*[qcol(c) for c in order])
               .select("*", F.spark_partition_id().alias("__part"),
                       F.monotonically_increasing_id().alias("__mono")))
