@@ -86,3 +86,25 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)
+
+
+def recommended_conf(input_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Spill-aware settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions hold about ``target_partition_bytes`` each (and at
+    least three per core so stragglers even out); AQE coalesces small ones
+    and splits skewed ones at four times the advisory size.
+    """
+    import math
+    parts = max(3 * total_cores, math.ceil(input_bytes / target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
