@@ -12,14 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake import sources
 from assaylake.functions import numeric as num
+from assaylake.functions import text as txt
+from assaylake.operators import answers, metrics, profile, prompts, retrieval, splits, udf
 from assaylake.operators import consensus as cons
+from assaylake.operators import fingerprint as fpr
 from assaylake.operators import keys
+from assaylake.operators import similarity as sim
 from assaylake.plans.proxies import (
     LINEITEM_ENDPOINTS, LINEITEM_KEY, LINEITEM_ORDER, LINEITEM_VALUES,
-    measurements, r6,
+    measurements, r6, table,
+)
+from assaylake.schema import (
+    ENDPOINTS, FP_BITS, FP_RADIUS, HIST_BINS, JITTER_SD, N_REPLICAS, PROPERTIES,
+    RANDOM_SEED, TOPK_EXTERNAL, TOPK_TARGET, Endpoint,
 )
 from assaylake.session import cut_lineage, spread
+from assaylake.streaming import parse_answer_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -75,10 +85,6 @@ def q_log_transform(spark, sf_dir):
 
 # --- step 2: functions, keys, splits, unions --------------------------------
 
-from assaylake import sources  # noqa: E402
-from assaylake.functions import text as txt  # noqa: E402
-from assaylake.operators import metrics, splits  # noqa: E402
-from assaylake.plans.proxies import table  # noqa: E402
 
 MEASUREMENT_SCHEMA = (
     "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, "
@@ -275,7 +281,6 @@ def q_flatten_records(spark, sf_dir):
 
 # --- step 3: profiles ---------------------------------------------------------
 
-from assaylake.operators import profile  # noqa: E402
 
 DOC_PROFILE_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 PART_COLS = ["p_size", "p_retailprice"]
@@ -330,8 +335,6 @@ def q_smallest_values(spark, sf_dir):
 
 # --- step 4: answers and metrics --------------------------------------------
 
-from assaylake.operators import answers  # noqa: E402
-from assaylake.schema import ENDPOINTS, PROPERTIES, Endpoint  # noqa: E402
 
 # events in the role of model answers: each event of a user is one candidate
 # answer to that user's query.
@@ -404,9 +407,6 @@ def q_evaluate_macro(spark, sf_dir):
 
 # --- step 5: fingerprints and similarity -------------------------------------
 
-from assaylake.operators import fingerprint as fpr  # noqa: E402
-from assaylake.operators import similarity as sim  # noqa: E402
-from assaylake.schema import FP_BITS, FP_RADIUS, HIST_BINS  # noqa: E402
 
 FP_WORDS = FP_BITS // 64
 
@@ -561,8 +561,6 @@ def q_query_reference_sim(spark, sf_dir):
 
 # --- step 6: retrieval, records, JSON lines -----------------------------------
 
-from assaylake.operators import prompts, retrieval  # noqa: E402
-from assaylake.schema import JITTER_SD, N_REPLICAS, RANDOM_SEED, TOPK_EXTERNAL, TOPK_TARGET  # noqa: E402
 
 # Properties of the proxy: three measured on training documents, two on the
 # external items; k per property as in the workflow (target 5, external 3).
@@ -720,9 +718,6 @@ def q_chat_jsonl(spark, sf_dir):
 
 # --- hooks and streaming ---------------------------------------------------------
 
-from assaylake.operators import udf  # noqa: E402
-from assaylake.streaming import parse_answer_stream  # noqa: E402
-
 
 def _count_vowels(text):
     return text.str.count("[aeiou]").astype("int64")
