@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators.keys import qcol
-from assaylake.session import cut_lineage
+from assaylake.session import cut_lineage, ensure_importable
 
 DEFAULT_BLOCK = 4096
 _CHUNK = 256
@@ -40,6 +40,7 @@ _POS_BITS = 20      # position inside a right block (block_size <= 2^20)
 def prepare(df: DataFrame, id_col: str, fp_col: str, n_words: int,
             extra: Sequence[str] = ()) -> DataFrame:
     """``(__id, __pc, __w0.., extra)`` for rows with a fingerprint, checkpointed."""
+    ensure_importable(df.sparkSession)  # the kernels run in Python workers
     words = [F.col(fp_col).getItem(j).alias(f"__w{j}") for j in range(n_words)]
     pc = sum((F.bit_count(F.col(fp_col).getItem(j)) for j in range(n_words)), F.lit(0))
     out = df.where(F.col(fp_col).isNotNull()).select(

@@ -14,11 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.session import ensure_importable
+
 
 def with_column_batch(df: DataFrame, out: str, fn: Callable[..., pd.Series], *cols: str,
                       return_type: str = "double", **kwargs) -> DataFrame:
     """``out = fn(series_1, ..., series_n, **kwargs)`` per Arrow batch (``pandas_udf``)."""
     names = list(cols)
+    ensure_importable(df.sparkSession)
 
     def run(batch: pd.DataFrame) -> pd.Series:
         return fn(*[batch[c] for c in names], **kwargs)
@@ -30,6 +33,7 @@ def with_column_batch(df: DataFrame, out: str, fn: Callable[..., pd.Series], *co
 def map_batches(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str,
                 **kwargs) -> DataFrame:
     """``fn(batch_df, **kwargs) -> DataFrame`` over every batch (``mapInPandas``)."""
+    ensure_importable(df.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield fn(batch, **kwargs)

@@ -108,3 +108,31 @@ def recommended_conf(input_bytes: int, total_cores: int,
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Make ``assaylake`` importable in the Python workers (once per application).
+
+    Pandas kernels and hooks are pickled by reference to this package; the
+    package is zipped on the driver and added with ``addPyFile``, which
+    serves it to every executor (the same as ``--py-files``).
+    """
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = tempfile.mkdtemp(prefix="assaylake-pkg-")
+    zpath = os.path.join(out, "assaylake.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
