@@ -146,6 +146,10 @@ def nearest_kernel(n_words: int, self_join: bool):
 
 
 def distribution_kernel(n_words: int, exclude: str | None):
+    bits = 64 * n_words
+    width = 2 * bits + 1                     # union <= 2L, intersection <= L
+    dense = (bits + 1) * width <= (1 << 18)  # narrow fingerprints: one counter per cell
+
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"inter": np.array([], np.int64), "uni": np.array([], np.int64),
                               "n_pairs": np.array([], np.int64)})
@@ -154,23 +158,31 @@ def distribution_kernel(n_words: int, exclude: str | None):
         _, idl, pcl, wl = _arrays(lp, n_words)
         _, idr, pcr, wr = _arrays(rp, n_words)
         diagonal = exclude is not None and key[0] == key[1]
+        acc = np.zeros((bits + 1) * width, np.int64) if dense else None
         keys, counts = [], []
         for s, e, inter in _chunks(wl, wr):
             union, _ = _sims(inter, pcl[s:e], pcr)
             valid = union > 0
             if diagonal:
                 valid &= idl[s:e, None] < idr[None, :]
-            code = inter.astype(np.int64)[valid] * (1 << 32) + union[valid]
-            u, c = np.unique(code, return_counts=True)
-            keys.append(u)
-            counts.append(c)
-        if not keys:
+            code = inter.astype(np.int64)[valid] * width + union[valid]
+            if dense:
+                acc += np.bincount(code, minlength=acc.size)
+            else:
+                u, c = np.unique(code, return_counts=True)
+                keys.append(u)
+                counts.append(c)
+        if dense:
+            u = np.nonzero(acc)[0]
+            c = acc[u]
+        elif keys:
+            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
+        else:
             return empty
-        u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
         if exclude == "self":
             c = c * 2  # ordered pairs (i, j) and (j, i)
-        return pd.DataFrame({"inter": u >> 32, "uni": u & 0xFFFFFFFF, "n_pairs": c})
+        return pd.DataFrame({"inter": u // width, "uni": u % width, "n_pairs": c})
     return fn
 
 
