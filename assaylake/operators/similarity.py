@@ -133,9 +133,9 @@ def nearest_kernel(n_words: int, self_join: bool):
             _, sim = _sims(inter, pcl[s:e], pcr)
             if self_join:
                 sim[idl[s:e, None] == idr[None, :]] = np.nan
-            with np.errstate(invalid="ignore"):
-                best_l[s:e] = np.fmax(best_l[s:e], np.nanmax(np.where(np.isnan(sim), -1.0, sim), axis=1))
-                best_r = np.fmax(best_r, np.nanmax(np.where(np.isnan(sim), -1.0, sim), axis=0))
+            masked = np.where(np.isnan(sim), -1.0, sim)  # -1: no comparable pair
+            best_l[s:e] = np.fmax(best_l[s:e], masked.max(axis=1))
+            best_r = np.fmax(best_r, masked.max(axis=0))
         best_l[best_l < 0] = np.nan
         best_r[best_r < 0] = np.nan
         out_l = pd.DataFrame({"__id": idl, "best": best_l, "side": "left"})
