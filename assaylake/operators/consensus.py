@@ -7,8 +7,9 @@ strictly above the tolerance flags the (key, endpoint) and its consensus
 value becomes NULL; otherwise the consensus is the mean (NULLs skipped).
 Other columns come from the key's first row in the given order.
 
-Plan: the standard deviations are one scalar subquery (one partial/final
-aggregate, run once, folded in as a literal); everything per key is a single
+Plan: the standard deviations are one scalar subquery returning a struct
+(one partial/final aggregate over the input, run once, folded in as a
+literal); everything per key is a single
 ``groupBy().agg()`` with map-side partial aggregation, so one shuffle of at
 most one row per key and map task. No window holds a whole group.
 """
@@ -30,12 +31,23 @@ def endpoint_std(df: DataFrame, endpoints: Sequence[Endpoint], prefix: str = "sd
     return df.agg(*[F.stddev_samp(qcol(e.name)).alias(f"{prefix}{e.name}") for e in endpoints])
 
 
-def tolerance(df: DataFrame, e: Endpoint) -> Column:
+def std_subquery(df: DataFrame, endpoints: Sequence[Endpoint]) -> Column | None:
+    """All relative-tolerance standard deviations as ONE scalar subquery (a struct).
+
+    One pass over the input, run once; every tolerance reads a field of it.
+    """
+    rel = [e for e in endpoints if e.tol_kind == "rel"]
+    if not rel:
+        return None
+    return df.agg(F.struct(*[F.stddev_samp(qcol(e.name)).alias(e.name) for e in rel])).scalar()
+
+
+def tolerance(e: Endpoint, std: Column | None) -> Column:
     if e.tol_kind == "abs":
         return F.lit(float(e.tol))
     if e.tol_kind != "rel":
         raise ValueError(f"unknown tolerance kind {e.tol_kind!r}")
-    return df.agg(F.stddev_samp(qcol(e.name))).scalar() * F.lit(float(e.tol))
+    return std.getField(e.name) * F.lit(float(e.tol))
 
 
 def _group_stats(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
@@ -51,9 +63,9 @@ def _group_stats(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint
     return df.groupBy(*[qcol(k) for k in key]).agg(*aggs)
 
 
-def _flag(df: DataFrame, e: Endpoint) -> Column:
+def _flag(e: Endpoint, std: Column | None) -> Column:
     spread = F.col(f"__max_{e.name}") - F.col(f"__min_{e.name}")
-    return F.coalesce(spread > tolerance(df, e), F.lit(False))
+    return F.coalesce(spread > tolerance(e, std), F.lit(False))
 
 
 def disagreement_flags(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
@@ -63,9 +75,10 @@ def disagreement_flags(df: DataFrame, key: Sequence[str], endpoints: Sequence[En
     An all-NULL group is not flagged.
     """
     key = _names(key)
+    std = std_subquery(df, endpoints)
     stats = _group_stats(df, key, endpoints)
     flags = stats.select(*[qcol(k) for k in key],
-                         *[_flag(df, e).alias(f"{e.name}{suffix}") for e in endpoints])
+                         *[_flag(e, std).alias(f"{e.name}{suffix}") for e in endpoints])
     return attach_by_key(df, flags, key) if per_row else flags
 
 
@@ -79,12 +92,13 @@ def consensus(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
     after averaging.
     """
     key = _names(key)
+    std = std_subquery(df, endpoints)
     stats = _group_stats(df, key, endpoints, order, keep)
     out = [qcol(k) for k in key]
     out += [F.col("__first").getField(c).alias(c) for c in keep]
     out.append(F.col("n_rows"))
     for e in endpoints:
-        out.append(F.when(~_flag(df, e), F.col(f"__avg_{e.name}")).alias(e.name))
+        out.append(F.when(~_flag(e, std), F.col(f"__avg_{e.name}")).alias(e.name))
     res = stats.select(*out)
     if log:
         res = res.select("*", *[log10p1(qcol(e.name)).alias(e.log_name)
