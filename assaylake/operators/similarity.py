@@ -292,8 +292,8 @@ def similarity_histogram(dist: DataFrame, bins: int = 30) -> DataFrame:
     closed. Output ``(bin, bin_lo, bin_hi, count)`` with empty bins as 0.
     """
     sims = dist.select((F.col("inter") / F.col("uni")).alias("sim"), "n_pairs")
-    mn = sims.agg(F.min("sim")).scalar()
-    mx = sims.agg(F.max("sim")).scalar()
+    rng = sims.agg(F.struct(F.min("sim").alias("mn"), F.max("sim").alias("mx"))).scalar()
+    mn, mx = rng.getField("mn"), rng.getField("mx")
     lo = F.when(mx == mn, mn - 0.5).otherwise(mn)
     hi = F.when(mx == mn, mx + 0.5).otherwise(mx)
     idx = F.least(F.floor((F.col("sim") - lo) / (hi - lo) * bins), F.lit(bins - 1))
