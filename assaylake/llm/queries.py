@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from assaylake.llm.line_chunks import op10_line_dedup
 from assaylake.llm.simhash import op3_simhash
+from assaylake.llm.spans import op2_substring_dedup
+from assaylake.llm.tiling import op7_decontamination
 from assaylake.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
