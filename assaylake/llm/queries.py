@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from assaylake.llm.importance import op9_quality_classifier
 from assaylake.llm.line_chunks import op10_line_dedup
+from assaylake.llm.pieces import op4_sentencepiece
 from assaylake.llm.simhash import op3_simhash
 from assaylake.llm.spans import op2_substring_dedup
 from assaylake.llm.tiling import op7_decontamination
@@ -11,8 +13,10 @@ from assaylake.llm.token_files import op8_token_files
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 
