@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from assaylake.llm.common import hash_bitmap
+from assaylake.llm.common import cut_lineage, hash_bitmap
 from assaylake.session import ensure_importable
 
 LOG2_BITS = 26
@@ -27,12 +27,14 @@ def repeated_bitmap(hashes: DataFrame, log2_bits: int = LOG2_BITS) -> bytes:
 def not_first(pieces: DataFrame, same: list[str], place: list[str]) -> DataFrame:
     """``pieces`` that are not at the first ``place`` of their key ``same`` (nulls first).
 
-    One aggregate with partial sums finds the first places and one equi-join
-    brings them back; both take a key that holds any share of the rows.
+    One aggregate with partial sums finds the first places. They are written
+    before the join that brings them back, so that both of its sides come
+    straight from a shuffle and AQE can split a key with many rows.
     """
     at = F.struct(*place)
     first = pieces.groupBy(*same).agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
     first = first.where(~F.col("__first").eqNullSafe(F.col("__last"))).drop("__last")
+    first = cut_lineage(first)
     return pieces.join(first, same).where(~at.eqNullSafe(F.col("__first"))).drop("__first")
 
 

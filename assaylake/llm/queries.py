@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from assaylake.llm.html_blocks import op1_html_extraction
 from assaylake.llm.importance import op9_quality_classifier
+from assaylake.llm.licenses import op6_license_scan
 from assaylake.llm.line_chunks import op10_line_dedup
+from assaylake.llm.line_rules import OP5_SQL, op5_quality_rules
 from assaylake.llm.pieces import op4_sentencepiece
 from assaylake.llm.simhash import op3_simhash
 from assaylake.llm.spans import op2_substring_dedup
@@ -11,13 +14,16 @@ from assaylake.llm.tiling import op7_decontamination
 from assaylake.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL}
