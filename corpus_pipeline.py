@@ -1,15 +1,31 @@
 """Documents to training tokens: five stages, each one operator of ``assaylake.llm``.
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read back as the next stage's ``docs``.
+written as Parquet and read back as the next stage's ``docs``. All stages but
+the last return the columns of ``docs``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from assaylake.llm.common import cut_lineage
+from assaylake.llm.importance import keep_drawn
+from assaylake.llm.line_chunks import dedup_lines
+from assaylake.llm.pieces import encode_texts
 from assaylake.llm.simhash import keep_one
+from assaylake.llm.tiling import drop_contaminated
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling draws; models and cut come from ``docs`` and ``labels``."""
+    return keep_drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the line chunks that stand in an earlier place."""
+    return dedup_lines(docs).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,10 +33,25 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no item of ``benchmark``."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id`` and the sampled pieces of every document, with the check that decoding gives its text."""
+    return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "ids", "lossless")
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", simhash_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
 ]
 
+#: SQL cannot express sampled segmentations or fingerprints; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
