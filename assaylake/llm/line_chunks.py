@@ -76,9 +76,11 @@ def _without(text: str, cut: list[dict]) -> str:
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
-                min_lines: int = MIN_LINES) -> DataFrame:
+                min_lines: int = MIN_LINES, removed: str = "removed") -> DataFrame:
     """``docs`` with repeated chunks of lines removed, and ``removed``, the list of line ranges.
 
+    That column takes the name given, in place of a column of the same name.
+
     The first place is that of the smallest (doc_id, text hash, line), null
     ids first. ``removed`` is null where nothing was. Null texts stay null,
     empty ones empty; a text whose chunks all stand elsewhere becomes empty
@@ -93,7 +95,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
                                    "doc_id long, row_hash long, a int, z int, h long, body binary"))
     again = not_first(pieces, ["h", "body"], ["doc_id", "row_hash", "a"])
     cuts = again.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "z")).alias("cut"))
-    return cut_texts(docs, cuts, _without, "removed")
+    return cut_texts(docs, cuts, _without, removed)
 
 
 def op10_line_dedup(spark, sf_dir):
