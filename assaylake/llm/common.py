@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.session import cut_lineage, ensure_importable
 
-__all__ = ["table", "with_key", "arrow_map", "batch_of", "hash_bitmap", "in_bitmap", "mix64",
+__all__ = ["table", "with_key", "arrow_map", "batch_of", "slices", "hash_bitmap", "in_bitmap", "mix64",
            "cut_lineage", "ascii_words", "like_documents"]
 
+SLICE_BYTES = 2_000_000
 BITS_PER_ROW = 32768  # bits held by one bitmap_construct_agg value
 
 
@@ -48,6 +50,20 @@ def batch_of(**columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text, one row at least.
+
+    Bounds what a task holds of its texts' words, whatever the rows of a batch.
+    """
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        z = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield batch.slice(at, z - at)
+        at = z
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Spread all 64 bits of each hash (multiply and xor-shift rounds)."""
     h = h ^ (h >> np.uint64(32))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow_map, batch_of
+from assaylake.llm.common import arrow_map, batch_of, slices
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q "
                    "rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -215,7 +215,7 @@ def extract_main(pages: DataFrame, labelled: list[tuple] | None = None) -> DataF
     tree = train_tree(labelled or LABELLED)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "html")):
             parts = [main_blocks(h, tree) for h in b.column("html").to_pylist()]
             texts = ["\n\n".join(p) for p in parts]
             yield batch_of(page_id=b.column("page_id"), url=b.column("url"), text=pa.array(texts, pa.string()),

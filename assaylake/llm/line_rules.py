@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow_map, batch_of, with_key
+from assaylake.llm.common import arrow_map, batch_of, slices, with_key
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -104,7 +104,7 @@ def clean_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_pct: int
     returned as often as they occur.
     """
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = [t.decode() for t in b.column("text").to_pylist()]
             judged = [judge_lines(t) for t in texts]
             m = np.array([measures(t) for t in texts], np.int64).reshape(-1, 5)
