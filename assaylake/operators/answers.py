@@ -19,14 +19,9 @@ from assaylake.operators.keys import qcol
 from assaylake.schema import ENDPOINTS, PROPERTIES, Endpoint
 
 
-# Answer numbers are decimal text; averaging them as decimals keeps the mean
-# exact up to one final rounding.
-EXACT_VALUE_TYPE = "decimal(38,9)"
-
-
 def parse_answers(candidates: DataFrame, query_col: str = "query_id",
                   candidate_col: str = "candidate_no", text_col: str = "text",
-                  outer: bool = False, value_type: str = "double") -> DataFrame:
+                  outer: bool = False) -> DataFrame:
     """Every ``name=number`` pair: ``(query, candidate, pair_no, name, value)``.
 
     Numbers need a decimal point (``LogD=3`` is not a pair). ``outer`` keeps
@@ -40,7 +35,7 @@ def parse_answers(candidates: DataFrame, query_col: str = "query_id",
     return exploded.select(
         query_col, candidate_col,
         F.when(F.col("pair").isNotNull(), F.col("pos") + 1).cast("int").alias("pair_no"),
-        F.col("pair.name").alias("name"), F.col("pair.value").try_cast(value_type).alias("value"))
+        F.col("pair.name").alias("name"), F.col("pair.value").try_cast("double").alias("value"))
 
 
 def average_answers(candidates: DataFrame, properties: Sequence[str] = PROPERTIES,
@@ -52,15 +47,12 @@ def average_answers(candidates: DataFrame, properties: Sequence[str] = PROPERTIE
     any pair voids the whole query (all NULL, the row is kept); otherwise
     such candidates are skipped. Names outside ``properties`` are ignored.
     """
-    parsed = parse_answers(candidates, query_col, candidate_col, text_col, outer=True,
-                           value_type=EXACT_VALUE_TYPE)
+    parsed = parse_answers(candidates, query_col, candidate_col, text_col, outer=True)
     void = F.max(F.col("pair_no").isNull().cast("int")) == 1
     aggs = [void.alias("__void")]
     for p in properties:
         v = F.when(F.col("name") == p, F.col("value"))
-        # Exact decimal sum, one rounding in the division: the mean does not
-        # depend on summation order, so not on partitioning either.
-        aggs.append(F.when(F.count(v) > 0, F.sum(v).cast("double") / F.count(v)).alias(p))
+        aggs.append(F.avg(v).alias(p))
     agg = parsed.groupBy(query_col).agg(*aggs)
     cols = [qcol(query_col)]
     for p in properties:

@@ -63,22 +63,31 @@ def _group_stats(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint
     return df.groupBy(*[qcol(k) for k in key]).agg(*aggs)
 
 
-def _flag(e: Endpoint, std: Column | None) -> Column:
+def _flag(e: Endpoint, std: Column | None, has_key: Column) -> Column:
     spread = F.col(f"__max_{e.name}") - F.col(f"__min_{e.name}")
-    return F.coalesce(spread > tolerance(e, std), F.lit(False))
+    return F.coalesce(has_key & (spread > tolerance(e, std)), F.lit(False))
+
+
+def _has_key(key: Sequence[str]) -> Column:
+    """Rows with a NULL in the key are not repeats of each other: no flag, no mean."""
+    ok = F.lit(True)
+    for k in key:
+        ok = ok & qcol(k).isNotNull()
+    return ok
 
 
 def disagreement_flags(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
                        per_row: bool = False, suffix: str = "_noisy") -> DataFrame:
     """Per key (or, with ``per_row``, on every row) a flag per endpoint.
 
-    An all-NULL group is not flagged.
+    An all-NULL group is not flagged, and neither are rows whose key holds a
+    NULL: they are different things without a name, not repeats.
     """
     key = _names(key)
     std = std_subquery(df, endpoints)
     stats = _group_stats(df, key, endpoints)
     flags = stats.select(*[qcol(k) for k in key],
-                         *[_flag(e, std).alias(f"{e.name}{suffix}") for e in endpoints])
+                         *[_flag(e, std, _has_key(key)).alias(f"{e.name}{suffix}") for e in endpoints])
     return attach_by_key(df, flags, key) if per_row else flags
 
 
@@ -89,7 +98,8 @@ def consensus(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
     Output: key columns, ``keep`` columns of the first row, ``n_rows``, one
     column per endpoint (mean or NULL when flagged) and, with ``log``, a
     ``Endpoint.log_name`` column for every log-encoded endpoint, computed
-    after averaging.
+    after averaging. Of the rows whose key holds a NULL the first one of each
+    key stays, with NULL endpoints.
     """
     key = _names(key)
     std = std_subquery(df, endpoints)
@@ -98,7 +108,7 @@ def consensus(df: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
     out += [F.col("__first").getField(c).alias(c) for c in keep]
     out.append(F.col("n_rows"))
     for e in endpoints:
-        out.append(F.when(~_flag(e, std), F.col(f"__avg_{e.name}")).alias(e.name))
+        out.append(F.when(_has_key(key) & ~_flag(e, std, _has_key(key)), F.col(f"__avg_{e.name}")).alias(e.name))
     res = stats.select(*out)
     if log:
         res = res.select("*", *[log10p1(qcol(e.name)).alias(e.log_name)

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from assaylake.functions.numeric import fmt2, trunc_int
 from assaylake.functions.text import word_tokens
 from assaylake.operators.keys import qcol
-from assaylake.session import spread
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -79,7 +78,6 @@ def hashed_fingerprint(df: DataFrame, id_col: str, text_col: str, radius: int =
     if n_bits % 64:
         raise ValueError("n_bits must be a multiple of 64")
     n_words = n_bits // 64
-    df = spread(df.select(qcol(id_col), qcol(text_col)), id_col)
     tokens = df.select(qcol(id_col), word_tokens(qcol(text_col), fold_case).alias("__t"))
     toks = F.col("__t")
     grams = F.flatten(F.array(*[ngrams(toks, n) for n in range(1, radius + 2)]))
@@ -89,6 +87,28 @@ def hashed_fingerprint(df: DataFrame, id_col: str, text_col: str, radius: int =
     return _finish(packed, id_col, n_words, out)
 
 
+def sign_fingerprint(df: DataFrame, id_col: str, vector_col: str, n_words: int, out: str = "fp") -> DataFrame:
+    """``(id, fp, n_bits_set)``: bit i set where element i is positive.
+
+    NULL and empty vectors have no fingerprint; a vector of more than
+    ``64 * n_words`` elements raises.
+    """
+    v = qcol(vector_col)
+
+    def word(j):
+        part = F.slice(v, 64 * j + 1, 64)
+        bits = F.transform(part, lambda x, i: F.when(x > 0, F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+
+    words = [word(j) for j in range(n_words)]
+    fits = F.size(v) <= 64 * n_words
+    fp = F.when(F.size(v) > 0, F.when(fits, F.array(*words)).otherwise(
+        F.raise_error(F.lit(f"vector longer than {64 * n_words} elements")).cast("array<bigint>")))
+    count = sum((F.bit_count(w) for w in words), F.lit(0)).cast("int")
+    return df.select(qcol(id_col), fp.alias(out), F.when(F.size(v) > 0, count).alias("n_bits_set"))
+
+
 _META = set(".^$*+?{}[]\\|()")
 _ESCAPES = {"n": "\n", "t": "\t"}
 
@@ -143,7 +163,7 @@ def pattern_fingerprint(df: DataFrame, id_col: str, text_col: str, patterns: Seq
                         out: str = "fp", keep: Sequence[str] = ()) -> DataFrame:
     """``(id, fp, n_bits_set, keep...)``: bit i set when ``patterns[i]`` is found."""
     n_words = max(1, (len(patterns) + 63) // 64)
-    df = spread(df, id_col).withColumn("__lower", F.lower(qcol(text_col)))
+    df = df.withColumn("__lower", F.lower(qcol(text_col)))
     text, lowered = qcol(text_col), F.col("__lower")
     words = []
     for j in range(n_words):

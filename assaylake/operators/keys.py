@@ -28,13 +28,24 @@ def _names(cols) -> list[str]:
 
 def attach_by_key(df: DataFrame, per_key: DataFrame, key: Sequence[str],
                   how: str = "left") -> DataFrame:
-    """Join per-key results back to rows; NULL keys match each other."""
+    """Join per-key results back to rows; NULL keys match each other.
+
+    Rows with a whole key take a plain equi-join, which uses the partitioning
+    that the per-key aggregate left (a null-safe join hashes other expressions
+    and moves both sides again). Rows with a NULL in the key are joined apart.
+    """
     key = _names(key)
     tmp = {k: f"__key{i}" for i, k in enumerate(key)}
-    right = per_key.select(*[qcol(k).alias(tmp[k]) for k in key],
-                           *[qcol(c) for c in per_key.columns if c not in key])
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & qcol(k).isNotNull()
+    values = [c for c in per_key.columns if c not in key]
+    cols = [*[qcol(c) for c in df.columns], *[qcol(c) for c in values]]
+    with_key = df.where(whole).join(per_key, key, how).select(*cols)
+    right = per_key.where(~whole).select(*[qcol(k).alias(tmp[k]) for k in key], *[qcol(c) for c in values])
     cond = [qcol(k).eqNullSafe(F.col(tmp[k])) for k in key]
-    return df.join(right, cond, how).drop(*tmp.values())
+    without = df.where(~whole).join(right, cond, how).select(*cols)
+    return with_key.unionByName(without)
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx",

@@ -60,45 +60,62 @@ def evaluate(long_df: DataFrame, endpoints: Sequence[Endpoint] = ENDPOINTS,
     log-encoded are scored as is; the others after log10(x + 1) on both
     sides. R^2 = 1 - SSE/SST with the usual corner cases: 1.0 when SSE = SST
     = 0, 0.0 when only SST = 0, NULL below two rows. A missing prediction
-    where a reference exists (or a NaN after the log) raises with
-    ``on_null='error'`` and is skipped with ``'skip'``.
+    where a reference exists, and a NaN or an infinity on either side (before
+    or after the log), raise with ``on_null='error'``; the rows are skipped
+    with ``'skip'``. Every name in ``required`` (all endpoints unless given)
+    must have rows. The macro row is the mean over the endpoints, NULL where
+    one of them has no value.
+
+    One aggregate over the rows; the checks are raised by the same job, when
+    the result is computed.
     """
+    if on_null not in ("error", "skip"):
+        raise ValueError("on_null must be 'error' or 'skip'")
     names = [e.name for e in endpoints]
-    if required is not None:
-        present = {r[0] for r in long_df.select("endpoint").distinct().collect()}
-        missing = [k for k in required if k not in present]
-        if missing:
-            raise ValueError(f"required key not present: {missing}")
-    logged = [e.name for e in endpoints if e.log_encoded]
-    is_log = F.col("endpoint").isin(logged)
+    required = names if required is None else list(required)
+    is_log = F.col("endpoint").isin([e.name for e in endpoints if e.log_encoded])
     y = F.when(is_log, log10p1(F.col("ref"))).otherwise(F.col("ref"))
     p = F.when(is_log, log10p1(F.col("pred"))).otherwise(F.col("pred"))
-    scored = (long_df.where(F.col("endpoint").isin(names) & F.col("ref").isNotNull())
-              .select("endpoint", y.alias("y"), p.alias("p")))
-    bad = F.col("p").isNull() | F.isnan(F.col("p"))
+    finite = F.lit(True)
+    for c in ("ref", "pred", "y", "p"):
+        finite = finite & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf"))
+    rows = (long_df.where(F.col("endpoint").isin(list(dict.fromkeys([*names, *required]))))
+            .select("endpoint", F.col("ref").cast("double").alias("ref"), F.col("pred").cast("double").alias("pred"))
+            .withColumns({"y": y, "p": p})
+            .withColumn("ok", F.coalesce(finite, F.lit(False)))
+            .withColumns({"yy": F.when(F.col("ok"), F.col("y")), "err": F.when(F.col("ok"), F.col("y") - F.col("p"))}))
+    per = rows.groupBy("endpoint").agg(
+        F.count("yy").alias("n"),
+        F.avg(F.abs("err")).alias("mean_absolute_error"),
+        F.sum(F.col("err") ** 2).alias("sse"),
+        F.var_pop("yy").alias("vy"),
+        F.count_if(F.col("ref").isNotNull() & ~F.col("ok")).alias("n_bad"))
+    # One row holds the few endpoints, so that a name without rows can be told.
+    got = per.agg(F.collect_list(F.struct(*per.columns)).alias("per"))
+    seen = F.transform("per", lambda x: x["endpoint"])
+    missing = F.array_except(F.array(*[F.lit(k) for k in required]).cast("array<string>"), seen)
+    n_bad = F.aggregate("per", F.lit(0).cast("bigint"), lambda a, x: a + x["n_bad"])
+    fine = F.when(F.size(missing) > 0, F.raise_error(F.concat(
+        F.lit("required key not present: "), F.array_join(missing, ", "))).cast("boolean"))
     if on_null == "error":
-        n_bad = scored.where(bad).count()
-        if n_bad:
-            raise ValueError(f"{n_bad} predictions are missing where a reference exists")
-    elif on_null == "skip":
-        scored = scored.where(~bad)
-    else:
-        raise ValueError("on_null must be 'error' or 'skip'")
-    agg = scored.groupBy("endpoint").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(F.col("y") - F.col("p"))).alias("mean_absolute_error"),
-        F.sum((F.col("y") - F.col("p")) ** 2).alias("sse"),
-        F.var_pop("y").alias("vy"))
+        fine = fine.when(n_bad > 0, F.raise_error(F.concat(
+            n_bad.cast("string"), F.lit(" predictions are missing or not finite where a reference exists")))
+            .cast("boolean"))
+    per = (got.where(fine.otherwise(F.lit(True))).select(F.inline("per"))
+           .where(F.col("endpoint").isin(names)))
     # SST = n * population variance (Spark's central-moment aggregate is
     # numerically stable and mergeable across partitions).
     sst = F.col("vy") * F.col("n")
     r2 = (F.when(F.col("n") < 2, F.lit(None).cast("double"))
           .when(sst == 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
           .otherwise(F.lit(1.0) - F.col("sse") / sst))
-    per = agg.select("endpoint", "n", "mean_absolute_error", r2.alias("r2"))
+    per = per.select("endpoint", "n", "mean_absolute_error", r2.alias("r2"))
     if not macro:
         return per
+
+    def mean(c):
+        return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c)).alias(c)
+
     mac = per.agg(F.lit("aggregated").alias("endpoint"), F.sum("n").alias("n"),
-                  F.avg("mean_absolute_error").alias("mean_absolute_error"),
-                  F.avg("r2").alias("r2"))
+                  mean("mean_absolute_error"), mean("r2"))
     return per.unionByName(mac)

@@ -28,7 +28,7 @@ from assaylake.schema import (
     ENDPOINTS, FP_BITS, FP_RADIUS, HIST_BINS, JITTER_SD, N_REPLICAS, PROPERTIES,
     RANDOM_SEED, TOPK_EXTERNAL, TOPK_TARGET, Endpoint,
 )
-from assaylake.session import cut_lineage, spread
+from assaylake.session import cut_lineage
 from assaylake.streaming import parse_answer_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,8 +100,8 @@ TEXT_KEY_REJECT = (lambda c: F.length(c) < 10, lambda c: c.rlike("[0-9]{6,}"))
 
 
 def documents(spark, sf_dir):
-    """documents (doc_id, text), spread over the cores when few input splits."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    """documents (doc_id, text)."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def text_keys(spark, sf_dir):
@@ -532,20 +532,18 @@ def q_near_identical_count(spark, sf_dir):
     return sim.identical_pair_counts(sim.identical_groups(train_fps(spark, sf_dir), "doc_id"))
 
 
+EMBEDDING_WORDS = 1  # words for the sign bits of one embedding
+
+
 def embedding_fps(spark, sf_dir):
-    """Sign bits of the 64-dimensional embeddings, one word per vector."""
-    e = table(spark, sf_dir, "embeddings")
-    bits = F.aggregate(
-        F.transform(F.col("embedding"), lambda x, i: F.when(x > 0, F.call_function(
-            "shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
-        F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
-    return e.select("vec_id", F.when(F.size("embedding") > 0, F.array(bits)).alias("fp"),
-                    F.bit_count(bits).cast("int").alias("n_bits_set"))
+    """Sign bits of the embeddings, 64 to a word."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return fpr.sign_fingerprint(e, "vec_id", "embedding", EMBEDDING_WORDS)
 
 
 @query("embedding_nearest")
 def q_embedding_nearest(spark, sf_dir):
-    return _round_doubles(sim.nearest(embedding_fps(spark, sf_dir), None, 1, "vec_id"))
+    return _round_doubles(sim.nearest(embedding_fps(spark, sf_dir), None, EMBEDDING_WORDS, "vec_id"))
 
 
 @query("query_reference_sim")
@@ -789,12 +787,9 @@ def q_stage_shapes(spark, sf_dir):
 
 @query("fold_files")
 def q_fold_files(spark, sf_dir):
-    """All folds written in one pass (one folder per fold), fold 2 read back.
-
-    The read prunes to the ``fold=2`` folder (partition pruning).
-    """
+    """All folds written in one pass (one folder per fold) and read back."""
     folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
     path = sources.scratch_path(spark, "folds")
     sources.write_folds(folds, path, fmt="parquet")
-    back = spark.read.parquet(path).where(F.col("fold") == 2)
+    back = spark.read.parquet(path)
     return back.select(*LINEITEM_KEY, F.col("fold").cast("int").alias("fold"), "split")

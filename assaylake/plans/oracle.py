@@ -240,11 +240,11 @@ st AS (SELECT "column", count(*) AS n, min(value) AS mn, max(value) AS mx,
        FROM long GROUP BY "column"),
 w AS (SELECT *, CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS lo,
                 CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi,
-                (mx - mn) / (log2(n) + 1.0) AS sturges,
-                2.0 * iqr * pow(n::DOUBLE, -1.0 / 3.0) AS fd
+                least(greatest(2.0 * iqr * pow(n::DOUBLE, -1.0 / 3.0), (mx - mn) / sqrt(n) / 2.0),
+                      (mx - mn) / (log2(n) + 1.0)) AS width
       FROM st),
 e AS (SELECT "column", lo, hi, ({nbins_sql})::BIGINT AS nbins,
-      FROM (SELECT *, CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END AS width FROM w)),
+      FROM w),
 c AS (SELECT l."column", least(floor((value - lo) / (hi - lo) * nbins), nbins - 1)::BIGINT AS bin,
              count(*) AS cnt
       FROM long l JOIN e USING ("column") GROUP BY ALL),
@@ -339,7 +339,7 @@ _CAND = f"""cand AS (
   FROM events)"""
 _PARSED = f"""parsed AS (
   SELECT query_id, candidate_no, pair_no::INTEGER AS pair_no, names[pair_no] AS name,
-         vals[pair_no]::DOUBLE AS value, TRY_CAST(vals[pair_no] AS DECIMAL(38, 9)) AS dvalue
+         vals[pair_no]::DOUBLE AS value
   FROM (SELECT query_id, candidate_no, names, vals, unnest(generate_series(1, len(names))) AS pair_no
         FROM (SELECT query_id, candidate_no,
                      regexp_extract_all(trim(text), '{_ANS_RE}', 1) AS names,
@@ -347,7 +347,7 @@ _PARSED = f"""parsed AS (
 _PROPS = ["LogHLM", "LogMLM", "LogD", "LogKSOL", "LogMDR1-MDCKII"]
 _AVG = f"""avgd AS (
   SELECT c.query_id,
-         {", ".join(f'CASE WHEN NOT bool_or(p.pair_no IS NULL) THEN sum(p.dvalue) FILTER (WHERE p.name = \'{p}\')::DOUBLE / count(p.dvalue) FILTER (WHERE p.name = \'{p}\') END AS "{p}"' for p in _PROPS)}
+         {", ".join(f'CASE WHEN NOT bool_or(p.pair_no IS NULL) THEN avg(p.value) FILTER (WHERE p.name = \'{p}\') END AS "{p}"' for p in _PROPS)}
   FROM cand c LEFT JOIN parsed p USING (query_id, candidate_no)
   GROUP BY c.query_id)"""
 
@@ -669,4 +669,4 @@ SELECT 'duplicate_members', count(*)::BIGINT, 11::BIGINT FROM (
   SELECT count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS g FROM m) WHERE g > 1
 UNION ALL
 SELECT 'consensus', count(*)::BIGINT, 14::BIGINT FROM (SELECT DISTINCT l_partkey, l_suppkey FROM m)"""
-SQL["fold_files"] = f"WITH {_FOLDS} SELECT * FROM kf WHERE fold = 2"
+SQL["fold_files"] = f"WITH {_FOLDS} SELECT * FROM kf"

@@ -31,18 +31,13 @@ LINEITEM_VALUES = [e.name for e in LINEITEM_ENDPOINTS]
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as repeated measurements; zero discount/tax = not measured.
-
-    Spread by the measurement key when the input has fewer splits than cores
-    (the key shuffle then serves the per-key aggregates too).
-    """
-    from assaylake.session import spread
+    """lineitem as repeated measurements; zero discount/tax = not measured."""
     li = table(spark, sf_dir, "lineitem")
-    return spread(li.select(
+    return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice",
         F.nullif(F.col("l_discount"), F.lit(0.0)).alias("l_discount"),
-        F.nullif(F.col("l_tax"), F.lit(0.0)).alias("l_tax")), *LINEITEM_KEY)
+        F.nullif(F.col("l_tax"), F.lit(0.0)).alias("l_tax"))
 
 
 def r6(c):

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Inputs in a few files are still read in as many splits as row groups allow.
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
 
@@ -74,20 +76,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-repartition ``df`` only when it has fewer partitions than cores.
-
-    For CPU-heavy per-row work (tokenising whole texts, regex dictionaries)
-    on an input that arrives in a few large splits. The check reads plan
-    metadata only; a well-split input is returned unchanged, so no shuffle
-    is added at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *cols) if cols else df.repartition(target)
-
-
 def recommended_conf(input_bytes: int, total_cores: int,
                      target_partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Spill-aware settings for a cluster run over ``input_bytes`` of input.

@@ -18,6 +18,19 @@ from pyspark.sql import types as T
 from assaylake.session import ensure_checkpoint_dir
 
 
+# The words that data-frame CSV readers take for a missing number.
+MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _dialect(rw, fmt: str):
+    """Options shared by reader and writer: fields with a separator, a quote or
+    a line end are quoted, quotes inside are doubled, outer blanks stay."""
+    return (rw.option("sep", "\t" if fmt == "tsv" else ",").option("header", True)
+            .option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -28,15 +41,35 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _from_text(f: T.StructField, missing: Sequence[str]):
+    """A number column read as text: missing words are NULL, other text that is no number raises."""
+    c = F.col(f"`{f.name}`")
+    value = c.try_cast(f.dataType)
+    bad = F.raise_error(F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), c)).cast(f.dataType)
+    return (F.when(c.isNull() | F.trim(c).isin(list(missing)), F.lit(None).cast(f.dataType))
+            .when(value.isNull(), bad).otherwise(value).alias(f.name))
+
+
 def read_assay(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str = "tsv") -> DataFrame:
-    """Read an assay table (``tsv``, ``csv``, ``parquet`` or ``json``)."""
+               fmt: str = "tsv", missing: Sequence[str] = MISSING_WORDS, multi_line: bool = True) -> DataFrame:
+    """Read an assay table (``tsv``, ``csv``, ``parquet`` or ``json``).
+
+    In delimited files the words in ``missing`` are NULL in number columns; an
+    empty unquoted text is NULL. A file with ``multi_line`` cannot be split
+    among tasks: hand large tables over as parquet, or pass False where no
+    text holds a line end.
+    """
     if fmt in ("tsv", "csv"):
         if schema is None:
             raise ValueError("declare the schema of a delimited file")
-        reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-        reader = reader.option("sep", "\t" if fmt == "tsv" else ",")
-        df = reader.csv(path)
+        declared = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        as_text = [isinstance(f.dataType, T.NumericType) for f in declared.fields]
+        read = T.StructType([T.StructField(f.name, T.StringType() if t else f.dataType)
+                             for f, t in zip(declared.fields, as_text)])
+        df = (_dialect(spark.read.schema(read), fmt).option("mode", "FAILFAST")
+              .option("multiLine", multi_line).csv(path))
+        df = df.select(*[_from_text(f, missing) if t else F.col(f"`{f.name}`")
+                         for f, t in zip(declared.fields, as_text)])
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "json":
@@ -56,7 +89,7 @@ def write_assay(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "t
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt in ("tsv", "csv"):
-        w.option("sep", "\t" if fmt == "tsv" else ",").option("header", True).csv(path)
+        _dialect(w, fmt).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:

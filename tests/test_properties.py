@@ -167,14 +167,16 @@ def test_r2_at_most_one_and_macro_is_mean(spark):
 
 def test_required_key_check(spark):
     df = spark.createDataFrame([(0, "LogD", 1.0, 1.0)], "row_id bigint, endpoint string, ref double, pred double")
-    with pytest.raises(ValueError):
-        metrics.evaluate(df, (Endpoint("LogD", False),), required=["LogD", "HLM"])
+    with pytest.raises(Exception, match="required key not present: HLM"):
+        metrics.evaluate(df, (Endpoint("LogD", False),), required=["LogD", "HLM"]).collect()
+    with pytest.raises(Exception, match="required key not present: HLM"):
+        metrics.evaluate(df, (Endpoint("LogD", False), Endpoint("HLM"))).collect()
 
 
 def test_null_prediction_raises(spark):
     df = spark.createDataFrame([(0, "LogD", 1.0, None)], "row_id bigint, endpoint string, ref double, pred double")
-    with pytest.raises(ValueError):
-        metrics.evaluate(df, (Endpoint("LogD", False),))
+    with pytest.raises(Exception, match="1 predictions are missing or not finite"):
+        metrics.evaluate(df, (Endpoint("LogD", False),)).collect()
 
 
 def test_scan_roundtrip_turns_nan_into_null(spark, tmp_path):
