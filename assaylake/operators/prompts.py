@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.numeric import fmt2
+from assaylake.operators.retrieval import jittered, props_text
 
 # ---------------------------------------------------------------------------
 # The record text format of the workflow.
@@ -26,48 +27,49 @@ ASK = "Determine "
 # ---------------------------------------------------------------------------
 
 
-def neighbour_context(merged: DataFrame, label: str = "SMILES") -> DataFrame:
-    """``(replica, query_id, context)``: neighbours in first-appearance order."""
-    piece = F.concat(F.lit(f"{label}: "), F.col("key"), F.lit(FIELD_SEP), F.col("profile"),
-                     F.lit(FIELD_SEP + SIMILARITY_LABEL), fmt2(F.col("sim")), F.lit(FIELD_SEP),
-                     F.col("props_text"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos_prop", "pos_rank", piece.alias("s"))))
-    return merged.groupBy("replica", "query_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["s"]), NEIGHBOUR_SEP).alias("context"))
-
-
 def render_prompts(queries: DataFrame, merged: DataFrame, targets: DataFrame | None,
                    properties: Sequence[str], label: str = "SMILES",
-                   replicas: int | None = None) -> DataFrame:
+                   replicas: int | None = None, seed: int = 42, jitter_sd: float = 0.02) -> DataFrame:
     """``(replica, query_id, context, question, answer)`` per query and replica.
 
-    ``queries``: query_id, key, profile. With ``targets`` (training) the
-    question asks for the query's present properties and the answer lists
-    them; without (test) the question asks for all ``properties`` and the
-    answer is NULL. A query without neighbours gets an empty context.
+    ``queries``: query_id, key, profile; ``merged``: :func:`merge_neighbours`;
+    ``targets``: :func:`query_targets` without replicas. With ``targets``
+    (training) the question asks for the query's present properties and the
+    answer lists them; without (test) the question asks for all
+    ``properties`` and the answer is NULL. A query without neighbours gets an
+    empty context. Neighbours stand in the order of their first appearance.
+
+    Everything is gathered once per query; replicas are exploded by the last
+    projection, which draws each value's jitter and writes the text, so no
+    replicated row is ever shuffled.
     """
-    q = queries.select("query_id", "key", "profile")
-    if replicas:
-        q = q.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    else:
-        q = q.withColumn("replica", F.lit(0))
-    ctx = neighbour_context(merged, label)
-    out = q.join(ctx, ["replica", "query_id"], "left")
-    head = F.concat(F.lit(f"{label}: "), F.col("key"), F.lit(FIELD_SEP), F.col("profile"),
-                    F.lit(NEIGHBOUR_SEP + ASK))
+    nb = merged.groupBy("query_id").agg(F.array_sort(F.collect_list(
+        F.struct("pos_prop", "pos_rank", "key", "profile", "sim", "props"))).alias("__nb"))
+    out = queries.select("query_id", "key", "profile").join(nb, "query_id", "left")
     if targets is not None:
-        t = targets.groupBy("replica", "query_id").agg(
+        t = targets.groupBy("query_id").agg(
             F.array_sort(F.collect_list(F.struct("prop_ord", "property", "value"))).alias("__t"))
-        out = out.join(t, ["replica", "query_id"], "left")
-        names = F.array_join(F.transform(F.coalesce("__t", F.array().cast(t.schema["__t"].dataType)),
-                                         lambda x: x["property"]), FIELD_SEP)
-        answer = F.array_join(F.transform(
-            F.coalesce("__t", F.array().cast(t.schema["__t"].dataType)),
-            lambda x: F.concat(x["property"], F.lit("="), fmt2(x["value"]))), FIELD_SEP)
+        out = out.join(t, "query_id", "left")
+    out = out.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))) if replicas else F.lit(0))
+
+    def value(x, last):
+        if not replicas:
+            return x["value"]
+        return jittered(x["value"], seed, jitter_sd, F.col("replica"), F.col("query_id"), x["property"], last)
+
+    context = F.array_join(F.transform("__nb", lambda n: F.concat(
+        F.lit(f"{label}: "), n["key"], F.lit(FIELD_SEP), n["profile"], F.lit(FIELD_SEP + SIMILARITY_LABEL),
+        fmt2(n["sim"]), F.lit(FIELD_SEP),
+        props_text(n["props"], lambda x: value(x, x["ref_id"].cast("string"))))), NEIGHBOUR_SEP)
+    if targets is not None:
+        names = F.coalesce(F.array_join(F.transform("__t", lambda x: x["property"]), FIELD_SEP), F.lit(""))
+        answer = F.coalesce(props_text(F.col("__t"), lambda x: value(x, F.lit("q"))), F.lit(""))
     else:
         names = F.lit(FIELD_SEP.join(properties))
         answer = F.lit(None).cast("string")
-    return out.select("replica", "query_id", F.coalesce("context", F.lit("")).alias("context"),
+    head = F.concat(F.lit(f"{label}: "), F.col("key"), F.lit(FIELD_SEP), F.col("profile"),
+                    F.lit(NEIGHBOUR_SEP + ASK))
+    return out.select("replica", "query_id", F.coalesce(context, F.lit("")).alias("context"),
                       F.concat(head, names).alias("question"), answer.alias("answer"))
 
 

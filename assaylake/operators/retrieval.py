@@ -65,40 +65,38 @@ def topk_neighbours(queries: DataFrame, refs: DataFrame, props: Sequence[tuple[s
             .select("query_id", "prop_ord", "property", "rank", "ref_id", "sim", "value"))
 
 
-def merge_neighbours(nb: DataFrame, ref_keys: DataFrame, replicas: int | None = None,
-                     seed: int = 42, jitter_sd: float = 0.02) -> DataFrame:
-    """One row per (replica, query, neighbour key).
-
-    ``ref_keys``: ``(ref_id, key, profile)``. With ``replicas`` every value
-    gets a N(0, jitter_sd) draw keyed by (seed, replica, query, property,
-    ref_id); otherwise replica is 0 and values are as stored. Output:
-    ``replica, query_id, key, profile, pos_prop, pos_rank, sim, props_text``.
+def jittered(value, seed: int, sd: float, replica, query, prop, last):
+    """``value`` plus a N(0, sd) draw keyed by (seed, replica, query, property, last)."""
+    key = F.concat_ws(":", F.lit(str(seed)), replica.cast("string"), query.cast("string"), prop, last)
+    return value + hashed_gauss(key, sd)
+
+
+def merge_neighbours(nb: DataFrame, ref_keys: DataFrame) -> DataFrame:
+    """One row per (query, neighbour key), before any replication.
+
+    ``ref_keys``: ``(ref_id, key, profile)``. Output: ``query_id, key, profile,
+    pos_prop, pos_rank, sim`` and ``props``, the neighbour's ``(prop_ord,
+    property, value, ref_id)`` in property order. All exchanges are on keys
+    that start with the query.
     """
-    from assaylake.functions.numeric import fmt2
     j = nb.join(ref_keys, "ref_id")
     last = F.max_by(F.struct("ref_id", "value", "sim"), F.col("rank"))
     per_prop = j.groupBy("query_id", "key", "prop_ord", "property").agg(
         last.alias("last"), F.min("rank").alias("first_rank"), F.first("profile").alias("profile"))
-    if replicas:
-        per_prop = per_prop.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-        jkey = F.concat_ws(":", F.lit(str(seed)), F.col("replica").cast("string"),
-                           F.col("query_id").cast("string"), F.col("property"),
-                           F.col("last.ref_id").cast("string"))
-        value = F.col("last.value") + hashed_gauss(jkey, jitter_sd)
-    else:
-        per_prop = per_prop.withColumn("replica", F.lit(0))
-        value = F.col("last.value")
-    per_prop = per_prop.withColumn("__v", value)
-    piece = F.struct("prop_ord", F.concat(F.col("property"), F.lit("="), fmt2(F.col("__v"))).alias("s"))
-    merged = per_prop.groupBy("replica", "query_id", "key").agg(
+    piece = F.struct("prop_ord", "property", F.col("last.value").alias("value"), F.col("last.ref_id").alias("ref_id"))
+    merged = per_prop.groupBy("query_id", "key").agg(
         F.min(F.struct("prop_ord", "first_rank")).alias("pos"),
         F.max_by(F.col("last.sim"), F.col("prop_ord")).alias("sim"),
         F.first("profile").alias("profile"),
-        F.array_sort(F.collect_list(piece)).alias("__pieces"))
-    return merged.select(
-        "replica", "query_id", "key", "profile", F.col("pos.prop_ord").alias("pos_prop"),
-        F.col("pos.first_rank").alias("pos_rank"), "sim",
-        F.array_join(F.transform("__pieces", lambda x: x["s"]), ", ").alias("props_text"))
+        F.array_sort(F.collect_list(piece)).alias("props"))
+    return merged.select("query_id", "key", "profile", F.col("pos.prop_ord").alias("pos_prop"),
+                         F.col("pos.first_rank").alias("pos_rank"), "sim", "props")
+
+
+def props_text(props, value):
+    """``name=value, ...`` of a ``props`` array; ``value`` maps an element to its number."""
+    from assaylake.functions.numeric import fmt2
+    return F.array_join(F.transform(props, lambda x: F.concat(x["property"], F.lit("="), fmt2(value(x)))), ", ")
 
 
 def query_targets(queries: DataFrame, props: Sequence[str], query_id: str = "query_id",

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -121,7 +122,7 @@ def _sims(inter, pcl, pcr):
     return union, sim
 
 
-def nearest_kernel(n_words: int, self_join: bool):
+def nearest_kernel(n_words: int, self_join: bool, sides: str = "both"):
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"__id": [], "best": [], "side": []})
@@ -135,12 +136,16 @@ def nearest_kernel(n_words: int, self_join: bool):
                 sim[idl[s:e, None] == idr[None, :]] = np.nan
             masked = np.where(np.isnan(sim), -1.0, sim)  # -1: no comparable pair
             best_l[s:e] = np.fmax(best_l[s:e], masked.max(axis=1))
-            best_r = np.fmax(best_r, masked.max(axis=0))
+            if sides != "left":
+                best_r = np.fmax(best_r, masked.max(axis=0))
         best_l[best_l < 0] = np.nan
         best_r[best_r < 0] = np.nan
-        out_l = pd.DataFrame({"__id": idl, "best": best_l, "side": "left"})
-        out_r = pd.DataFrame({"__id": idr, "best": best_r, "side": "left" if self_join else "right"})
-        out = pd.concat([out_l, out_r], ignore_index=True)
+        out = []
+        if sides != "right":
+            out.append(pd.DataFrame({"__id": idl, "best": best_l, "side": "left"}))
+        if sides != "left":
+            out.append(pd.DataFrame({"__id": idr, "best": best_r, "side": "left" if self_join else "right"}))
+        out = pd.concat(out, ignore_index=True)
         return out[out["best"].notna()]
     return fn
 
@@ -205,6 +210,7 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
         keep_ident = lp["__keep_ident"].to_numpy(bool)
         pmask = rp["__pmask"].to_numpy(np.int64)
         m = len(idr)
+        members = [np.flatnonzero((pmask >> p) & 1) for p in range(len(ks))]
         pos_key = (1 << _POS_BITS) - 1 - np.arange(m, dtype=np.int64)
         out_q, out_p, out_r, out_s = [], [], [], []
         for s, e, inter in _chunks(wl, wr):
@@ -216,17 +222,19 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
             valid &= ~(ident & ~keep_ident[s:e, None])
             simkey = np.floor(np.nan_to_num(sim) * float(1 << _SIM_BITS)).astype(np.int64)
             comp_all = (simkey << _POS_BITS) | pos_key[None, :]
+            comp_all = np.where(valid, comp_all, -1)
             for p, k in enumerate(ks):
-                ok = valid & (((pmask >> p) & 1) == 1)[None, :]
-                comp = np.where(ok, comp_all, -1)
-                kk = min(k, m)
-                if kk < m:
-                    idx = np.argpartition(-comp, kk - 1, axis=1)[:, :kk]
+                cols = members[p]  # the references that have this property
+                if not len(cols):
+                    continue
+                comp = comp_all if len(cols) == m else comp_all[:, cols]
+                if k < len(cols):
+                    idx = np.argpartition(comp, len(cols) - k, axis=1)[:, len(cols) - k:]
                 else:
-                    idx = np.broadcast_to(np.arange(m), (e - s, m))
+                    idx = np.broadcast_to(np.arange(len(cols)), (e - s, len(cols)))
                 top = np.take_along_axis(comp, idx, axis=1)
                 rows, slot = np.nonzero(top >= 0)
-                j = idx[rows, slot]
+                j = cols[idx[rows, slot]]
                 out_q.append(idl[s + rows])
                 out_p.append(np.full(len(rows), p, np.int32))
                 out_r.append(idr[j])
@@ -241,9 +249,12 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
 # --- operators ---------------------------------------------------------------
 
 def nearest(left: DataFrame, right: DataFrame | None, n_words: int, id_col: str = "id",
-            fp_col: str = "fp", block_size: int = DEFAULT_BLOCK) -> DataFrame:
+            fp_col: str = "fp", block_size: int = DEFAULT_BLOCK, sides: str = "both") -> DataFrame:
     """Closest-match similarity of every row.
 
+    ``sides`` ('both', 'left' or 'right') tells which rows are asked for; only
+    theirs leave the tasks.
+
     ``right=None``: self join, the row itself excluded -> ``(id, best_sim)``.
     Otherwise ``(side, id, best_sim)`` for both directions: ``side='left'``
     rows carry their best match on the right, ``side='right'`` the reverse.
@@ -253,7 +264,8 @@ def nearest(left: DataFrame, right: DataFrame | None, n_words: int, id_col: str
     rp = None if right is None else prepare(right, id_col, fp_col, n_words)
     bl, br = _plan(lp, rp, block_size, _min_tasks(left))
     schema = "__id bigint, best double, side string"
-    part = _cogrouped(lp, rp, bl, br).applyInPandas(nearest_kernel(n_words, rp is None), schema)
+    part = _cogrouped(lp, rp, bl, br).applyInPandas(
+        nearest_kernel(n_words, rp is None, "both" if rp is None else sides), schema)
     best = part.groupBy("side", "__id").agg(F.max("best").alias("best_sim"))
     best = best.withColumnRenamed("__id", id_col)
     return best.drop("side") if right is None else best
@@ -386,35 +398,59 @@ def identical_pairs_head(groups: DataFrame, id_col: str, n: int = 10) -> DataFra
     return cand.orderBy("i", "j").limit(n).select("i", "j")
 
 
-def _bucket(threshold: float):
-    """Popcount bucket on a geometric scale of ratio 1/threshold (pc >= 1)."""
-    ratio = math.log(1.0 / threshold)
-    return F.floor(F.log(F.col("__pc").cast("double")) / F.lit(ratio)).cast("int")
+def pair_rows(pairs: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """``pairs(i, j)`` with the columns of both rows, prefixed ``i_`` and ``j_``.
 
+    Meant for short pair lists: the rows are filtered by the pairs' ids first.
+    """
+    cols = [c for c in rows.columns if c != id_col]
+    for side in ("i", "j"):
+        own = rows.select(qcol(id_col).alias(side), *[qcol(c).alias(f"{side}_{c}") for c in cols])
+        pairs = pairs.join(own, side, "left")
+    return pairs
+
+
+def popcount_buckets(threshold: float, bits: int) -> list[int]:
+    """First popcount of each bucket, 1 to ``bits``, so that pairs that reach the
+    threshold lie in the same or adjacent buckets.
+
+    Tanimoto(a, b) <= min(|a|, |b|) / max(|a|, |b|): from a bucket's last
+    popcount ``z`` a partner has at most ``z / threshold``, which is in the
+    next bucket, as that ends at its first popcount over the threshold. The
+    bounds are exact integers; the threshold is lowered by far less than two
+    similarities can differ, for the rounding of the similarity itself.
+    """
+    t = Fraction(threshold) * (1 - Fraction(1, 1 << 40))
+    starts = [1]
+    while (nxt := math.floor(starts[-1] / t) + 1) <= bits:
+        starts.append(nxt)
+    return starts
 
-def _sub_blocks(df: DataFrame, block_size: int) -> dict[int, int]:
-    """Sub-blocks per popcount bucket (one small row per bucket to the driver)."""
-    counts = df.groupBy("__bk").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["__bk"]: max(1, math.ceil(r["n"] / block_size)) for r in counts}
 
+def _blocked(df: DataFrame, starts: list[int], bits: int, block_size: int) -> DataFrame:
+    """``df`` with its popcount bucket ``__b`` and its sub-block ``__s`` there.
 
-def _targets(buckets: dict[int, int], own: str, self_join: bool, side: str):
-    """For each row, the (bucket, sub) blocks of the other side it must meet."""
-    pairs = []
-    for b, nsub in sorted(buckets.items()):
-        pairs.append((b, nsub))
-    own_b, own_s = F.col(own + "_b"), F.col(own + "_s")
-    arr = []
-    for b, nsub in pairs:
-        for sblk in range(nsub):
-            near = F.abs(own_b - F.lit(b)) <= 1
-            if self_join:
-                # Visit each unordered block pair once: (own) <= (target).
-                later = (own_b < b) | ((own_b == b) & (own_s <= sblk))
-                near = near & (later if side == "left" else
-                               ((own_b > b) | ((own_b == b) & (own_s >= sblk))))
-            arr.append(F.when(near, F.struct(F.lit(b).alias("b"), F.lit(sblk).alias("s"))))
-    return F.filter(F.array(*arr), lambda x: x.isNotNull())
+    The tables joined in have a row for each popcount and for each bucket:
+    bounded by the fingerprint's bits.
+    """
+    spark = df.sparkSession
+    edges = [*starts[1:], bits + 1]
+    bounds = spark.createDataFrame([(b, a, z) for b, (a, z) in enumerate(zip(starts, edges))],
+                                   "__b int, __from bigint, __to bigint")
+    bucket = bounds.select("__b", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__pc"))
+    df = df.join(F.broadcast(bucket), "__pc")
+    subs = df.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("__n"))
+    return (df.join(F.broadcast(subs), "__b")
+            .withColumn("__s", F.pmod(F.xxhash64("__id"), F.col("__n")).cast("int")))
+
+
+def _meetings(df: DataFrame, other: DataFrame, own: str, far: str) -> DataFrame:
+    """Each row of ``df`` once for every block of ``other`` in its own and the adjacent buckets."""
+    blocks = other.select(F.col("__b").alias(f"{far}_b"), "__n").distinct().select(
+        f"{far}_b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(f"{far}_s"))
+    near = df.withColumnsRenamed({"__b": f"{own}_b", "__s": f"{own}_s"}).drop("__n").withColumn(
+        f"{far}_b", F.explode(F.array(*[F.col(f"{own}_b") + F.lit(k) for k in (-1, 0, 1)])))
+    return near.join(F.broadcast(blocks), f"{far}_b")
 
 
 def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, threshold: float,
@@ -422,38 +458,26 @@ def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, thresh
                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Pairs with similarity >= ``threshold`` (> 0): ``(left_id, right_id, sim)``.
 
-    Exact pruning by the popcount bound: Tanimoto(a, b) <= min(|a|, |b|) /
-    max(|a|, |b|). Rows are bucketed by popcount on a geometric scale of
-    ratio 1/threshold, so only rows in the same or adjacent buckets can
-    reach the threshold; other block pairs are never formed. Inside a bucket
-    rows are hashed into sub-blocks of at most ``block_size`` rows. A self
-    join reports each pair once with left_id < right_id.
+    Exact pruning by the popcount bound: rows are put in buckets of popcounts
+    (:func:`popcount_buckets`), so only rows in the same or adjacent buckets
+    can reach the threshold; other block pairs are never formed. Inside a
+    bucket rows are hashed into sub-blocks of about ``block_size`` rows. A
+    self join reports each pair once with left_id < right_id.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]; use similarity_distribution for all pairs")
     self_join = right is None
-    lp = prepare(left, id_col, fp_col, n_words).where(F.col("__pc") > 0)
-    rp = lp if self_join else prepare(right, id_col, fp_col, n_words).where(F.col("__pc") > 0)
-    lp = lp.withColumn("__bk", _bucket(threshold))
-    rp = rp.withColumn("__bk", _bucket(threshold))
-    lsub = _sub_blocks(lp, block_size)
-    rsub = lsub if self_join else _sub_blocks(rp, block_size)
-
-    def with_block(df, subs, own):
-        nsub = F.element_at(F.create_map(*[x for b, n in subs.items()
-                                             for x in (F.lit(b), F.lit(n))]), F.col("__bk")) \
-            if subs else F.lit(1)
-        return (df.withColumn(own + "_b", F.col("__bk"))
-                .withColumn(own + "_s", F.pmod(F.xxhash64("__id"), nsub).cast("int")))
-
-    lt = with_block(lp, lsub, "__l")
-    rt = with_block(rp, rsub, "__r")
+    starts = popcount_buckets(threshold, 64 * n_words)
+    lt = _blocked(prepare(left, id_col, fp_col, n_words).where(F.col("__pc") > 0), starts, 64 * n_words, block_size)
+    lt = cut_lineage(lt)
+    rt = lt.select(*[F.col(c).alias(c) for c in lt.columns]) if self_join else cut_lineage(
+        _blocked(prepare(right, id_col, fp_col, n_words).where(F.col("__pc") > 0), starts, 64 * n_words, block_size))
+    lside, rside = _meetings(lt, rt, "__l", "__r"), _meetings(rt, lt, "__r", "__l")
     if self_join:
-        rt = rt.select(*[F.col(c).alias(c) for c in rt.columns])
-    lside = (lt.withColumn("__t", F.explode(_targets(rsub, "__l", self_join, "left")))
-             .select("*", F.col("__t.b").alias("__r_b"), F.col("__t.s").alias("__r_s")).drop("__t"))
-    rside = (rt.withColumn("__t", F.explode(_targets(lsub, "__r", self_join, "right")))
-             .select("*", F.col("__t.b").alias("__l_b"), F.col("__t.s").alias("__l_s")).drop("__t"))
+        # Visit each unordered block pair once.
+        later = (F.col("__l_b") < F.col("__r_b")) | ((F.col("__l_b") == F.col("__r_b"))
+                                                     & (F.col("__l_s") <= F.col("__r_s")))
+        lside, rside = lside.where(later), rside.where(later)
     keys_ = ["__l_b", "__l_s", "__r_b", "__r_s"]
 
     def fn(key, l_pdf, r_pdf):

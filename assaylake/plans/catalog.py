@@ -174,6 +174,18 @@ def q_normalise_keys(spark, sf_dir):
     return text_keys(spark, sf_dir).select("doc_id", *_digest(F.col("key"), "key"))
 
 
+# A second key: the largest sentence only, the same clean-up, and the check made on what is left.
+SECOND_KEY_RULES = (txt.largest_component, *TEXT_KEY_RULES)
+
+
+@query("second_keys")
+def q_second_keys(spark, sf_dir):
+    """First key, second key from it, and the second rejected again where it has become too short."""
+    first = text_keys(spark, sf_dir).select("doc_id", "key")
+    both = keys.normalise_keys(first, "key", SECOND_KEY_RULES, TEXT_KEY_REJECT, out="second")
+    return both.select("doc_id", *_digest(F.col("key"), "key"), *_digest(F.col("second"), "second"))
+
+
 @query("reject_count")
 def q_reject_count(spark, sf_dir):
     return keys.reject_count(text_keys(spark, sf_dir), "key")
@@ -313,6 +325,23 @@ def q_histogram_auto(spark, sf_dir):
     return _round_doubles(profile.histogram(measurements(spark, sf_dir), LINEITEM_VALUES, "auto"))
 
 
+HIST_RANGE = (0.02, 40.0)
+
+
+@query("histogram_range")
+def q_histogram_range(spark, sf_dir):
+    """Automatic bins on an axis that all columns share."""
+    return _round_doubles(profile.histogram(measurements(spark, sf_dir), LINEITEM_VALUES, "auto", HIST_RANGE))
+
+
+@query("group_range_histogram")
+def q_group_range_histogram(spark, sf_dir):
+    """Histogram of the ranges inside groups of repeated measurements."""
+    m = measurements(spark, sf_dir)
+    ranges = keys.group_range(m, LINEITEM_KEY, LINEITEM_VALUES, LINEITEM_ORDER, members="extras")
+    return _round_doubles(profile.histogram(ranges, [f"range_{v}" for v in LINEITEM_VALUES], HIST_BINS))
+
+
 @query("histogram_fixed")
 def q_histogram_fixed(spark, sf_dir):
     return _round_doubles(profile.histogram(measurements(spark, sf_dir), LINEITEM_VALUES, 30))
@@ -405,6 +434,18 @@ def q_evaluate_macro(spark, sf_dir):
     return _round_doubles(res.where(F.col("endpoint") == "aggregated"))
 
 
+@query("score_end_to_end")
+def q_score_end_to_end(spark, sf_dir):
+    """Predictions to linear scale, references by endpoint, aligned and scored."""
+    m = keys.with_row_id(measurements(spark, sf_dir), LINEITEM_ORDER, "row_id")
+    ids = ["row_id"]
+    preds = m.select(*ids, *[num.log10p1(F.coalesce(F.col(e.name), F.lit(0.0)) * 1.1 + 0.5)
+                             .alias(f"pred_{e.log_name}") for e in LINEITEM_ENDPOINTS])
+    pairs = metrics.align(metrics.extract_predictions(preds, LINEITEM_ENDPOINTS, ids),
+                          metrics.extract_references(m, LINEITEM_ENDPOINTS, ids), ids, LINEITEM_ENDPOINTS)
+    return _round_doubles(metrics.evaluate(pairs, LINEITEM_ENDPOINTS))
+
+
 # --- step 5: fingerprints and similarity -------------------------------------
 
 
@@ -487,21 +528,21 @@ def q_tanimoto_pairs(spark, sf_dir):
     return _round_doubles(sim.similarity_histogram(dist, HIST_BINS))
 
 
-def _train_test_nearest(spark, sf_dir):
+def _train_test_nearest(spark, sf_dir, side):
     train, test = split_fps(spark, sf_dir)
-    return sim.nearest(train, test, FP_WORDS, "doc_id")
+    return sim.nearest(train, test, FP_WORDS, "doc_id", sides=side)
 
 
 @query("nearest_left")
 def q_nearest_left(spark, sf_dir):
-    n = _train_test_nearest(spark, sf_dir)
-    return _round_doubles(n.where(F.col("side") == "left").select("doc_id", "best_sim"))
+    n = _train_test_nearest(spark, sf_dir, "left")
+    return _round_doubles(n.select("doc_id", "best_sim"))
 
 
 @query("nearest_right")
 def q_nearest_right(spark, sf_dir):
-    n = _train_test_nearest(spark, sf_dir)
-    return _round_doubles(n.where(F.col("side") == "right").select("doc_id", "best_sim"))
+    n = _train_test_nearest(spark, sf_dir, "right")
+    return _round_doubles(n.select("doc_id", "best_sim"))
 
 
 @query("nearest_other")
@@ -509,6 +550,19 @@ def q_nearest_other(spark, sf_dir):
     return _round_doubles(sim.nearest(train_fps(spark, sf_dir), None, FP_WORDS, "doc_id"))
 
 
+@query("nearest_histogram")
+def q_nearest_histogram(spark, sf_dir):
+    """Histogram of the closest-match similarities of the training documents."""
+    best = sim.nearest(train_fps(spark, sf_dir), None, FP_WORDS, "doc_id")
+    return _round_doubles(profile.histogram(best, ["best_sim"], HIST_BINS))
+
+
+@query("threshold_pairs")
+def q_threshold_pairs(spark, sf_dir):
+    """Training documents whose fingerprints reach a similarity of 0.5."""
+    return _round_doubles(sim.tanimoto_join(train_fps(spark, sf_dir), None, FP_WORDS, 0.5, "doc_id"))
+
+
 @query("pair_histogram")
 def q_pair_histogram(spark, sf_dir):
     dist = sim.similarity_distribution(train_fps(spark, sf_dir), None, FP_WORDS, "doc_id",
@@ -527,6 +581,16 @@ def q_identical_pairs_head(spark, sf_dir):
     return sim.identical_pairs_head(groups, "doc_id", 10)
 
 
+@query("identical_pair_rows")
+def q_identical_pair_rows(spark, sf_dir):
+    """The first identical pairs with the rows of both members."""
+    pairs = q_identical_pairs_head(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    return sim.pair_rows(pairs, docs, "doc_id").select(
+        "i", "j", "i_lang", "j_lang", "i_n_chars", "j_n_chars", *_digest(F.col("i_text"), "i_text"),
+        *_digest(F.col("j_text"), "j_text"))
+
+
 @query("near_identical_count")
 def q_near_identical_count(spark, sf_dir):
     return sim.identical_pair_counts(sim.identical_groups(train_fps(spark, sf_dir), "doc_id"))
@@ -628,9 +692,8 @@ class _Retrieval:
         q = self.queries if queries is None else queries
         return retrieval.topk_neighbours(q, self.refs, RETRIEVAL_PROPS, PATTERN_WORDS)
 
-    def merged(self, nb, replicas=None):
-        keys_ = self.refs.select("ref_id", "key", "profile")
-        return retrieval.merge_neighbours(nb, keys_, replicas, RANDOM_SEED, JITTER_SD)
+    def merged(self, nb):
+        return retrieval.merge_neighbours(nb, self.refs.select("ref_id", "key", "profile"))
 
 
 def _neighbours(spark, sf_dir):
@@ -646,7 +709,8 @@ def q_topk_neighbours(spark, sf_dir):
 def q_merge_neighbours(spark, sf_dir):
     r = _Retrieval(spark, sf_dir)
     m = r.merged(r.neighbours())
-    return _round_doubles(m.select("query_id", "key", "pos_prop", "pos_rank", "sim", "props_text"))
+    return _round_doubles(m.select("query_id", "key", "pos_prop", "pos_rank", "sim", retrieval.props_text(
+        F.col("props"), lambda x: x["value"]).alias("props_text")))
 
 
 def _train_queries(spark, sf_dir):
@@ -677,10 +741,9 @@ def train_prompts(spark, sf_dir):
     r = _Retrieval(spark, sf_dir)
     train_q = r.queries.where(~F.col("is_test"))
     nb = r.neighbours(train_q)
-    merged = r.merged(nb, N_REPLICAS)
-    targets = retrieval.query_targets(train_q, INTERNAL_PROPS, replicas=N_REPLICAS,
-                                      seed=RANDOM_SEED, jitter_sd=JITTER_SD)
-    return prompts.render_prompts(train_q, merged, targets, INTERNAL_PROPS, KEY_LABEL, N_REPLICAS)
+    targets = retrieval.query_targets(train_q, INTERNAL_PROPS)
+    return prompts.render_prompts(train_q, r.merged(nb), targets, INTERNAL_PROPS, KEY_LABEL, N_REPLICAS,
+                                  RANDOM_SEED, JITTER_SD)
 
 
 @query("render_prompts")

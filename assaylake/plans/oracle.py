@@ -133,6 +133,13 @@ _KEYS = f"""k AS (
   SELECT doc_id, CASE WHEN length(n) < 10 OR regexp_matches(n, '[0-9]{{6,}}') THEN NULL ELSE n END AS key
   FROM (SELECT doc_id, {_NORM} AS n FROM documents))"""
 SQL["normalise_keys"] = f"WITH {_KEYS} SELECT doc_id, {_digest('key', 'key')} FROM k"
+_LARGEST_OF = ("list_reduce(list_prepend('', string_split({x}, '.')), "
+               "lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END)")
+SQL["second_keys"] = f"""WITH {_KEYS},
+s AS (SELECT doc_id, key, {_NORM.replace('text', _LARGEST_OF.format(x='key'))} AS n FROM k),
+t AS (SELECT doc_id, key, CASE WHEN key IS NULL OR length(n) < 10 OR regexp_matches(n, '[0-9]{{6,}}')
+                               THEN NULL ELSE n END AS second FROM s)
+SELECT doc_id, {_digest('key', 'key')}, {_digest('second', 'second')} FROM t"""
 SQL["reject_count"] = f"WITH {_KEYS} SELECT count(*) FILTER (WHERE key IS NULL)::BIGINT AS n_rejected FROM k"
 
 _LARGEST = ("list_reduce(list_prepend('', string_split(text, '.')), "
@@ -232,16 +239,19 @@ SELECT "column", count(*)::BIGINT AS count, round(avg(value), 6) AS mean,
 FROM long GROUP BY "column" """
 
 
-def _hist(nbins_sql: str) -> str:
+def _hist(nbins_sql: str, ctes: str = f"{_M}, long AS ({_long('m', _VALS)})", lo: float | None = None,
+          hi: float | None = None) -> str:
+    where, mn, mx = ("", "min(value)", "max(value)") if lo is None else (
+        f"WHERE value BETWEEN {lo} AND {hi}", f"{lo}::DOUBLE", f"{hi}::DOUBLE")
     return f"""
-WITH {_M}, long AS ({_long('m', _VALS)}),
-st AS (SELECT "column", count(*) AS n, min(value) AS mn, max(value) AS mx,
+WITH {ctes.replace('long AS', 'long0 AS')}, long AS (SELECT * FROM long0 {where}),
+st AS (SELECT "column", count(*) AS n, {mn} AS mn, {mx} AS mx, max(value) - min(value) AS ptp,
               quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr
        FROM long GROUP BY "column"),
 w AS (SELECT *, CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS lo,
                 CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi,
-                least(greatest(2.0 * iqr * pow(n::DOUBLE, -1.0 / 3.0), (mx - mn) / sqrt(n) / 2.0),
-                      (mx - mn) / (log2(n) + 1.0)) AS width
+                least(greatest(2.0 * iqr * pow(n::DOUBLE, -1.0 / 3.0), ptp / sqrt(n) / 2.0),
+                      ptp / (log2(n) + 1.0)) AS width
       FROM st),
 e AS (SELECT "column", lo, hi, ({nbins_sql})::BIGINT AS nbins,
       FROM w),
@@ -256,6 +266,13 @@ FROM b LEFT JOIN c USING ("column", bin)"""
 
 SQL["histogram_auto"] = _hist("CASE WHEN width > 0 THEN ceil((hi - lo) / width) ELSE 1 END")
 SQL["histogram_fixed"] = _hist("30")
+SQL["histogram_range"] = _hist("CASE WHEN width > 0 THEN ceil((hi - lo) / width) ELSE 1 END", lo=0.02, hi=40.0)
+SQL["group_range_histogram"] = _hist("30", f"""{_M}, x AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_ORDER}) AS rn
+                 FROM m) WHERE rn > 1),
+gr AS (SELECT {", ".join(f"max({v}) - min({v}) AS range_{v}" for v in _VALS)}
+       FROM x WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY l_partkey, l_suppkey),
+long AS ({_long('gr', [f"range_{v}" for v in _VALS])})""")
 
 _corr_parts = []
 for _i, _a in enumerate(_VALS):
@@ -383,6 +400,18 @@ SELECT 'aggregated' AS endpoint, sum(n)::BIGINT AS n, round(avg(mean_absolute_er
        round(avg(r2), 6) AS r2 FROM per"""
 
 
+_SCORED = " UNION ALL ".join(
+    f"SELECT '{v}' AS endpoint, {_log10p1(v)} AS y, "
+    f"{_log10p1('pow(10.0, ' + _log10p1(f'coalesce({v}, 0.0) * 1.1 + 0.5') + ') - 1.0')} AS p FROM m WHERE {v} IS NOT NULL"
+    for v in _VALS)
+SQL["score_end_to_end"] = f"""WITH {_M}, ev AS ({_SCORED}),
+per AS (
+  SELECT endpoint, count(*)::BIGINT AS n, avg(abs(y - p)) AS mae,
+         1.0 - sum((y - p) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM ev GROUP BY endpoint)
+SELECT endpoint, n, round(mae, 6) AS mean_absolute_error, round(r2, 6) AS r2 FROM per
+UNION ALL SELECT 'aggregated', sum(n)::BIGINT, round(avg(mae), 6), round(avg(r2), 6) FROM per"""
+
+
 # --- step 5 -----------------------------------------------------------------
 
 _NW = 16
@@ -488,6 +517,16 @@ SQL["nearest_right"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'test')}
 SELECT j AS doc_id, round(max(inter / uni), 6) AS best_sim FROM pairs WHERE uni > 0 GROUP BY j"""
 SQL["nearest_other"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id <> b.doc_id')}
 SELECT i AS doc_id, round(max(inter / uni), 6) AS best_sim FROM pairs WHERE uni > 0 GROUP BY i"""
+SQL["nearest_histogram"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id <> b.doc_id')},
+best AS (SELECT i, max(inter / uni) AS sim FROM pairs WHERE uni > 0 GROUP BY i),
+e AS (SELECT CASE WHEN max(sim) = min(sim) THEN min(sim) - 0.5 ELSE min(sim) END AS lo,
+             CASE WHEN max(sim) = min(sim) THEN max(sim) + 0.5 ELSE max(sim) END AS hi FROM best),
+c AS (SELECT least(floor((sim - lo) / (hi - lo) * 30), 29)::BIGINT AS bin, count(*) AS cnt FROM best, e GROUP BY ALL)
+SELECT 'best_sim' AS "column", r.bin, round(lo + r.bin * ((hi - lo) / 30), 6) AS bin_lo,
+       round(lo + (r.bin + 1) * ((hi - lo) / 30), 6) AS bin_hi, coalesce(cnt, 0)::BIGINT AS count
+FROM (SELECT range AS bin FROM range(30)) r CROSS JOIN e LEFT JOIN c USING (bin)"""
+SQL["threshold_pairs"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id < b.doc_id')}
+SELECT i AS left_id, j AS right_id, round(inter / uni, 6) AS sim FROM pairs WHERE uni > 0 AND inter / uni >= 0.5"""
 SQL["pair_histogram"] = f"WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id < b.doc_id')}, {_sim_hist()}"
 
 _IDENT = f"""ident AS (
@@ -497,6 +536,10 @@ SQL["identical_pairs"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
 SELECT i AS doc_id, least(i, min(j))::BIGINT AS twin_group, count(*)::BIGINT AS n_partners FROM ident GROUP BY i"""
 SQL["identical_pairs_head"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
 SELECT i, j FROM ident ORDER BY i, j LIMIT 10"""
+SQL["identical_pair_rows"] = f"""WITH {_FPW}, {_TT}, {_IDENT}, p AS (SELECT i, j FROM ident ORDER BY i, j LIMIT 10)
+SELECT i, j, a.lang AS i_lang, b.lang AS j_lang, a.n_chars AS i_n_chars, b.n_chars AS j_n_chars,
+       {_digest('a.text', 'i_text')}, {_digest('b.text', 'j_text')}
+FROM p JOIN documents a ON a.doc_id = i JOIN documents b ON b.doc_id = j"""
 SQL["near_identical_count"] = f"""WITH {_FPW}, {_TT}, {_IDENT}
 SELECT count(DISTINCT i)::BIGINT AS n_rows_identical, count(*)::BIGINT AS n_identical_pairs FROM ident"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,9 @@ DEFAULT_CONF = {
 }
 
 
+_WRITTEN: list[str] = []  # tables written by cut_lineage and not dropped yet
+
+
 def get_spark(master: str | None = None, app: str = "assaylake",
               shuffle_partitions: int | None = None,
               conf: dict[str, str] | None = None) -> SparkSession:
@@ -69,13 +73,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     cluster names, and read back with a plan that starts at the files, so a
     lost executor re-reads instead of recomputing the lineage.
     """
-    import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut_lineage` wrote so far; returns how many.
+
+    For the caller that knows its results have been written: frames that
+    still read these tables fail afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def recommended_conf(input_bytes: int, total_cores: int,
                      target_partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Spill-aware settings for a cluster run over ``input_bytes`` of input.

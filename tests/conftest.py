@@ -8,8 +8,9 @@ sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from assaylake.session import ensure_checkpoint_dir, get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=8)
-    ensure_checkpoint_dir(s)
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = get_spark(master="local[4]", shuffle_partitions=8, conf={"spark.checkpoint.dir": shared})
+    assert ensure_checkpoint_dir(s)
     yield s
