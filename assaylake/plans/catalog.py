@@ -25,7 +25,7 @@ from assaylake.plans.proxies import (
     measurements, r6, table,
 )
 from assaylake.schema import (
-    ENDPOINTS, FP_BITS, FP_RADIUS, HIST_BINS, JITTER_SD, N_REPLICAS, PROPERTIES,
+    ENDPOINTS, FP_BITS, FP_RADIUS, HIST_BINS, JITTER_SD, N_FOLDS, N_REPLICAS, PROPERTIES,
     RANDOM_SEED, TOPK_EXTERNAL, TOPK_TARGET, Endpoint,
 )
 from assaylake.session import cut_lineage
@@ -234,13 +234,13 @@ def _clean_keys(spark, sf_dir):
 
 @query("kfold")
 def q_kfold(spark, sf_dir):
-    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
+    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, N_FOLDS, RANDOM_SEED)
     return folds.select(*LINEITEM_KEY, "fold", "split")
 
 
 @query("kfold_sizes")
 def q_kfold_sizes(spark, sf_dir):
-    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
+    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, N_FOLDS, RANDOM_SEED)
     return splits.kfold_sizes(folds)
 
 
@@ -851,7 +851,7 @@ def q_stage_shapes(spark, sf_dir):
 @query("fold_files")
 def q_fold_files(spark, sf_dir):
     """All folds written in one pass (one folder per fold) and read back."""
-    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, 5, 42)
+    folds = splits.kfold(_clean_keys(spark, sf_dir).select(*LINEITEM_KEY), LINEITEM_KEY, N_FOLDS, RANDOM_SEED)
     path = sources.scratch_path(spark, "folds")
     sources.write_folds(folds, path, fmt="parquet")
     back = spark.read.parquet(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from assaylake.functions.text import ANSWER_PAIR_REGEX
+from assaylake.plans.catalog import TEXT_PATTERNS
+from assaylake.schema import PROPERTIES
+
 SQL: dict[str, str] = {}
 
 # lineitem in the measurement role: zero discount / tax = not measured.
@@ -341,7 +345,7 @@ def finalize() -> dict[str, str]:
 
 # --- step 4 -----------------------------------------------------------------
 
-_ANS_RE = r"(\w+(?:-\w+)*?)=(-?\d+\.\d+)"
+_ANS_RE = ANSWER_PAIR_REGEX.removeprefix("(?U)")
 _K = "json_extract_string(props, '$.k')"
 _CAND = f"""cand AS (
   SELECT user_id AS query_id, event_id AS candidate_no,
@@ -361,7 +365,7 @@ _PARSED = f"""parsed AS (
         FROM (SELECT query_id, candidate_no,
                      regexp_extract_all(trim(text), '{_ANS_RE}', 1) AS names,
                      regexp_extract_all(trim(text), '{_ANS_RE}', 2) AS vals FROM cand)))"""
-_PROPS = ["LogHLM", "LogMLM", "LogD", "LogKSOL", "LogMDR1-MDCKII"]
+_PROPS = PROPERTIES
 _AVG = f"""avgd AS (
   SELECT c.query_id,
          {", ".join(f'CASE WHEN NOT bool_or(p.pair_no IS NULL) THEN avg(p.value) FILTER (WHERE p.name = \'{p}\') END AS "{p}"' for p in _PROPS)}
@@ -450,19 +454,11 @@ SQL["hashed_fingerprint"] = f"""
 SELECT doc_id, {", ".join(f"{_signed(f'u{j}')} AS w{j:02d}" for j in range(_NW))}, pc AS n_bits_set
 FROM {_hashed_fp('documents', 'doc_id')}"""
 
-_PATTERNS = (
-    [f"[{c.upper()}{c}]{{2}}" for c in "abcdefghijklmnopqrstuvwxyz"]
-    + [str(d) for d in range(10)]
-    + [",", ";", ":", "!", r"\?", r"\(", '"', "'", "-", r"\|"]
-    + [r"\n\n", "[A-Z]{3}", "[0-9]{4}", "https?://", "@", r"[^\x00-\x7F]", "  ", r"\.\.\."]
-)
-
-
 def _pattern_terms() -> str:
     return " | ".join(
         f"(CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') "
         f"THEN (1::UBIGINT << {i}) ELSE 0::UBIGINT END)"
-        for i, p in enumerate(_PATTERNS))
+        for i, p in enumerate(TEXT_PATTERNS))
 
 
 def _pattern_fp(src: str, id_col: str) -> str:

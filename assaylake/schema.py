@@ -42,9 +42,6 @@ ENDPOINTS = (
 )
 # Model-side property names, in prompt order.
 PROPERTIES = ["LogHLM", "LogMLM", "LogD", "LogKSOL", "LogMDR1-MDCKII"]
-# Properties of the external reference set.
-EXTERNAL_PROPERTIES = ["LOG_HLM_CLint", "LOG_RLM_CLint", "LOG_MDR1-MDCK_ER",
-                       "LOG_HPPB", "LOG_RPPB", "LOG_SOLUBILITY"]
 TOPK_TARGET = 5
 TOPK_EXTERNAL = 3
 N_REPLICAS = 10

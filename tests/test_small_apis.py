@@ -1,8 +1,11 @@
-"""Small APIs: alignment, references, flattening, write-once cache, column picks."""
+"""Small APIs: alignment, references, flattening, write-once cache, column picks, paths."""
 
+import json
+
+from assaylake import functions as fn
 from assaylake.operators import keys, metrics
 from assaylake.schema import Endpoint
-from assaylake.sources import flatten_records, read_assay, write_assay
+from assaylake.sources import flatten_records, prompt_path, read_assay, write_assay, write_chat_jsonl
 
 EPS = (Endpoint("HLM"), Endpoint("LogD", log_encoded=False))
 
@@ -40,3 +43,22 @@ def test_endpoint_columns(spark):
     df = spark.createDataFrame([("s", 1.0, 2.0, 3.0)], "smiles string, a double, b double, c double")
     assert keys.endpoint_columns(df, start=1) == ["a", "b", "c"]
     assert keys.endpoint_columns(df, exclude=["smiles", "b"]) == ["a", "c"]
+
+
+def test_near_equality_as_numpy(spark):
+    rows = [(1.0, True), (1.0 + 1e-5, True), (1.0 + 1.1e-5, False), (0.99, False), (None, None)]
+    df = spark.createDataFrame(rows, "x double, want boolean")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", fn.is_close("x")).collect())
+
+
+def test_rejected_keys_are_dropped(spark):
+    df = spark.createDataFrame([("a",), (None,), ("",)], "k string")
+    assert [r["k"] for r in keys.drop_rejected(df, "k").collect()] == ["a", ""]
+
+
+def test_output_name_and_uri(spark, tmp_path):
+    path = prompt_path(f"file:{tmp_path}/", 5, 3)
+    assert path == f"file:{tmp_path}/records_top5target_3ext_train.jsonl"
+    write_chat_jsonl(spark.sql("SELECT named_struct('a', 1, 'b', cast(null AS string)) AS record"), path)
+    lines = [x for p in (tmp_path / path.rsplit("/", 1)[1]).glob("part-*") for x in p.read_text().splitlines()]
+    assert [json.loads(x) for x in lines] == [{"a": 1}]
