@@ -26,3 +26,25 @@ def test_kernels_run_from_another_directory(tmp_path):
     assert line, out.stderr[-2000:]
     _, n, m = line[0].split()
     assert int(n) > 0 and int(m) > 0
+
+
+def test_entry_without_the_text_pipeline():
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+sys.modules["assaylake.llm"] = None  # as if the folder were not there
+import __spark_entry__ as E
+from assaylake.plans.catalog import QUERIES
+assert set(E.queries()) == set(QUERIES) == set(E.oracle_sql())
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=300)
+
+
+def test_nothing_else_imports_the_text_pipeline():
+    for folder, _, files in os.walk(os.path.join(ROOT, "assaylake")):
+        if os.path.basename(folder) == "llm":
+            continue
+        for f in files:
+            if f.endswith(".py"):
+                with open(os.path.join(folder, f)) as text:
+                    assert "assaylake.llm" not in text.read(), f
