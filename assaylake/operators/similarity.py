@@ -34,6 +34,8 @@ from assaylake.session import cut_lineage, ensure_importable
 
 DEFAULT_BLOCK = 4096
 _CHUNK = 256
+_SUB = 4096         # right rows compared with a chunk at a time
+_RIGHT_FACTOR = 8   # right blocks hold so many times the rows of left ones: fewer partial results
 _SIM_BITS = 40      # sim -> floor(sim * 2^40): distinct ratios stay distinct
 _POS_BITS = 20      # position inside a right block (block_size <= 2^20)
 
@@ -54,12 +56,12 @@ def _n_blocks(n: int, block_size: int) -> int:
     return max(1, math.ceil(n / block_size))
 
 
-def _plan(left: DataFrame, right: DataFrame | None, block_size: int, min_tasks: int):
-    if block_size > (1 << _POS_BITS):
-        raise ValueError("block_size must be <= 2^20")
+def _plan(left: DataFrame, right: DataFrame | None, block_size: int, min_tasks: int, right_factor: int = 1):
+    if block_size * right_factor > (1 << _POS_BITS) // 4:
+        raise ValueError("block_size times the right factor must be <= 2^18")
     nl = left.count()
     nr = nl if right is None else right.count()
-    bl, br = _n_blocks(nl, block_size), _n_blocks(nr, block_size)
+    bl, br = _n_blocks(nl, block_size), _n_blocks(nr, block_size * (1 if right is None else right_factor))
     # Enough block pairs to keep every core busy, without tiny blocks.
     while bl * br < min_tasks and (nl / bl > 256 or nr / br > 256):
         if nl / bl >= nr / br:
@@ -122,31 +124,65 @@ def _sims(inter, pcl, pcr):
     return union, sim
 
 
+def _windows(pcr: np.ndarray) -> list[np.ndarray]:
+    """Columns of a right block in windows of similar popcount."""
+    order = np.argsort(pcr, kind="stable")
+    return [order[a:a + _SUB] for a in range(0, len(order), _SUB)]
+
+
+def _bounds(pcl: np.ndarray, pcr: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+    """Upper bound of the similarities of a left chunk (sorted by popcount) to each window:
+    Tanimoto(a, b) <= min(|a|, |b|) / max(|a|, |b|)."""
+    lo = np.array([pcr[w[0]] for w in windows], float)
+    hi = np.array([pcr[w[-1]] for w in windows], float)
+    a, z = float(pcl[0]), float(pcl[-1])
+    return np.where(hi < a, hi / max(a, 1.0), np.where(lo > z, z / np.maximum(lo, 1.0), 1.0))
+
+
+def _intersections(wl: np.ndarray, wr: np.ndarray) -> np.ndarray:
+    acc = np.zeros((len(wl), len(wr)), dtype=np.int32)
+    for j in range(wl.shape[1]):
+        acc += np.bitwise_count(wl[:, j, None] & wr[None, :, j])
+    return acc
+
+
+def _by_popcount(ids, pc, w):
+    order = np.argsort(pc, kind="stable")
+    return order, ids[order], pc[order], w[order]
+
+
 def nearest_kernel(n_words: int, self_join: bool, sides: str = "both"):
+    """Best similarity of each row asked for; windows that cannot better any are skipped."""
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"__id": [], "best": [], "side": []})
-        _, idl, pcl, wl = _arrays(lp, n_words)
+        _, idl, pcl, wl = _by_popcount(*_arrays(lp, n_words)[1:])
         _, idr, pcr, wr = _arrays(rp, n_words)
-        best_l = np.full(len(idl), np.nan)
-        best_r = np.full(len(idr), np.nan)
-        for s, e, inter in _chunks(wl, wr):
-            _, sim = _sims(inter, pcl[s:e], pcr)
-            if self_join:
-                sim[idl[s:e, None] == idr[None, :]] = np.nan
-            masked = np.where(np.isnan(sim), -1.0, sim)  # -1: no comparable pair
-            best_l[s:e] = np.fmax(best_l[s:e], masked.max(axis=1))
-            if sides != "left":
-                best_r = np.fmax(best_r, masked.max(axis=0))
-        best_l[best_l < 0] = np.nan
-        best_r[best_r < 0] = np.nan
+        best_l = np.full(len(idl), -1.0)  # -1: no comparable pair
+        best_r = np.full(len(idr), -1.0)
+        windows = _windows(pcr)
+        for s in range(0, len(idl), _CHUNK):
+            rows = slice(s, min(len(idl), s + _CHUNK))
+            bound = _bounds(pcl[rows], pcr, windows)
+            for c in np.argsort(-bound, kind="stable"):
+                cols = windows[c]
+                if (sides == "right" or bound[c] <= best_l[rows].min()) and \
+                        (sides == "left" or bound[c] <= best_r[cols].min()):
+                    continue
+                _, sim = _sims(_intersections(wl[rows], wr[cols]), pcl[rows], pcr[cols])
+                if self_join:
+                    sim[idl[rows, None] == idr[None, cols]] = np.nan
+                sim = np.nan_to_num(sim, nan=-1.0)
+                best_l[rows] = np.maximum(best_l[rows], sim.max(axis=1))
+                if sides != "left":
+                    best_r[cols] = np.maximum(best_r[cols], sim.max(axis=0))
         out = []
         if sides != "right":
             out.append(pd.DataFrame({"__id": idl, "best": best_l, "side": "left"}))
         if sides != "left":
             out.append(pd.DataFrame({"__id": idr, "best": best_r, "side": "left" if self_join else "right"}))
         out = pd.concat(out, ignore_index=True)
-        return out[out["best"].notna()]
+        return out[out["best"] >= 0]
     return fn
 
 
@@ -196,51 +232,63 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
 
     Order: similarity descending, right id ascending (exact: the similarity
     is turned into an integer that keeps distinct ratios distinct, joined
-    with the row's position in the id-sorted block). A left row with
+    with the row's position in the id-sorted block). The right block is taken
+    in windows of similar popcount, the likeliest first, until the popcount
+    bound shows that no other window can change a result. A left row with
     ``__keep_ident`` false skips right rows with an identical fingerprint.
     """
     ks = list(ks)
 
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        cols = {"__qid": [], "__prop": [], "__rid": [], "sim": []}
+        cols_out = {"__qid": [], "__prop": [], "__rid": [], "sim": []}
         if lp.empty or rp.empty:
-            return pd.DataFrame(cols)
+            return pd.DataFrame(cols_out)
         lp, idl, pcl, wl = _arrays(lp, n_words)
         rp, idr, pcr, wr = _arrays(rp, n_words)
-        keep_ident = lp["__keep_ident"].to_numpy(bool)
+        order, idl, pcl, wl = _by_popcount(idl, pcl, wl)
+        keep_ident = lp["__keep_ident"].to_numpy(bool)[order]
         pmask = rp["__pmask"].to_numpy(np.int64)
-        m = len(idr)
-        members = [np.flatnonzero((pmask >> p) & 1) for p in range(len(ks))]
-        pos_key = (1 << _POS_BITS) - 1 - np.arange(m, dtype=np.int64)
+        has = [((pmask >> p) & 1) == 1 for p in range(len(ks))]
+        asked = [p for p in range(len(ks)) if has[p].any()]
+        last = (1 << _POS_BITS) - 1
+        pos_key = last - np.arange(len(idr), dtype=np.int64)  # smaller ids first among equals
+        windows = _windows(pcr)
         out_q, out_p, out_r, out_s = [], [], [], []
-        for s, e, inter in _chunks(wl, wr):
-            union, sim = _sims(inter, pcl[s:e], pcr)
-            valid = union > 0
-            if self_join:
-                valid &= idl[s:e, None] != idr[None, :]
-            ident = (inter == pcl[s:e, None]) & (inter == pcr[None, :]) & (pcr[None, :] > 0)
-            valid &= ~(ident & ~keep_ident[s:e, None])
-            simkey = np.floor(np.nan_to_num(sim) * float(1 << _SIM_BITS)).astype(np.int64)
-            comp_all = (simkey << _POS_BITS) | pos_key[None, :]
-            comp_all = np.where(valid, comp_all, -1)
-            for p, k in enumerate(ks):
-                cols = members[p]  # the references that have this property
-                if not len(cols):
-                    continue
-                comp = comp_all if len(cols) == m else comp_all[:, cols]
-                if k < len(cols):
-                    idx = np.argpartition(comp, len(cols) - k, axis=1)[:, len(cols) - k:]
-                else:
-                    idx = np.broadcast_to(np.arange(len(cols)), (e - s, len(cols)))
-                top = np.take_along_axis(comp, idx, axis=1)
-                rows, slot = np.nonzero(top >= 0)
-                j = cols[idx[rows, slot]]
-                out_q.append(idl[s + rows])
-                out_p.append(np.full(len(rows), p, np.int32))
+        for s in range(0, len(idl), _CHUNK):
+            rows = slice(s, min(len(idl), s + _CHUNK))
+            best = {p: np.full((rows.stop - s, ks[p]), -1, np.int64) for p in asked}
+            bound = _bounds(pcl[rows], pcr, windows)
+            for c in np.argsort(-bound, kind="stable"):
+                # Windows come by falling bound: stop when no k-th best can be reached or tied any more.
+                if all(int(bound[c] * (1 << _SIM_BITS)) < best[p].min() >> _POS_BITS for p in asked):
+                    break
+                cols = windows[c]
+                inter = _intersections(wl[rows], wr[cols])
+                union, sim = _sims(inter, pcl[rows], pcr[cols])
+                valid = union > 0
+                if self_join:
+                    valid &= idl[rows, None] != idr[None, cols]
+                ident = (inter == pcl[rows, None]) & (inter == pcr[None, cols]) & (pcr[None, cols] > 0)
+                valid &= ~(ident & ~keep_ident[rows, None])
+                simkey = np.floor(np.nan_to_num(sim) * float(1 << _SIM_BITS)).astype(np.int64)
+                comp_all = np.where(valid, (simkey << _POS_BITS) | pos_key[None, cols], -1)
+                for p in asked:
+                    mine = has[p][cols]  # the references that have this property
+                    if not mine.any():
+                        continue
+                    comp = comp_all if mine.all() else comp_all[:, mine]
+                    both = np.concatenate((best[p], comp), axis=1)
+                    best[p] = np.partition(both, both.shape[1] - ks[p], axis=1)[:, both.shape[1] - ks[p]:]
+            for p in asked:
+                who, slot = np.nonzero(best[p] >= 0)
+                j = last - (best[p][who, slot] & last)
+                inter = np.bitwise_count(wl[s + who] & wr[j]).sum(axis=1, dtype=np.int64)
+                out_q.append(idl[s + who])
+                out_p.append(np.full(len(who), p, np.int32))
                 out_r.append(idr[j])
-                out_s.append(sim[rows, j])
+                out_s.append(inter / (pcl[s + who] + pcr[j] - inter))
         if not out_q:
-            return pd.DataFrame(cols)
+            return pd.DataFrame(cols_out)
         return pd.DataFrame({"__qid": np.concatenate(out_q), "__prop": np.concatenate(out_p),
                              "__rid": np.concatenate(out_r), "sim": np.concatenate(out_s)})
     return fn
@@ -262,7 +310,7 @@ def nearest(left: DataFrame, right: DataFrame | None, n_words: int, id_col: str
     """
     lp = prepare(left, id_col, fp_col, n_words)
     rp = None if right is None else prepare(right, id_col, fp_col, n_words)
-    bl, br = _plan(lp, rp, block_size, _min_tasks(left))
+    bl, br = _plan(lp, rp, block_size, _min_tasks(left), _RIGHT_FACTOR)
     schema = "__id bigint, best double, side string"
     part = _cogrouped(lp, rp, bl, br).applyInPandas(
         nearest_kernel(n_words, rp is None, "both" if rp is None else sides), schema)
@@ -343,7 +391,7 @@ def topk_matches(queries: DataFrame, refs: DataFrame | None, n_words: int, ks: S
         r = refs.withColumn("__pmask", F.col(pmask_col).cast("bigint") if pmask_col
                             else F.lit(-1).cast("bigint"))
         rp = prepare(r, id_col, fp_col, n_words, ["__pmask"])
-    bl, br = _plan(lp, rp, block_size, _min_tasks(queries))
+    bl, br = _plan(lp, rp, block_size, _min_tasks(queries), _RIGHT_FACTOR)
     schema = "__qid bigint, __prop int, __rid bigint, sim double"
     part = _cogrouped(lp, rp, bl, br).applyInPandas(
         topk_kernel(n_words, ks, rp is None), schema)
