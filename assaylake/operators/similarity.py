@@ -28,8 +28,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assaylake.operators.keys import qcol
+from assaylake.operators.keys import qcol, row_index
 from assaylake.session import cut_lineage, ensure_importable
 
 DEFAULT_BLOCK = 4096
@@ -52,6 +53,27 @@ def prepare(df: DataFrame, id_col: str, fp_col: str, n_words: int,
     return cut_lineage(out)
 
 
+def _numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with integer ids, and the table ``(__sid, id)`` that undoes it.
+
+    Integer ids are used as they are (None); others get their positions in
+    order, so ties are broken as they would be on the ids themselves.
+    """
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return df, None
+    ids = row_index(df.select(qcol(id_col)).where(qcol(id_col).isNotNull()).distinct(), [id_col], "__sid")
+    return (df.join(ids, id_col).drop(id_col).withColumnRenamed("__sid", id_col),
+            ids.select("__sid", qcol(id_col).alias("__text_id")))
+
+
+def _named(out: DataFrame, ids: DataFrame | None, col: str) -> DataFrame:
+    """``out`` with the integer ids of ``col`` turned back into the table's own."""
+    if ids is None:
+        return out
+    back = out.join(ids, qcol(col) == F.col("__sid"))
+    return back.select(*[(F.col("__text_id") if c == col else qcol(c)).alias(c) for c in out.columns])
+
+
 def _n_blocks(n: int, block_size: int) -> int:
     return max(1, math.ceil(n / block_size))
 
@@ -308,6 +330,8 @@ def nearest(left: DataFrame, right: DataFrame | None, n_words: int, id_col: str
     rows carry their best match on the right, ``side='right'`` the reverse.
     Rows with no comparable partner are absent.
     """
+    left, l_ids = _numbered(left, id_col)
+    right, r_ids = (None, None) if right is None else _numbered(right, id_col)
     lp = prepare(left, id_col, fp_col, n_words)
     rp = None if right is None else prepare(right, id_col, fp_col, n_words)
     bl, br = _plan(lp, rp, block_size, _min_tasks(left), _RIGHT_FACTOR)
@@ -316,7 +340,12 @@ def nearest(left: DataFrame, right: DataFrame | None, n_words: int, id_col: str
         nearest_kernel(n_words, rp is None, "both" if rp is None else sides), schema)
     best = part.groupBy("side", "__id").agg(F.max("best").alias("best_sim"))
     best = best.withColumnRenamed("__id", id_col)
-    return best.drop("side") if right is None else best
+    if right is None:
+        return _named(best.drop("side"), l_ids, id_col)
+    if l_ids is None and r_ids is None:
+        return best
+    return _named(best.where("side = 'left'"), l_ids, id_col).unionByName(
+        _named(best.where("side = 'right'"), r_ids, id_col))
 
 
 def similarity_distribution(left: DataFrame, right: DataFrame | None, n_words: int,
@@ -379,6 +408,8 @@ def topk_matches(queries: DataFrame, refs: DataFrame | None, n_words: int, ks: S
     fingerprint (the near-identical rule: Tanimoto 1 means equal sets).
     Ties: similarity descending, then reference id ascending.
     """
+    queries, q_ids = _numbered(queries, id_col)
+    refs, r_ids = (None, q_ids) if refs is None else _numbered(refs, id_col)
     q = queries.withColumn("__keep_ident", F.col(keep_ident_col) if keep_ident_col
                            else F.lit(True))
     lp = prepare(q, id_col, fp_col, n_words, ["__keep_ident"])
@@ -399,9 +430,10 @@ def topk_matches(queries: DataFrame, refs: DataFrame | None, n_words: int, ks: S
     w = Window.partitionBy("__qid", "__prop").orderBy(F.desc("sim"), F.asc("__rid"))
     ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
     kcol = F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("__prop") + 1)
-    return ranked.where(F.col("rank") <= kcol).select(
+    out = ranked.where(F.col("rank") <= kcol).select(
         F.col("__qid").alias("query_id"), F.col("__prop").alias("prop"),
         F.col("__rid").alias("ref_id"), "sim", "rank")
+    return _named(_named(out, q_ids, "query_id"), r_ids, "ref_id")
 
 
 def identical_groups(df: DataFrame, id_col: str = "id", fp_col: str = "fp",
@@ -515,6 +547,8 @@ def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, thresh
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]; use similarity_distribution for all pairs")
     self_join = right is None
+    left, l_ids = _numbered(left, id_col)
+    right, r_ids = (None, l_ids) if self_join else _numbered(right, id_col)
     starts = popcount_buckets(threshold, 64 * n_words)
     lt = _blocked(prepare(left, id_col, fp_col, n_words).where(F.col("__pc") > 0), starts, 64 * n_words, block_size)
     lt = cut_lineage(lt)
@@ -549,5 +583,6 @@ def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, thresh
             out.append(pd.DataFrame({"left_id": a, "right_id": b, "sim": sim[r, c]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
-    return lside.groupBy(*keys_).cogroup(rside.groupBy(*keys_)).applyInPandas(
+    out = lside.groupBy(*keys_).cogroup(rside.groupBy(*keys_)).applyInPandas(
         fn, "left_id bigint, right_id bigint, sim double")
+    return _named(_named(out, l_ids, "left_id"), r_ids, "right_id")

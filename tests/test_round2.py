@@ -171,3 +171,16 @@ def test_no_replica_is_shuffled(spark):
         plan = C.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         below = plan[plan.index("replica"):]
         assert not [x for x in below.split("\n") if "Exchange" in x and "replica" in x]
+
+
+def test_text_ids(spark):
+    rows = [("a", [7], 3), ("b", [3], 2), ("c", [3], 2), ("d", [8], 1), (None, [1], 1)]
+    df = spark.createDataFrame(rows, "id string, fp array<long>, n_bits_set int")
+    assert {r["id"]: r["best_sim"] for r in similarity.nearest(df, None, 1).collect()} == {
+        "a": 2 / 3, "b": 1.0, "c": 1.0, "d": 0.0}
+    other = df.where("id > 'b'").withColumn("id", similarity.F.concat("id", similarity.F.lit("2")))
+    got = {(r["side"], r["id"]): r["best_sim"] for r in similarity.nearest(df, other, 1).collect()}
+    assert got["left", "b"] == 1.0 and got["right", "c2"] == 1.0 and got["right", "d2"] == 1.0
+    top = similarity.topk_matches(df, df, 1, [1]).where("query_id = 'b'").collect()
+    assert [(r["ref_id"], r["sim"]) for r in top] == [("b", 1.0)]
+    assert [(r["left_id"], r["right_id"]) for r in similarity.tanimoto_join(df, None, 1, 1.0).collect()] == [("b", "c")]
