@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow_map, ascii_words, batch_of, cut_lineage, in_bitmap, mix64, with_key
+from assaylake.llm.common import arrow_map, batch_of, cut_lineage, in_bitmap, mix64, slices, with_key
 from assaylake.llm.cuts import LOG2_BITS, cut_texts, not_first, repeated_bitmap
 
 MIN_SENTENCES = 2
@@ -66,26 +66,42 @@ def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, min_sentences:
     return a, z, mix64(h + (z - a).astype(np.uint64))
 
 
+def sentence_keys(text: bytes) -> tuple[list[int], list[int]]:
+    """Hash of the words and number of words of every sentence."""
+    hashes, counts, at, low = [], [], 0, text.lower()
+    for end in sentence_ends(text):
+        words = low[at:end].split()
+        hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+        counts.append(len(words))
+        at = end
+    return hashes, counts
+
+
 def _rows(bits, min_sentences: int, min_words: int):
     """Without ``bits`` the hashes of all runs; with them the runs that may repeat."""
+    def one(b: pa.RecordBatch, table) -> pa.RecordBatch:
+        hashes, words, n = [], [], []
+        for t in b.column("text"):
+            h, w = sentence_keys(t.as_py())
+            hashes += h
+            words += w
+            n.append(len(h))
+        n = np.array(n, np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        a, z, h = runs(np.array(hashes, np.uint64), np.array(words, np.int64), doc, min_sentences, min_words)
+        if table is None:
+            return batch_of(h=h.view(np.int64))
+        hit = in_bitmap(table, LOG2_BITS, h)
+        a, z, h = a[hit], z[hit], h[hit]
+        at, first = pa.array(doc[a]), (np.cumsum(n) - n)[doc[a]]
+        return batch_of(doc_id=b.column("doc_id").take(at), row_hash=b.column("row_hash").take(at),
+                        a=(a - first).astype(np.int32), z=(z - first + 1).astype(np.int32), h=h.view(np.int64))
+
     def run(batches):
         table = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            parts = [[ascii_words(s) for s in sentences(t.as_py())] for t in b.column("text")]
-            n = np.array([len(p) for p in parts], np.int64)
-            flat = [s for p in parts for s in p]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s)) for s in flat), np.uint64, len(flat))
-            words = np.fromiter(map(len, flat), np.int64, len(flat))
-            doc = np.repeat(np.arange(len(n)), n)
-            a, z, h = runs(hashes, words, doc, min_sentences, min_words)
-            if table is None:
-                yield batch_of(h=h.view(np.int64))
-                continue
-            hit = in_bitmap(table, LOG2_BITS, h)
-            a, z, h = a[hit], z[hit], h[hit]
-            at, first = pa.array(doc[a]), (np.cumsum(n) - n)[doc[a]]
-            yield batch_of(doc_id=b.column("doc_id").take(at), row_hash=b.column("row_hash").take(at),
-                           a=(a - first).astype(np.int32), z=(z - first + 1).astype(np.int32), h=h.view(np.int64))
+            for part in slices(b):
+                yield one(part, table)
 
     return run
 
