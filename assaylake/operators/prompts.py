@@ -32,7 +32,8 @@ def render_prompts(queries: DataFrame, merged: DataFrame, targets: DataFrame | N
                    replicas: int | None = None, seed: int = 42, jitter_sd: float = 0.02) -> DataFrame:
     """``(replica, query_id, context, question, answer)`` per query and replica.
 
-    ``queries``: query_id, key, profile; ``merged``: :func:`merge_neighbours`;
+    ``queries``: query_id, key, profile; ``merged``: :func:`merge_neighbours`
+    (without ``props`` the neighbours' ``props_text`` is used as it is);
     ``targets``: :func:`query_targets` without replicas. With ``targets``
     (training) the question asks for the query's present properties and the
     answer lists them; without (test) the question asks for all
@@ -43,8 +44,9 @@ def render_prompts(queries: DataFrame, merged: DataFrame, targets: DataFrame | N
     projection, which draws each value's jitter and writes the text, so no
     replicated row is ever shuffled.
     """
+    last = "props" if "props" in merged.columns else "props_text"
     nb = merged.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct("pos_prop", "pos_rank", "key", "profile", "sim", "props"))).alias("__nb"))
+        F.struct("pos_prop", "pos_rank", "key", "profile", "sim", last))).alias("__nb"))
     out = queries.select("query_id", "key", "profile").join(nb, "query_id", "left")
     if targets is not None:
         t = targets.groupBy("query_id").agg(
@@ -57,10 +59,13 @@ def render_prompts(queries: DataFrame, merged: DataFrame, targets: DataFrame | N
             return x["value"]
         return jittered(x["value"], seed, jitter_sd, F.col("replica"), F.col("query_id"), x["property"], last)
 
+    def values(n):
+        return n["props_text"] if last == "props_text" else props_text(
+            n["props"], lambda x: value(x, x["ref_id"].cast("string")))
+
     context = F.array_join(F.transform("__nb", lambda n: F.concat(
         F.lit(f"{label}: "), n["key"], F.lit(FIELD_SEP), n["profile"], F.lit(FIELD_SEP + SIMILARITY_LABEL),
-        fmt2(n["sim"]), F.lit(FIELD_SEP),
-        props_text(n["props"], lambda x: value(x, x["ref_id"].cast("string"))))), NEIGHBOUR_SEP)
+        fmt2(n["sim"]), F.lit(FIELD_SEP), values(n))), NEIGHBOUR_SEP)
     if targets is not None:
         names = F.coalesce(F.array_join(F.transform("__t", lambda x: x["property"]), FIELD_SEP), F.lit(""))
         answer = F.coalesce(props_text(F.col("__t"), lambda x: value(x, F.lit("q"))), F.lit(""))

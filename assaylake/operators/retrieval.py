@@ -75,9 +75,9 @@ def merge_neighbours(nb: DataFrame, ref_keys: DataFrame) -> DataFrame:
     """One row per (query, neighbour key), before any replication.
 
     ``ref_keys``: ``(ref_id, key, profile)``. Output: ``query_id, key, profile,
-    pos_prop, pos_rank, sim`` and ``props``, the neighbour's ``(prop_ord,
-    property, value, ref_id)`` in property order. All exchanges are on keys
-    that start with the query.
+    pos_prop, pos_rank, sim``, ``props``, the neighbour's ``(prop_ord,
+    property, value, ref_id)`` in property order, and ``props_text``, their
+    text. All exchanges are on keys that start with the query.
     """
     j = nb.join(ref_keys, "ref_id")
     last = F.max_by(F.struct("ref_id", "value", "sim"), F.col("rank"))
@@ -90,7 +90,8 @@ def merge_neighbours(nb: DataFrame, ref_keys: DataFrame) -> DataFrame:
         F.first("profile").alias("profile"),
         F.array_sort(F.collect_list(piece)).alias("props"))
     return merged.select("query_id", "key", "profile", F.col("pos.prop_ord").alias("pos_prop"),
-                         F.col("pos.first_rank").alias("pos_rank"), "sim", "props")
+                         F.col("pos.first_rank").alias("pos_rank"), "sim", "props",
+                         props_text("props", lambda x: x["value"]).alias("props_text"))
 
 
 def props_text(props, value):
