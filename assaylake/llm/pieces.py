@@ -22,19 +22,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from assaylake.llm.common import arrow_map, batch_of, mix64, with_key
+from assaylake.llm.common import arrow_map, batch_of, mix64, slices, with_key
 
 ALPHA = 0.5
 SEED = 42
 MARK = "▁"  # stands for a blank in pieces
 _UNITS = re.compile(" *[^ \n▁]+|[\n▁]| +")
-_HELD_UNITS = 250_000  # units whose lattices a worker holds; only speed depends on it
+_HELD_UNITS = 100_000  # units whose lattices a worker holds; only speed depends on it
 _LONG = 64  # characters; longer units are filtered one by one, with rescaling
-_BLOCK = 300_000  # units drawn together
-_SLICE_BYTES = 2_000_000  # text segmented together, at least one whole text
+_BLOCK = 100_000  # units drawn together
+_SLICE_BYTES = 1_000_000  # text segmented together, at least one whole text
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -60,7 +59,7 @@ class PieceModel:
                 self.text[i] = blank.encode()
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self._trie()
-        self._reset()
+        self.forget()
 
     def _trie(self) -> None:
         """Trie of the pieces as sorted keys ``node << 21 | code point`` with the node each leads to."""
@@ -76,7 +75,7 @@ class PieceModel:
         for p, (i, w) in self.pieces.items():
             self._id[nodes[p]], self._weight[nodes[p]] = i, w
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         """Forget all lattices. Row r's candidates stand from ``begin[r]`` on, ``end[r]`` excluded."""
         self.rows: dict[str, int] = {}  # unit -> row of its first character
         self._n_rows = self._n_cands = 0
@@ -182,7 +181,7 @@ class PieceModel:
     def _draw(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of all units in a row, and the number of ids of each; ``keys``: one for each unit."""
         if len(self.rows) > _HELD_UNITS:
-            self._reset()
+            self.forget()
         new = list({u for u in units if u not in self.rows})
         if new:
             self._learn(new)
@@ -241,23 +240,12 @@ _MODELS: dict[tuple[str, float], PieceModel] = {}
 
 
 def model(path: str, alpha: float) -> PieceModel:
-    """The worker's model (kept between tasks with the lattices of the units met last)."""
+    """The worker's model (kept between tasks; lattices are forgotten at a task's end)."""
     if (path, alpha) not in _MODELS:
         _MODELS[path, alpha] = PieceModel(path, alpha)
     return _MODELS[path, alpha]
 
 
-def _slices(batch: pa.RecordBatch):
-    """Slices of about ``_SLICE_BYTES`` of text, one row at least."""
-    ends = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy())
-    at = 0
-    while at < batch.num_rows:
-        done = ends[at - 1] if at else 0
-        z = max(at + 1, int(np.searchsorted(ends, done + _SLICE_BYTES, side="right")))
-        yield batch.slice(at, z - at)
-        at = z
-
-
 def encode_texts(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """``doc_id, row_hash, ids, lossless``: one sampled segmentation of every row's whole text.
 
@@ -268,7 +256,7 @@ def encode_texts(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: i
     def run(batches):
         m = model(model_path, alpha)
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b, size=_SLICE_BYTES):
                 texts = [t.decode() for t in part.column("text").to_pylist()]
                 known = part.column("doc_id").fill_null(0).to_numpy().view(np.uint64)
                 ids = m.sample(texts, part.column("row_hash").to_numpy().view(np.uint64) ^ mix64(known), seed)
@@ -277,6 +265,7 @@ def encode_texts(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: i
                 yield batch_of(doc_id=part.column("doc_id"), row_hash=part.column("row_hash"),
                                ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
                                lossless=pa.array(same, pa.bool_()))
+        m.forget()
 
     return arrow_map(with_key(docs), run, "doc_id long, row_hash long, ids array<int>, lossless boolean")
 
