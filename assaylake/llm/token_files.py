@@ -26,8 +26,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -134,11 +137,15 @@ class TextEncoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = dtype
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.kind = {"<u2": "H", "<u4": "I"}[dtype]
+        self.cache: dict[str, bytes] = {}  # by the part less its blank
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array(self.kind, e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in found:
+                a.byteswap()
+        return [a.tobytes() for a in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -150,15 +157,15 @@ class TextEncoder:
                 whole.append(i)
             else:
                 plain.append(i)
-                first, *rest = t.split(" ")
-                parts.append([first, *[" " + w for w in rest]] if first else [" " + w for w in rest])
+                parts.append(t.split(" "))
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list({w for p in parts for w in p if w not in cache})
-        cache.update(zip(new, self._ids(new)))
-        for i, p in zip(plain, parts):
-            out[i] = b"".join(map(cache.__getitem__, p))
+        heads = self._ids([p.pop(0) for p in parts])  # a text's first part has no blank before it
+        new = list(set(chain.from_iterable(parts)).difference(cache))
+        cache.update(zip(new, self._ids([" " + w for w in new])))
+        for i, head, p in zip(plain, heads, parts):
+            out[i] = head + b"".join(map(cache.__getitem__, p))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         return out
