@@ -3,13 +3,18 @@
 A rolling hash over the hashes of the last ``window`` lines ends a chunk
 wherever its value is divisible by ``divisor``. A boundary depends on the
 lines next to it only, so lines put in or taken out elsewhere do not move the
-boundaries of a passage. A chunk of several lines with text that occurs in
-more than one place is removed everywhere but at its first place, after its
-bytes have been compared.
+boundaries of a passage. Below these chunks lies a finest level, where every
+line ends a chunk: as a chunk of one line is too short, each is joined with
+those after it up to ``min_lines`` lines with text. A passage of several lines
+is thereby found whatever stands around it, without a boundary inside it. A
+chunk of either level that occurs in more than one place is removed everywhere
+but at its first place, after its bytes have been compared.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,16 +41,18 @@ def chunk_ends(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR)
 
 
 def chunks(text: bytes, window: int, divisor: int, min_lines: int) -> list[tuple[int, int, bytes]]:
-    """``(first line, end line, bytes)`` of the chunks with at least ``min_lines`` lines that have text."""
+    """``(first line, end line, bytes)`` of the chunks of both levels with at least ``min_lines`` lines that have text."""
     lines = text.split(b"\n")
-    if len(lines) < min_lines:
+    full = [i for i, x in enumerate(lines) if x != b"" and not x.isspace()]
+    if len(full) < min_lines:
         return []
-    out, start = [], 0
+    found = {(a, z + 1) for a, z in zip(full, full[min_lines - 1:])}
+    start = 0
     for end in chunk_ends(lines, window, divisor):
-        if end - start >= min_lines and sum(not x.isspace() and x != b"" for x in lines[start:end]) >= min_lines:
-            out.append((start, end, b"\n".join(lines[start:end])))
+        if bisect_left(full, end) - bisect_left(full, start) >= min_lines:
+            found.add((start, end))
         start = end
-    return out
+    return [(a, z, b"\n".join(lines[a:z])) for a, z in sorted(found)]
 
 
 def _rows(bits, window: int, divisor: int, min_lines: int):
@@ -82,7 +89,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     That column takes the name given, in place of a column of the same name.
 
     The first place is that of the smallest (doc_id, text hash, line), null
-    ids first. ``removed`` is null where nothing was. Null texts stay null,
+    ids first. Chunks overlap: a line at the first place of one chunk goes if
+    it is also in a chunk that stands earlier, so each line that goes still
+    stands in an earlier place. ``removed`` is null where nothing was. Null texts stay null,
     empty ones empty; a text whose chunks all stand elsewhere becomes empty
     and its row stays. Rows equal in id and text are one document: they lose
     the same lines and do not make each other repeated. ``n_chars``, where
@@ -101,5 +110,5 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
 def op10_line_dedup(spark, sf_dir):
     """Documents without repeated line chunks, with the number of lines removed."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    gone = F.aggregate("removed", F.lit(0), lambda n, c: n + c["z"] - c["a"])
+    gone = F.array_size(F.array_distinct(F.flatten(F.transform("removed", lambda c: F.sequence(c["a"], c["z"] - 1)))))
     return out.select("doc_id", "text", F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_lines_removed"))

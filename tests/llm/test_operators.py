@@ -127,6 +127,43 @@ def test_line_chunks_against_brute_force(spark):
     assert got[9001] == docs[9001] and len(got[9002]) < len(docs[9002]) / 2  # boundaries meet again after the shift
 
 
+def _copied_runs(docs, min_words):
+    """Lines of every run of two lines with text that stands earlier too, with ``min_words`` words or more."""
+    seen, gone = set(), defaultdict(set)
+    for k, t in sorted(docs.items()):
+        lines = t.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        for a, z in zip(full, full[1:]):
+            body = "\n".join(lines[a:z + 1])
+            if body in seen and len(body.split()) >= min_words:
+                gone[k].update(range(a, z + 1))
+            seen.add(body)
+    return gone
+
+
+def test_line_chunks_find_every_run_of_two_lines(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for k, n in enumerate((2, 3, 4, 5, 8, 12, 20) * 6):
+        gap = "\n\n" if k % 2 else "\n"
+        block = gap.join(" ".join(words(30, 5000 + 40 * k + i)) for i in range(n))
+        for d in (0, 1):
+            around = ["\n".join(" ".join(words(9, 9 * x + 7)) for x in range(y, y + 3)) for y in (8000 + 7 * k + 3 * d, 600 * d + k)]
+            docs[10_000 + 2 * k + d] = f"{around[0]}\n{block}\n{around[1]}"
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_chunks.dedup_lines(table).collect()}
+    copied = _copied_runs(docs, 50)
+    assert sum(k >= 10_000 and k % 2 == 1 for k in copied) == 42
+    for k, lines in copied.items():
+        assert lines <= {i for c in got[k]["removed"] or () for i in range(c["a"], c["z"])}
+    first = set()
+    for k in sorted(docs):  # whatever went stands in an earlier place
+        lines = docs[k].split("\n")
+        gone = {i for c in got[k]["removed"] or () for i in range(c["a"], c["z"])}
+        for i, x in enumerate(lines):
+            assert i not in gone or not x.strip() or x in first
+            first.add(x)
+
+
 # --- SimHash and components ---------------------------------------------
 
 def test_components_against_union_find(spark):
