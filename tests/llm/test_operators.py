@@ -394,6 +394,29 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(junk) < 0.1 and np.mean(toxic) < 0.35
 
 
+def test_classifier_finds_toxic_words_of_each_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = importance.classify(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "lang", "kept")
+    rows = kept.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    for lang in ("en", "fr", "de", "es"):
+        toxic = [r["kept"] for r in rows if r["toxic"] == 1 and r["lang"] == lang]
+        good = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0 and r["lang"] == lang]
+        print(lang, len(toxic), sum(toxic), len(good), sum(good))
+        assert np.mean(toxic) < 0.4 and np.mean(good) > 0.9
+    junk = [r["kept"] for r in rows if r["quality"] == 0]
+    print("junk", len(junk), sum(junk))
+    assert np.mean(junk) < 0.1
+
+
+def test_marks_of_repeated_words_count_once():
+    rows = importance.buckets([importance._SAME, b"r\xc3\xa9\xc3\xaao", "réêoux".encode(), "réêout".encode()])
+    assert rows.shape == (len(importance.SPACES), 4) and len(set(rows[0].tolist())) == 4
+    assert rows[1, 1] == rows[1, 2] == rows[1, 3] and rows[2, 2] == rows[2, 3] and rows[3, 2] != rows[3, 3]
+    raw = np.full(importance.TOTAL, 100)
+    ratios = importance.log_ratios(raw, np.where(np.arange(len(raw)) % 7 == 0, 0, 50))
+    assert (ratios[rows[1:, 0]] == 0).all()
+
+
 def test_gumbel_top_k_draws_k(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assert importance.classify(docs, labels, k=50).where("kept").count() == 50
