@@ -1,6 +1,11 @@
 """Substring dedup on sliding spans of sentences.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.
+One of more than ``LONG`` words is split further, after each word whose hash is
+the smallest of some ``WINDOW`` consecutive words and that two words follow at
+least, and its parts count as sentences. Whether a word ends a part depends on the words near it only, so a
+passage of over 50 words is met wherever it stands, with or without sentence
+marks; at most ``2 * WINDOW`` words stay at an end that is inside a sentence.
 For every sentence the shortest run of consecutive sentences that starts with
 it, and the shortest that ends with it, with at least ``min_sentences``
 sentences and ``min_words`` words, is hashed over its words (A-Z lower-cased,
@@ -12,6 +17,8 @@ directions together cover a repeated passage up to both of its ends.
 from __future__ import annotations
 
 import re
+from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +31,47 @@ from assaylake.llm.cuts import LOG2_BITS, cut_texts, not_first, repeated_bitmap
 
 MIN_SENTENCES = 2
 MIN_WORDS = 25
+LONG, WINDOW = 12, 7  # 51 words less 2 * WINDOW at the one end and 2 * WINDOW - 2 at the other are MIN_WORDS
 _BREAK = re.compile(rb"(?<=[.!?])[ \t\n\r\v\f]+|[ \t\r\v\f]*\n[ \t\n\r\v\f]*")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def sentence_ends(text: bytes) -> list[int]:
-    """Byte offsets where sentences end, each with the white space after it."""
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+
+
+def _word_starts(text: bytes) -> np.ndarray:
+    black = ~_SPACE[np.frombuffer(text, np.uint8)]
+    black[1:] &= ~black[:-1]
+    return np.flatnonzero(black)
+
+
+def _units(text: bytes) -> tuple[list[int], list[int], list[bytes]]:
+    """Where sentences and the parts of long ones end, in bytes and in words, and the words (A-Z lower-cased)."""
     ends = [m.end() for m in _BREAK.finditer(text)]
-    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+    if not ends or ends[-1] != len(text):
+        ends.append(len(text))
+    words, starts = text.lower().split(), _word_starts(text)
+    upto = np.searchsorted(starts, ends)
+    size = np.diff(upto, prepend=0)
+    if size.max() > LONG:
+        h = np.fromiter(map(crc32, words), np.int64, len(words))
+        seen = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1]
+        last = np.arange(WINDOW - 1, len(h))
+        left = np.repeat(np.where(size > LONG, upto, 0), size)  # end of each word's sentence, if that is long
+        whole = (left[last] > 0) & (left[last] == left[last - WINDOW + 1])
+        cuts = np.unique((last - seen.argmin(axis=1))[whole]) + 1
+        cuts = cuts[cuts < left[cuts - 1] - 1]  # no part of one word at the end
+        ends = np.concatenate((ends, starts[cuts]))
+        upto = np.concatenate((upto, cuts))
+        order = np.argsort(ends, kind="stable")
+        ends, upto = ends[order].tolist(), upto[order]
+    return ends, upto.tolist(), words
+
+
+def sentence_ends(text: bytes) -> list[int]:
+    """Byte offsets where sentences and the parts of long ones end, each with the white space after it."""
+    return _units(text)[0]
 
 
 def sentences(text: bytes) -> list[bytes]:
@@ -68,13 +107,10 @@ def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, min_sentences:
 
 def sentence_keys(text: bytes) -> tuple[list[int], list[int]]:
     """Hash of the words and number of words of every sentence."""
-    hashes, counts, at, low = [], [], 0, text.lower()
-    for end in sentence_ends(text):
-        words = low[at:end].split()
-        hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
-        counts.append(len(words))
-        at = end
-    return hashes, counts
+    _, upto, words = _units(text)
+    upto = [0, *upto]
+    return ([xxhash.xxh64_intdigest(b" ".join(words[a:z])) for a, z in pairwise(upto)],
+            [z - a for a, z in pairwise(upto)])
 
 
 def _rows(bits, min_sentences: int, min_words: int):

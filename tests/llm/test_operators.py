@@ -109,6 +109,40 @@ def test_a_repeated_passage_goes_whole(spark, make_docs):
         assert got[i] == (t if i % 2 == 0 or i == 1 else t.replace(passage + "\n", ""))
 
 
+def test_passages_without_sentence_marks_are_found(spark):
+    docs = {}
+    for k, n in enumerate([51, 51, 60, 80, 200] * 8):
+        passage = words(n, 7000 + k)
+        if k % 4 == 1:
+            passage[26] += "."
+        if k % 4 == 2:
+            passage[12] += "!"
+            passage[n - 13] += "."
+        for d in (0, 1):
+            a, z = (words(5 + (k * 11 + d * 17) % 40, 9000 + 4 * k + 2 * d + i) for i in (0, 1))
+            docs[2 * k + d] = " ".join([*a, *passage, *z])
+    docs[900] = docs[901] = " ".join(words(2320, 3))
+    docs[902], docs[903] = " ".join(words(90, 4)), "Short text. " + " ".join(words(90, 5))
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in spans.dedup_spans(table).collect()}
+    seen, repeated = set(), defaultdict(set)
+    for d, t in sorted(docs.items()):  # brute force: words in some repeated run of MIN_WORDS words
+        w = t.split()
+        for i in range(len(w) - spans.MIN_WORDS + 1):
+            if tuple(w[i:i + spans.MIN_WORDS]) in seen:
+                repeated[d].update(range(i, i + spans.MIN_WORDS))
+        seen |= {tuple(w[i:i + spans.MIN_WORDS]) for i in range(len(w) - spans.MIN_WORDS + 1)}
+    for d, t in docs.items():
+        if d not in repeated:
+            assert got[d] == t
+            continue
+        w, stay = t.split(), got[d].split()
+        assert len(w) - len(stay) >= len(repeated[d]) - 26 and len(w) - len(stay) <= len(repeated[d])
+        assert stay == w[:(k := next((i for i, (x, y) in enumerate(zip(w, stay)) if x != y), len(stay)))] + w[len(w) - len(stay) + k:]
+    assert len(repeated) == 41 and got[900] == docs[900] and got[901] == ""
+    assert all(b"".join(spans.sentences(t.encode())) == t.encode() for t in docs.values())
+
+
 def test_line_chunks_against_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     block = "\n".join(prose(12, i) for i in range(400, 420))
