@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assaylake.llm.bpe import op13_bpe
+from assaylake.llm.conversations import OP11_SQL, op11_conversation_repair
 from assaylake.llm.html_blocks import op1_html_extraction
 from assaylake.llm.importance import op9_quality_classifier
 from assaylake.llm.licenses import op6_license_scan
@@ -26,8 +27,10 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_bpe": op13_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op11_conversation_repair": OP11_SQL,
+                              "op12_merkle_manifest": OP12_SQL}
