@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaylake.operators import fp_index
 from assaylake.operators.keys import qcol, row_index
 from assaylake.session import cut_lineage, ensure_importable
 
 DEFAULT_BLOCK = 4096
 _CHUNK = 256
 _SUB = 4096         # right rows compared with a chunk at a time
-_RIGHT_FACTOR = 8   # right blocks hold so many times the rows of left ones: fewer partial results
 _SIM_BITS = 40      # sim -> floor(sim * 2^40): distinct ratios stay distinct
 _POS_BITS = 20      # position inside a right block (block_size <= 2^20)
 
@@ -78,12 +78,10 @@ def _n_blocks(n: int, block_size: int) -> int:
     return max(1, math.ceil(n / block_size))
 
 
-def _plan(left: DataFrame, right: DataFrame | None, block_size: int, min_tasks: int, right_factor: int = 1):
-    if block_size * right_factor > (1 << _POS_BITS) // 4:
-        raise ValueError("block_size times the right factor must be <= 2^18")
+def _plan(left: DataFrame, right: DataFrame | None, block_size: int, min_tasks: int):
     nl = left.count()
     nr = nl if right is None else right.count()
-    bl, br = _n_blocks(nl, block_size), _n_blocks(nr, block_size * (1 if right is None else right_factor))
+    bl, br = _n_blocks(nl, block_size), _n_blocks(nr, block_size)
     # Enough block pairs to keep every core busy, without tiny blocks.
     while bl * br < min_tasks and (nl / bl > 256 or nr / br > 256):
         if nl / bl >= nr / br:
@@ -173,38 +171,31 @@ def _by_popcount(ids, pc, w):
     return order, ids[order], pc[order], w[order]
 
 
-def nearest_kernel(n_words: int, self_join: bool, sides: str = "both"):
-    """Best similarity of each row asked for; windows that cannot better any are skipped."""
+def nearest_kernel(n_words: int, self_join: bool):
+    """``(__id, best)`` of the left rows that find a better match here than their ``__best``
+    (below 0: none yet); windows that cannot better any row are skipped."""
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({"__id": [], "best": [], "side": []})
-        _, idl, pcl, wl = _by_popcount(*_arrays(lp, n_words)[1:])
+            return pd.DataFrame({"__id": np.array([], np.int64), "best": np.array([], float)})
+        lp, idl, pcl, wl = _arrays(lp, n_words)
         _, idr, pcr, wr = _arrays(rp, n_words)
-        best_l = np.full(len(idl), -1.0)  # -1: no comparable pair
-        best_r = np.full(len(idr), -1.0)
+        order, idl, pcl, wl = _by_popcount(idl, pcl, wl)
+        before = lp["__best"].to_numpy(float)[order]
+        best = before.copy()
         windows = _windows(pcr)
         for s in range(0, len(idl), _CHUNK):
             rows = slice(s, min(len(idl), s + _CHUNK))
             bound = _bounds(pcl[rows], pcr, windows)
             for c in np.argsort(-bound, kind="stable"):
+                if bound[c] <= best[rows].min():
+                    break  # windows come by falling bound
                 cols = windows[c]
-                if (sides == "right" or bound[c] <= best_l[rows].min()) and \
-                        (sides == "left" or bound[c] <= best_r[cols].min()):
-                    continue
                 _, sim = _sims(_intersections(wl[rows], wr[cols]), pcl[rows], pcr[cols])
                 if self_join:
                     sim[idl[rows, None] == idr[None, cols]] = np.nan
-                sim = np.nan_to_num(sim, nan=-1.0)
-                best_l[rows] = np.maximum(best_l[rows], sim.max(axis=1))
-                if sides != "left":
-                    best_r[cols] = np.maximum(best_r[cols], sim.max(axis=0))
-        out = []
-        if sides != "right":
-            out.append(pd.DataFrame({"__id": idl, "best": best_l, "side": "left"}))
-        if sides != "left":
-            out.append(pd.DataFrame({"__id": idr, "best": best_r, "side": "left" if self_join else "right"}))
-        out = pd.concat(out, ignore_index=True)
-        return out[out["best"] >= 0]
+                best[rows] = np.maximum(best[rows], np.nan_to_num(sim, nan=-1.0).max(axis=1))
+        better = best > before
+        return pd.DataFrame({"__id": idl[better], "best": best[better]})
     return fn
 
 
@@ -250,7 +241,8 @@ def distribution_kernel(n_words: int, exclude: str | None):
 
 
 def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
-    """Per left row and property p: the ks[p] best right rows with bit p of ``__pmask``.
+    """Per left row and property p: the ks[p] best right rows with bit p of ``__pmask``
+    that are at least as similar as the row's ``__floor{p}`` (below 0: any).
 
     Order: similarity descending, right id ascending (exact: the similarity
     is turned into an integer that keeps distinct ratios distinct, joined
@@ -262,7 +254,8 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
     ks = list(ks)
 
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        cols_out = {"__qid": [], "__prop": [], "__rid": [], "sim": []}
+        cols_out = {"__qid": np.array([], np.int64), "__prop": np.array([], np.int32),
+                    "__rid": np.array([], np.int64), "sim": np.array([], float)}
         if lp.empty or rp.empty:
             return pd.DataFrame(cols_out)
         lp, idl, pcl, wl = _arrays(lp, n_words)
@@ -272,6 +265,8 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
         pmask = rp["__pmask"].to_numpy(np.int64)
         has = [((pmask >> p) & 1) == 1 for p in range(len(ks))]
         asked = [p for p in range(len(ks)) if has[p].any()]
+        floor = {p: np.floor(lp[f"__floor{p}"].to_numpy(float)[order] * float(1 << _SIM_BITS)).astype(np.int64)
+                 for p in asked}
         last = (1 << _POS_BITS) - 1
         pos_key = last - np.arange(len(idr), dtype=np.int64)  # smaller ids first among equals
         windows = _windows(pcr)
@@ -282,7 +277,8 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
             bound = _bounds(pcl[rows], pcr, windows)
             for c in np.argsort(-bound, kind="stable"):
                 # Windows come by falling bound: stop when no k-th best can be reached or tied any more.
-                if all(int(bound[c] * (1 << _SIM_BITS)) < best[p].min() >> _POS_BITS for p in asked):
+                top = int(bound[c] * (1 << _SIM_BITS))
+                if all(top < np.maximum(best[p].min(axis=1) >> _POS_BITS, floor[p][rows]).min() for p in asked):
                     break
                 cols = windows[c]
                 inter = _intersections(wl[rows], wr[cols])
@@ -302,7 +298,7 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
                     both = np.concatenate((best[p], comp), axis=1)
                     best[p] = np.partition(both, both.shape[1] - ks[p], axis=1)[:, both.shape[1] - ks[p]:]
             for p in asked:
-                who, slot = np.nonzero(best[p] >= 0)
+                who, slot = np.nonzero((best[p] >= 0) & (best[p] >> _POS_BITS >= floor[p][rows, None]))
                 j = last - (best[p][who, slot] & last)
                 inter = np.bitwise_count(wl[s + who] & wr[j]).sum(axis=1, dtype=np.int64)
                 out_q.append(idl[s + who])
@@ -318,34 +314,109 @@ def topk_kernel(n_words: int, ks: Sequence[int], self_join: bool):
 
 # --- operators ---------------------------------------------------------------
 
+def classes(prepared: DataFrame, n_words: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints of prepared rows and who has them.
+
+    ``(__id, __n, __pc, __w0..)``: one row for each distinct fingerprint, named
+    by its smallest id, with its number of rows (written once); and the
+    membership ``(__id, __class, __n, __pc)`` of all rows. Equal fingerprints
+    are found by an aggregate with a map-side step and joined back on the
+    words, so a group of any size is never in one task.
+    """
+    words = [f"__w{j}" for j in range(n_words)]
+    distinct = cut_lineage(prepared.groupBy(*words).agg(
+        F.min("__id").alias("__id"), F.count(F.lit(1)).alias("__n"), F.first("__pc").alias("__pc")))
+    own = distinct.select(*words, F.col("__id").alias("__class"), "__n")
+    return distinct, prepared.join(own, words).select("__id", "__class", "__n", "__pc")
+
+
+def _two_rounds(queries: DataFrame, refs: DataFrame, n_words: int, block_size: int, n_groups: int, kernel,
+                schema: str, settle, report: dict | None) -> tuple[DataFrame, DataFrame]:
+    """Each query against the block it would stand in, then against those that can still better what it has.
+
+    ``settle(partial)`` turns the first round's rows into ``(kept, bounds)``:
+    the rows to keep and ``(__id, bounds...)``, merged into the queries for
+    the second round by ``bounds.columns``. The last ``n_groups`` of these
+    are the similarities to beat in each group of references.
+    """
+    chunk, block = fp_index.sizes(queries.count(), refs.count(), block_size, _min_tasks(queries))
+    index, placed = fp_index.build(refs, n_words, block, n_groups)
+    q = fp_index.in_chunks(queries, index, chunk)
+    met = fp_index.home_blocks(q, index)
+    first = cut_lineage(fp_index.meet(met, placed, kernel, schema))
+    kept, bounds = settle(first)
+    names = [c for c in bounds.columns if c != "__id"]
+    again = (q.drop(*names).join(bounds, "__id", "left")
+             .withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in names}))
+    left = fp_index.other_blocks(again, index, names[-n_groups:])
+    if report is not None:
+        left, met = cut_lineage(left), cut_lineage(met)
+    second = fp_index.meet(left, placed, kernel, schema)
+    if report is not None:
+        second = cut_lineage(second)
+        visited = [d.select("__chunk", F.explode("__blocks")).distinct().count() for d in (met, left)]
+        report.update(block_pairs=q.select("__chunk").distinct().count() * index.n_blocks, visited=sum(visited),
+                      row_visits=sum(d.agg(F.sum(F.size("__blocks"))).first()[0] or 0 for d in (met, left)),
+                      row_block_pairs=queries.count() * index.n_blocks,
+                      partial_rows=first.count() + second.count())
+    return kept, second
+
+
+def _best_of(queries: DataFrame, refs: DataFrame, n_words: int, self_join: bool, block_size: int,
+             report: dict | None = None) -> DataFrame:
+    """``(__id, best)`` of prepared distinct rows; rows with no comparable partner are absent."""
+    def settle(partial):
+        best = cut_lineage(partial.groupBy("__id").agg(F.max("best").alias("best")))
+        return best, best.select("__id", F.col("best").alias("__best"))
+
+    zero = F.lit(0).cast("bigint").alias("__group")
+    words = ["__id", "__pc", *[f"__w{j}" for j in range(n_words)]]
+    kept, second = _two_rounds(queries.select(*words, zero, F.lit(-1.0).alias("__best")), refs.select(*words, zero),
+                               n_words, block_size, 1, nearest_kernel(n_words, self_join),
+                               "__id bigint, best double", settle, report)
+    return kept.unionByName(second).groupBy("__id").agg(F.max("best").alias("best"))
+
+
 def nearest(left: DataFrame, right: DataFrame | None, n_words: int, id_col: str = "id",
-            fp_col: str = "fp", block_size: int = DEFAULT_BLOCK, sides: str = "both") -> DataFrame:
+            fp_col: str = "fp", block_size: int = DEFAULT_BLOCK, sides: str = "both",
+            report: dict | None = None) -> DataFrame:
     """Closest-match similarity of every row.
 
-    ``sides`` ('both', 'left' or 'right') tells which rows are asked for; only
-    theirs leave the tasks.
+    ``sides`` ('both', 'left' or 'right') tells which rows are asked for.
 
     ``right=None``: self join, the row itself excluded -> ``(id, best_sim)``.
-    Otherwise ``(side, id, best_sim)`` for both directions: ``side='left'``
-    rows carry their best match on the right, ``side='right'`` the reverse.
-    Rows with no comparable partner are absent.
+    Otherwise ``(side, id, best_sim)``: ``side='left'`` rows carry their best
+    match on the right, ``side='right'`` the reverse. Rows with no comparable
+    partner are absent.
+
+    Equal fingerprints are collapsed first (in a self join a row with a twin
+    is done with that). Distinct ones are laid out by distance to pivots and
+    popcount (:mod:`assaylake.operators.fp_index`); each is compared with the
+    block it stands in, and then only with blocks that the triangle inequality
+    and the popcounts do not rule out. A ``report`` dict is filled with the
+    block pairs there are, those visited, and the rows tasks emitted.
     """
     left, l_ids = _numbered(left, id_col)
-    right, r_ids = (None, None) if right is None else _numbered(right, id_col)
-    lp = prepare(left, id_col, fp_col, n_words)
-    rp = None if right is None else prepare(right, id_col, fp_col, n_words)
-    bl, br = _plan(lp, rp, block_size, _min_tasks(left), _RIGHT_FACTOR)
-    schema = "__id bigint, best double, side string"
-    part = _cogrouped(lp, rp, bl, br).applyInPandas(
-        nearest_kernel(n_words, rp is None, "both" if rp is None else sides), schema)
-    best = part.groupBy("side", "__id").agg(F.max("best").alias("best_sim"))
-    best = best.withColumnRenamed("__id", id_col)
+    lp, l_rows = classes(prepare(left, id_col, fp_col, n_words), n_words)
     if right is None:
-        return _named(best.drop("side"), l_ids, id_col)
-    if l_ids is None and r_ids is None:
-        return best
-    return _named(best.where("side = 'left'"), l_ids, id_col).unionByName(
-        _named(best.where("side = 'right'"), r_ids, id_col))
+        twin = (F.col("__n") > 1) & (F.col("__pc") > 0)
+        best = _best_of(lp.where(~twin), lp, n_words, True, block_size, report)
+        out = l_rows.join(best.withColumnRenamed("__id", "__class"), "__class", "left").select(
+            F.col("__id").alias(id_col), F.when(twin, 1.0).otherwise(F.col("best")).alias("best_sim"))
+        return _named(out.where("best_sim IS NOT NULL"), l_ids, id_col)
+    right, r_ids = _numbered(right, id_col)
+    rp, r_rows = classes(prepare(right, id_col, fp_col, n_words), n_words)
+
+    def side(name, queries, rows, refs, ids):
+        best = _best_of(queries, refs, n_words, False, block_size, report)
+        out = rows.join(best.withColumnRenamed("__id", "__class"), "__class").select(
+            F.lit(name).alias("side"), F.col("__id").alias(id_col), F.col("best").alias("best_sim"))
+        return _named(out, ids, id_col)
+
+    found = [side("left", lp, l_rows, rp, l_ids)] if sides != "right" else []
+    if sides != "left":
+        found.append(side("right", rp, r_rows, lp, r_ids))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def similarity_distribution(left: DataFrame, right: DataFrame | None, n_words: int,
@@ -399,7 +470,7 @@ def similarity_histogram(dist: DataFrame, bins: int = 30) -> DataFrame:
 def topk_matches(queries: DataFrame, refs: DataFrame | None, n_words: int, ks: Sequence[int],
                  id_col: str = "id", fp_col: str = "fp", pmask_col: str | None = None,
                  keep_ident_col: str | None = None,
-                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                 block_size: int = DEFAULT_BLOCK, report: dict | None = None) -> DataFrame:
     """Top-k references per (query, property): ``(query_id, prop, ref_id, sim, rank)``.
 
     ``ks[p]`` is the k of property p; a reference takes part in property p
@@ -407,30 +478,54 @@ def topk_matches(queries: DataFrame, refs: DataFrame | None, n_words: int, ks: S
     whose ``keep_ident_col`` is false skip references with an identical
     fingerprint (the near-identical rule: Tanimoto 1 means equal sets).
     Ties: similarity descending, then reference id ascending.
+
+    Two rounds: a query first meets, for each set of properties, the block in
+    which it would stand itself, and so learns a k-th best; the second round
+    ships it only to blocks that can hold an equal or a better one, and takes
+    no lesser row from them. ``report`` as in :func:`nearest`.
     """
     queries, q_ids = _numbered(queries, id_col)
     refs, r_ids = (None, q_ids) if refs is None else _numbered(refs, id_col)
-    q = queries.withColumn("__keep_ident", F.col(keep_ident_col) if keep_ident_col
-                           else F.lit(True))
+    if refs is None and pmask_col:
+        raise ValueError("a property mask needs a separate reference table")
+    every = (1 << len(ks)) - 1
+    q = queries.withColumn("__keep_ident", F.col(keep_ident_col) if keep_ident_col else F.lit(True))
     lp = prepare(q, id_col, fp_col, n_words, ["__keep_ident"])
     if refs is None:
-        rp = None
-        if pmask_col:
-            raise ValueError("a property mask needs a separate reference table")
-        lp = lp.withColumn("__pmask", F.lit(-1).cast("bigint"))
+        rp = lp.drop("__keep_ident").withColumn("__pmask", F.lit(every).cast("bigint"))
     else:
-        r = refs.withColumn("__pmask", F.col(pmask_col).cast("bigint") if pmask_col
-                            else F.lit(-1).cast("bigint"))
-        rp = prepare(r, id_col, fp_col, n_words, ["__pmask"])
-    bl, br = _plan(lp, rp, block_size, _min_tasks(queries), _RIGHT_FACTOR)
-    schema = "__qid bigint, __prop int, __rid bigint, sim double"
-    part = _cogrouped(lp, rp, bl, br).applyInPandas(
-        topk_kernel(n_words, ks, rp is None), schema)
-    kmax = max(ks)
-    w = Window.partitionBy("__qid", "__prop").orderBy(F.desc("sim"), F.asc("__rid"))
-    ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
+        mask = F.col(pmask_col).cast("bigint").bitwiseAND(F.lit(every)) if pmask_col else F.lit(every)
+        rp = prepare(refs.withColumn("__pmask", mask.cast("bigint")).where("__pmask <> 0"), id_col, fp_col, n_words,
+                     ["__pmask"])
+    # References with the same properties are a group of the index, with a bound of its own.
+    masks = [r["__pmask"] for r in rp.select("__pmask").distinct().limit(fp_index.MAX_GROUPS + 1).collect()]
+    masks = sorted(masks) if 0 < len(masks) <= fp_index.MAX_GROUPS else [every]
+    group = F.lit(0)
+    for g, m in enumerate(masks[1:], 1):
+        group = F.when(F.col("__pmask") == m, g).otherwise(group)
+    floors = [f"__floor{p}" for p in range(len(ks))]
     kcol = F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("__prop") + 1)
-    out = ranked.where(F.col("rank") <= kcol).select(
+    w = Window.partitionBy("__qid", "__prop").orderBy(F.desc("sim"), F.asc("__rid"))
+
+    def ranked(found):
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kcol)
+
+    def settle(partial):
+        best = cut_lineage(ranked(partial).drop("rank"))
+        kth = best.groupBy("__qid", "__prop").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("sim"))
+        kth = kth.where(F.col("n") == kcol).groupBy(F.col("__qid").alias("__id")).agg(
+            *[F.coalesce(F.max(F.when(F.col("__prop") == p, F.col("sim"))), F.lit(-1.0)).alias(f)
+              for p, f in enumerate(floors)])
+        own = [[F.col(floors[p]) for p in range(len(ks)) if m >> p & 1] for m in masks]
+        return best, kth.select("__id", *floors, *[(F.least(*c) if len(c) > 1 else c[0]).alias(f"__beat{g}")
+                                                   for g, c in enumerate(own)])
+
+    zero = F.lit(0).cast("bigint")
+    lp = lp.select("*", zero.alias("__group"), *[F.lit(-1.0).alias(f) for f in floors])
+    kept, second = _two_rounds(lp, rp.withColumn("__group", group.cast("bigint")), n_words, block_size, len(masks),
+                               topk_kernel(n_words, ks, refs is None),
+                               "__qid bigint, __prop int, __rid bigint, sim double", settle, report)
+    out = ranked(kept.unionByName(second)).select(
         F.col("__qid").alias("query_id"), F.col("__prop").alias("prop"),
         F.col("__rid").alias("ref_id"), "sim", "rank")
     return _named(_named(out, q_ids, "query_id"), r_ids, "ref_id")
@@ -507,82 +602,8 @@ def popcount_buckets(threshold: float, bits: int) -> list[int]:
     return starts
 
 
-def _blocked(df: DataFrame, starts: list[int], bits: int, block_size: int) -> DataFrame:
-    """``df`` with its popcount bucket ``__b`` and its sub-block ``__s`` there.
-
-    The tables joined in have a row for each popcount and for each bucket:
-    bounded by the fingerprint's bits.
-    """
-    spark = df.sparkSession
-    edges = [*starts[1:], bits + 1]
-    bounds = spark.createDataFrame([(b, a, z) for b, (a, z) in enumerate(zip(starts, edges))],
-                                   "__b int, __from bigint, __to bigint")
-    bucket = bounds.select("__b", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__pc"))
-    df = df.join(F.broadcast(bucket), "__pc")
-    subs = df.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("__n"))
-    return (df.join(F.broadcast(subs), "__b")
-            .withColumn("__s", F.pmod(F.xxhash64("__id"), F.col("__n")).cast("int")))
-
-
-def _meetings(df: DataFrame, other: DataFrame, own: str, far: str) -> DataFrame:
-    """Each row of ``df`` once for every block of ``other`` in its own and the adjacent buckets."""
-    blocks = other.select(F.col("__b").alias(f"{far}_b"), "__n").distinct().select(
-        f"{far}_b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(f"{far}_s"))
-    near = df.withColumnsRenamed({"__b": f"{own}_b", "__s": f"{own}_s"}).drop("__n").withColumn(
-        f"{far}_b", F.explode(F.array(*[F.col(f"{own}_b") + F.lit(k) for k in (-1, 0, 1)])))
-    return near.join(F.broadcast(blocks), f"{far}_b")
-
-
-def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, threshold: float,
-                  id_col: str = "id", fp_col: str = "fp",
-                  block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Pairs with similarity >= ``threshold`` (> 0): ``(left_id, right_id, sim)``.
-
-    Exact pruning by the popcount bound: rows are put in buckets of popcounts
-    (:func:`popcount_buckets`), so only rows in the same or adjacent buckets
-    can reach the threshold; other block pairs are never formed. Inside a
-    bucket rows are hashed into sub-blocks of about ``block_size`` rows. A
-    self join reports each pair once with left_id < right_id.
-    """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]; use similarity_distribution for all pairs")
-    self_join = right is None
-    left, l_ids = _numbered(left, id_col)
-    right, r_ids = (None, l_ids) if self_join else _numbered(right, id_col)
-    starts = popcount_buckets(threshold, 64 * n_words)
-    lt = _blocked(prepare(left, id_col, fp_col, n_words).where(F.col("__pc") > 0), starts, 64 * n_words, block_size)
-    lt = cut_lineage(lt)
-    rt = lt.select(*[F.col(c).alias(c) for c in lt.columns]) if self_join else cut_lineage(
-        _blocked(prepare(right, id_col, fp_col, n_words).where(F.col("__pc") > 0), starts, 64 * n_words, block_size))
-    lside, rside = _meetings(lt, rt, "__l", "__r"), _meetings(rt, lt, "__r", "__l")
-    if self_join:
-        # Visit each unordered block pair once.
-        later = (F.col("__l_b") < F.col("__r_b")) | ((F.col("__l_b") == F.col("__r_b"))
-                                                     & (F.col("__l_s") <= F.col("__r_s")))
-        lside, rside = lside.where(later), rside.where(later)
-    keys_ = ["__l_b", "__l_s", "__r_b", "__r_s"]
-
-    def fn(key, l_pdf, r_pdf):
-        empty = pd.DataFrame({"left_id": np.array([], np.int64), "right_id": np.array([], np.int64),
-                              "sim": np.array([], float)})
-        if l_pdf.empty or r_pdf.empty:
-            return empty
-        _, idl, pcl, wl = _arrays(l_pdf, n_words)
-        _, idr, pcr, wr = _arrays(r_pdf, n_words)
-        diagonal = self_join and key[0] == key[2] and key[1] == key[3]
-        out = []
-        for s, e, inter in _chunks(wl, wr):
-            _, sim = _sims(inter, pcl[s:e], pcr)
-            ok = np.nan_to_num(sim, nan=-1.0) >= threshold
-            if self_join:
-                ok &= (idl[s:e, None] < idr[None, :]) if diagonal else (idl[s:e, None] != idr[None, :])
-            r, c = np.nonzero(ok)
-            a, b = idl[s + r], idr[c]
-            if self_join:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            out.append(pd.DataFrame({"left_id": a, "right_id": b, "sim": sim[r, c]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    out = lside.groupBy(*keys_).cogroup(rside.groupBy(*keys_)).applyInPandas(
-        fn, "left_id bigint, right_id bigint, sim double")
-    return _named(_named(out, l_ids, "left_id"), r_ids, "right_id")
+def tanimoto_join(left: DataFrame, right: DataFrame | None, n_words: int, threshold: float, id_col: str = "id",
+                  fp_col: str = "fp", **options) -> DataFrame:
+    """Pairs that reach a threshold; see :func:`assaylake.operators.prefix_join.tanimoto_join`."""
+    from assaylake.operators import prefix_join
+    return prefix_join.tanimoto_join(left, right, n_words, threshold, id_col, fp_col, **options)
