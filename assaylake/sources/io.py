@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylake.session import ensure_checkpoint_dir
+from assaylake.sources.delimited import read_delimited
 
 
 # The words that data-frame CSV readers take for a missing number.
@@ -23,12 +24,11 @@ MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def _dialect(rw, fmt: str):
+def _dialect(fmt: str) -> dict[str, str]:
     """Options shared by reader and writer: fields with a separator, a quote or
     a line end are quoted, quotes inside are doubled, outer blanks stay."""
-    return (rw.option("sep", "\t" if fmt == "tsv" else ",").option("header", True)
-            .option("quote", '"').option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    return {"sep": "\t" if fmt == "tsv" else ",", "quote": '"', "escape": '"',
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _nan_to_null(df: DataFrame) -> DataFrame:
@@ -55,9 +55,9 @@ def read_assay(spark: SparkSession, path: str, schema: T.StructType | str | None
     """Read an assay table (``tsv``, ``csv``, ``parquet`` or ``json``).
 
     In delimited files the words in ``missing`` are NULL in number columns; an
-    empty unquoted text is NULL. A file with ``multi_line`` cannot be split
-    among tasks: hand large tables over as parquet, or pass False where no
-    text holds a line end.
+    empty text is NULL. Files are read in splits by many tasks, texts with
+    line ends included (:mod:`assaylake.sources.delimited`); ``multi_line=False``
+    saves counting the quotes first where no text holds a line end.
     """
     if fmt in ("tsv", "csv"):
         if schema is None:
@@ -66,8 +66,10 @@ def read_assay(spark: SparkSession, path: str, schema: T.StructType | str | None
         as_text = [isinstance(f.dataType, T.NumericType) for f in declared.fields]
         read = T.StructType([T.StructField(f.name, T.StringType() if t else f.dataType)
                              for f, t in zip(declared.fields, as_text)])
-        df = (_dialect(spark.read.schema(read), fmt).option("mode", "FAILFAST")
-              .option("multiLine", multi_line).csv(path))
+        if multi_line:
+            df = read_delimited(spark, path, read, _dialect(fmt))
+        else:
+            df = spark.read.schema(read).options(header="true", mode="FAILFAST", **_dialect(fmt)).csv(path)
         df = df.select(*[_from_text(f, missing) if t else F.col(f"`{f.name}`")
                          for f, t in zip(declared.fields, as_text)])
     elif fmt == "parquet":
@@ -89,7 +91,7 @@ def write_assay(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "t
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt in ("tsv", "csv"):
-        _dialect(w, fmt).csv(path)
+        w.options(header="true", **_dialect(fmt)).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
