@@ -150,7 +150,8 @@ def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
     no rows. A lone leaf is its own root, with an empty proof.
     """
     ensure_importable(leaves.sparkSession)
-    thin = leaves.select("doc_id", "group", F.unhex("leaf").alias("hash"), F.unhex("changed").alias("changed"))
+    thin = cut_lineage(leaves.select("doc_id", "group", F.unhex("leaf").alias("hash"),
+                                     F.unhex("changed").alias("changed")))  # sorting reads it twice
     nodes = cut_lineage(numbered(thin, "group", ["doc_id", "hash"]))
     most = nodes.agg(F.max("n").alias("n")).first()["n"] or 0
 
