@@ -14,9 +14,12 @@ across their border. So no merge has to be replayed:
 
 Decoding gathers the tokens' bytes from one blob by an offset table.
 
-Texts are cut into words by the tokenizer's own pre-tokenizer. A word starts at
-every blank that a visible character follows, so a text is first cut there and
-a worker remembers the ids of the parts it has met.
+Texts are cut into words as the tokenizer's pre-tokenizer does. For the common
+characters (``COMMON``) it is asked once for the class of each, and a pattern
+of these classes cuts the text. A word starts at every blank that a visible
+character follows, so a text with other characters is first cut there, and the
+parts that hold some go to the pre-tokenizer itself. A worker remembers the ids
+of the words it has met.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow_map, batch_of, slices, table, with_key
 
-CACHE_BYTES = 64_000_000  # of parts and their ids that a worker remembers; only speed depends on it
-PAIRS = 2_000_000         # entries of the compatibility table before it is started anew
+CACHE_BYTES = 96_000_000  # of words and their ids that a worker remembers; only speed depends on it
+PAIRS = 1_000_000         # entries of the compatibility table before it is started anew
+STRETCH = 1_000_000       # characters whose words are held at a time
+COMMON = [*range(0x250), *range(0x2000, 0x2070)]  # Latin letters, digits, marks and blanks
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -76,8 +81,23 @@ class BytePairs:
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._parts: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
         self._held = 0
+        self._alphabet = {b: c for c, b in raw.items()}
+        self._word, self._other = self._patterns()
+
+    def _patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """Pattern of the words of a text of common characters, and of any other character."""
+        classes: dict[str, list[str]] = {"letter": [], "number": [], "mark": [], "blank": []}
+        for ch in map(chr, COMMON):
+            kind = next((k for k, first in (("letter", "a"), ("number", "1"), ("mark", "!"))
+                         if len(self._split(first + ch)) == 1), "blank")
+            classes[kind].append(re.escape(ch))
+        letter, number, mark, blank = ("".join(c) for c in classes.values())
+        # Fixed value: the pattern of byte-level pre-tokenizers, with the classes written out.
+        word = (f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[{mark}]+"
+                f"|[{blank}]+(?![^{blank}])|[{blank}]+")
+        return re.compile(word), re.compile("[^" + "".join(re.escape(chr(c)) for c in COMMON) + "]")
 
     def _merges(self, merges, vocab) -> None:
         """Rank, halves and result of every merge."""
@@ -152,26 +172,38 @@ class BytePairs:
                 at -= self.length[token]
         return out
 
-    def _part(self, part: str) -> bytes:
-        if (known := self._parts.get(part)) is None:
-            ids = [i for w, _ in self._split(part) for i in self.encode_word(w)]
-            known = np.array(ids, "<u4").tobytes()
-            size = 4 * len(part) + len(known) + 200
-            if self._held + size > CACHE_BYTES:
-                self._parts.clear()
-                self._held = 0
-            if size <= CACHE_BYTES // 64:
-                self._parts[part] = known
-                self._held += size
-        return known
+    def _words(self, text: str) -> list[str]:
+        if text.isascii() or not self._other.search(text):
+            return self._word.findall(text)
+        out = []
+        for k, part in enumerate(_CUT.split(text)):
+            part = " " + part if k else part
+            if self._other.search(part):
+                out += [part[a:z] for _, (a, z) in self._split(part)]
+            else:
+                out += self._word.findall(part)
+        return out
+
+    def _new(self, word: str) -> bytes:
+        ids = self.encode_word(word.encode().decode("latin-1").translate(self._alphabet))
+        coded = np.array(ids, "<u4").tobytes()
+        size = 4 * len(word) + len(coded) + 200
+        if self._held + size > CACHE_BYTES:
+            self._known.clear()
+            self._held = 0
+        if size <= CACHE_BYTES // 64:
+            self._known[word] = coded
+            self._held += size
+        return coded
 
     def _plain(self, text: str) -> bytes:
-        parts = _CUT.split(text)
-        known = self._parts
-        out = [self._part(parts[0])] if parts[0] else []
-        for p in parts[1:]:
-            ids = known.get(" " + p)
-            out.append(self._part(" " + p) if ids is None else ids)
+        """Ids of a text without added tokens, a stretch at a time."""
+        out, at, known = [], 0, self._known
+        while at < len(text):
+            cut = _CUT.search(text, at + STRETCH) if at + STRETCH < len(text) else None
+            end = cut.start() if cut else len(text)
+            out.append(b"".join([known.get(w) or self._new(w) for w in self._words(text[at:end])]))
+            at = end
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
