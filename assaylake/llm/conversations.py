@@ -38,6 +38,9 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import arrow_map, slices, table
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3  # costs
+#: What it costs at most to go on from one node as from any other: an inserted assistant row and a
+#: deleted system row. Nodes dearer than the cheapest by more can never win.
+DETOUR = INSERT + DELETE
 LETTERS = "DIKR"                                         # digits 1 to 4
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: USER, SYSTEM: USER, ASSISTANT: USER, USER: ASSISTANT}  # what may be inserted or renamed to
@@ -101,6 +104,8 @@ class Repair:
                     edges.append((to, s, KEEP + more, 3, kept))
                 edges.append((NEXT[s], s, REROLE + more, 4, NAME[NEXT[s]] + b":" + text))
         self._relax(edges)
+        most = min(n[0] for n in self.nodes.values()) + (DETOUR + 1 << 3 * self.width)
+        self.nodes = {s: n for s, n in self.nodes.items() if n[0] < most}
 
     def _digits(self, weight: int) -> str:
         """The letters of a weight, zeros at the end as ``0``."""

@@ -7,12 +7,12 @@ one more tree of the same kind.
 
 A *version* of the tree with one leaf replaced copies only that leaf's
 ancestors; all other nodes are shared with the tree as it was. The lower
-``BLOCK_LEVELS`` levels of an ancestor path lie in one aligned block of
-``BLOCK`` leaves, which a task holds and whose versions it makes there; above
-it, the version goes on as a row along the path of its block, which Spark has
-joined to it. The levels above are built the same way, a block of ``BLOCK``
-nodes a task and round, so n leaves take ``log(n) / log(BLOCK)`` rounds and no
-task ever holds more than a block.
+``BLOCK_LEVELS`` levels of an ancestor path lie in one aligned block of 4,096
+leaves, which a task holds and whose versions it makes there; above it, the
+version goes on as a row along the path of its block, which Spark has joined to
+it. The levels above are built the same way, a block of 4,096 nodes a task and
+round, so n leaves take ``log(n) / log(4096)`` rounds and no task ever holds
+more than a block.
 
 Digests are lower-case hex SHA-256, and hex text is what a node hashes; tables
 hold them as 32 bytes.
@@ -31,8 +31,7 @@ from assaylake.operators.keys import row_index
 from assaylake.session import ensure_importable
 
 FANOUT = 8
-BLOCK_LEVELS = 4
-BLOCK = FANOUT ** BLOCK_LEVELS
+BLOCK_LEVELS = 4  # levels of a block, which has FANOUT ** BLOCK_LEVELS leaves
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _PATH = "array<struct<before:binary,after:binary>>"
 
@@ -51,10 +50,10 @@ def levels_of(n: int) -> int:
     return k
 
 
-def block_levels(nodes: list[str], n: int) -> list[list[str]]:
+def block_levels(nodes: list[str], n: int, depth: int = BLOCK_LEVELS) -> list[list[str]]:
     """All levels inside one block of a group of ``n`` nodes, lowest first; the last has one node."""
     out = [nodes]
-    for _ in range(min(BLOCK_LEVELS, levels_of(n))):
+    for _ in range(min(depth, levels_of(n))):
         low = out[-1]
         out.append([digest("".join(low[i:i + FANOUT])) for i in range(0, len(low), FANOUT)])
     return out
@@ -90,29 +89,30 @@ def _unpack(path: list[dict]) -> list[tuple[str, str]]:
 
 # --- the tree, by Spark --------------------------------------------------------
 
-def _with_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("idx") / BLOCK).cast("bigint"))
+def _with_block(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("idx") / FANOUT ** depth).cast("bigint"))
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, depth: int) -> DataFrame:
     """``nodes(group, idx, n, hash)`` -> the same columns for the top of each block."""
     def run(key, t):
         t = t.sort_by("idx")
         n = t.column("n")[0].as_py()
-        top = block_levels([h.hex() for h in t.column("hash").to_pylist()], n)[-1][0]
-        return pa.table({"group": [key[0].as_py()], "idx": [key[1].as_py()], "n": [-(-n // BLOCK)],
+        top = block_levels([h.hex() for h in t.column("hash").to_pylist()], n, depth)[-1][0]
+        return pa.table({"group": [key[0].as_py()], "idx": [key[1].as_py()], "n": [-(-n // FANOUT ** depth)],
                          "hash": pa.array([bytes.fromhex(top)], pa.binary())})
 
-    return _with_block(nodes).select("group", "block", "idx", "n", "hash").groupBy("group", "block").applyInArrow(
+    own = _with_block(nodes, depth).select("group", "block", "idx", "n", "hash")
+    return own.groupBy("group", "block").applyInArrow(
         run, "group string, idx long, n long, hash binary")
 
 
-def _paths(nodes: DataFrame, most: int) -> DataFrame:
+def _paths(nodes: DataFrame, most: int, depth: int) -> DataFrame:
     """``nodes(group, idx, n, hash)`` -> ``group, idx, path, subroot``: what lies beside each node's
     ancestors up to its group's root. ``most`` is the greatest ``n`` of a group."""
     def run(key, t, above=None):
         t = t.sort_by("idx")
-        levels = block_levels([h.hex() for h in t.column("hash").to_pylist()], t.column("n")[0].as_py())
+        levels = block_levels([h.hex() for h in t.column("hash").to_pylist()], t.column("n")[0].as_py(), depth)
         upper = above.column("path")[0].as_py() if above is not None else []
         root = above.column("subroot")[0].as_py() if above is not None else bytes.fromhex(levels[-1][0])
         own = [_pack(siblings(levels, i)) + upper for i in range(t.num_rows)]
@@ -121,10 +121,10 @@ def _paths(nodes: DataFrame, most: int) -> DataFrame:
                          "subroot": pa.array([root] * t.num_rows, pa.binary())})
 
     schema = f"group string, idx long, path {_PATH}, subroot binary"
-    own = _with_block(nodes).groupBy("group", "block")
-    if most <= BLOCK:
+    own = _with_block(nodes, depth).groupBy("group", "block")
+    if most <= FANOUT ** depth:
         return own.applyInArrow(lambda key, t: run(key, t), schema)
-    above = _paths(cut_lineage(_tops(nodes)), -(-most // BLOCK)).select(
+    above = _paths(cut_lineage(_tops(nodes, depth)), -(-most // FANOUT ** depth), depth).select(
         "group", F.col("idx").alias("block"), "path", "subroot")
     return own.cogroup(above.groupBy("group", "block")).applyInArrow(
         lambda key, t, up: run(key, t, up), schema)
@@ -138,7 +138,7 @@ def numbered(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
             .drop("__place", "__first"))
 
 
-def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
+def manifest(leaves: DataFrame, with_paths: bool = False, depth: int = BLOCK_LEVELS) -> DataFrame:
     """Proof of every leaf, and the root its own version of the tree has.
 
     ``leaves(doc_id, group, leaf, changed)``: hex digests; ``group`` is not
@@ -147,7 +147,8 @@ def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
     Returns ``doc_id, leaf, subroot, root, proof_sha256, folded_root`` and,
     if asked for, ``path``: the siblings before and after the leaf and each of
     its ancestors. One row for each row, also for repeated ones; no rows for
-    no rows. A lone leaf is its own root, with an empty proof.
+    no rows. A lone leaf is its own root, with an empty proof. ``depth`` is the
+    levels of a block; the result does not depend on it.
     """
     ensure_importable(leaves.sparkSession)
     thin = cut_lineage(leaves.select("doc_id", "group", F.unhex("leaf").alias("hash"),
@@ -156,14 +157,14 @@ def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
     most = nodes.agg(F.max("n").alias("n")).first()["n"] or 0
 
     # The tree of each group above its blocks, then the tree of the groups' roots.
-    tops = cut_lineage(_tops(nodes))
-    upper = cut_lineage(_paths(tops, -(-most // BLOCK)))
+    tops = cut_lineage(_tops(nodes, depth))
+    upper = cut_lineage(_paths(tops, -(-most // FANOUT ** depth), depth))
     roots = numbered(upper.groupBy("group").agg(F.first("subroot").alias("hash")).withColumn("all", F.lit("")),
                      "all", ["group"])
     roots = cut_lineage(roots.select("group", F.struct(
         F.col("all").alias("group"), "idx", "n", "hash").alias("node")))
     n_groups = roots.count()
-    over = cut_lineage(_paths(roots.select("node.*"), n_groups)).select("idx", F.col("path").alias("over"),
+    over = cut_lineage(_paths(roots.select("node.*"), n_groups, depth)).select("idx", F.col("path").alias("over"),
                                                                         F.col("subroot").alias("root"))
     over = over.join(roots.select("group", "node.idx"), "idx").drop("idx")
     above = upper.join(over, "group").select(
@@ -171,18 +172,18 @@ def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
         "subroot", "root")
 
     def run(key, t, up):
-        return pa.Table.from_batches([_proved(t.sort_by("idx"), up.slice(0, 1).to_pylist()[0], with_paths)])
+        return pa.Table.from_batches([_proved(t.sort_by("idx"), up.slice(0, 1).to_pylist()[0], with_paths, depth)])
 
     schema = ("doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
               + (f", path {_PATH}" if with_paths else ""))
-    return (_with_block(nodes).groupBy("group", "block").cogroup(above.groupBy("group", "block"))
+    return (_with_block(nodes, depth).groupBy("group", "block").cogroup(above.groupBy("group", "block"))
             .applyInArrow(run, schema))
 
 
-def _proved(t: pa.Table, up: dict, with_paths: bool) -> pa.RecordBatch:
+def _proved(t: pa.Table, up: dict, with_paths: bool, depth: int) -> pa.RecordBatch:
     """Result rows of one block of leaves; ``up`` is the block's path to the root."""
     leaves = [h.hex() for h in t.column("hash").to_pylist()]
-    levels = block_levels(leaves, t.column("n")[0].as_py())
+    levels = block_levels(leaves, t.column("n")[0].as_py(), depth)
     upper = _unpack(up["path"])
     rest = "".join(b + a for b, a in upper)
     proofs, folded, paths = [], [], []
