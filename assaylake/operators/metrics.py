@@ -56,12 +56,12 @@ def evaluate(long_df: DataFrame, endpoints: Sequence[Endpoint] = ENDPOINTS,
              required: Sequence[str] | None = None) -> DataFrame:
     """MAE and R^2 per endpoint (+ an ``aggregated`` macro row).
 
-    Rows whose reference is NULL are ignored. Endpoints that are not
+    Rows whose reference is NULL or NaN have no truth and are ignored. Endpoints that are not
     log-encoded are scored as is; the others after log10(x + 1) on both
     sides. R^2 = 1 - SSE/SST with the usual corner cases: 1.0 when SSE = SST
     = 0, 0.0 when only SST = 0, NULL below two rows. A missing prediction
-    where a reference exists, and a NaN or an infinity on either side (before
-    or after the log), raise with ``on_null='error'``; the rows are skipped
+    where a reference exists, a NaN prediction, and an infinity on either side
+    or a number that has no logarithm, raise with ``on_null='error'``; the rows are skipped
     with ``'skip'``. Every name in ``required`` (all endpoints unless given)
     must have rows. The macro row is the mean over the endpoints, NULL where
     one of them has no value.
@@ -80,7 +80,7 @@ def evaluate(long_df: DataFrame, endpoints: Sequence[Endpoint] = ENDPOINTS,
     for c in ("ref", "pred", "y", "p"):
         finite = finite & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf"))
     rows = (long_df.where(F.col("endpoint").isin(list(dict.fromkeys([*names, *required]))))
-            .select("endpoint", F.col("ref").cast("double").alias("ref"), F.col("pred").cast("double").alias("pred"))
+            .select("endpoint", F.nanvl(F.col("ref").cast("double"), F.lit(None).cast("double")).alias("ref"), F.col("pred").cast("double").alias("pred"))
             .withColumns({"y": y, "p": p})
             .withColumn("ok", F.coalesce(finite, F.lit(False)))
             .withColumns({"yy": F.when(F.col("ok"), F.col("y")), "err": F.when(F.col("ok"), F.col("y") - F.col("p"))}))

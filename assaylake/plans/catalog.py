@@ -18,7 +18,7 @@ from assaylake.functions import text as txt
 from assaylake.operators import answers, metrics, profile, prompts, retrieval, splits, udf
 from assaylake.operators import consensus as cons
 from assaylake.operators import fingerprint as fpr
-from assaylake.operators import keys
+from assaylake.operators import keys, prefix_join
 from assaylake.operators import similarity as sim
 from assaylake.plans.proxies import (
     LINEITEM_ENDPOINTS, LINEITEM_KEY, LINEITEM_ORDER, LINEITEM_VALUES,
@@ -291,6 +291,54 @@ def q_flatten_records(spark, sf_dir):
     return sources.flatten_records(ev, "event_id", "props", ["k"])
 
 
+@query("flatten_ids")
+def q_flatten_ids(spark, sf_dir):
+    """Records without labels: the id column alone."""
+    return sources.flatten_records(table(spark, sf_dir, "events"), "event_id", "props", [], id_alias="record_id")
+
+
+@query("accepted_keys")
+def q_accepted_keys(spark, sf_dir):
+    """The documents whose key was not rejected."""
+    return keys.drop_rejected(text_keys(spark, sf_dir), "key").select("doc_id", *_digest(F.col("key"), "key"))
+
+
+@query("positional_profile")
+def q_positional_profile(spark, sf_dir):
+    """Null share of the columns from the third on, but for one."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINEITEM_VALUES, "l_linestatus") \
+        .withColumns({v: F.when(F.col(v) > 10, F.col(v)) for v in LINEITEM_VALUES})
+    return _round_doubles(profile.null_profile(li, keys.endpoint_columns(li, exclude=["l_linestatus"], start=2)))
+
+
+@query("cached_table")
+def q_cached_table(spark, sf_dir):
+    """Measurements landed once as TSV; the second request finds the finished table."""
+    base = sources.scratch_path(spark, "cached_table")
+
+    def landed(build):
+        return sources.cached(spark, base, "measurements", build, {"columns": MEASUREMENT_SCHEMA},
+                              [f"{sf_dir}/lineitem.parquet"], fmt="tsv")
+
+    def never():
+        raise RuntimeError("the table was not found again")
+
+    landed(lambda: measurements(spark, sf_dir))
+    return landed(never)
+
+
+@query("named_output")
+def q_named_output(spark, sf_dir):
+    """Records as JSON lines in a place named by the run's settings, read back with that name."""
+    base = sources.scratch_path(spark, "named_output")
+    path = sources.prompt_path(base, TOPK_TARGET, TOPK_EXTERNAL)
+    items = external_items(spark, sf_dir)
+    sources.write_chat_jsonl(items.select(F.struct("item_id", "text").alias("record")), path)
+    back = spark.read.schema("item_id long, text string").json(base + "/*")
+    run = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)[.]jsonl/", 1)
+    return back.select("item_id", *_digest(F.col("text"), "text"), run.alias("run"))
+
+
 # --- step 3: profiles ---------------------------------------------------------
 
 
@@ -428,6 +476,13 @@ def q_evaluate(spark, sf_dir):
     return _round_doubles(res)
 
 
+@query("evaluate_nan_truths")
+def q_evaluate_nan_truths(spark, sf_dir):
+    """A truth that is NaN is a missing one."""
+    pairs = evaluation_input(spark, sf_dir).withColumn("ref", F.coalesce("ref", F.lit(float("nan"))))
+    return _round_doubles(metrics.evaluate(pairs, EVAL_ENDPOINTS, macro=False))
+
+
 @query("evaluate_macro")
 def q_evaluate_macro(spark, sf_dir):
     res = metrics.evaluate(evaluation_input(spark, sf_dir), EVAL_ENDPOINTS, macro=True)
@@ -563,6 +618,18 @@ def q_threshold_pairs(spark, sf_dir):
     return _round_doubles(sim.tanimoto_join(train_fps(spark, sf_dir), None, FP_WORDS, 0.5, "doc_id"))
 
 
+@query("threshold_links")
+def q_threshold_links(spark, sf_dir):
+    """Class, copies and links of every training document, without a list of pairs."""
+    return prefix_join.tanimoto_links(train_fps(spark, sf_dir), FP_WORDS, 0.5, "doc_id")[0]
+
+
+@query("threshold_class_pairs")
+def q_threshold_class_pairs(spark, sf_dir):
+    """Links between different fingerprints, each named by its smallest document."""
+    return _round_doubles(prefix_join.tanimoto_links(train_fps(spark, sf_dir), FP_WORDS, 0.5, "doc_id")[1])
+
+
 @query("pair_histogram")
 def q_pair_histogram(spark, sf_dir):
     dist = sim.similarity_distribution(train_fps(spark, sf_dir), None, FP_WORDS, "doc_id",

@@ -216,6 +216,15 @@ SQL["flatten_records"] = """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events"""
 
 
+SQL["flatten_ids"] = "SELECT event_id AS record_id FROM events"
+SQL["accepted_keys"] = f"WITH {_KEYS} SELECT doc_id, {_digest('key', 'key')} FROM k WHERE key IS NOT NULL"
+SQL["positional_profile"] = " UNION ALL ".join(
+    f"SELECT '{v}' AS \"column\", round(avg((CASE WHEN {v} > 10 THEN {v} END IS NULL)::DOUBLE) * 100, 6) AS null_pct "
+    "FROM lineitem" for v in _VALS)
+SQL["cached_table"] = f"WITH {_M} SELECT * FROM m"
+SQL["named_output"] = (f"SELECT item_id, {_digest('text', 'text')}, 'records_top5target_3ext_train' AS run "
+                       "FROM benchmark")
+
 # --- step 3 -----------------------------------------------------------------
 
 _DL = """d AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
@@ -399,6 +408,7 @@ per AS (
   FROM ev GROUP BY endpoint)"""
 SQL["evaluate"] = f"""WITH {_EVAL}
 SELECT endpoint, n, round(mean_absolute_error, 6) AS mean_absolute_error, round(r2, 6) AS r2 FROM per"""
+SQL["evaluate_nan_truths"] = SQL["evaluate"]
 SQL["evaluate_macro"] = f"""WITH {_EVAL}
 SELECT 'aggregated' AS endpoint, sum(n)::BIGINT AS n, round(avg(mean_absolute_error), 6) AS mean_absolute_error,
        round(avg(r2), 6) AS r2 FROM per"""
@@ -523,6 +533,17 @@ SELECT 'best_sim' AS "column", r.bin, round(lo + r.bin * ((hi - lo) / 30), 6) AS
 FROM (SELECT range AS bin FROM range(30)) r CROSS JOIN e LEFT JOIN c USING (bin)"""
 SQL["threshold_pairs"] = f"""WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id < b.doc_id')}
 SELECT i AS left_id, j AS right_id, round(inter / uni, 6) AS sim FROM pairs WHERE uni > 0 AND inter / uni >= 0.5"""
+_LINKED = f"""{_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id <> b.doc_id')},
+cls AS (SELECT doc_id, pc, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM train
+        WINDOW w AS (PARTITION BY {", ".join(f"u{j}" for j in range(_NW))}))"""
+SQL["threshold_links"] = f"""WITH {_LINKED},
+links AS (SELECT i, count(*) AS n FROM pairs WHERE uni > 0 AND inter / uni >= 0.5 GROUP BY i)
+SELECT c.doc_id, c.class_id, CASE WHEN c.pc > 0 THEN c.n - 1 ELSE 0 END::BIGINT AS n_copies,
+       coalesce(l.n, 0)::BIGINT AS n_links FROM cls c LEFT JOIN links l ON l.i = c.doc_id"""
+SQL["threshold_class_pairs"] = f"""WITH {_LINKED}
+SELECT i AS left_class, j AS right_class, round(inter / uni, 6) AS sim FROM pairs
+JOIN cls a ON a.doc_id = i AND a.class_id = i JOIN cls b ON b.doc_id = j AND b.class_id = j
+WHERE i < j AND uni > 0 AND inter / uni >= 0.5"""
 SQL["pair_histogram"] = f"WITH {_FPW}, {_TT}, {_pairs('train', 'train', 'a.doc_id < b.doc_id')}, {_sim_hist()}"
 
 _IDENT = f"""ident AS (

@@ -32,7 +32,7 @@ from assaylake.session import ensure_importable
 _FILE, _BLOCK = "__file", "__block"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Physical lines with the file and the offset of the split that reads them."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select("*", F.col("_metadata.file_path").alias(_FILE),
@@ -123,7 +123,7 @@ def _splits(lines: DataFrame) -> DataFrame:
         _FILE, _BLOCK, "__inside", "__owner")
 
 
-def read_records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
     """``value`` (and the folder's partition columns): the text of each record, without its line end.
 
     Blank lines between records are left out, and with ``header`` the first
@@ -152,7 +152,7 @@ def read_records(spark: SparkSession, path: str, header: bool = True) -> DataFra
         "value <> ''")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, options: dict[str, str]) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType, options: dict[str, str]) -> DataFrame:
     """Columns of ``schema``, in its order, from files with a header; ``options`` as for Spark's CSV reader.
 
     Columns of ``schema`` that the folders name (``fold=1``) come from there;

@@ -50,7 +50,7 @@ def _from_text(f: T.StructField, missing: Sequence[str]):
             .when(value.isNull(), bad).otherwise(value).alias(f.name))
 
 
-def read_assay(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+def read_assay(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
                fmt: str = "tsv", missing: Sequence[str] = MISSING_WORDS, multi_line: bool = True) -> DataFrame:
     """Read an assay table (``tsv``, ``csv``, ``parquet`` or ``json``).
 
@@ -73,7 +73,7 @@ def read_assay(spark: SparkSession, path: str, schema: T.StructType | str | None
         df = df.select(*[_from_text(f, missing) if t else F.col(f"`{f.name}`")
                          for f, t in zip(declared.fields, as_text)])
     elif fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     elif fmt == "json":
         df = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
     else:

@@ -39,7 +39,7 @@ def test_building_a_query_runs_no_shuffle(spark):
     spark.sparkContext.setJobGroup("rest", "rest")
 
 
-@pytest.mark.parametrize("row", [(1.0, float("inf")), (float("nan"), 1.0), (1.0, -1.0), (-3.0, 1.0), (1.0, None),
+@pytest.mark.parametrize("row", [(1.0, float("inf")), (1.0, float("nan")), (1.0, -1.0), (-3.0, 1.0), (1.0, None),
                                  (float("inf"), 1.0)])
 def test_scores_refuse_what_is_not_finite(spark, row):
     rows = [(0, "HLM", *row), (1, "HLM", 1.0, 2.0), (2, "HLM", 3.0, 2.5), (3, "LogD", 1.0, 1.0), (4, "LogD", 2.0, 1.0)]
