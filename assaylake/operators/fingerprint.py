@@ -180,17 +180,25 @@ def pattern_fingerprint(df: DataFrame, id_col: str, text_col: str, patterns: Seq
 
 
 def profile_text(text_col: str, features: Sequence[tuple[str, object, str]],
-                 out: str = "profile") -> Column:
+                 out: str = "profile", shared=None) -> Column:
     """Render named features as ``name=value, ...``.
 
     ``features`` holds ``(name, fn, kind)``: ``fn`` maps the text column to a
     numeric Column; ``kind`` is ``'int'`` (truncated) or ``'2f'`` (two
-    decimals). NULL input renders as ''.
+    decimals). NULL input renders as ''. ``shared``, a function of the text,
+    is evaluated once for each text, and its value passed to every ``fn`` as
+    the second argument.
     """
     text = qcol(text_col)
-    parts = []
-    for name, fn, kind in features:
-        v = fn(text)
-        shown = trunc_int(v).cast("string") if kind == "int" else fmt2(v)
-        parts.append(F.concat(F.lit(f"{name}="), shown))
-    return F.when(text.isNull(), F.lit("")).otherwise(F.concat_ws(", ", *parts)).alias(out)
+
+    def rendered(*value) -> Column:
+        parts = []
+        for name, fn, kind in features:
+            v = fn(text, *value)
+            shown = trunc_int(v).cast("string") if kind == "int" else fmt2(v)
+            parts.append(F.concat(F.lit(f"{name}="), shown))
+        return F.concat_ws(", ", *parts)
+
+    # A lambda binds the value: named twice in an expression it would be computed twice.
+    shown = rendered() if shared is None else F.transform(F.array(shared(text)), lambda v: rendered(v))[0]
+    return F.when(text.isNull(), F.lit("")).otherwise(shown).alias(out)

@@ -508,7 +508,8 @@ def topk_matches(queries: DataFrame, refs: DataFrame | None, n_words: int, ks: S
     w = Window.partitionBy("__qid", "__prop").orderBy(F.desc("sim"), F.asc("__rid"))
 
     def ranked(found):
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kcol)
+        top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(ks))
+        return top.where(F.col("rank") <= kcol)
 
     def settle(partial):
         best = cut_lineage(ranked(partial).drop("rank"))

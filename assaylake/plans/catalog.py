@@ -18,7 +18,7 @@ from assaylake.functions import text as txt
 from assaylake.operators import answers, metrics, profile, prompts, retrieval, splits, udf
 from assaylake.operators import consensus as cons
 from assaylake.operators import fingerprint as fpr
-from assaylake.operators import keys, prefix_join
+from assaylake.operators import features, keys, prefix_join
 from assaylake.operators import similarity as sim
 from assaylake.plans.proxies import (
     LINEITEM_ENDPOINTS, LINEITEM_KEY, LINEITEM_ORDER, LINEITEM_VALUES,
@@ -519,18 +519,35 @@ PATTERN_WORDS = (len(TEXT_PATTERNS) + 63) // 64
 # Feature profile of a text: counts shown as integers, mean word length with
 # two decimals.
 TEXT_FEATURES = (
-    ("chars", lambda t: F.length(t), "int"),
-    ("words", lambda t: F.size(txt.word_tokens(t)), "int"),
-    ("lines", lambda t: F.size(F.split(t, "\n")), "int"),
-    ("digits", lambda t: F.length(F.regexp_replace(t, "[^0-9]", "")), "int"),
-    ("upper", lambda t: F.length(F.regexp_replace(t, "[^A-Z]", "")), "int"),
-    ("avgword", lambda t: F.try_divide(F.length(t), F.size(txt.word_tokens(t))), "2f"),
+    ("chars", lambda t, n: F.length(t), "int"),
+    ("words", lambda t, n: n, "int"),
+    ("lines", lambda t, n: F.size(F.split(t, "\n")), "int"),
+    ("digits", lambda t, n: F.length(F.regexp_replace(t, "[^0-9]", "")), "int"),
+    ("upper", lambda t, n: F.length(F.regexp_replace(t, "[^A-Z]", "")), "int"),
+    ("avgword", lambda t, n: F.try_divide(F.length(t), n), "2f"),
 )
 
 
+def count_words(text):
+    return F.size(txt.word_tokens(text))
+
+
+def text_profile(text_col="text"):
+    return fpr.profile_text(text_col, TEXT_FEATURES, shared=count_words)
+
+
+def _hashed(texts):
+    return fpr.hashed_fingerprint(texts, features.KEY, "text", FP_RADIUS, FP_BITS)
+
+
+def _patterned(texts):
+    return fpr.pattern_fingerprint(texts, features.KEY, "text", TEXT_PATTERNS)
+
+
 def document_fps(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return fpr.hashed_fingerprint(docs, "doc_id", "text", FP_RADIUS, FP_BITS)
+    """Fingerprints of all documents, from the table of texts met before."""
+    kept = features.FeatureTable(spark, None, "hashed", {"radius": FP_RADIUS, "bits": FP_BITS, "hash": "md5"}, _hashed)
+    return kept.of(documents(spark, sf_dir), "doc_id", "text")
 
 
 def _labelled_ids(spark, sf_dir):
@@ -538,7 +555,7 @@ def _labelled_ids(spark, sf_dir):
 
 
 def split_fps(spark, sf_dir):
-    """(train, test) fingerprints from one materialised fingerprint table.
+    """(train, test) fingerprints from one written table.
 
     Labelled (measured) documents are the training set, the others the test
     set; every text is tokenised once.
@@ -558,22 +575,22 @@ def test_fps(spark, sf_dir):
 
 @query("hashed_fingerprint")
 def q_hashed_fingerprint(spark, sf_dir):
-    f = document_fps(spark, sf_dir)
+    f = features.by_content(documents(spark, sf_dir), "doc_id", "text", _hashed)
     return f.select("doc_id", *[F.col("fp")[j].alias(f"w{j:02d}") for j in range(FP_WORDS)],
                     "n_bits_set")
 
 
 @query("pattern_fingerprint")
 def q_pattern_fingerprint(spark, sf_dir):
-    f = fpr.pattern_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", TEXT_PATTERNS)
+    f = features.by_content(documents(spark, sf_dir), "doc_id", "text", _patterned)
     return f.select("doc_id", *[F.col("fp")[j].alias(f"w{j:02d}") for j in range(PATTERN_WORDS)],
                     "n_bits_set")
 
 
 @query("profile_text")
 def q_profile_text(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d.select("doc_id", fpr.profile_text("text", TEXT_FEATURES))
+    return features.by_content(documents(spark, sf_dir), "doc_id", "text",
+                               lambda texts: texts.select(features.KEY, text_profile()))
 
 
 @query("tanimoto_pairs")
@@ -679,10 +696,8 @@ def q_embedding_nearest(spark, sf_dir):
 
 @query("query_reference_sim")
 def q_query_reference_sim(spark, sf_dir):
-    docs = fpr.pattern_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text",
-                                   TEXT_PATTERNS).withColumnRenamed("doc_id", "id")
-    refs = fpr.pattern_fingerprint(table(spark, sf_dir, "benchmark"), "item_id", "text",
-                                   TEXT_PATTERNS).withColumnRenamed("item_id", "id")
+    docs = text_features(documents(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "id")
+    refs = text_features(external_items(spark, sf_dir), "item_id").withColumnRenamed("item_id", "id")
     top = sim.topk_matches(docs, refs, PATTERN_WORDS, [3], "id")
     return _round_doubles(top.select(F.col("query_id").alias("doc_id"), "rank",
                                      F.col("ref_id").alias("item_id"), "sim"))
@@ -700,16 +715,21 @@ RETRIEVAL_PROPS = ([(p, TOPK_TARGET) for p in INTERNAL_PROPS]
 KEY_LABEL = "KEY"
 
 
-def text_features(df, id_col):
-    """Per text: pattern fingerprint, canonical key, profile and size measures."""
-    feats = df.select(id_col, "text", F.md5("text").alias("key"),
-                      fpr.profile_text("text", TEXT_FEATURES),
-                      F.length("text").alias("n_chars"),
-                      F.size(txt.word_tokens(F.col("text"))).alias("n_words"))
-    return fpr.pattern_fingerprint(feats, id_col, "text", TEXT_PATTERNS,
+def _featurised(texts):
+    """Pattern fingerprint, canonical key, profile and size measures of each text."""
+    feats = texts.select(features.KEY, "text", F.md5("text").alias("key"), text_profile(),
+                         F.length("text").alias("n_chars"), count_words(F.col("text")).alias("n_words"))
+    return fpr.pattern_fingerprint(feats, features.KEY, "text", TEXT_PATTERNS,
                                    keep=["key", "profile", "n_chars", "n_words"])
 
 
+def text_features(df, id_col):
+    """Features of each row's text, from the table of texts met before."""
+    settings = {"patterns": TEXT_PATTERNS, "profile": [(n, k) for n, _, k in TEXT_FEATURES]}
+    kept = features.FeatureTable(df.sparkSession, None, "text", settings, _featurised)
+    return kept.of(df, id_col, "text")
+
+
 def _retrieval_tables(spark, sf_dir):
     """(queries, refs) built from one pass of text features over the documents."""
     doc_feats = cut_lineage(text_features(documents(spark, sf_dir), "doc_id"))

@@ -72,8 +72,11 @@ class _Folder:
         if not self._fs.rename(draft, path):
             raise OSError(f"cannot put {uri}")
 
-    def drop(self, uri: str) -> None:
-        self._fs.delete(self._path(uri), True)
+    def folders(self, uri: str) -> list[str]:
+        root = self._path(uri)
+        if not self._fs.exists(root):
+            return []
+        return sorted(s.getPath().toString() for s in self._fs.listStatus(root) if s.isDirectory())
 
 
 def cache_key(spark: SparkSession, settings: dict[str, Any], inputs: Sequence[str] = ()) -> str:
@@ -109,8 +112,8 @@ def cached(spark: SparkSession, base: str, name: str, build: Callable[[], DataFr
     folder = f"{base.rstrip('/')}/{name}/{cache_key(spark, settings or {}, inputs)}"
     manifest = complete(spark, folder)
     if manifest is None:
-        manifest = _write(spark, folder, build(), fmt)
-    schema = T.StructType.fromJson(manifest["schema"])
+        manifest = write_part(spark, folder, build(), fmt)
+    schema = schema_of(manifest)
     files = sorted(manifest["files"])
     if not files:
         return spark.createDataFrame([], schema)
@@ -119,7 +122,18 @@ def cached(spark: SparkSession, base: str, name: str, build: Callable[[], DataFr
     return read_assay(spark, files, schema, manifest["format"])
 
 
-def _write(spark: SparkSession, folder: str, df: DataFrame, fmt: str) -> dict:
+def schema_of(manifest: dict) -> T.StructType:
+    return T.StructType.fromJson(manifest["schema"])
+
+
+def parts(spark: SparkSession, folder: str) -> list[dict]:
+    """Manifests of the finished tables in the folders below ``folder``."""
+    found = (complete(spark, f) for f in _Folder(spark, folder).folders(folder))
+    return [m for m in found if m is not None]
+
+
+def write_part(spark: SparkSession, folder: str, df: DataFrame, fmt: str = "parquet") -> dict:
+    """Write ``df`` to a new folder and finish it with its manifest."""
     store, data = _Folder(spark, folder), f"data-{uuid.uuid4().hex}"
     write_assay(df, f"{folder}/{data}", mode="error", fmt=fmt)
     manifest = {"format": fmt, "data": data, "schema": json.loads(df.schema.json()),
