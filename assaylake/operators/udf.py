@@ -4,18 +4,30 @@ The library's operators are native expressions; these hooks exist for code
 that only exists in Python (a user's featuriser or scorer). Both run on
 Arrow record batches inside the tasks Spark already has (no driver round
 trip, no per-row Python call).
+
+For code that needs whole groups there are two hooks. :func:`map_groups` hands
+a group over as a stream of bounded batches in a given order, so a group of
+any size fits; it runs in one task, as its rows have to come in order.
+:func:`reduce_groups` is for results that can be put together from parts: the
+parts are made where the rows are, before anything is shuffled, so a hot group
+costs one small row a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.operators.keys import _names, qcol
 from assaylake.session import ensure_importable
 
+GROUP_ROWS = 10_000  # rows of a group handed over at a time, at most
+
 
 def with_column_batch(df: DataFrame, out: str, fn: Callable[..., pd.Series], *cols: str,
                       return_type: str = "double", **kwargs) -> DataFrame:
@@ -39,3 +51,73 @@ def map_batches(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str,
             yield fn(batch, **kwargs)
 
     return df.mapInPandas(run, schema)
+
+
+def _key_of(pdf: pd.DataFrame, key: Sequence[str], at: int) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in (pdf[k].iat[at] for k in key))
+
+
+def _runs(batches: Iterator[pd.DataFrame], key: Sequence[str], rows: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Sorted batches cut where the key changes, ``rows`` rows at most."""
+    for pdf in batches:
+        new = np.zeros(len(pdf), bool)
+        for k in key:
+            v, before = pdf[k], pdf[k].shift()
+            new |= ((v != before) & ~(v.isna() & before.isna())).to_numpy()
+        cuts = sorted({0, *np.flatnonzero(new).tolist(), *range(0, len(pdf), rows)}) if len(pdf) else []
+        for a, z in zip(cuts, [*cuts[1:], len(pdf)]):
+            yield _key_of(pdf, key, a), pdf.iloc[a:z]
+
+
+def map_groups(df: DataFrame, key: Sequence[str] | str, fn: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+               schema: str, order: Sequence[str] = (), batch_rows: int = GROUP_ROWS) -> DataFrame:
+    """``fn(key, batches) -> Iterator[DataFrame]`` for every group, its rows sorted by ``order``.
+
+    ``batches`` yields the group's rows in pandas frames of ``batch_rows`` rows
+    at most, one after another; what ``fn`` leaves unread is skipped. NULL is a
+    key like any other (None in the tuple). Groups are sorted by Spark, which
+    spills; Python holds one batch.
+    """
+    key = _names(key)
+    ensure_importable(df.sparkSession)
+
+    def run(batches):
+        for k, parts in itertools.groupby(_runs(batches, key, batch_rows), key=lambda x: x[0]):
+            yield from fn(k, (pdf for _, pdf in parts))
+
+    grouped = df.repartition(*[qcol(k) for k in key]).sortWithinPartitions(*[qcol(c) for c in [*key, *order]])
+    return grouped.mapInPandas(run, schema)
+
+
+def reduce_groups(df: DataFrame, key: Sequence[str] | str, partial: Callable[[tuple, pd.DataFrame], dict],
+                  merge: Callable[[dict, dict], dict], state: str, finish: Callable[[tuple, dict], dict] | None = None,
+                  schema: str | None = None) -> DataFrame:
+    """One row a group from parts that merge.
+
+    ``partial(key, rows) -> dict`` makes a part (the fields of ``state``) from
+    some of a group's rows, ``merge(a, b)`` one of two, and ``finish(key, part)``
+    the result row's fields (``schema``); without it the merged part is the
+    result. The result must not depend on how rows are dealt to parts.
+    """
+    key = _names(key)
+    ensure_importable(df.sparkSession)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+
+    def row(k, fields):
+        return {**dict(zip(key, k)), **fields}
+
+    def parts(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame([row(tuple(None if pd.isna(v) else v for v in (k if isinstance(k, tuple) else (k,))),
+                                        partial(k, rows)) for k, rows in pdf.groupby(key, dropna=False, sort=False)])
+
+    def merged(k, batches):
+        whole = None
+        for pdf in batches:
+            for r in pdf.drop(columns=key).to_dict("records"):
+                whole = r if whole is None else merge(whole, r)
+        yield pd.DataFrame([row(k, finish(k, whole) if finish else whole)])
+
+    small = df.mapInPandas(parts, f"{kinds}, {state}")
+    return map_groups(small, key, merged, f"{kinds}, {schema or state}")

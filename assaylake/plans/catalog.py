@@ -18,7 +18,7 @@ from assaylake.functions import text as txt
 from assaylake.operators import answers, metrics, profile, prompts, retrieval, splits, udf
 from assaylake.operators import consensus as cons
 from assaylake.operators import fingerprint as fpr
-from assaylake.operators import features, keys, prefix_join
+from assaylake.operators import consensus_state, features, keys, prefix_join
 from assaylake.operators import similarity as sim
 from assaylake.plans.proxies import (
     LINEITEM_ENDPOINTS, LINEITEM_KEY, LINEITEM_ORDER, LINEITEM_VALUES,
@@ -56,6 +56,32 @@ def q_consensus(spark, sf_dir):
     return _round_doubles(out)
 
 
+CONSENSUS_KEEP = ["l_orderkey", "l_linenumber", "l_returnflag"]
+
+
+def batched_state(spark, sf_dir, n_batches=3):
+    """States of the measurements of ``n_batches`` sets of orders; the second arrives twice."""
+    m = measurements(spark, sf_dir)
+    states = consensus_state.StateTable(spark, sources.scratch_path(spark, "consensus_state"), LINEITEM_KEY,
+                                        LINEITEM_ENDPOINTS, LINEITEM_ORDER, CONSENSUS_KEEP)
+    for b in [*range(n_batches), 1]:
+        states.add(m.where(F.col("l_orderkey") % n_batches == b), b)
+    return states
+
+
+@query("incremental_consensus")
+def q_incremental_consensus(spark, sf_dir):
+    """The consensus of measurements that came in batches, from their merged states."""
+    return _round_doubles(batched_state(spark, sf_dir).consensus())
+
+
+@query("incremental_flags")
+def q_incremental_flags(spark, sf_dir):
+    states = batched_state(spark, sf_dir)
+    states.compact()
+    return states.flags()
+
+
 @query("disagreement_flags")
 def q_disagreement_flags(spark, sf_dir):
     m = measurements(spark, sf_dir)
@@ -400,6 +426,12 @@ def q_corr_matrix(spark, sf_dir):
     return _round_doubles(profile.corr_matrix(measurements(spark, sf_dir), LINEITEM_VALUES))
 
 
+@query("pair_statistics")
+def q_pair_statistics(spark, sf_dir):
+    """Correlation and line of every ordered pair of columns, from one scan."""
+    return _round_doubles(profile.pair_statistics(measurements(spark, sf_dir), LINEITEM_VALUES))
+
+
 @query("linear_fit_matrix")
 def q_linear_fit_matrix(spark, sf_dir):
     return _round_doubles(profile.linear_fit_matrix(measurements(spark, sf_dir), LINEITEM_VALUES))
@@ -866,6 +898,46 @@ def q_chat_jsonl(spark, sf_dir):
 # --- hooks and streaming ---------------------------------------------------------
 
 
+def _path_length(key, batches):
+    """Sum of the steps between neighbouring quantities of a group, batch after batch."""
+    import pandas as pd
+    n, total, last = 0, 0.0, None
+    for pdf in batches:
+        q = pdf["l_quantity"].to_numpy(float)
+        total += abs(q[1:] - q[:-1]).sum() + (abs(q[0] - last) if last is not None else 0.0)
+        n, last = n + len(q), q[-1]
+    yield pd.DataFrame({"l_returnflag": [key[0]], "n": [n], "path": [total]})
+
+
+@query("group_stream_hook")
+def q_group_stream_hook(spark, sf_dir):
+    """A user's ordered pass over each group; a group here is a large share of all rows."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+    return _round_doubles(udf.map_groups(li, "l_returnflag", _path_length, "l_returnflag string, n long, path double",
+                                         order=["l_orderkey", "l_linenumber", "l_quantity"]))
+
+
+def _span_part(key, rows):
+    return {"n": len(rows), "low": float(rows["l_extendedprice"].min()), "high": float(rows["l_extendedprice"].max())}
+
+
+def _span_merge(a, b):
+    return {"n": a["n"] + b["n"], "low": min(a["low"], b["low"]), "high": max(a["high"], b["high"])}
+
+
+def _span(key, s):
+    return {"n": s["n"], "span": s["high"] - s["low"]}
+
+
+@query("group_reduce_hook")
+def q_group_reduce_hook(spark, sf_dir):
+    """A user's group-to-row function put together from parts made before the shuffle."""
+    li = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice")
+    return _round_doubles(udf.reduce_groups(
+        li, ["l_linestatus", "l_returnflag"], _span_part, _span_merge, "n long, low double, high double", _span,
+        "n long, span double"))
+
+
 def _count_vowels(text):
     return text.str.count("[aeiou]").astype("int64")
 

@@ -304,6 +304,15 @@ SQL["linear_fit_matrix"] = f"WITH {_M} " + " UNION ALL ".join(
     f"round(regr_intercept({y}, {x}), 6) AS intercept FROM m"
     for x in _VALS for y in _VALS if x != y)
 
+SQL["incremental_consensus"] = SQL["consensus"]
+SQL["incremental_flags"] = SQL["disagreement_flags"]
+SQL["pair_statistics"] = f"WITH {_M} " + " UNION ALL ".join(
+    f"SELECT '{x}' AS col_x, '{y}' AS col_y, count(*)::BIGINT AS n, "
+    f"round(CASE WHEN stddev_samp(y) * stddev_samp(x) > 0 THEN covar_samp(y, x) / (stddev_samp(y) * stddev_samp(x)) END, 6) AS r, "
+    "round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept "
+    f"FROM (SELECT {x} AS x, {y} AS y FROM m WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    for x in _VALS for y in _VALS)
+
 SQL["smallest_values"] = f"""
 WITH {_M}, long AS ({_long('m', _VALS)}),
 r AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS rank FROM long)
@@ -705,6 +714,12 @@ SQL["chat_jsonl"] = ("SELECT context, question, answer, 2 AS n_turns, true AS no
 
 # --- hooks and streaming ---------------------------------------------------------
 
+SQL["group_stream_hook"] = """SELECT l_returnflag, count(*)::BIGINT AS n, round(coalesce(sum(abs(q - p)), 0), 6) AS path
+FROM (SELECT l_returnflag, l_quantity AS q,
+        lag(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity) AS p FROM lineitem)
+GROUP BY l_returnflag"""
+SQL["group_reduce_hook"] = """SELECT l_linestatus, l_returnflag, count(*)::BIGINT AS n,
+  round(max(l_extendedprice) - min(l_extendedprice), 6) AS span FROM lineitem GROUP BY 1, 2"""
 SQL["udf_batch_hook"] = """SELECT doc_id,
   (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')))::BIGINT AS n_vowels FROM documents"""
 SQL["map_batches_hook"] = """SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents"""

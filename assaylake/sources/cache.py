@@ -132,11 +132,11 @@ def parts(spark: SparkSession, folder: str) -> list[dict]:
     return [m for m in found if m is not None]
 
 
-def write_part(spark: SparkSession, folder: str, df: DataFrame, fmt: str = "parquet") -> dict:
-    """Write ``df`` to a new folder and finish it with its manifest."""
+def write_part(spark: SparkSession, folder: str, df: DataFrame, fmt: str = "parquet", more: dict | None = None) -> dict:
+    """Write ``df`` to a new folder and finish it with its manifest, which holds ``more`` as well."""
     store, data = _Folder(spark, folder), f"data-{uuid.uuid4().hex}"
     write_assay(df, f"{folder}/{data}", mode="error", fmt=fmt)
-    manifest = {"format": fmt, "data": data, "schema": json.loads(df.schema.json()),
+    manifest = {**(more or {}), "name": folder.rsplit("/", 1)[1], "format": fmt, "data": data, "schema": json.loads(df.schema.json()),
                 "files": {p: v[0] for p, v in store.files(f"{folder}/{data}").items()}}
     store.put(f"{folder}/{MANIFEST}", json.dumps(manifest))
     return manifest
