@@ -19,9 +19,16 @@ from assaylake.session import ensure_importable
 LOG2_BITS = 26
 
 
-def repeated_bitmap(hashes: DataFrame, log2_bits: int = LOG2_BITS) -> bytes:
-    """Bitmap of the values of ``h`` that occur more than once."""
-    return hash_bitmap(hashes.groupBy("h").count().where("count > 1"), "h", log2_bits)
+def repeated_bitmap(hashes: DataFrame, fewest: int = LOG2_BITS, most: int = LOG2_BITS) -> tuple[bytes, int]:
+    """Bitmap of the values of ``h`` that occur more than once, and its size as a power of two.
+
+    Eight bits for each such value, within the two bounds.
+    """
+    again = hashes.groupBy("h").count().where("count > 1").select("h")
+    if fewest < most:
+        again = cut_lineage(again)
+        most = min(max((8 * again.count()).bit_length(), fewest), most)
+    return hash_bitmap(again, "h", most), most
 
 
 def not_first(pieces: DataFrame, same: list[str], place: list[str]) -> DataFrame:

@@ -99,7 +99,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     """
     keyed = with_key(docs)
     hashes = arrow_map(keyed, _rows(None, window, divisor, min_lines), "h long")
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(hashes))
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(hashes)[0])
     pieces = cut_lineage(arrow_map(keyed, _rows(bits, window, divisor, min_lines),
                                    "doc_id long, row_hash long, a int, z int, h long, body binary"))
     again = not_first(pieces, ["h", "body"], ["doc_id", "row_hash", "a"])
