@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -31,24 +32,94 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_MAIN = frozenset("nav aside footer form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
-# Words in class, id and role that name an element as not being main text.
-_OTHER = re.compile(
-    r"(?:^|[\s_\-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|"
-    r"complementary|consent|contentinfo|cookies?|disclaimer|disqus|dialog|footer|header|login|masthead|menu|menubar|"
-    r"modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|pagination|pager|popup|promo|"
-    r"promotion|related|reply|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|"
-    r"sponsors|subscribe|subscription|taboola|tagcloud|toolbar|widget|widgets)(?:$|[\s_\-\d])", re.I)
+CONTAINERS = frozenset("div section ul ol dl li table tbody tr td article main header details figure center "
+                       "aside nav footer form".split())
+# Names of containers that hold something else than the page's text. Those of the first group
+# stay so even around an article; those of the last say nothing inside one, which has a header of its own.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+OTHER = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs complementary consent "
+                  "contentinfo cookie cookies disclaimer footer login menu menubar modal nav navbar navigation "
+                  "newsletter notice notices notification outbrain pagination pager popup promo promotion related "
+                  "share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription taboola "
+                  "tagcloud toolbar widget widgets".split())
+HEADERS = frozenset("header masthead banner search".split())
+SITE = frozenset("site page global main top primary secondary bottom".split())
 _HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
+_PART = re.compile(r"[-_\d]+")
+
+
+def _names(attrs: str) -> set[str]:
+    """What an element calls itself: whole names, their leading words, and what follows a word for the site."""
+    out = set()
+    for g in _ATTR.findall(attrs):
+        for name in "".join(g).lower().split():
+            parts = [x for x in _PART.split(name) if x]
+            out.add(name)
+            if parts:
+                out.add(parts[0])
+                if len(parts) == 2 and parts[0] in SITE:
+                    out.add(parts[1])
+    return out
+
+
+class _Tags:
+    """Finds the ends of a page's tags from left to right; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+        self.known: dict[int, int] = {}  # quote or bracket outside quotes -> end of the tag it stands in, or -1
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``, quoted ones passed over;
+        the first one of all where no other is, -1 without any."""
+        if at > self.last[">"]:
+            return -1
+        seen, found = [], -1
+        while (m := _STOP.search(self.page, at)) is not None:
+            k = m.start()
+            if k in self.known:
+                found = self.known[k]
+                break
+            seen.append(k)
+            if (q := m[0]) == ">":
+                found = k
+                break
+            at = self.page.index(q, k + 1) + 1 if k < self.last[q] else k + 1  # a last quote quotes nothing
+        for k in seen:
+            self.known[k] = found
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """``(start, end, name, closing, attributes)`` of the next tag or comment (no name)."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                z = page.find("-->", at + 4)
+                return at, len(page) if z < 0 else z + 3, "", False, ""
+            if page.startswith(("<!", "<?"), at):
+                z = page.find(">", at) if at < self.last[">"] else -1
+                return at, len(page) if z < 0 else z + 1, "", False, ""
+            closing = page.startswith("/", at + 1)
+            m = _NAME.match(page, at + 1 + closing)
+            if m:
+                z = self.end(m.end())
+                if z < 0 and m.end() <= self.last[">"]:
+                    z = page.index(">", m.end())
+                if z >= 0:
+                    return at, z + 1, m[0].lower(), closing, page[m.end():z]
+            at += 1
+        return None
 
 
 class Block(NamedTuple):
     text: str
     words: int
     link_density: float
-    place: int  # 1 inside an article, -1 inside something else, 0 neither
+    place: int  # 1 inside an article, -1 inside something else (-2: whatever it holds), 0 neither
 
 
 def blocks(page: str) -> list[Block]:
@@ -59,6 +130,7 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # name, place, hidden
+    opened: Counter[str] = Counter()         # names on the stack
     parts: list[str] = []
     linked: list[str] = []
     links = 0
@@ -68,7 +140,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             n = len(text.split())
             in_links = len(html.unescape(" ".join(linked)).split())
-            out.append(Block(text, n, min(1.0, in_links / n), stack[-1][1] if stack else 0))
+            out.append(Block(text, n, min(1.0, in_links / n), max(-1, stack[-1][1]) if stack else 0))
         parts.clear()
         linked.clear()
 
@@ -78,18 +150,18 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked.append(s)
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    tags, at, n = _Tags(page), 0, len(page)
+    while (tag := tags.next(at)) is not None:
+        start, end, name, closing, attrs = tag
+        text(page[at:start])
+        at = end
         if not name:
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if name == "a":
             links = 0 if closing else 1
         if name == "br":
@@ -100,39 +172,50 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if closing:
-            if any(e[0] == name for e in stack):
+            if opened[name]:
                 if name not in INLINE:
                     flush()
                     links = 0
-                while stack.pop()[0] != name:
+                while pop() != name:
                     pass
             elif name not in INLINE:
                 flush()
             continue
+        if name not in INLINE:
+            flush()
+            if name in LEFT_OPEN and stack and stack[-1][0] == name:
+                pop()  # the end tag may be left out
         up_place, up_hidden = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-        named = " ".join(x for g in _ATTR.findall(attrs) for x in g if x)
-        other = name in NOT_MAIN or (name == "header" and up_place < 1) or bool(named and _OTHER.search(named))
         hidden = up_hidden or name in HIDDEN or bool(_HIDDEN_ATTR.search(attrs))
-        place = -1 if up_place < 0 or (other and name not in MAIN and name not in ("body", "html")) else \
-            1 if name in MAIN else up_place
+        place = _place(name, _names(attrs) if name in CONTAINERS else set(), up_place)
         if name in INLINE and place == up_place and not hidden:
             continue
-        if name not in INLINE:
-            flush()
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()  # the end tag may be left out
-                up = stack[-1] if stack else ("", 0, False)
-                place, hidden = (-1 if up[1] < 0 or other else up[1]), up[2] or bool(_HIDDEN_ATTR.search(attrs))
         if attrs.rstrip().endswith("/") and name in ("svg", "iframe", "script", "object"):
             continue
         stack.append((name, place, hidden))
+        opened[name] += 1
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else n
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = close.start() if close else n
+    text(page[at:])
     flush()
     return out
 
 
+LEFT_OPEN = frozenset("p li dt dd tr td th option".split())
+
+
+def _place(name: str, names: set[str], up: int) -> int:
+    """Place inside an element called ``names`` that stands at the place ``up``."""
+    if up == -2 or name in NOT_MAIN or names & COMMENTS:
+        return -2
+    if name in MAIN:
+        return 1  # whatever names around it said
+    if up == -1 or names & OTHER or (up < 1 and (name == "header" or names & HEADERS)):
+        return -1
+    return up
+
+
 # Labelled blocks. Words and link density of the block, of the one before and of the one after,
 # place, and whether the block is main text. Written for pages of news, manuals, shops, forums and blogs.
 LABELLED = [
@@ -142,9 +225,9 @@ LABELLED = [
     (12, 0.5, 40, 0.0, 33, 0.1, 1, 1), (5, 1.0, 40, 0.0, 52, 0.0, 1, 1), (20, 0.9, 30, 0.0, 22, 0.0, 1, 1),
     (150, 0.05, 20, 0.0, 3, 1.0, 1, 1), (4, 0.0, 3, 0.0, 2, 0.0, 1, 1), (1, 0.0, 1, 0.0, 0, 0.0, 1, 1),
     (9, 0.0, 5, 1.0, 4, 1.0, 1, 1), (25, 0.2, 2, 1.0, 40, 0.0, 1, 1),
-    # lists of links inside articles
-    (2, 1.0, 3, 1.0, 2, 1.0, 1, 0), (3, 1.0, 2, 1.0, 4, 1.0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0),
-    (4, 1.0, 2, 1.0, 6, 1.0, 1, 0),
+    # lists of links inside articles: sources, contents
+    (2, 1.0, 3, 1.0, 2, 1.0, 1, 1), (3, 1.0, 2, 1.0, 4, 1.0, 1, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1),
+    (4, 1.0, 2, 1.0, 6, 1.0, 1, 1),
     # menus, headers, footers, sidebars, notices, adverts, forms, comments
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 8, 0.0, -1, 0), (8, 0.0, 1, 1.0, 7, 0.0, -1, 0),
     (40, 0.0, 50, 0.0, 35, 0.0, -1, 0), (120, 0.0, 30, 0.0, 60, 0.0, -1, 0), (10, 0.1, 55, 0.0, 0, 0.0, -1, 0),
@@ -198,11 +281,16 @@ def is_main(tree, features: tuple) -> bool:
 
 
 def main_blocks(page: str | None, tree) -> list[str]:
-    """Texts of the main blocks of a page; none for null and empty pages."""
+    """Texts of the main blocks of a page; none for null and empty pages.
+
+    Where the tree finds none, a page too short to tell by its blocks' lengths,
+    the main blocks are those that nothing names and that are not mostly links.
+    """
     found = blocks(page) if page else []
     edge = Block("", 0, 0.0, 0)
-    return [b.text for p, b, q in zip([edge, *found], found, [*found[1:], edge])
+    main = [b.text for p, b, q in zip([edge, *found], found, [*found[1:], edge])
             if is_main(tree, (b.words, b.link_density, p.words, p.link_density, q.words, q.link_density, b.place))]
+    return main or [b.text for b in found if b.place >= 0 and b.link_density < 0.5]
 
 
 def extract_main(pages: DataFrame, labelled: list[tuple] | None = None) -> DataFrame:
@@ -210,7 +298,8 @@ def extract_main(pages: DataFrame, labelled: list[tuple] | None = None) -> DataF
 
     Main blocks are joined by an empty line. A null or empty html, and a page
     without main text, give the empty text. Repeated rows stay repeated; null
-    ids and urls are handed on.
+    ids and urls are handed on, other columns ignored whatever their names; no
+    rows give no rows. A page is read whole, however long.
     """
     tree = train_tree(labelled or LABELLED)
 
