@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from assaylake.session import cut_lineage, ensure_importable
 
 __all__ = ["table", "with_key", "arrow_map", "batch_of", "slices", "hash_bitmap", "in_bitmap", "mix64",
-           "cut_lineage", "ascii_words", "like_documents"]
+           "cut_lineage", "ascii_words", "renamed", "key_of", "like_documents"]
 
 SLICE_BYTES = 2_000_000
 BITS_PER_ROW = 32768  # bits held by one bitmap_construct_agg value
@@ -102,6 +102,19 @@ def ascii_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns called ``c0, c1, ...`` and those names by the old ones, so that no name
+    a caller may use can clash with one used here."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def key_of(names: dict[str, str]) -> tuple[Column, Column]:
+    """``doc_id`` and ``row_hash`` of renamed documents."""
+    text = F.coalesce(F.col(names["text"]), F.lit(""))
+    return F.col(names["doc_id"]).cast("bigint"), F.xxhash64(text)
+
+
 def like_documents(docs: DataFrame, text: Column) -> list[Column]:
     """The columns of ``docs`` with a new text and, where there is one, its new length."""
     new = {"text": text, "n_chars": F.length(text).cast("bigint")}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow_map, ascii_words, batch_of, cut_lineage, with_key
+from assaylake.llm.common import arrow_map, ascii_words, batch_of, cut_lineage, key_of, renamed, with_key
 from assaylake.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -61,6 +61,12 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return arrow_map(with_key(docs), run, "doc_id long, row_hash long, fp long")
 
 
+def shared_bytes(diff: np.ndarray) -> np.ndarray:
+    """Number of equal bytes at equal positions of two fingerprints, from their bitwise difference."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return 8 - np.bitwise_count((((diff & low) + low) | diff) & ~low)
+
+
 def _forest(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Spanning forest of the links inside one posting list, as index pairs."""
     n, need = len(members), 8 - max_bits
@@ -75,10 +81,10 @@ def _forest(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     found = []
     for lo in range(0, n, _PAIR_ROWS):
         diff = members[lo:lo + _PAIR_ROWS, None] ^ members[None, lo:]
-        # Verify the bits first (one popcount), then tally the shared positional bytes of what is left.
-        i, j = np.nonzero(np.triu(np.bitwise_count(diff) <= max_bits, 1))
-        shared = (diff[i, j].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        for a, b in zip((i[shared >= need] + lo).tolist(), (j[shared >= need] + lo).tolist()):
+        # Tally the shared positional bytes, keep the pairs that reach the minimum, then verify their bits.
+        i, j = np.nonzero(np.triu(shared_bytes(diff) >= need, 1))
+        near = np.bitwise_count(diff[i, j]) <= max_bits
+        for a, b in zip((i[near] + lo).tolist(), (j[near] + lo).tolist()):
             ra, rb = root(a), root(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
@@ -93,7 +99,8 @@ def _list_links(max_bits: int):
         starts = np.concatenate(([0], edge))
         sizes = np.diff(np.concatenate((starts, [len(fp)])))
         two = starts[sizes == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits
+        diff = fp[two] ^ fp[two + 1]
+        near = (shared_bytes(diff) >= 8 - max_bits) & (np.bitwise_count(diff) <= max_bits)
         us, vs = [fp[two[near]]], [fp[two[near] + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             pairs = _forest(fp[s:s + n], max_bits)
@@ -161,13 +168,15 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     Of each component the row with the smallest doc_id stays (nulls last, then
     the smallest text hash), once if it is repeated.
     """
-    last = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
+    last = F.lit((1 << 63) - 1)
     found = near_duplicates(docs, shingle_words, max_bits)
-    keep = (found.groupBy("root").agg(F.min(F.struct(last.alias("__id"), F.col("row_hash").alias("__hash")))
-                                      .alias("k")).select("k.__id", "k.__hash"))
-    keyed = docs.withColumns({"__id": last, "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return (keyed.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    place = F.struct(F.coalesce(F.col("doc_id"), last).alias("id"), F.col("row_hash").alias("hash"))
+    keep = found.groupBy("root").agg(F.min(place).alias("k")).select("k.id", "k.hash")
+    rows, names = renamed(docs)
+    doc_id, row_hash = key_of(names)
+    keyed = rows.withColumns({"id": F.coalesce(doc_id, last), "hash": row_hash})
+    return (keyed.join(keep, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+            .select(*[F.col(k).alias(c) for c, k in names.items()]))
 
 
 def op3_simhash(spark, sf_dir):

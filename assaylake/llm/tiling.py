@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import (arrow_map, ascii_words, batch_of, cut_lineage, hash_bitmap, in_bitmap, mix64,
-                                  with_key)
+from assaylake.llm.common import (arrow_map, ascii_words, batch_of, cut_lineage, hash_bitmap, in_bitmap, key_of, mix64,
+                                  renamed, with_key)
 
 MIN_MATCH = 4
 MIN_COVERAGE = 0.6
@@ -155,10 +155,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
                       min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, all columns kept."""
     bad = contaminated(docs, benchmark, min_match, min_coverage).select(
-        F.col("doc_id").alias("__id"), F.col("row_hash").alias("__rh"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
-                      & (F.col("__hash") == F.col("__rh")), "left_anti").drop("__hash")
+        F.col("doc_id").alias("bad_id"), F.col("row_hash").alias("bad_hash"))
+    rows, names = renamed(docs)
+    doc_id, row_hash = key_of(names)
+    keyed = rows.withColumns({"id": doc_id, "hash": row_hash})
+    return keyed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")),
+                      "left_anti").select(*[F.col(k).alias(c) for c, k in names.items()])
 
 
 def op7_decontamination(spark, sf_dir):

@@ -107,6 +107,20 @@ class EliasFano:
         where = byte * 8 + (bits & -bits).bit_length() - 1
         return ((where - i) << self.low_bits) | int(self._lows(np.array([i]))[0])
 
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """The numbers from the lo-th to before the hi-th: one scan from the sampled position before lo,
+        over the bytes that hold their ones and no others."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, np.int64)
+        byte, seen = int(self._at[lo // SAMPLE]), int(self._before[lo // SAMPLE])
+        after = (hi - 1) // SAMPLE + 1  # the next sampled one stands behind all that are asked for
+        last = int(self._at[after]) + 1 if after < len(self._at) else len(self.high)
+        where = np.flatnonzero(np.unpackbits(self.high[byte:last], bitorder="little"))[lo - seen:hi - seen] + 8 * byte
+        i = np.arange(lo, hi)
+        return ((where - i) << self.low_bits) | self._lows(i)
+
     def values(self) -> np.ndarray:
         """All numbers in order (one pass over the unary part)."""
         where = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
@@ -195,7 +209,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     A null text is an empty one (its ids are the end id alone); rows with a
     null doc_id come first; repeated rows are written as often as they occur.
     ``folder`` is a URI that driver and executors share. The manifest has
-    ``shard, path, n_docs, n_ids`` for every range that has rows.
+    ``shard, path, n_docs, n_ids`` for every range that has rows; no rows give
+    none. Other columns are ignored whatever their names; long texts are taken
+    whole.
     """
     from tokenizers import Tokenizer
     vocab = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
@@ -261,6 +277,12 @@ class TokenShard:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.n_null else self.low + self.keys.select(i - self.n_null)
 
+    def span(self, lo: int, hi: int) -> tuple[np.ndarray, list[int | None]]:
+        """Ends and doc_ids of the documents from lo to before hi."""
+        null = min(max(self.n_null - lo, 0), hi - lo)
+        keys = self.keys.select_range(max(lo - self.n_null, 0), max(hi - self.n_null, 0)) + self.low
+        return self.ends.select_range(lo, hi), [None] * null + keys.tolist()
+
     def ids(self, i: int) -> np.ndarray:
         a, b = self.bounds(i)
         return self.read(a, b)
@@ -283,18 +305,16 @@ def read_token_files(manifest: DataFrame, folder: str, span_docs: int = 2048) ->
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist()):
                 s = TokenShard(folder, path)
-                ends = s.ends.values()
-                starts = np.concatenate(([0], ends[:-1]))
-                keys = [None] * s.n_null + (s.keys.values() + s.low).tolist()
+                first = 0
                 for lo in range(0, s.n_docs, span_docs):
                     hi = min(lo + span_docs, s.n_docs)
-                    first = int(starts[lo])
-                    ids = s.read(first, int(ends[hi - 1])).astype("<u4")
-                    crc = [zlib.crc32(ids[a:z]) for a, z in zip((starts[lo:hi] - first).tolist(),
-                                                               (ends[lo:hi] - first).tolist())]
-                    yield batch_of(doc_id=pa.array(keys[lo:hi], pa.int64()), start=starts[lo:hi] + base,
-                                   n_tokens=ends[lo:hi] - starts[lo:hi],
+                    ends, keys = s.span(lo, hi)
+                    starts = np.concatenate(([first], ends[:-1]))
+                    ids = s.read(first, int(ends[-1])).astype("<u4")
+                    crc = [zlib.crc32(ids[a:z]) for a, z in zip((starts - first).tolist(), (ends - first).tolist())]
+                    yield batch_of(doc_id=pa.array(keys, pa.int64()), start=starts + base, n_tokens=ends - starts,
                                    ids_crc32=np.array(crc, dtype=np.int64))
+                    first = int(ends[-1])
 
     return arrow_map(based.repartition("path"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

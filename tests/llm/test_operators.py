@@ -382,6 +382,8 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 0), (1, 10**12), (2000, 50), (3000, 10**9), (700, 700)):
         v = np.array(sorted(r.randrange(top + 1) for _ in range(n)), np.int64)
         e, at = token_files.EliasFano.from_bytes(b"xy" + token_files.EliasFano.of(v).to_bytes(), 2)
+        for lo, hi in [(0, n), (n // 3, n // 2), (n, n), (max(n - 5, 0), n), (min(511, n), min(1025, n))]:
+            assert e.select_range(lo, hi).tolist() == v[lo:hi].tolist()
         assert e.values().tolist() == v.tolist() == [e.select(i) for i in range(n)]
         if n:
             assert 8 * e.n_bytes() <= n * (3 + max(0, (int(v[-1]) // n).bit_length())) + 64
@@ -463,3 +465,50 @@ def test_pipeline_runs_and_names_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "lossless"] and 0 < out.count() <= 200
     assert out.where("not lossless").count() == 0
+
+
+def test_spans_of_documents_are_read_without_the_whole_boundaries(spark, monkeypatch):
+    docs = spark.createDataFrame([(None if k % 90 == 0 else k // 2, prose(k % 17, k)) for k in range(700)],
+                                 "doc_id long, text string")
+    folder = token_files.new_folder(spark, "test_spans")
+    manifest = token_files.write_token_files(docs.coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    path = manifest.first()["path"]
+    whole = token_files.TokenShard(folder, path)
+    ends, keys = whole.ends.values(), [None] * whole.n_null + (whole.keys.values() + whole.low).tolist()
+    monkeypatch.setattr(token_files.EliasFano, "values", None)
+    for lo in range(0, whole.n_docs, 64):
+        hi = min(lo + 64, whole.n_docs)
+        got_ends, got_keys = whole.span(lo, hi)
+        assert got_ends.tolist() == ends[lo:hi].tolist() and got_keys == keys[lo:hi]
+    rows = token_files.read_token_files(manifest, folder, span_docs=64).collect()
+    assert sorted(r["start"] for r in rows)[0] == 0 and len(rows) == 700
+
+
+def test_shared_bytes_against_brute_force():
+    r = np.random.default_rng(3)
+    a, b = (r.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in (0, 1))
+    keep = r.integers(0, 256, 500)
+    b = np.array([int.from_bytes(bytes(x if k >> i & 1 else y for i, (x, y) in enumerate(zip(
+        int(p).to_bytes(8, "little"), int(q).to_bytes(8, "little")))), "little")
+        for p, q, k in zip(a, b, keep)], np.uint64)
+    want = [sum(x == y for x, y in zip(int(p).to_bytes(8, "little"), int(q).to_bytes(8, "little"))) for p, q in zip(a, b)]
+    assert simhash.shared_bytes(a ^ b).tolist() == want
+
+
+def test_columns_called_as_the_code_calls_its_own(spark):
+    """Users' columns with the very names used inside come through with their values."""
+    names = ["id", "hash", "c0", "c1", "may", "cut", "new", "row", "good", "bad_id", "bad_hash", "cut_id", "cut_hash",
+             "__id", "__hash", "__rh", "__cut", "__row", "__good", "part", "block", "k", "h", "h2"]
+    texts = [prose(60, 1), prose(60, 1) + " tail", prose(50, 2), prose(60, 3) + "\n" + prose(60, 1), None, ""]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(50, 2))], "item_id long, text string")
+    outs = {"one": simhash.keep_one(docs), "spans": spans.dedup_spans(docs), "lines": line_chunks.dedup_lines(docs),
+            "bench": tiling.drop_contaminated(docs, bench), "drawn": importance.keep_drawn(docs, labels)}
+    for what, out in outs.items():
+        got = out.collect()
+        assert got and out.columns[:2] == ["doc_id", "text"], what
+        for r in got:
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], what
+    assert {r["doc_id"] for r in outs["bench"].collect()} == {0, 1, 3, 4, 5}
