@@ -18,7 +18,7 @@ from assaylake.functions import text as txt
 from assaylake.operators import answers, metrics, profile, prompts, retrieval, splits, udf
 from assaylake.operators import consensus as cons
 from assaylake.operators import fingerprint as fpr
-from assaylake.operators import consensus_state, features, keys, prefix_join
+from assaylake.operators import bucketed, consensus_state, features, keys, prefix_join
 from assaylake.operators import similarity as sim
 from assaylake.plans.proxies import (
     LINEITEM_ENDPOINTS, LINEITEM_KEY, LINEITEM_ORDER, LINEITEM_VALUES,
@@ -235,6 +235,14 @@ def q_duplicate_extras(spark, sf_dir):
     return keys.duplicate_extras(m, LINEITEM_KEY, LINEITEM_ORDER)
 
 
+@query("keyed_members")
+def q_keyed_members(spark, sf_dir):
+    """Group size and repeat flag of every row, from rows that lie bucketed by key."""
+    table_ = bucketed.KeyedTable(measurements(spark, sf_dir).select(*LINEITEM_ORDER), LINEITEM_KEY)
+    return table_.with_first(LINEITEM_ORDER, "is_extra", "group_size").select(
+        *LINEITEM_ORDER, "is_extra", "group_size")
+
+
 @query("duplicate_key_count")
 def q_duplicate_key_count(spark, sf_dir):
     return keys.duplicate_key_count(measurements(spark, sf_dir), LINEITEM_KEY)

@@ -160,6 +160,11 @@ WITH {_M}
 SELECT {_ORDER}, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_ORDER}) > 1 AS is_extra
 FROM m"""
 
+SQL["keyed_members"] = f"""
+WITH {_M}
+SELECT {_ORDER}, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_ORDER}) > 1 AS is_extra,
+       count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS group_size FROM m"""
+
 SQL["duplicate_key_count"] = f"""
 WITH {_M}
 SELECT count(*)::BIGINT AS n_duplicated_keys FROM (

@@ -80,6 +80,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def track_written(path: str) -> None:
+    """Have :func:`drop_intermediates` delete ``path`` as well."""
+    _WRITTEN.append(path)
+
+
 def drop_intermediates(spark: SparkSession) -> int:
     """Delete the tables that :func:`cut_lineage` wrote so far; returns how many.
 
