@@ -18,7 +18,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow_map, batch_of, cut_lineage, in_bitmap, mix64, with_key
@@ -40,19 +40,25 @@ def chunk_ends(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR)
     return ends if ends and ends[-1] == len(lines) else [*ends, len(lines)]
 
 
-def chunks(text: bytes, window: int, divisor: int, min_lines: int) -> list[tuple[int, int, bytes]]:
-    """``(first line, end line, bytes)`` of the chunks of both levels with at least ``min_lines`` lines that have text."""
+def leveled_chunks(text: bytes, window: int, divisor: int, min_lines: int) -> list[tuple[int, int, bytes, int]]:
+    """``(first line, end line, bytes, level)`` of the chunks of both levels with at least ``min_lines`` lines
+    that have text; level 0 are the content-defined ones, and a chunk of both levels comes once, as such."""
     lines = text.split(b"\n")
     full = [i for i, x in enumerate(lines) if x != b"" and not x.isspace()]
     if len(full) < min_lines:
         return []
-    found = {(a, z + 1) for a, z in zip(full, full[min_lines - 1:])}
+    found = {(a, z + 1): 1 for a, z in zip(full, full[min_lines - 1:])}
     start = 0
     for end in chunk_ends(lines, window, divisor):
         if bisect_left(full, end) - bisect_left(full, start) >= min_lines:
-            found.add((start, end))
+            found[start, end] = 0
         start = end
-    return [(a, z, b"\n".join(lines[a:z])) for a, z in sorted(found)]
+    return [(a, z, b"\n".join(lines[a:z]), level) for (a, z), level in sorted(found.items())]
+
+
+def chunks(text: bytes, window: int, divisor: int, min_lines: int) -> list[tuple[int, int, bytes]]:
+    """``(first line, end line, bytes)`` of the chunks of both levels."""
+    return [c[:3] for c in leveled_chunks(text, window, divisor, min_lines)]
 
 
 def _rows(bits, window: int, divisor: int, min_lines: int):
@@ -61,7 +67,7 @@ def _rows(bits, window: int, divisor: int, min_lines: int):
         table = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for b in batches:
             found = [(k, *c) for k, t in enumerate(b.column("text"))
-                     for c in chunks(t.as_py(), window, divisor, min_lines)]
+                     for c in leveled_chunks(t.as_py(), window, divisor, min_lines)]
             h = np.fromiter((xxhash.xxh64_intdigest(c[3]) for c in found), np.uint64, len(found))
             if table is None:
                 yield batch_of(h=h.view(np.int64))
@@ -71,7 +77,8 @@ def _rows(bits, window: int, divisor: int, min_lines: int):
             yield batch_of(doc_id=b.column("doc_id").take(doc), row_hash=b.column("row_hash").take(doc),
                            a=pa.array([found[i][1] for i in hit], pa.int32()),
                            z=pa.array([found[i][2] for i in hit], pa.int32()), h=h[hit].view(np.int64),
-                           body=pa.array([found[i][3] for i in hit], pa.binary()))
+                           body=pa.array([found[i][3] for i in hit], pa.binary()),
+                           level=pa.array([found[i][4] for i in hit], pa.int32()))
 
     return run
 
@@ -84,7 +91,8 @@ def _without(text: str, cut: list[dict]) -> str:
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
                 min_lines: int = MIN_LINES, removed: str = "removed") -> DataFrame:
-    """``docs`` with repeated chunks of lines removed, and ``removed``, the list of line ranges.
+    """``docs`` with repeated chunks of lines removed, and ``removed``, the list of line ranges
+    with the level that found them (0: content-defined chunks, 1: the finest level).
 
     That column takes the name given, in place of a column of the same name.
 
@@ -101,14 +109,22 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     hashes = arrow_map(keyed, _rows(None, window, divisor, min_lines), "h long")
     bits = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(hashes)[0])
     pieces = cut_lineage(arrow_map(keyed, _rows(bits, window, divisor, min_lines),
-                                   "doc_id long, row_hash long, a int, z int, h long, body binary"))
+                                   "doc_id long, row_hash long, a int, z int, h long, body binary, level int"))
     again = not_first(pieces, ["h", "body"], ["doc_id", "row_hash", "a"])
-    cuts = again.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "z")).alias("cut"))
+    cuts = again.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "z", "level")).alias("cut"))
     return cut_texts(docs, cuts, _without, removed)
 
 
+def lines_in(ranges: Column) -> Column:
+    """Number of different lines in a list of line ranges; 0 for null."""
+    lines = F.array_distinct(F.flatten(F.transform(ranges, lambda c: F.sequence(c["a"], c["z"] - 1))))
+    return F.coalesce(F.array_size(lines), F.lit(0)).cast("bigint")
+
+
 def op10_line_dedup(spark, sf_dir):
-    """Documents without repeated line chunks, with the number of lines removed."""
+    """Documents without repeated line chunks, with the number of lines removed, and of those among
+    them that a content-defined chunk explains."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    gone = F.array_size(F.array_distinct(F.flatten(F.transform("removed", lambda c: F.sequence(c["a"], c["z"] - 1)))))
-    return out.select("doc_id", "text", F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_lines_removed"))
+    in_chunks = F.filter("removed", lambda c: c["level"] == 0)
+    return out.select("doc_id", "text", lines_in(F.col("removed")).alias("n_lines_removed"),
+                      lines_in(in_chunks).alias("n_lines_in_chunks"))

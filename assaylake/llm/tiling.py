@@ -1,11 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are word sequences (A-Z lower-cased). Karp-Rabin
-hashes of all windows of ``min_match`` words are the seeds; document seeds are
-thinned by a fixed-size bitmap of the item seeds and joined with them on hash
-and words. For each (document, item) pair met, the longest match not yet
-marked is marked as a tile, again and again, until none of ``min_match`` words
-is left. Tiles may lie anywhere and in any order, so reordered passages count.
+hashes of all windows of ``min_match`` words are the seeds (an item of fewer
+words has one window, of its own length); document seeds are thinned by a
+fixed-size bitmap of the item seeds and joined with them on hash and words. A
+pair that shares p of an item's windows covers at most ``min_match * p`` of its
+words, so pairs that cannot reach the threshold are dropped by counts before any
+seeds are brought together. For each (document, item) pair left, the longest
+match not yet marked is marked as a tile, again and again, until none of
+``min_match`` words is left. Tiles may lie anywhere and in any order, so reordered passages count.
 A document is contaminated by an item if the tiles cover at least
 ``min_coverage`` of the item's words.
 """
@@ -102,39 +105,64 @@ def _seeds(bits, size: int):
 _SEED_SCHEMA = "doc_id long, row_hash long, pos int, h long, body binary"
 
 
-def tile_coverage(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
-    """``doc_id, row_hash, item_id, item_hash, covered, n_words, n_tiles`` of every pair that shares a seed.
+def _counted(items: DataFrame) -> DataFrame:
+    """``items`` with ``n_words``."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([len(ascii_words(t.as_py())) for t in b.column("text")], pa.int64())],
+                names=[*b.schema.names, "n_words"])
 
-    ``docs`` has ``doc_id, text`` and ``benchmark`` has ``item_id, text``. Null
-    and empty texts share nothing; an item of fewer than ``min_match`` words
-    cannot be met. A pair's seeds are at most the document's windows times
-    the item's equal windows and are tiled in one row.
-    """
-    items = with_key(benchmark.select(F.col("item_id").alias("doc_id"), "text")).distinct()
-    item_seeds = cut_lineage(arrow_map(items, _seeds(None, min_match), _SEED_SCHEMA))
-    lengths = item_seeds.groupBy("doc_id", "row_hash").agg(
-        (F.max("pos") + min_match).cast("bigint").alias("n_words"))
+    return arrow_map(items, run, "doc_id long, row_hash long, text binary, n_words long")
+
+
+_PAIR = ["doc_id", "row_hash", "item_id", "item_hash"]
+
+
+def _tiled(docs: DataFrame, items: DataFrame, size: int, least: float) -> DataFrame:
+    """Coverage of the pairs of ``docs`` and counted ``items`` that share a window of ``size`` words."""
+    item_seeds = cut_lineage(arrow_map(items.drop("n_words"), _seeds(None, size), _SEED_SCHEMA))
     bits = docs.sparkSession.sparkContext.broadcast(hash_bitmap(item_seeds, "h", LOG2_BITS))
-    doc_seeds = arrow_map(with_key(docs), _seeds(bits, min_match), _SEED_SCHEMA)
+    doc_seeds = arrow_map(with_key(docs), _seeds(bits, size), _SEED_SCHEMA)
     right = item_seeds.select(F.col("doc_id").alias("item_id"), F.col("row_hash").alias("item_hash"),
                               F.col("pos").alias("ipos"), "h", "body")
-    met = doc_seeds.join(right, ["h", "body"]).groupBy("doc_id", "row_hash", "item_id", "item_hash").agg(
-        F.collect_set(F.struct("pos", "ipos")).alias("seeds"))
+    met = cut_lineage(doc_seeds.join(right, ["h", "body"]).select(*_PAIR, "pos", "ipos"))
+    # Windows of the item that the pair shares, against the words it has to cover.
+    lengths = items.select(F.col("doc_id").alias("own_id"), F.col("row_hash").alias("own_hash"), "n_words")
+    shared = met.select(*_PAIR, "ipos").distinct().groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("shared"))
+    able = shared.join(lengths, F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("item_hash") == F.col("own_hash")))
+    able = able.where(F.col("shared") * size >= F.col("n_words") * least).select(
+        *[F.col(c).alias(f"able_{c}") for c in _PAIR], "n_words")
+    on = [F.col(c).eqNullSafe(F.col(f"able_{c}")) for c in _PAIR]
+    seeds = met.join(able, on).groupBy(*_PAIR, "n_words").agg(F.collect_set(F.struct("pos", "ipos")).alias("seeds"))
 
     def run(batches):
         for b in batches:
-            tiles = [greedy_tiles([(s["pos"], s["ipos"]) for s in row], min_match)
+            tiles = [greedy_tiles([(s["pos"], s["ipos"]) for s in row], size)
                      for row in b.column("seeds").to_pylist()]
             yield batch_of(doc_id=b.column("doc_id"), row_hash=b.column("row_hash"), item_id=b.column("item_id"),
                            item_hash=b.column("item_hash"),
                            covered=np.array([sum(t[2] for t in x) for x in tiles], np.int64),
-                           n_tiles=np.array([len(x) for x in tiles], np.int64))
+                           n_words=b.column("n_words"), n_tiles=np.array([len(x) for x in tiles], np.int64))
+
+    return arrow_map(seeds, run, "doc_id long, row_hash long, item_id long, item_hash long, covered long, "
+                                 "n_words long, n_tiles long")
 
-    tiled = arrow_map(met, run, "doc_id long, row_hash long, item_id long, item_hash long, "
-                                "covered long, n_tiles long")
-    lengths = lengths.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "n_words")
-    return tiled.join(lengths, F.col("item_id").eqNullSafe(F.col("__id")) & (F.col("item_hash") == F.col("__hash"))
-                      ).drop("__id", "__hash")
+
+def tile_coverage(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, least: float = 0.0) -> DataFrame:
+    """``doc_id, row_hash, item_id, item_hash, covered, n_words, n_tiles`` of every pair that shares a seed.
+
+    ``docs`` has ``doc_id, text`` and ``benchmark`` has ``item_id, text``. Null
+    and empty texts share nothing. Pairs that cannot cover the share ``least``
+    of the item may be left out. A pair's seeds are at most the document's
+    windows times the item's equal windows and are tiled in one row.
+    """
+    items = cut_lineage(_counted(with_key(benchmark.select(F.col("item_id").alias("doc_id"), "text")).distinct()))
+    short = items.where(F.col("n_words").between(1, min_match - 1)).select("n_words").distinct().collect()
+    out = _tiled(docs, items.where(F.col("n_words") >= min_match), min_match, least)
+    for size in sorted(r["n_words"] for r in short):  # fewer than min_match sizes
+        out = out.unionByName(_tiled(docs, items.where(F.col("n_words") == size), size, least))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
@@ -142,9 +170,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     """One row for each contaminated document: ``doc_id, row_hash``, the item covered best
     (``item_id, coverage, n_tiles``; ties to the smallest id) and ``n_items`` over the threshold.
 
-    Rows equal in doc_id and text are one document.
+    Rows equal in doc_id and text are one document. Null and empty texts, on
+    either side, are in no finding; neither are any where a table is empty.
+    Null ids are ids like others; other columns are ignored whatever their
+    names. Texts are read whole, one at a time.
     """
-    pairs = tile_coverage(docs, benchmark, min_match).withColumn("coverage", F.col("covered") / F.col("n_words"))
+    pairs = tile_coverage(docs, benchmark, min_match, min_coverage).withColumn("coverage", F.col("covered") / F.col("n_words"))
     best = F.max_by(F.struct("item_id", "coverage", "n_tiles"), F.struct("coverage", -F.col("item_id")))
     return (pairs.where(F.col("coverage") >= min_coverage).groupBy("doc_id", "row_hash")
             .agg(best.alias("b"), F.count(F.lit(1)).alias("n_items"))

@@ -512,3 +512,32 @@ def test_columns_called_as_the_code_calls_its_own(spark):
         for r in got:
             assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], what
     assert {r["doc_id"] for r in outs["bench"].collect()} == {0, 1, 3, 4, 5}
+
+
+def test_short_items_are_searched(spark, make_docs):
+    texts = [(1, "so the answer is forty two, they said"), (2, "the answer is forty  Two they said"), (3, prose(40, 1)),
+             (4, "yes"), (5, "a b c"), (6, "a b x c")]
+    bench = spark.createDataFrame([(1, "Forty two"), (2, "yes"), (3, "a b c"), (None, "forty two"), (4, " ")],
+                                  "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["n_items"], r["coverage"]) for r in tiling.contaminated(make_docs(texts), bench).collect()}
+    assert {k: v[1:] for k, v in got.items()} == {2: (2, 1.0), 4: (1, 1.0), 5: (1, 1.0)}
+
+
+def test_pairs_that_cannot_reach_the_threshold_are_dropped_by_count(spark, make_docs):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(4, 30)))) for i in range(12)]
+    texts = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(0, 60)))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = ["doc_id", "item_id"]
+    every = {(x["doc_id"], x["item_id"]): x["covered"] / x["n_words"] for x in
+             tiling.tile_coverage(make_docs(texts), bench).collect()}
+    for least in (0.3, 0.6, 1.0):
+        some = {(x["doc_id"], x["item_id"]): x["covered"] / x["n_words"] for x in
+                tiling.tile_coverage(make_docs(texts), bench, least=least).collect()}
+        assert some.items() <= every.items() and len(some) < len(every), key
+        assert {k for k, v in every.items() if v >= least} <= set(some)
+
+
+def test_content_defined_chunks_explain_most_removed_lines(spark):
+    got = line_chunks.op10_line_dedup(spark, SF).agg({"n_lines_removed": "sum", "n_lines_in_chunks": "sum"}).first()
+    assert 0 < got["sum(n_lines_removed)"] < 2 * got["sum(n_lines_in_chunks)"]
