@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.operators.keys import qcol
-from assaylake.session import ensure_checkpoint_dir
+from assaylake.session import cut_lineage, ensure_checkpoint_dir
 from assaylake.sources import cache
 
 KEY = "__text_key"
@@ -96,6 +96,11 @@ class FeatureTable:
         cache.write_part(self.spark, f"{self.folder}/part-{uuid.uuid4().hex}", self.compute(_distinct(df, text_col)))
 
     def of(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """``(id, features...)`` of every row; new texts are computed now, others are looked up."""
+        """``(id, features...)`` of every row, written once; new texts are computed now, others are looked up."""
+        known = self.known()
+        if known is not None:
+            found = cut_lineage(_keyed(df, id_col, text_col).join(known.withColumn("__hit", F.lit(True)), KEY, "left"))
+            if found.where("__hit IS NULL").isEmpty():
+                return found.drop(KEY, "__hit")
         self.add(df, text_col)
-        return _keyed(df, id_col, text_col).join(self.known(), KEY).drop(KEY)
+        return cut_lineage(_keyed(df, id_col, text_col).join(self.known(), KEY)).drop(KEY)

@@ -199,7 +199,17 @@ def nearest_kernel(n_words: int, self_join: bool):
     return fn
 
 
+def _summed(code: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """Exact int64 sums of ``weight`` by ``code``."""
+    if not len(code) or float(weight.max()) * len(code) < float(1 << 53):
+        return np.bincount(code, weights=weight, minlength=size).astype(np.int64)
+    out = np.zeros(size, np.int64)
+    np.add.at(out, code, weight)
+    return out
+
+
 def distribution_kernel(n_words: int, exclude: str | None):
+    """Pairs of rows by (intersection, union); a distinct fingerprint stands for its ``__n`` rows."""
     bits = 64 * n_words
     width = 2 * bits + 1                     # union <= 2L, intersection <= L
     dense = (bits + 1) * width <= (1 << 18)  # narrow fingerprints: one counter per cell
@@ -209,8 +219,9 @@ def distribution_kernel(n_words: int, exclude: str | None):
                               "n_pairs": np.array([], np.int64)})
         if lp.empty or rp.empty:
             return empty
-        _, idl, pcl, wl = _arrays(lp, n_words)
-        _, idr, pcr, wr = _arrays(rp, n_words)
+        lp, idl, pcl, wl = _arrays(lp, n_words)
+        rp, idr, pcr, wr = _arrays(rp, n_words)
+        nl, nr = lp["__n"].to_numpy(np.int64), rp["__n"].to_numpy(np.int64)
         diagonal = exclude is not None and key[0] == key[1]
         acc = np.zeros((bits + 1) * width, np.int64) if dense else None
         keys, counts = [], []
@@ -220,18 +231,19 @@ def distribution_kernel(n_words: int, exclude: str | None):
             if diagonal:
                 valid &= idl[s:e, None] < idr[None, :]
             code = inter.astype(np.int64)[valid] * width + union[valid]
+            weight = (nl[s:e, None] * nr[None, :])[valid]
             if dense:
-                acc += np.bincount(code, minlength=acc.size)
+                acc += _summed(code, weight, acc.size)
             else:
-                u, c = np.unique(code, return_counts=True)
+                u, inv = np.unique(code, return_inverse=True)
                 keys.append(u)
-                counts.append(c)
+                counts.append(_summed(inv, weight, len(u)))
         if dense:
             u = np.nonzero(acc)[0]
             c = acc[u]
         elif keys:
             u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
+            c = _summed(inv, np.concatenate(counts), len(u))
         else:
             return empty
         if exclude == "self":
@@ -429,16 +441,22 @@ def similarity_distribution(left: DataFrame, right: DataFrame | None, n_words: i
     each unordered pair once (strict upper triangle), ``'self'`` every
     ordered pair i != j. Every statistic of the full similarity matrix
     (min, max, histograms, counts at a value) follows from this table, whose
-    size is bounded by the number of distinct ratios, not by the pairs.
+    size is bounded by the number of distinct ratios, not by the pairs. Equal
+    fingerprints are compared once, with the number of their rows as weight.
     """
     if right is None and exclude not in ("lower", "self"):
         raise ValueError("a self comparison needs exclude='lower' or 'self'")
-    lp = prepare(left, id_col, fp_col, n_words)
-    rp = None if right is None else prepare(right, id_col, fp_col, n_words)
+    lp, _ = classes(prepare(left, id_col, fp_col, n_words), n_words)
+    rp = None if right is None else classes(prepare(right, id_col, fp_col, n_words), n_words)[0]
     bl, br = _plan(lp, rp, block_size, _min_tasks(left))
     schema = "inter bigint, uni bigint, n_pairs bigint"
     part = _cogrouped(lp, rp, bl, br).applyInPandas(
         distribution_kernel(n_words, exclude if right is None else None), schema)
+    if right is None:  # pairs of rows with the same fingerprint
+        pairs = F.col("__n") * (F.col("__n") - 1)
+        pairs = pairs if exclude == "self" else F.expr("__n * (__n - 1) div 2")
+        part = part.unionByName(lp.where("__n > 1 AND __pc > 0").select(
+            F.col("__pc").alias("inter"), F.col("__pc").alias("uni"), pairs.cast("bigint").alias("n_pairs")))
     dist = part.groupBy("inter", "uni").agg(F.sum("n_pairs").cast("bigint").alias("n_pairs"))
     # Small (bounded by the distinct ratios) and read several times by the
     # statistics built on it: materialise once instead of re-running the join.

@@ -568,6 +568,9 @@ TEXT_FEATURES = (
 )
 
 
+FEATURE_CODE = 1  # to be raised whenever the code of a feature changes what it gives
+
+
 def count_words(text):
     return F.size(txt.word_tokens(text))
 
@@ -586,7 +589,8 @@ def _patterned(texts):
 
 def document_fps(spark, sf_dir):
     """Fingerprints of all documents, from the table of texts met before."""
-    kept = features.FeatureTable(spark, None, "hashed", {"radius": FP_RADIUS, "bits": FP_BITS, "hash": "md5"}, _hashed)
+    kept = features.FeatureTable(spark, None, "hashed",
+                                 {"code": FEATURE_CODE, "radius": FP_RADIUS, "bits": FP_BITS, "hash": "md5"}, _hashed)
     return kept.of(documents(spark, sf_dir), "doc_id", "text")
 
 
@@ -600,7 +604,7 @@ def split_fps(spark, sf_dir):
     Labelled (measured) documents are the training set, the others the test
     set; every text is tokenised once.
     """
-    fps = cut_lineage(document_fps(spark, sf_dir))
+    fps = document_fps(spark, sf_dir)
     ids = _labelled_ids(spark, sf_dir)
     return fps.join(ids, "doc_id", "left_semi"), fps.join(ids, "doc_id", "left_anti")
 
@@ -765,14 +769,14 @@ def _featurised(texts):
 
 def text_features(df, id_col):
     """Features of each row's text, from the table of texts met before."""
-    settings = {"patterns": TEXT_PATTERNS, "profile": [(n, k) for n, _, k in TEXT_FEATURES]}
+    settings = {"code": FEATURE_CODE, "patterns": TEXT_PATTERNS, "profile": [(n, k) for n, _, k in TEXT_FEATURES]}
     kept = features.FeatureTable(df.sparkSession, None, "text", settings, _featurised)
     return kept.of(df, id_col, "text")
 
 
 def _retrieval_tables(spark, sf_dir):
     """(queries, refs) built from one pass of text features over the documents."""
-    doc_feats = cut_lineage(text_features(documents(spark, sf_dir), "doc_id"))
+    doc_feats = text_features(documents(spark, sf_dir), "doc_id")
     labels = table(spark, sf_dir, "labels")
     q = doc_feats.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("query_id"), "fp", "n_bits_set", "key", "profile",

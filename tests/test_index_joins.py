@@ -209,3 +209,21 @@ def test_visits_never_miss(spark):
         seen = set(zip(row.tolist(), block.tolist()))
         i, j = np.nonzero(s >= beat)
         assert all((a, b) in seen for a, b in zip(i.tolist(), (place[j] // 25).tolist()))
+
+
+def test_distribution_weighs_copies(spark):
+    bits = np.vstack([_mixed(11, 60)] * 3)
+    s_inter = bits.astype(np.int64) @ bits.astype(np.int64).T
+    s_union = bits.sum(1)[:, None] + bits.sum(1)[None, :] - s_inter
+    for exclude, pairs in (("lower", np.triu_indices(len(bits), 1)), ("self", np.nonzero(~np.eye(len(bits), dtype=bool)))):
+        want = {}
+        for a, b in zip(s_inter[pairs].tolist(), s_union[pairs].tolist()):
+            if b:
+                want[a, b] = want.get((a, b), 0) + 1
+        got = sim.similarity_distribution(_df(spark, bits), None, 2, exclude=exclude, block_size=16).collect()
+        assert {(r["inter"], r["uni"]): r["n_pairs"] for r in got} == want
+
+
+def test_sums_beyond_doubles_are_exact():
+    code, weight = np.array([0, 1, 0]), np.array([(1 << 53) + 1, 5, 2])
+    assert sim._summed(code, weight, 2).tolist() == [(1 << 53) + 3, 5]
