@@ -42,6 +42,24 @@ COMMON = [*range(0x250), *range(0x2000, 0x2070)]  # Latin letters, digits, marks
 _CUT = re.compile(r" (?=\S)")
 
 
+def word_patterns(split) -> tuple[re.Pattern, re.Pattern]:
+    """Pattern of the words of a text of common characters, and of any other character.
+
+    ``split`` is the pre-tokenizer's function of a text; it is asked once for
+    the class of each common character.
+    """
+    classes: dict[str, list[str]] = {"letter": [], "number": [], "mark": [], "blank": []}
+    for ch in map(chr, COMMON):
+        kind = next((k for k, first in (("letter", "a"), ("number", "1"), ("mark", "!"))
+                     if len(split(first + ch)) == 1), "blank")
+        classes[kind].append(re.escape(ch))
+    letter, number, mark, blank = ("".join(c) for c in classes.values())
+    # Fixed value: the pattern of byte-level pre-tokenizers, with the classes written out.
+    word = (f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[{mark}]+"
+            f"|[{blank}]+(?![^{blank}])|[{blank}]+")
+    return re.compile(word), re.compile("[^" + "".join(re.escape(chr(c)) for c in COMMON) + "]")
+
+
 class BytePairs:
     """Encoder and decoder for one ``tokenizers`` file of a byte-level BPE.
 
@@ -84,20 +102,7 @@ class BytePairs:
         self._known: dict[str, bytes] = {}
         self._held = 0
         self._alphabet = {b: c for c, b in raw.items()}
-        self._word, self._other = self._patterns()
-
-    def _patterns(self) -> tuple[re.Pattern, re.Pattern]:
-        """Pattern of the words of a text of common characters, and of any other character."""
-        classes: dict[str, list[str]] = {"letter": [], "number": [], "mark": [], "blank": []}
-        for ch in map(chr, COMMON):
-            kind = next((k for k, first in (("letter", "a"), ("number", "1"), ("mark", "!"))
-                         if len(self._split(first + ch)) == 1), "blank")
-            classes[kind].append(re.escape(ch))
-        letter, number, mark, blank = ("".join(c) for c in classes.values())
-        # Fixed value: the pattern of byte-level pre-tokenizers, with the classes written out.
-        word = (f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[{mark}]+"
-                f"|[{blank}]+(?![^{blank}])|[{blank}]+")
-        return re.compile(word), re.compile("[^" + "".join(re.escape(chr(c)) for c in COMMON) + "]")
+        self._word, self._other = word_patterns(self._split)
 
     def _merges(self, merges, vocab) -> None:
         """Rank, halves and result of every merge."""

@@ -25,7 +25,6 @@ manifest and never read.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import uuid
 import zlib
@@ -38,6 +37,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assaylake.llm.bpe import word_patterns
 from assaylake.llm.common import arrow_map, batch_of, cut_lineage, with_key
 from assaylake.session import ensure_checkpoint_dir
 
@@ -136,23 +136,22 @@ class EliasFano:
 class TextEncoder:
     """Ids of whole texts from a byte-level BPE file of the ``tokenizers`` library.
 
-    Byte-level BPE first splits a text so that a piece starts at every blank
-    that a visible character follows, and merges never cross pieces. A text
-    whose blanks are all of this kind may therefore be encoded part by part,
-    cut before each blank, and the parts' ids remembered; any other text, and
-    one that holds a special token's string, goes to the library whole. Both
-    ways give the ids of ``encode(text, add_special_tokens=False)``.
+    Byte-level BPE first cuts a text into words, and merges never cross words.
+    A text of common characters is cut by the pattern of
+    :func:`assaylake.llm.bpe.word_patterns` and the ids of its words, which the
+    library gives, are remembered; any other text, and one that holds a special
+    token's string, goes to the library whole. Both ways give the ids of
+    ``encode(text, add_special_tokens=False)``.
     """
 
-    _odd = re.compile(r" (?=\s|$)|[\x1c-\x1f\x85]")
-
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = dtype
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = {"<u2": "H", "<u4": "I"}[dtype]
-        self.cache: dict[str, bytes] = {}  # by the part less its blank
+        self.word, self.other = word_patterns(self.tok.pre_tokenizer.pre_tokenize_str)
+        self.cache: dict[str, bytes] = {}  # by word
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = [array(self.kind, e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,22 +163,21 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        parts: list[list[str]] = []
+        words: list[list[str]] = []
         plain, whole = [], []
         for i, t in enumerate(texts):
-            if self._odd.search(t) or any(s in t for s in self.special):
-                whole.append(i)
-            else:
+            if (t.isascii() or not self.other.search(t)) and not any(s in t for s in self.special):
                 plain.append(i)
-                parts.append(t.split(" "))
+                words.append(self.word.findall(t))
+            else:
+                whole.append(i)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        heads = self._ids([p.pop(0) for p in parts])  # a text's first part has no blank before it
-        new = list(set(chain.from_iterable(parts)).difference(cache))
-        cache.update(zip(new, self._ids([" " + w for w in new])))
-        for i, head, p in zip(plain, heads, parts):
-            out[i] = head + b"".join(map(cache.__getitem__, p))
+        new = list(set(chain.from_iterable(words)).difference(cache))
+        cache.update(zip(new, self._ids(new)))
+        for i, w in zip(plain, words):
+            out[i] = b"".join(map(cache.__getitem__, w))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         return out
