@@ -1,6 +1,9 @@
 """Fingerprint index (nearest, top-k) and prefix join: brute force, pruning counts, copies."""
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +230,34 @@ def test_distribution_weighs_copies(spark):
 def test_sums_beyond_doubles_are_exact():
     code, weight = np.array([0, 1, 0]), np.array([(1 << 53) + 1, 5, 2])
     assert sim._summed(code, weight, 2).tolist() == [(1 << 53) + 3, 5]
+
+
+def test_pairs_leave_the_task_in_pieces():
+    """However many pairs two blocks have, a task holds one piece of them."""
+    n = 5000
+    pdf = pd.DataFrame({"__id": np.arange(2 * n), "__pc": 60, "__w0": (1 << 60) - 1, "__side": np.arange(2 * n) % 2})
+    fn = prefix_join._kernel(1, 0.5, False, 0)
+    frames = list(fn((-1, 5, 0, 5, 0), iter([pdf[:n], pdf[n:]])))
+    assert sum(map(len, frames)) == n * n
+    assert max(map(len, frames)) <= prefix_join._ROWS * sim._SUB
+
+
+def test_distribution_of_wide_and_weighted_rows():
+    """Counts by (intersection, union) are those of all pairs, for narrow and wide fingerprints alike."""
+    rng = np.random.default_rng(5)
+    for words in (1, 16, 40):
+        bits = rng.random((2, 50, 64 * words)) < rng.random((2, 50, 1))
+        bits[:, 0] = False
+        n = rng.integers(1, 4, (2, 50))
+        frames = []
+        for k in range(2):
+            w = np.ascontiguousarray(np.packbits(bits[k], axis=1, bitorder="little")).view("<i8")
+            frames.append(pd.DataFrame({"__id": np.arange(50), "__pc": bits[k].sum(axis=1), "__n": n[k],
+                                        **{f"__w{j}": w[:, j] for j in range(words)}}))
+        want = Counter()
+        for i in range(50):
+            for j in range(50):
+                if union := int((bits[0, i] | bits[1, j]).sum()):
+                    want[int((bits[0, i] & bits[1, j]).sum()), union] += int(n[0, i] * n[1, j])
+        got = sim.distribution_kernel(words, None)((0, 0), *frames)
+        assert {(r.inter, r.uni): r.n_pairs for r in got.itertuples()} == want
