@@ -240,6 +240,9 @@ def test_pairs_leave_the_task_in_pieces():
     frames = list(fn((-1, 5, 0, 5, 0), iter([pdf[:n], pdf[n:]])))
     assert sum(map(len, frames)) == n * n
     assert max(map(len, frames)) <= prefix_join._ROWS * sim._SUB
+    counted = prefix_join._kernel(1, 0.5, False, 0, counted=True)
+    links, = counted((-1, 5, 0, 5, 0), iter([pdf.assign(__rows=2)]))
+    assert len(links) == 2 * n and (links["__links"] == 2 * n).all()
 
 
 def test_distribution_of_wide_and_weighted_rows():
