@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from assaylake.operators.keys import _names, _order_struct, qcol
 from assaylake.session import ensure_checkpoint_dir, track_written
 
-KEY, SALT = "__key", "__salt"
-SALTS = 8
+KEY, SALT, HELD = "__key", "__salt", "__held"
+SALTS = 8  # at most 64: the buckets that hold a key are the bits of a number
 
 
 class KeyedTable:
@@ -33,6 +33,8 @@ class KeyedTable:
     """
 
     def __init__(self, df: DataFrame, key: Sequence[str], buckets: int | None = None, salts: int = SALTS):
+        if not 1 <= salts <= 64:
+            raise ValueError("salts must be 1 to 64")
         self.spark, self.key, self.salts = df.sparkSession, _names(key), salts
         self.columns = df.columns
         self.name = f"keyed_{uuid.uuid4().hex}"
@@ -57,11 +59,16 @@ class KeyedTable:
         parts = rows.groupBy(KEY, SALT).agg(*[F.first(qcol(k)).alias(f"__k{i}") for i, k in enumerate(self.key)],
                                             *[c.alias(n) for n, c in partial.items()])
         keys = [F.first(f"__k{i}").alias(f"__k{i}") for i in range(len(self.key))]
-        return parts.groupBy(KEY).agg(*keys, *[c.alias(n) for n, c in merged.items()])
+        # Which of the key's buckets hold rows, one bit each: only these are handed the result.
+        held = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(SALT)))
+        return parts.groupBy(KEY).agg(*keys, held.alias(HELD), *[c.alias(n) for n, c in merged.items()])
 
     def with_results(self, results: DataFrame, columns: Sequence[str]) -> DataFrame:
         """All rows with ``columns`` of a :meth:`per_key` result; only that result is exchanged."""
-        per = results.select(KEY, *columns, F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))).alias(SALT))
+        salts = F.sequence(F.lit(0), F.lit(self.salts - 1))
+        if HELD in results.columns:
+            salts = F.filter(salts, lambda s: F.getbit(HELD, s) == 1)
+        per = results.select(KEY, *columns, F.explode(salts).alias(SALT))
         return self.spark.table(self.name).join(per, [KEY, SALT]).drop(KEY, SALT)
 
     def with_group_size(self, name: str = "group_size") -> DataFrame:

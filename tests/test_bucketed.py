@@ -70,3 +70,13 @@ def test_empty_and_single_column_keys(spark):
     t = KeyedTable(spark.createDataFrame([(None, 1), ("null", 2), (None, 3)], "k string, v int"), "k", buckets=2)
     assert {(r["v"], r["group_size"]) for r in t.with_group_size().collect()} == {(1, 2), (2, 1), (3, 2)}
     t.drop()
+
+
+def test_results_are_handed_to_held_buckets_only(spark):
+    """A key's result is shipped once for each bucket with its rows, not for each there may be."""
+    t = KeyedTable(spark.range(40).select(F.col("id").alias("k"), F.col("id").alias("v")), ["k"], buckets=4)
+    per = t.per_key({"__n": F.count(F.lit(1))}, {"n": F.sum("__n")})
+    held = per.select(F.bit_count("__held").alias("h")).collect()
+    assert len(held) == 40 and all(r["h"] == 1 for r in held)
+    assert t.with_results(per, ["n"]).where("n = 1").count() == 40
+    t.drop()
