@@ -2,8 +2,8 @@
 
 Two generative bag-of-n-grams models over hashed buckets are counted: the raw
 model over every document, the target model over labelled good documents. The
-n-grams are word unigrams, the beginnings of a word of several lengths in
-letters, its end, and the word trigram that repeats one word. A document's log importance weight is
+n-grams are word unigrams and bigrams, the beginnings of a word of several
+lengths in letters, its end, and the word trigram that repeats one word. A document's log importance weight is
 the sum of its n-grams' log ratios of target to raw, over the square root of
 its length; ratios that are not clearly below one say nothing about quality
 here and count as one. Adding Gumbel noise to ``sharpness`` times the log
@@ -19,9 +19,8 @@ sample of labelled documents.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 from operator import eq
 
 import numpy as np
@@ -32,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from assaylake.llm.common import arrow_map, batch_of, cut_lineage, slices, with_key
+from assaylake.llm.common import arrow_map, batch_of, cut_lineage, mix64, slices, with_key
 from assaylake.session import ensure_importable
 
 LABEL_SAMPLE = 20_000  # labelled rows used, those with the smallest hash of their doc_id
 PREFIX_LETTERS, SUFFIX_BYTES = (4, 5, 6), 3  # in letters: a stem with accents has more bytes
 SPACES = (1 << 18, *[1 << 18 for _ in PREFIX_LETTERS], 1 << 16)  # buckets of words, beginnings and ends
+PAIRS = 1 << 18  # buckets of word bigrams, after those of words
 SMOOTHING = 0.3  # pseudo-count of a bucket in either model
 CLEAR = -0.5  # log ratios above this count as zero
 DEVIATIONS = 4.0  # and so do those whose target count is less than this many deviations short
@@ -45,9 +45,10 @@ SHARPNESS = 8.0
 SEED = 42
 BLOCK = 4096
 FAN_IN = 32
-TOTAL = sum(SPACES)
+TOTAL = sum(SPACES) + PAIRS
 _SAME = b"\x00same"  # stands for the trigram of one word three times; no word holds a zero byte
 _HELD_WORDS = 300_000
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def buckets(words: list[bytes]) -> np.ndarray:
@@ -67,45 +68,96 @@ def buckets(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hash of each word from which those of its bigrams are made."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(len(SPACES))), np.uint64, len(words))
+
+
+def pair_buckets(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bucket numbers of word bigrams, from the words' hashes."""
+    return (mix64(first * _GOLDEN + second) % np.uint64(PAIRS)).astype(np.int64) + sum(SPACES)
+
+
 def ngrams(text: bytes) -> list[bytes]:
-    """Words of a text, with one mark for every word that repeats the two before it."""
+    """Words of a text, with one mark for every word that repeats the two before it.
+
+    The bigrams are the neighbours in this list, but for those with a mark."""
     words = text.split()
     if not any(map(eq, words, words[2:])):
         return words
     return words + [_SAME] * sum(a == b == c for a, b, c in zip(words, words[1:], words[2:]))
 
 
-class _Table:
-    """Counts of hashed n-grams, folded in whenever many distinct words are held."""
+class _Words(dict):
+    """Words met since the last clearing, numbered, with their hashes by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.same = _hashes([_SAME])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.hashes = np.zeros(0, np.uint64)
+
+    def learn(self, new: list[bytes]) -> None:
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        self.hashes = np.concatenate((self.hashes, _hashes(new)))
+
+    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Word numbers of all texts in a row with each one's text, and bigram buckets with theirs."""
+        flat = list(chain.from_iterable(texts))
+        new = set(flat).difference(self)
+        if len(self) + len(new) > _HELD_WORDS:
+            self.forget()
+            new = set(flat)
+        if new:
+            self.learn(list(new))
+        word = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        h = self.hashes[word]
+        ok = (text[1:] == text[:-1]) & (h[1:] != self.same)  # marks stand behind the words
+        return word, text, pair_buckets(h[:-1][ok], h[1:][ok]), text[1:][ok]
+
+
+class _Table(_Words):
+    """Raw and target counts of hashed n-grams; words are folded in whenever many distinct ones are held."""
 
     def __init__(self):
-        self.counts, self.words = np.zeros(TOTAL, np.int64), Counter()
+        self.counts, self.n = np.zeros((2, TOTAL), np.int64), np.zeros((2, 0), np.int64)
+        super().__init__()
 
-    def add(self, words: list[bytes]) -> None:
-        self.words.update(words)
-        if len(self.words) > _HELD_WORDS:
-            self.fold()
+    def forget(self) -> None:
+        if len(self):
+            for row in buckets(list(self)):
+                for k in range(2):
+                    self.counts[k] += np.bincount(row, weights=self.n[k], minlength=TOTAL).astype(np.int64)
+        self.n = np.zeros((2, 0), np.int64)
+        super().forget()
 
-    def fold(self) -> np.ndarray:
-        if self.words:
-            n = np.fromiter(self.words.values(), np.float64, len(self.words))
-            for row in buckets(list(self.words)):
-                self.counts += np.bincount(row, weights=n, minlength=TOTAL).astype(np.int64)
-            self.words.clear()
-        return self.counts
+    def learn(self, new: list[bytes]) -> None:
+        super().learn(new)
+        self.n = np.concatenate((self.n, np.zeros((2, len(new)), np.int64)), axis=1)
+
+    def add(self, texts: list[list[bytes]], target: np.ndarray) -> None:
+        """Count the n-grams of all texts, and as target those of the texts marked so."""
+        word, text, pair, of = self.read(texts)
+        for k, (w, p) in enumerate(((word, pair), (word[target[text]], pair[target[of]]))):
+            self.n[k] += np.bincount(w, minlength=len(self))
+            self.counts[k, sum(SPACES):] += np.bincount(p - sum(SPACES), minlength=PAIRS)
 
 
 def count_ngrams(docs: DataFrame, target_ids: Broadcast) -> tuple[np.ndarray, np.ndarray]:
     """Raw and target counts of all buckets, over every row of ``docs``."""
     def run(batches):
-        raw, target = _Table(), _Table()
+        table = _Table()
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                words = ngrams(t)
-                raw.add(words)
-                if d in target_ids.value:
-                    target.add(words)
-        both = np.stack([raw.fold(), target.fold()]).reshape(2, -1, BLOCK)
+            for part in slices(b):
+                ids = part.column("doc_id").to_pylist()
+                table.add([ngrams(t) for t in part.column("text").to_pylist()],
+                          np.fromiter((d in target_ids.value for d in ids), bool, len(ids)))
+        table.forget()
+        both = table.counts.reshape(2, -1, BLOCK)
         some = np.flatnonzero(both.any(axis=(0, 2)))
         yield batch_of(block=some, counts=pa.array([both[:, k].tobytes() for k in some.tolist()], pa.binary()))
 
@@ -138,7 +190,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING
     about one, whatever the count, so that is how far a target count is short.
     """
     out, at = np.zeros(TOTAL), 0
-    for size in SPACES:
+    for size in (*SPACES, PAIRS):
         r, t = raw[at:at + size], target[at:at + size]
         expected = r * (t.sum() / max(r.sum(), 1))
         ratio = np.log((t + smoothing) / (expected + smoothing))
@@ -149,27 +201,29 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING
     return out
 
 
-class _Scores(dict):
-    """Summed log ratios of a word's n-grams, remembered for the words met since the last clearing."""
+class _Scores(_Words):
+    """Words with the summed log ratios of their own n-grams."""
 
     def __init__(self, ratios: np.ndarray):
-        super().__init__()
         self.ratios = ratios
+        super().__init__()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Hold the scores of all ``words``; new ones are looked up together."""
-        new = list(set(words).difference(self))
-        if len(self) + len(new) > _HELD_WORDS:
-            self.clear()
-            new = list(set(words))
-        self.update(zip(new, self.ratios[buckets(new)].sum(axis=0).tolist()))
+    def forget(self) -> None:
+        super().forget()
+        self.own = np.zeros(0)
+
+    def learn(self, new: list[bytes]) -> None:
+        super().learn(new)
+        self.own = np.concatenate((self.own, self.ratios[buckets(new)].sum(axis=0)))
 
 
 def log_weights(texts: list[bytes], scores: _Scores) -> list[float]:
     """Log importance weight of each text; zero without words."""
     split = [ngrams(t) for t in texts]
-    scores.learn([w for words in split for w in words])
-    return [sum(map(scores.__getitem__, w)) / len(w) ** 0.5 if w else 0.0 for w in split]
+    word, text, pair, of = scores.read(split)
+    total = (np.bincount(text, weights=scores.own[word], minlength=len(split))
+             + np.bincount(of, weights=scores.ratios[pair], minlength=len(split)))
+    return (total / np.sqrt(np.maximum(1, [len(w) for w in split]))).tolist()
 
 
 def gumbel(doc_id: Column, row_hash: Column, seed: int = SEED) -> Column:

@@ -368,3 +368,20 @@ def test_documents_come_back(spark, make_docs, nasty, library):
 def test_other_kinds_of_files_are_refused():
     with pytest.raises(ValueError, match="not a plain byte-level BPE"):
         bpe.BytePairs(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_word_bigrams_are_counted_and_weighed(spark):
+    """The same words in another order weigh as their bigrams do."""
+    from assaylake.llm import importance
+    good, bad = b"alpha beta gamma delta", b"beta alpha delta gamma"
+    table = importance._Table()
+    table.add([importance.ngrams(t) for t in [good] * 300 + [bad] * 300 + [b"", b"alpha alpha alpha"]],
+              np.arange(602) < 300)
+    table.forget()
+    pairs = table.counts[:, sum(importance.SPACES):]
+    assert pairs.sum(axis=1).tolist() == [600 * 3 + 2, 300 * 3]  # none over the ends of texts, none with a mark
+    h = importance._hashes([b"beta", b"alpha"])
+    assert table.counts[:, importance.pair_buckets(h[:1], h[1:])[0]].tolist() == [300, 0]
+    scores = importance._Scores(importance.log_ratios(*table.counts))
+    up, down, none = importance.log_weights([good, bad, b""], scores)
+    assert up == 0 and down < -1 and none == 0
