@@ -65,7 +65,10 @@ def merge_states(states: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def _global_std(state: DataFrame, endpoints: Sequence[Endpoint]) -> Column | None:
-    """Sample standard deviations over all measurements, from the states: one scalar subquery."""
+    """Sample standard deviations over all measurements, from the states: one scalar subquery.
+
+    A key may have several states: sums over them are those over the merged ones.
+    """
     rel = [e.name for e in endpoints if e.tol_kind == "rel"]
     if not rel:
         return None
@@ -82,9 +85,10 @@ def _global_std(state: DataFrame, endpoints: Sequence[Endpoint]) -> Column | Non
         F.when(F.sum(s(e, "n")) > 1, F.sqrt(o / (F.sum(s(e, "n")) - 1))).alias(e) for e, o in zip(rel, off)])).scalar()
 
 
-def _flags(state: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint]) -> dict[str, Column]:
+def _flags(state: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
+           parts: DataFrame | None = None) -> dict[str, Column]:
     from assaylake.operators.consensus import _has_key, tolerance
-    std = _global_std(state, endpoints)
+    std = _global_std(state if parts is None else parts, endpoints)
 
     def spread(e):
         s = F.col(f"`s_{e.name}`")
@@ -93,19 +97,27 @@ def _flags(state: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint])
     return {e.name: F.coalesce(_has_key(key) & (spread(e) > tolerance(e, std)), F.lit(False)) for e in endpoints}
 
 
-def flags_of_state(state: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint], suffix: str = "_noisy") -> DataFrame:
-    """Disagreement flags of each key, as :func:`assaylake.operators.consensus.disagreement_flags`."""
+def flags_of_state(state: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint], suffix: str = "_noisy",
+                   parts: DataFrame | None = None) -> DataFrame:
+    """Disagreement flags of each key, as :func:`assaylake.operators.consensus.disagreement_flags`.
+
+    ``parts``: the states as they were before they were merged, if at hand;
+    global sums are taken from them, so that nothing is merged for these.
+    """
     key = _names(key)
-    flags = _flags(state, key, endpoints)
+    flags = _flags(state, key, endpoints, parts)
     return state.select(*[qcol(k) for k in key], *[f.alias(f"{e}{suffix}") for e, f in flags.items()])
 
 
 def consensus_of_state(state: DataFrame, key: Sequence[str], endpoints: Sequence[Endpoint],
-                       keep: Sequence[str] = (), log: bool = True) -> DataFrame:
-    """What :func:`assaylake.operators.consensus.consensus` gives for all measurements behind the state."""
+                       keep: Sequence[str] = (), log: bool = True, parts: DataFrame | None = None) -> DataFrame:
+    """What :func:`assaylake.operators.consensus.consensus` gives for all measurements behind the state.
+
+    ``parts`` as in :func:`flags_of_state`.
+    """
     from assaylake.operators.consensus import _has_key
     key = _names(key)
-    flags = _flags(state, key, endpoints)
+    flags = _flags(state, key, endpoints, parts)
     means = [F.when(_has_key(key) & ~flags[e.name], F.col(f"`s_{e.name}`").getField("mean")).alias(e.name)
              for e in endpoints]
     res = state.select(*[qcol(k) for k in key], *[F.col("first").getField(c).alias(c) for c in keep], "n_rows", *means)
@@ -148,15 +160,19 @@ class StateTable:
             state = consensus_state(batch, self.key, self.endpoints, self.order, self.keep)
             cache.write_part(self.spark, self._part(batch_id), state)
 
-    def state(self) -> DataFrame:
-        parts = self._parts()
+    def _written(self, parts: list[dict]) -> DataFrame:
+        """The states of parts as they lie: one row for each key of each part."""
         if not parts:
             raise ValueError("no batch has been added")
         files = [f for m in parts for f in m["files"]]
         schema = cache.schema_of(parts[0])
-        if not files:
-            return self.spark.createDataFrame([], schema)
-        return merge_states(self.spark.read.schema(schema).parquet(*files), self.key)
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+
+    def state(self) -> DataFrame:
+        """One row a key; a single part has no more, and is read as it lies."""
+        parts = self._parts()
+        written = self._written(parts)
+        return written if len(parts) == 1 else merge_states(written, self.key)
 
     def compact(self) -> None:
         """One part for all that are there; later batches are added beside it."""
@@ -167,7 +183,7 @@ class StateTable:
             cache.write_part(self.spark, f"{self.folder}/merged-{name}", self.state(), more={"holds": holds})
 
     def consensus(self, log: bool = True) -> DataFrame:
-        return consensus_of_state(self.state(), self.key, self.endpoints, self.keep, log)
+        return consensus_of_state(self.state(), self.key, self.endpoints, self.keep, log, self._written(self._parts()))
 
     def flags(self) -> DataFrame:
-        return flags_of_state(self.state(), self.key, self.endpoints)
+        return flags_of_state(self.state(), self.key, self.endpoints, parts=self._written(self._parts()))

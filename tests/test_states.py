@@ -180,3 +180,19 @@ def test_reduced_groups_are_small_before_the_shuffle(spark):
     mean = udf.reduce_groups(df, "j", part, merge, "n long, s long", lambda k, p: {"mean": p["s"] / p["n"]}, "mean double")
     assert {r["j"]: r["mean"] for r in mean.collect()} == {
         r["j"]: r["m"] for r in df.groupBy("j").agg(F.avg("v").alias("m")).collect()}
+
+
+def test_states_are_merged_once(spark, tmp_path):
+    """Global sums take no merging of their own, and the states of one part none at all."""
+    df = _measured(spark, 200, 3)
+    table = consensus_state.StateTable(spark, str(tmp_path), ["k"], ENDS, ["i"])
+
+    def by_key(out):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        return sum("collect_list" in line for line in plan.split("\n"))
+
+    table.add(df.where("i < 100"), 0)
+    table.add(df.where("i >= 100"), 1)
+    assert by_key(table.flags()) == by_key(table.consensus()) == 1
+    table.compact()
+    assert by_key(table.flags()) == by_key(table.consensus()) == 0
