@@ -172,6 +172,42 @@ def test_topk_visits_and_emits_less(spark):
     assert report["partial_rows"] < 0.5 * sum(ks) * report["row_block_pairs"], report
 
 
+def test_topk_compares_copies_once(spark):
+    """Copies among queries and references cost nothing, and the smaller ids stand first among them."""
+    few, other = _mixed(11, 40), _mixed(12, 30)
+    r = np.random.default_rng(13)
+    bits, refs = few[r.integers(0, 40, 1200)], np.concatenate((other, few[:9]))[r.integers(0, 39, 900)]
+    mask, keep = r.choice([1, 3], len(refs)), r.random(len(bits)) < 0.5
+    q = _df(spark, bits).join(spark.createDataFrame([(i, bool(k)) for i, k in enumerate(keep)], "id long, keep boolean"), "id")
+    ref_df = _df(spark, refs).join(spark.createDataFrame([(i, int(m)) for i, m in enumerate(mask)], "id long, m long"), "id")
+    report, ks, got = {}, [3, 2], {}
+    for x in sim.topk_matches(q, ref_df, 2, ks, pmask_col="m", keep_ident_col="keep", block_size=64,
+                              report=report).collect():
+        got.setdefault((x["query_id"], x["prop"]), []).append((x["rank"], x["ref_id"]))
+    s = _sims(bits, refs)
+    for i in range(len(bits)):
+        for p, k in enumerate(ks):
+            cand = [j for j in np.flatnonzero(mask >> p & 1) if not np.isnan(s[i, j]) and (keep[i] or s[i, j] < 1)]
+            assert [j for _, j in sorted(got.get((i, p), []))] == sorted(cand, key=lambda j: (-s[i, j], j))[:k], (i, p)
+    assert report["row_block_pairs"] <= 2 * 40 * 3 and report["partial_rows"] <= 2 * 40 * 2 * sum(ks), report
+
+
+def test_topk_of_repeated_ids_and_own_rows(spark):
+    """A repeated id shares its ranks among its rows; without references a query never meets its own rows."""
+    bits = _mixed(14, 60)
+    ids = [0, 0, 1, 1, *range(4, 60)]
+    bits[1] = bits[0]
+    got = {}
+    for x in sim.topk_matches(_df(spark, bits, ids), None, 2, [3], block_size=16).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["ref_id"], x["sim"]))
+    s = _sims(bits, bits)
+    for i in set(ids):
+        cand = [(-s[a, b], ids[b]) for a in range(60) if ids[a] == i for b in range(60)
+                if ids[b] != i and not np.isnan(s[a, b])]
+        want = [(n, j, pytest.approx(-v)) for n, (v, j) in enumerate(sorted(cand)[:3], 1)]
+        assert sorted(got.get(i, [])) == want, i
+
+
 def test_topk_without_references_or_properties(spark):
     q, refs = _df(spark, _mixed(1, 40)), _df(spark, _mixed(2, 30))
     none = refs.where("false").withColumn("m", F.lit(1))
