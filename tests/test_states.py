@@ -153,6 +153,24 @@ def test_half_of_all_rows_in_one_group(spark):
     assert all(r["ordered"] and r["most"] <= 500 for r in got.values()) and got["hot"]["n"] == n // 2
 
 
+def test_a_group_is_gathered_in_runs_not_in_rows(spark):
+    """Only a row a run is sorted in the group's task; every kind of column comes through as it was."""
+    df = spark.range(0, 30_000, numPartitions=5).selectExpr(
+        "CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') WHEN 2 THEN -0.0D ELSE id % 2 END AS k", "id % 2 = 0 AS j",
+        "30000 - id AS v", "IF(id % 3 = 0, NULL, concat('s', id)) AS s", "timestamp_seconds(id) AS t",
+        "cast(id AS decimal(12, 2)) AS d", "array(id, NULL) AS a", "named_struct('x', id % 4) AS o")
+    whole = udf._gathered(df, ["j", "k"], ["v"])
+    assert whole.columns == df.columns and whole.dtypes == df.dtypes
+    assert sorted(map(str, whole.collect())) == sorted(map(str, df.collect()))
+    assert sorted(map(str, udf._gathered(df.select("j"), ["j"], []).collect())) == sorted(map(str, df.select("j").collect()))
+    def fn(key, batches):
+        v = np.concatenate([b["v"].to_numpy() for b in batches])
+        yield pd.DataFrame({"n": [len(v)], "sorted": [bool((np.diff(v) > 0).all())]})
+
+    got = udf.map_groups(df, ["j", "k"], fn, "n long, sorted boolean", ["v"], 500).collect()
+    assert sum(r["n"] for r in got) == 30_000 and all(r["sorted"] for r in got)
+
+
 def test_groups_left_unread_and_groups_without_result(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id AS v")
 
