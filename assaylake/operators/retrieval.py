@@ -95,9 +95,14 @@ def merge_neighbours(nb: DataFrame, ref_keys: DataFrame) -> DataFrame:
 
 
 def props_text(props, value):
-    """``name=value, ...`` of a ``props`` array; ``value`` maps an element to its number."""
+    """``name=value, ...`` of a ``props`` array; ``value`` maps an element to its number.
+
+    The numbers are made by a step of their own: :func:`fmt2` names its
+    argument five times, and a draw of jitter would be made each time.
+    """
     from assaylake.functions.numeric import fmt2
-    return F.array_join(F.transform(props, lambda x: F.concat(x["property"], F.lit("="), fmt2(value(x)))), ", ")
+    shown = F.transform(props, lambda x: F.struct(x["property"].alias("property"), value(x).alias("value")))
+    return F.array_join(F.transform(shown, lambda x: F.concat(x["property"], F.lit("="), fmt2(x["value"]))), ", ")
 
 
 def query_targets(queries: DataFrame, props: Sequence[str], query_id: str = "query_id",

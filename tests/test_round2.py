@@ -173,6 +173,11 @@ def test_no_replica_is_shuffled(spark):
         assert not [x for x in below.split("\n") if "Exchange" in x and "replica" in x]
 
 
+def test_jitter_is_drawn_once_for_a_number(spark):
+    plan = C.QUERIES["render_prompts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(cast(concat_ws(:, 42") <= 4  # two words of a hash for the context, two for the answer
+
+
 def test_text_ids(spark):
     rows = [("a", [7], 3), ("b", [3], 2), ("c", [3], 2), ("d", [8], 1), (None, [1], 1)]
     df = spark.createDataFrame(rows, "id string, fp array<long>, n_bits_set int")
