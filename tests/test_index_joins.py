@@ -140,6 +140,21 @@ def test_nearest_equals_brute_force(spark, make):
         assert all(v == pytest.approx(np.nanmax(own[k]), abs=1e-12) for k, v in got.items())
 
 
+def test_nearest_divides_once_for_a_size(monkeypatch):
+    """Ratios are made for the best of the right rows with as many bits; own rows are left out, repeated ids too."""
+    bits = _mixed(21, 600)
+    words, ids = _pack(bits), np.arange(600) // 2
+    rows = pd.DataFrame({"__id": ids, "__pc": bits.sum(1), "__best": -1.0, "__w0": words[:, 0], "__w1": words[:, 1]})
+    cells, plain = [], sim._sims
+    monkeypatch.setattr(sim, "_sims", lambda inter, *a: (cells.append(inter.size), plain(inter, *a))[1])
+    out = sim.nearest_kernel(2, True)((0, 0), rows, rows)
+    s = _sims(bits, bits)
+    s[ids[:, None] == ids[None, :]] = np.nan
+    best = pd.Series(np.nan_to_num(s, nan=-1.0).max(axis=1), index=bits.sum(1))
+    assert sorted(out["best"]) == pytest.approx(sorted(best[best >= 0]))
+    assert sum(cells) < 600 * 600 / 2, sum(cells)
+
+
 def test_index_discards_blocks_of_clustered_rows(spark):
     bits = _clustered(3, 6000, centres=8)
     report = {}
