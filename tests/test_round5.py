@@ -103,3 +103,37 @@ def test_copies_leave_the_task_in_pieces(monkeypatch):
     assert sum(map(len, frames)) == 2 * n * (2 * n - 1) // 2 and max(map(len, frames)) <= 1000
     pairs = pd.concat(frames)
     assert (pairs["left_id"] < pairs["right_id"]).all() and not pairs.duplicated(["left_id", "right_id"]).any()
+
+
+def test_nearest_meets_only_windows_that_can_better_a_row(monkeypatch):
+    """Windows of other popcounts are left out row by row, not by the worst row of a chunk."""
+    monkeypatch.setattr(sim, "_WINDOW", 64)
+    bits = _rows(5, 1200, 256)
+    bits[600:] = bits[:600] ^ (np.arange(256) == 9)
+    bits = bits[bits.sum(1) > 0]
+    lonely = np.zeros((1, 256), bool)
+    lonely[0, ::3] = True
+    bits = np.concatenate((bits, lonely))
+    words = _packed(bits).view(np.int64)
+    pdf = pd.DataFrame({"__id": np.arange(len(bits)), "__pc": bits.sum(1), "__best": -1.0,
+                        **{f"__w{j}": words[:, j] for j in range(4)}})
+    cells, plain = [], bit_products.intersections
+    monkeypatch.setattr(bit_products, "intersections", lambda a, b: (cells.append(len(a) * len(b)), plain(a, b))[1])
+    out = sim.nearest_kernel(4, True)((0, 0), pdf, pdf).set_index("__id")["best"]
+    inter = bits.astype(int) @ bits.astype(int).T
+    s = inter / (bits.sum(1)[:, None] + bits.sum(1)[None, :] - inter)
+    np.fill_diagonal(s, -1)
+    assert np.allclose(out.sort_index(), s.max(axis=1)) and sum(cells) < 0.35 * len(bits) ** 2
+
+
+def test_single_rows_are_counted_without_weights(monkeypatch):
+    """Only pairs with a fingerprint of several rows are weighed."""
+    bits = _rows(6, 400, 128)
+    words = _packed(bits).view(np.int64)
+    n = np.where(np.arange(400) < 10, 3, 1)
+    pdf = pd.DataFrame({"__id": np.arange(400), "__pc": bits.sum(1), "__n": n, "__w0": words[:, 0], "__w1": words[:, 1]})
+    weighed, plain = [], sim._summed
+    monkeypatch.setattr(sim, "_summed", lambda code, *a: (weighed.append(code.size), plain(code, *a))[1])
+    got = sim.distribution_kernel(2, None)((0, 1), pdf, pdf)
+    assert got["n_pairs"].sum() == n.sum() ** 2 - n[bits.sum(1) == 0].sum() ** 2
+    assert sum(weighed) <= 2 * 10 * 400
