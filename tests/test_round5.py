@@ -84,6 +84,16 @@ def test_rows_of_copies_and_repeated_ids_are_paired(spark, density):
             assert Counter((r["left_id"], r["right_id"]) for r in got) == want
 
 
+def test_rows_without_an_id_go_with_a_copy_that_has_one(spark):
+    schema = "id bigint, fp array<bigint>, n_bits_set int"
+    big = (1 << 53) + 1
+    a = spark.createDataFrame([(None, [7], 3), (big, [7], 3), (None, [1], 1), (1, [3], 2)], schema)
+    b = spark.createDataFrame([(8, [7], 3), (None, [3], 2)], schema)
+    got = sim.tanimoto_join(a, b, 1, 0.6).collect()
+    assert Counter((r["left_id"], r["right_id"]) for r in got) == Counter([(None, 8), (big, 8), (1, 8)])
+    assert (1, big) in {tuple(r)[:2] for r in sim.tanimoto_join(a, None, 1, 0.6).collect()}
+
+
 def test_pairs_of_rows_are_not_sent_on(spark):
     """Pairs are rows of the result where they are found: no join or exchange comes after."""
     df = _df(spark, _rows(4, 60, 128, 10), list(range(70)))
